@@ -137,3 +137,79 @@ SELECT user_id, category, {d('cur')} AS current_total, {r('CAST(hist AS DOUBLE)
        'Overspending alert: ' || category || ' spending is ' || {f('inc * 100.0', 1)}
          || '% above your 6-month average this month.' AS message
 FROM a WHERE inc > 0.30"""
+
+
+# ---- budgets ---------------------------------------------------------------------
+_B = [USERS, TX_FULL, FACT, DEFAULTS, BUDGETS, BUDGETS_EFF]
+
+ORACLE["budgets_with_defaults"] = with_(USERS, DEFAULTS, BUDGETS, BUDGETS_EFF) + f"""
+SELECT user_id, category, {d('monthly_budget')} AS monthly_budget, is_default FROM beff"""
+
+
+def _alerts_sql(fact: str = "fact") -> str:
+    return f"""(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY usage_percent DESC, idx, category) AS rank
+  FROM (SELECT b.user_id, b.category, b.idx, {d('b.monthly_budget')} AS budget,
+               {d('COALESCE(s.spent, 0)')} AS spent, ratio,
+               {r('ratio * 100.0', 1)} AS usage_percent, ratio >= 1.0 AS is_exceeded,
+               'Alert: You have used ' || {f('ratio * 100.0', 1)} || '% of your monthly ' || lower(b.category)
+                 || ' budget.' AS message
+        FROM (SELECT *, 0 AS z FROM beff) b
+        LEFT JOIN (SELECT user_id, category, SUM(amount) AS spent FROM {fact}
+                   WHERE type = 'Expense' AND month = {AS_OF_MONTH} GROUP BY 1, 2) s
+          ON s.user_id = b.user_id AND s.category = b.category,
+        LATERAL (SELECT CASE WHEN b.monthly_budget > 0
+                   THEN CAST(COALESCE(s.spent, 0) AS DOUBLE) / CAST(b.monthly_budget AS DOUBLE) ELSE 0.0 END AS ratio)
+        WHERE ratio >= 0.85))"""
+
+
+ORACLE["budget_alerts"] = with_(*_B) + f"""
+SELECT user_id, category, budget, spent, usage_percent, is_exceeded, message, rank FROM {_alerts_sql()}"""
+
+ORACLE["budget_usage_latest"] = with_(*_B, MONTH_RANKS) + f"""
+, lm AS (SELECT user_id, month FROM mr WHERE mrank = 1)
+, sp AS (SELECT f.user_id, f.category, SUM(f.amount) AS spent FROM fact f
+         JOIN lm ON lm.user_id = f.user_id AND lm.month = f.month WHERE f.type = 'Expense' GROUP BY 1, 2)
+, u AS (SELECT b.user_id, lm.month, b.category, b.idx, COALESCE(sp.spent, 0) AS spent, b.monthly_budget,
+               {r(pct('COALESCE(sp.spent, 0)', 'b.monthly_budget'))} AS usage_percent
+        FROM beff b JOIN lm ON lm.user_id = b.user_id
+        LEFT JOIN sp ON sp.user_id = b.user_id AND sp.category = b.category)
+SELECT user_id, {ml('month')} AS month, category, {d('spent')} AS spent, {d('monthly_budget')} AS budget,
+       usage_percent, row_number() OVER (PARTITION BY user_id ORDER BY usage_percent DESC, idx, category) AS rank
+FROM u"""
+
+
+def _cands_sql(fact: str) -> str:
+    return f"""(SELECT a.user_id, a.category, '2001-01' AS month, t.th AS threshold_percent, a.usage_percent,
+         a.budget, a.spent, a.idx,
+         'You crossed ' || CAST(t.th AS VARCHAR) || '% of your monthly ' || lower(a.category) || ' budget ('
+           || {f('a.usage_percent', 1)} || '% used).' AS message
+  FROM {_alerts_sql(fact)} a, (VALUES (85), (100)) t(th) WHERE a.usage_percent >= t.th)"""
+
+
+ORACLE["budget_crossings_new"] = with_(*_B) + f"""
+, fact_mid AS (SELECT user_id, month, type, category, SUM(amount) AS amount FROM tx
+               WHERE date <= DATE '2001-01-15' GROUP BY 1, 2, 3, 4)
+, fresh AS (SELECT * FROM {_cands_sql('fact')} c
+            WHERE NOT EXISTS (SELECT 1 FROM {_cands_sql('fact_mid')} p
+                              WHERE p.user_id = c.user_id AND p.category = c.category
+                                AND p.month = c.month AND p.threshold_percent = c.threshold_percent))
+SELECT user_id, category, month, threshold_percent, usage_percent, budget, spent, message,
+       row_number() OVER (PARTITION BY user_id ORDER BY threshold_percent DESC, usage_percent DESC, idx, category) AS rank
+FROM fresh"""
+
+ORACLE["expense_forecast"] = with_(*TX_BASE, EXP_MONTHS) + f"""
+, ix AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY month) - 1 AS x FROM em)
+, g AS (SELECT user_id, COUNT(*) AS n, CAST(SUM(CAST(amount AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS sy,
+               CAST(SUM(x * CAST(amount AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS sxy, max(month) AS last_month
+        FROM ix GROUP BY user_id)
+, seen AS (SELECT DISTINCT user_id FROM fact)
+SELECT u.id AS user_id,
+       CASE WHEN seen.user_id IS NULL THEN 'insufficient-data' WHEN g.n IS NULL THEN 'no-expenses'
+            WHEN g.n = 1 THEN 'limited-history' ELSE 'predicted' END AS status,
+       CASE WHEN g.n >= 2 THEN {r('greatest(CAST(g.sxy * 6 - g.sy * (2 * (g.n - 1)) AS DOUBLE) / CAST(g.n * (g.n - 1) AS DOUBLE), 0.0)')}
+            WHEN g.n = 1 THEN {d('g.sy')} ELSE 0.0 END AS predicted_expense,
+       CASE WHEN g.n >= 2 THEN {ml('g.last_month + INTERVAL 1 MONTH')} END AS next_month,
+       CASE WHEN g.n >= 2 THEN g.n END AS months_used,
+       CASE WHEN g.n >= 2 THEN {r('CAST(g.sxy * 12 - g.sy * (6 * (g.n - 1)) AS DOUBLE) / CAST(g.n * (g.n * g.n - 1) AS DOUBLE)')} END AS trend_slope,
+       CASE WHEN g.n >= 2 THEN {r('CAST(g.sy AS DOUBLE) / CAST(g.n AS DOUBLE)')} END AS average_monthly_expense
+FROM users_v u LEFT JOIN seen ON seen.user_id = u.id LEFT JOIN g ON g.user_id = u.id"""

@@ -112,3 +112,49 @@ def q_category_increases(spark, sf_dir):
 @register("category_overspend_alerts")
 def q_category_overspend_alerts(spark, sf_dir):
     return summary.category_overspend_alerts(_fact(spark, sf_dir), AS_OF)
+
+
+# ---- budgets (JOIN4, RUL2, RUL3, RUL7, SNK5, SNK6) ---------------------------------
+from centwise.operators import budgets as bud  # noqa: E402
+from centwise.operators import forecast as fc  # noqa: E402
+import datetime as _dt  # noqa: E402
+from pyspark.sql import functions as _F  # noqa: E402
+
+MID_MONTH = _dt.date(2001, 1, 15)
+
+
+def _beff(spark, sf_dir):
+    return bud.effective_budgets(td.users(spark, sf_dir), td.budgets(spark, sf_dir), default_scale=5)
+
+
+@register("budgets_with_defaults")
+def q_budgets_with_defaults(spark, sf_dir):
+    b = _beff(spark, sf_dir)
+    return b.select("user_id", "category", _F.col("monthly_budget").cast("double").alias("monthly_budget"),
+                    "is_default")
+
+
+@register("budget_alerts")
+def q_budget_alerts(spark, sf_dir):
+    return bud.budget_alerts(_beff(spark, sf_dir), _fact(spark, sf_dir), AS_OF).drop("idx")
+
+
+@register("budget_usage_latest")
+def q_budget_usage_latest(spark, sf_dir):
+    return bud.budget_usage_latest(_beff(spark, sf_dir), _fact(spark, sf_dir)).drop("idx", "usage")
+
+
+@register("budget_crossings_new")
+def q_budget_crossings_new(spark, sf_dir):
+    """Crossings at month end that the mid-month run (data up to the 15th) had not emitted."""
+    tx = td.transactions_full(spark, sf_dir)
+    beff = _beff(spark, sf_dir)
+    now = bud.crossing_candidates(bud.budget_alerts(beff, facts.monthly_fact(tx), AS_OF), AS_OF)
+    mid_fact = facts.monthly_fact(tx.filter(_F.col("date") <= _F.lit(MID_MONTH)))
+    earlier = bud.crossing_candidates(bud.budget_alerts(beff, mid_fact, AS_OF), AS_OF)
+    return bud.new_crossings(now, earlier)
+
+
+@register("expense_forecast")
+def q_expense_forecast(spark, sf_dir):
+    return fc.expense_forecast(_fact(spark, sf_dir), td.users(spark, sf_dir))
