@@ -44,13 +44,19 @@ def fmt(c, digits: int) -> Column:
     )
 
 
+def div(num, den) -> Column:
+    """num / den as double; NULL when den == 0 (safe under ANSI mode in any
+    evaluation order, e.g. inside a filter next to its own guard)."""
+    return F.try_divide(dbl(num), dbl(den))
+
+
 def ratio(num, den) -> Column:
     """num / den as double; 0 when den <= 0 (the reference's guard)."""
-    return F.when(col(den) > 0, dbl(num) / dbl(den)).otherwise(F.lit(0.0))
+    return F.when(col(den) > 0, div(num, den)).otherwise(F.lit(0.0))
 
 
 def pct(num, den) -> Column:
-    return F.when(col(den) > 0, dbl(num) / dbl(den) * 100.0).otherwise(F.lit(0.0))
+    return F.when(col(den) > 0, div(num, den) * 100.0).otherwise(F.lit(0.0))
 
 
 def money_sum(c) -> Column:

@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from centwise.functions.columns import EXPENSE, MONEY, dbl, fmt, month_label, pct, rnd
+from centwise.functions.columns import div, EXPENSE, MONEY, dbl, fmt, month_label, pct, rnd
 from centwise.operators.facts import month_ranks
 from centwise.schema import CROSSING_THRESHOLDS, DEFAULT_BUDGETS, USAGE_ALERT_RATIO
 
@@ -64,7 +64,7 @@ def month_spend(fact: DataFrame, month_start: dt.date) -> DataFrame:
 def _with_usage(beff: DataFrame, spend: DataFrame) -> DataFrame:
     j = beff.join(spend, KEY, "left").withColumn("spent", F.coalesce(F.col("spent"), F.lit(0).cast(MONEY)))
     return j.withColumn(
-        "ratio", F.when(F.col("monthly_budget") > 0, dbl("spent") / dbl("monthly_budget")).otherwise(F.lit(0.0)))
+        "ratio", F.when(F.col("monthly_budget") > 0, div("spent", "monthly_budget")).otherwise(F.lit(0.0)))
 
 
 def budget_alerts(beff: DataFrame, fact: DataFrame, as_of: dt.date,

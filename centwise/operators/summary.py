@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from centwise.functions.columns import (
-    EXPENSE, INCOME, MONEY, dbl, fmt, month_label, pct, rnd,
+    div, EXPENSE, INCOME, MONEY, dbl, fmt, month_label, pct, rnd,
 )
 from centwise.operators.facts import expense_months, month_ranks, month_totals
 
@@ -123,11 +123,11 @@ def overspend_ratio(fact: DataFrame, users: DataFrame) -> DataFrame:
     t = users.select(F.col("id").alias("user_id")).join(user_totals(fact), "user_id", "left")
     t = t.fillna(0, subset=["income", "expense"])
     has_income = F.col("income") > 0
-    over = has_income & (dbl("expense") / dbl("income") > 0.8)
+    over = has_income & (div("expense", "income") > 0.8)
     return t.select(
         "user_id",
         over.alias("is_overspending"),
-        F.when(has_income, rnd(dbl("expense") / dbl("income") * 100.0)).otherwise(0.0).alias("ratio"),
+        F.when(has_income, rnd(div("expense", "income") * 100.0)).otherwise(0.0).alias("ratio"),
         # The three overspending messages.
         F.when(~has_income, F.lit("Add income transactions to enable overspending analysis."))
         .when(over, F.lit("Warning: You have spent over 80% of your income."))
@@ -183,7 +183,7 @@ def mom_change(fact: DataFrame) -> DataFrame:
     return m.select(
         "user_id", month_label("month").alias("month"), dbl("amount").alias("amount"),
         dbl("prev").alias("prev_amount"),
-        F.when(F.col("prev") > 0, rnd(dbl(F.col("amount") - F.col("prev")) / dbl("prev") * 100.0))
+        F.when(F.col("prev") > 0, rnd(div(F.col("amount") - F.col("prev"), "prev") * 100.0))
         .alias("change_percent"),
     )
 
@@ -198,7 +198,7 @@ def category_increases(fact: DataFrame, k: int = 5) -> DataFrame:
         F.sum(F.when(F.col("mrank") == 2, F.col("amount"))).alias("prev"),
     )
     g = g.filter(F.col("cur").isNotNull() & (F.col("prev") > 0))
-    g = g.withColumn("chg", dbl(F.col("cur") - F.col("prev")) / dbl("prev") * 100.0).filter(F.col("chg") > 0)
+    g = g.withColumn("chg", div(F.col("cur") - F.col("prev"), "prev") * 100.0).filter(F.col("chg") > 0)
     g = g.withColumn("change_percent", rnd("chg"))
     w = Window.partitionBy("user_id").orderBy(F.col("change_percent").desc(), F.col("category"))
     r = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -219,7 +219,7 @@ def category_overspend_alerts(fact: DataFrame, as_of: dt.date) -> DataFrame:
         F.sum(F.when(F.col("month") == F.lit(m0), F.col("amount"))).alias("cur"),
         F.sum(F.when(F.col("month") < F.lit(m0), F.col("amount"))).alias("hist"),
     ).filter(F.col("cur").isNotNull() & (F.col("hist") > 0))
-    inc = dbl(F.col("cur") * 6 - F.col("hist")) / dbl("hist")
+    inc = div(F.col("cur") * 6 - F.col("hist"), "hist")
     g = g.withColumn("inc", inc).filter(F.col("inc") > 0.30)
     return g.select(
         "user_id", "category", dbl("cur").alias("current_total"),

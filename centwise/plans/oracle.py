@@ -213,3 +213,161 @@ SELECT u.id AS user_id,
        CASE WHEN g.n >= 2 THEN {r('CAST(g.sxy * 12 - g.sy * (6 * (g.n - 1)) AS DOUBLE) / CAST(g.n * (g.n * g.n - 1) AS DOUBLE)')} END AS trend_slope,
        CASE WHEN g.n >= 2 THEN {r('CAST(g.sy AS DOUBLE) / CAST(g.n AS DOUBLE)')} END AS average_monthly_expense
 FROM users_v u LEFT JOIN seen ON seen.user_id = u.id LEFT JOIN g ON g.user_id = u.id"""
+
+
+# ---- rule-based insights -----------------------------------------------------------
+ORACLE["global_suggestions"] = with_(*TX_BASE, USER_TOTALS) + """
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY k) AS seq, message FROM (
+  SELECT user_id, 1 AS k, 'Add transactions to unlock AI suggestions.' AS message FROM ut WHERE n_fact = 0
+  UNION ALL
+  SELECT user_id, 2, 'Add at least one income transaction so AI suggestions can be calculated.'
+  FROM ut WHERE n_fact > 0 AND NOT income > 0
+  UNION ALL
+  SELECT user_id, 3, 'Food spending is above 30% of income. Consider reducing dining out.'
+  FROM ut WHERE n_fact > 0 AND income > 0 AND COALESCE(food, 0) * 10 > income * 3
+  UNION ALL
+  SELECT user_id, 4, 'Savings are below 20% of income. Consider setting a stricter budget.'
+  FROM ut WHERE n_fact > 0 AND income > 0 AND (income - expense) * 5 < income
+  UNION ALL
+  SELECT user_id, 5, 'Your spending and savings pattern looks healthy. Keep tracking consistently.'
+  FROM ut WHERE n_fact > 0 AND income > 0 AND NOT (COALESCE(food, 0) * 10 > income * 3)
+    AND NOT ((income - expense) * 5 < income))"""
+
+ORACLE["period_suggestions"] = with_(*TX_BASE, USER_TOTALS, EXP_MONTHS) + f"""
+, ut2 AS (SELECT * FROM ut WHERE n_fact > 0)
+, cats AS (SELECT user_id, category, SUM(amount) AS amount FROM fact WHERE type = 'Expense' GROUP BY 1, 2)
+, two AS (SELECT user_id, max(CASE WHEN rn = 1 THEN amount END) AS cur, max(CASE WHEN rn = 2 THEN amount END) AS prev
+          FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY month DESC) AS rn FROM em)
+          WHERE rn <= 2 GROUP BY 1)
+, top AS (SELECT user_id, string_agg(category, ', ' ORDER BY rk) AS names
+          FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY amount DESC, category) AS rk FROM cats)
+          WHERE rk <= 3 GROUP BY 1)
+, rules AS (
+  SELECT user_id, 1 AS rule, '' AS sub,
+         'Your savings are ' || {f(r(pct('income - expense', 'income')), 1)}
+         || '% of income. Consider a budget that protects at least 20% for savings.' AS message
+  FROM ut2 WHERE income > 0 AND CAST(income - expense AS DOUBLE) / CAST(income AS DOUBLE) < 0.2
+  UNION ALL
+  SELECT c.user_id, 2, c.category,
+         c.category || ' spending is taking ' || {f('CAST(c.amount AS DOUBLE) / CAST(u.income AS DOUBLE) * 100.0', 1)}
+         || '% of your income. Review this category for possible cuts.'
+  FROM cats c JOIN ut2 u ON u.user_id = c.user_id
+  WHERE u.income > 0 AND CAST(c.amount AS DOUBLE) / CAST(u.income AS DOUBLE) > 0.30
+  UNION ALL
+  SELECT user_id, 3, '', 'This month''s expenses are up ' || {f('up * 100.0', 1)}
+         || '% compared to last month. Investigate the categories driving the increase.'
+  FROM (SELECT user_id, CAST(cur - prev AS DOUBLE) / CAST(prev AS DOUBLE) AS up FROM two WHERE prev > 0)
+  WHERE up > 0.40
+  UNION ALL
+  SELECT user_id, 4, '', 'Your top spending categories are ' || names
+         || '. Reviewing these first will have the biggest impact.' FROM top)
+, allr AS (
+  SELECT * FROM rules
+  UNION ALL
+  SELECT user_id, 5, '', 'Your spending is balanced right now. Continue logging transactions consistently to keep insights accurate.'
+  FROM ut2 WHERE user_id NOT IN (SELECT user_id FROM rules)
+  UNION ALL
+  SELECT user_id, 0, '', 'Add income and expense transactions to unlock personalized financial suggestions.'
+  FROM ut WHERE n_fact = 0)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rule, sub) AS seq, message FROM allr"""
+
+_LT = """lt AS (
+  SELECT mt.user_id,
+         max(CASE WHEN mrank = 1 THEN mt.month END) AS cur_month, max(CASE WHEN mrank = 1 THEN income END) AS inc,
+         max(CASE WHEN mrank = 1 THEN expense END) AS exp, max(CASE WHEN mrank = 2 THEN mt.month END) AS prev_month,
+         max(CASE WHEN mrank = 2 THEN income END) AS prev_inc, max(CASE WHEN mrank = 2 THEN expense END) AS prev_exp
+  FROM mt JOIN mr ON mr.user_id = mt.user_id AND mr.month = mt.month AND mr.mrank <= 2 GROUP BY mt.user_id)"""
+
+_USAGE = f"""usage AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY usage_percent DESC, idx, category) AS rank
+  FROM (SELECT b.user_id, b.category, b.idx, CAST(COALESCE(sp.spent, 0) AS DOUBLE) AS spent,
+               CAST(b.monthly_budget AS DOUBLE) AS budget,
+               {pct('COALESCE(sp.spent, 0)', 'b.monthly_budget')} AS usage,
+               {r(pct('COALESCE(sp.spent, 0)', 'b.monthly_budget'))} AS usage_percent
+        FROM beff b JOIN (SELECT user_id, month FROM mr WHERE mrank = 1) lm ON lm.user_id = b.user_id
+        LEFT JOIN (SELECT f.user_id, f.category, SUM(f.amount) AS spent FROM fact f
+                   JOIN mr ON mr.user_id = f.user_id AND mr.month = f.month AND mr.mrank = 1
+                   WHERE f.type = 'Expense' GROUP BY 1, 2) sp
+          ON sp.user_id = b.user_id AND sp.category = b.category))"""
+
+ORACLE["context_alerts"] = with_(*_B, MONTH_TOTALS, MONTH_RANKS, _LT, _USAGE) + f"""
+, allr AS (
+  SELECT user_id, 0 AS grp, -1 AS idx, '' AS category,
+         'Current month expenses are ' || {f('ratio * 100.0', 1)} || '% of income, above the 80% threshold.' AS message
+  FROM (SELECT user_id, CAST(exp AS DOUBLE) / CAST(inc AS DOUBLE) AS ratio FROM lt WHERE inc > 0) WHERE ratio > 0.8
+  UNION ALL
+  SELECT user_id, 1, idx, category,
+         category || ' budget is at ' || {f('usage', 1)} || '% usage this month (Rs. ' || {f('spent', 2)}
+         || ' / Rs. ' || {f('budget', 2)} || ').'
+  FROM usage WHERE budget > 0 AND usage >= 85.0
+  UNION ALL
+  SELECT id, 0, -1, '', 'Add more transactions to unlock personalized insights.'
+  FROM users_v WHERE id NOT IN (SELECT user_id FROM fact))
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY grp, idx, category) AS seq, message FROM allr"""
+
+ORACLE["personalized_suggestions"] = with_(*_B, MONTH_TOTALS, MONTH_RANKS, MONTH_CAT, _LT, _USAGE, _INCREASES) + f"""
+, top AS (SELECT user_id, category,
+                 {r(pct('amount', 'month_expense'))} AS share
+          FROM (SELECT mc.*, SUM(mc.amount) OVER (PARTITION BY mc.user_id) AS month_expense,
+                       row_number() OVER (PARTITION BY mc.user_id ORDER BY mc.amount DESC, mc.category) AS rk
+                FROM mc JOIN mr ON mr.user_id = mc.user_id AND mr.month = mc.month AND mr.mrank = 1)
+          WHERE rk <= 5)
+, shares AS (SELECT user_id, max(CASE WHEN category = 'Food' THEN share END) AS food,
+                    max(CASE WHEN category = 'Shopping' THEN share END) AS shopping,
+                    max(CASE WHEN category = 'Entertainment' THEN share END) AS entertainment
+             FROM top GROUP BY 1)
+, inc5 AS (SELECT * FROM inc WHERE rank <= 5)
+, rules AS (
+  SELECT user_id, 100 AS priority, 0 AS ord, 'warning' AS type, 'Low Savings Rate' AS title,
+         'Your savings this month are ' || {f('sr', 1)}
+         || '% of income. Set a target of at least 20% and cap non-essential spending.' AS message
+  FROM (SELECT user_id, inc, {r(pct('inc - exp', 'inc'))} AS sr FROM lt) WHERE inc > 0 AND sr < 20
+  UNION ALL
+  SELECT user_id, 95, 0, 'danger', 'Overspending Risk',
+         'Expenses are ' || {f('er * 100.0', 1)} || '% of your income this month. Delay optional purchases until savings recover.'
+  FROM (SELECT user_id, CAST(exp AS DOUBLE) / CAST(inc AS DOUBLE) AS er FROM lt WHERE inc > 0) WHERE er > 0.8
+  UNION ALL
+  SELECT s.user_id, 90, 0, 'warning', 'High Food Spending',
+         'Food spending is ' || {f('s.food', 1)} || '% of your current month expenses. Consider reducing restaurant and delivery orders.'
+  FROM shares s JOIN lt ON lt.user_id = s.user_id WHERE lt.inc > 0 AND s.food > 30.0
+  UNION ALL
+  SELECT user_id, 80, rank, 'warning', category || ' Is Rising',
+         category || ' increased by ' || {f('change_percent', 1)} || '% versus last month (Rs. ' || {f('prev', 2)}
+         || ' to Rs. ' || {f('cur', 2)} || ').'
+  FROM inc5 WHERE change_percent > 20.0
+  UNION ALL
+  SELECT user_id, 75, 0, 'info', 'Discretionary Spend Check',
+         'Shopping is ' || {f('shopping', 1)} || '% of this month''s expenses. Set a tighter weekly cap for discretionary purchases.'
+  FROM shares WHERE shopping >= 18.0
+  UNION ALL
+  SELECT user_id, 75, 1, 'info', 'Discretionary Spend Check',
+         'Entertainment is ' || {f('entertainment', 1)} || '% of this month''s expenses. Set a tighter weekly cap for discretionary purchases.'
+  FROM shares WHERE entertainment >= 18.0
+  UNION ALL
+  SELECT user_id, 70, 0, 'info', 'Transport Cost Optimization',
+         'Transport spending rose ' || {f('change_percent', 1)} || '% month-over-month. Try route clustering, ride sharing, or public transport passes.'
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS rt FROM inc5 WHERE lower(category) = 'transport')
+  WHERE rt = 1 AND change_percent > 10.0
+  UNION ALL
+  SELECT user_id, 88, 0, 'danger', 'Budget Limit Near',
+         category || ' has used ' || {f('usage_percent', 1)} || '% of this month''s budget. Reduce spend in this category to avoid crossing the limit.'
+  FROM usage WHERE rank = 1 AND usage_percent >= 90.0)
+, s50 AS (
+  SELECT user_id, 50 AS priority, 0 AS ord, 'success' AS type, 'Good Spending Control' AS title,
+         'Expenses are down by ' || {f('abs(delta)', 1)} || '% compared to last month. Keep this pattern to grow savings.' AS message
+  FROM (SELECT *, CAST(exp - prev_exp AS DOUBLE) / CAST(prev_exp AS DOUBLE) * 100.0 AS delta FROM lt
+        WHERE prev_month IS NOT NULL AND inc > 0 AND prev_exp > 0 AND user_id NOT IN (SELECT user_id FROM rules))
+  WHERE delta <= 0)
+, found AS (SELECT * FROM rules UNION ALL SELECT * FROM s50)
+, allr AS (
+  SELECT * FROM found
+  UNION ALL
+  SELECT user_id, 0, 0, 'success', 'Stable Month',
+         'Your spending pattern looks balanced this month. Keep tracking transactions regularly.'
+  FROM lt WHERE user_id NOT IN (SELECT user_id FROM found)
+  UNION ALL
+  SELECT id, 0, 0, 'info', 'Need More Data', 'Add income and expense transactions to unlock personalized saving suggestions.'
+  FROM users_v WHERE id NOT IN (SELECT user_id FROM lt))
+SELECT user_id, rank, priority, type, title, message
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, ord) AS rank FROM allr)
+WHERE rank <= 5"""

@@ -158,3 +158,31 @@ def q_budget_crossings_new(spark, sf_dir):
 @register("expense_forecast")
 def q_expense_forecast(spark, sf_dir):
     return fc.expense_forecast(_fact(spark, sf_dir), td.users(spark, sf_dir))
+
+
+# ---- rule-based insights (RUL4, RUL5, RUL6, RUL9) ----------------------------------
+from centwise.operators import insights as ins  # noqa: E402
+
+
+@register("global_suggestions")
+def q_global_suggestions(spark, sf_dir):
+    return ins.global_suggestions(_fact(spark, sf_dir), td.users(spark, sf_dir))
+
+
+@register("period_suggestions")
+def q_period_suggestions(spark, sf_dir):
+    return ins.period_suggestions(_fact(spark, sf_dir), td.users(spark, sf_dir))
+
+
+@register("context_alerts")
+def q_context_alerts(spark, sf_dir):
+    fact = _fact(spark, sf_dir)
+    usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
+    return ins.context_alerts(fact, td.users(spark, sf_dir), usage)
+
+
+@register("personalized_suggestions")
+def q_personalized_suggestions(spark, sf_dir):
+    fact = _fact(spark, sf_dir)
+    usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
+    return ins.personalized_suggestions(fact, td.users(spark, sf_dir), usage)
