@@ -371,3 +371,57 @@ ORACLE["personalized_suggestions"] = with_(*_B, MONTH_TOTALS, MONTH_RANKS, MONTH
 SELECT user_id, rank, priority, type, title, message
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, ord) AS rank FROM allr)
 WHERE rank <= 5"""
+
+
+# ---- categoriser -------------------------------------------------------------------
+from centwise.operators.categorize import HEALTH_PATTERN, TOKEN_PATTERN, english_stop_words  # noqa: E402
+
+
+def _nb_model_sql() -> str:
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words())
+    return f"""stop AS (SELECT unnest([{stop}]) AS term),
+tdocs AS (SELECT description, category, sha256(category || chr(1) || description) AS doc
+          FROM (SELECT DISTINCT text AS description, lang AS category FROM documents
+                WHERE doc_id % 2 = 0 AND text IS NOT NULL AND lang IS NOT NULL)),
+ttf AS (SELECT doc, category, term, count(*) AS tf
+        FROM (SELECT doc, category, unnest(regexp_extract_all(lower(description), '{TOKEN_PATTERN}')) AS term FROM tdocs)
+        WHERE term NOT IN (SELECT term FROM stop) GROUP BY 1, 2, 3),
+nd AS (SELECT count(*) AS n FROM tdocs),
+vocab AS (SELECT term, ln(CAST(1 + n AS DOUBLE) / CAST(1 + count(*) AS DOUBLE)) + 1.0 AS idf
+          FROM ttf, nd GROUP BY term, n),
+tw AS (SELECT doc, category, term, tf * idf AS w FROM ttf JOIN vocab USING (term)),
+tn AS (SELECT doc, category, sqrt(sum(w * w)) AS norm FROM tw GROUP BY 1, 2),
+fc AS (SELECT tw.category, term, sum(w / norm) AS fc FROM tw JOIN tn USING (doc, category) GROUP BY 1, 2),
+vs AS (SELECT count(*) AS v FROM vocab),
+prior AS (SELECT c.category, c.doc_count, ln(CAST(c.doc_count AS DOUBLE) / CAST(nd.n AS DOUBLE)) AS log_prior,
+                 ln(COALESCE(t.tot, 0.0) + CAST(vs.v AS DOUBLE)) AS log_den
+          FROM (SELECT category, count(*) AS doc_count FROM tdocs GROUP BY 1) c
+          LEFT JOIN (SELECT category, sum(fc) AS tot FROM fc GROUP BY 1) t USING (category), nd, vs),
+nbterm AS (SELECT category, term, ln(fc + 1.0) AS log_num FROM fc)"""
+
+
+ORACLE["nb_train"] = "WITH " + _nb_model_sql() + f"""
+SELECT category, doc_count, {r('log_prior', 6)} AS log_prior, {r('log_den', 6)} AS log_den FROM prior"""
+
+ORACLE["nb_predict"] = "WITH " + _nb_model_sql() + f""",
+flag AS (SELECT doc_id, txt, txt = '' AS blank, regexp_matches(lower(txt), '{HEALTH_PATTERN}') AS health
+         FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS txt FROM documents WHERE doc_id % 2 = 1)),
+ptf AS (SELECT doc_id, term, count(*) AS tf
+        FROM (SELECT doc_id, unnest(regexp_extract_all(lower(txt), '{TOKEN_PATTERN}')) AS term
+              FROM flag WHERE NOT blank AND NOT health)
+        WHERE term NOT IN (SELECT term FROM stop) GROUP BY 1, 2),
+pw AS (SELECT doc_id, term, tf * idf AS w FROM ptf JOIN vocab USING (term)),
+pn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM pw GROUP BY 1),
+px AS (SELECT doc_id, term, w / norm AS x FROM pw JOIN pn USING (doc_id)),
+sx AS (SELECT doc_id, sum(x) AS sx FROM px GROUP BY 1),
+part AS (SELECT doc_id, category, sum(x * log_num) AS dot FROM px JOIN nbterm USING (term) GROUP BY 1, 2),
+grid AS (SELECT f.doc_id, p.category,
+                p.log_prior - p.log_den * COALESCE(sx.sx, 0.0) + COALESCE(part.dot, 0.0) AS score
+         FROM flag f CROSS JOIN prior p
+         LEFT JOIN sx ON sx.doc_id = f.doc_id
+         LEFT JOIN part ON part.doc_id = f.doc_id AND part.category = p.category
+         WHERE NOT f.blank AND NOT f.health),
+best AS (SELECT doc_id, category FROM
+         (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rn FROM grid) WHERE rn = 1)
+SELECT f.doc_id, CASE WHEN f.blank THEN 'Other' WHEN f.health THEN 'Health' ELSE b.category END AS category
+FROM flag f LEFT JOIN best b ON b.doc_id = f.doc_id"""

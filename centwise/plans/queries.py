@@ -186,3 +186,25 @@ def q_personalized_suggestions(spark, sf_dir):
     fact = _fact(spark, sf_dir)
     usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
     return ins.personalized_suggestions(fact, td.users(spark, sf_dir), usage)
+
+
+# ---- categoriser (ML1-ML9) ----------------------------------------------------------
+from centwise.operators import categorize as cat  # noqa: E402
+from centwise.functions.columns import rnd as _rnd  # noqa: E402
+
+
+def _nb_model(spark, sf_dir):
+    return cat.train(spark, cat.training_frame(td.training_docs(spark, sf_dir), None))
+
+
+@register("nb_train")
+def q_nb_train(spark, sf_dir):
+    m = _nb_model(spark, sf_dir)
+    return m.prior.select("category", "doc_count", _rnd("log_prior", 6).alias("log_prior"),
+                          _rnd("log_den", 6).alias("log_den"))
+
+
+@register("nb_predict")
+def q_nb_predict(spark, sf_dir):
+    m = _nb_model(spark, sf_dir)
+    return cat.auto_categorize(spark, m, td.predict_docs(spark, sf_dir))
