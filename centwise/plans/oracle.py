@@ -377,12 +377,15 @@ WHERE rank <= 5"""
 from centwise.operators.categorize import HEALTH_PATTERN, TOKEN_PATTERN, english_stop_words  # noqa: E402
 
 
-def _nb_model_sql() -> str:
+_DOC_TRAIN = """SELECT DISTINCT text AS description, lang AS category FROM documents
+                WHERE text IS NOT NULL AND lang IS NOT NULL"""
+
+
+def _nb_model_sql(train_select: str = _DOC_TRAIN) -> str:
     stop = ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words())
     return f"""stop AS (SELECT unnest([{stop}]) AS term),
 tdocs AS (SELECT description, category, sha256(category || chr(1) || description) AS doc
-          FROM (SELECT DISTINCT text AS description, lang AS category FROM documents
-                WHERE doc_id % 2 = 0 AND text IS NOT NULL AND lang IS NOT NULL)),
+          FROM ({train_select})),
 ttf AS (SELECT doc, category, term, count(*) AS tf
         FROM (SELECT doc, category, unnest(regexp_extract_all(lower(description), '{TOKEN_PATTERN}')) AS term FROM tdocs)
         WHERE term NOT IN (SELECT term FROM stop) GROUP BY 1, 2, 3),
@@ -403,9 +406,10 @@ nbterm AS (SELECT category, term, ln(fc + 1.0) AS log_num FROM fc)"""
 ORACLE["nb_train"] = "WITH " + _nb_model_sql() + f"""
 SELECT category, doc_count, {r('log_prior', 6)} AS log_prior, {r('log_den', 6)} AS log_den FROM prior"""
 
-ORACLE["nb_predict"] = "WITH " + _nb_model_sql() + f""",
-flag AS (SELECT doc_id, txt, txt = '' AS blank, regexp_matches(lower(txt), '{HEALTH_PATTERN}') AS health
-         FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS txt FROM documents WHERE doc_id % 2 = 1)),
+def _nb_predict_sql(src: str) -> str:
+    """CTEs flag / best over ``src`` (doc_id, text); needs the model CTEs first."""
+    return f"""flag AS (SELECT doc_id, txt, txt = '' AS blank, regexp_matches(lower(txt), '{HEALTH_PATTERN}') AS health
+         FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS txt FROM ({src}))),
 ptf AS (SELECT doc_id, term, count(*) AS tf
         FROM (SELECT doc_id, unnest(regexp_extract_all(lower(txt), '{TOKEN_PATTERN}')) AS term
               FROM flag WHERE NOT blank AND NOT health)
@@ -422,6 +426,101 @@ grid AS (SELECT f.doc_id, p.category,
          LEFT JOIN part ON part.doc_id = f.doc_id AND part.category = p.category
          WHERE NOT f.blank AND NOT f.health),
 best AS (SELECT doc_id, category FROM
-         (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rn FROM grid) WHERE rn = 1)
-SELECT f.doc_id, CASE WHEN f.blank THEN 'Other' WHEN f.health THEN 'Health' ELSE b.category END AS category
-FROM flag f LEFT JOIN best b ON b.doc_id = f.doc_id"""
+         (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rn FROM grid) WHERE rn = 1),
+pred AS (SELECT f.doc_id, CASE WHEN f.blank THEN 'Other' WHEN f.health THEN 'Health' ELSE b.category END AS category
+         FROM flag f LEFT JOIN best b ON b.doc_id = f.doc_id)"""
+
+
+ORACLE["nb_predict"] = "WITH " + _nb_model_sql() + ",\n" + _nb_predict_sql(
+    "SELECT doc_id, text FROM documents") + """
+SELECT doc_id, category FROM pred"""
+
+
+# ---- cleaning and validation ---------------------------------------------------------
+from centwise.operators.clean import AMOUNT_PATTERN, DATE_PATTERN, EMAIL_PATTERN  # noqa: E402
+
+RAW_TX = """raw AS (
+  SELECT o_orderkey AS id, o_custkey AS user_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount,
+         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE o_orderpriority END AS category,
+         CASE WHEN o_orderstatus = 'O' THEN 'Income' WHEN o_orderstatus = 'F' THEN 'Expense' ELSE 'expense' END AS type,
+         'order ' || CAST(o_orderkey AS VARCHAR) AS description,
+         CASE WHEN o_orderstatus = 'P'
+              THEN CAST(year(d) AS VARCHAR) || '-' || CAST(month(d) AS VARCHAR) || '-' || CAST(day(d) AS VARCHAR)
+              ELSE strftime(d, '%Y-%m-%d') END AS date
+  FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders))"""
+
+
+def _amt(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '{AMOUNT_PATTERN}') THEN TRY_CAST(trim({x}) AS DECIMAL(18,2)) END"
+
+
+def _date(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '{DATE_PATTERN}') THEN CAST(TRY_STRPTIME({x}, '%Y-%m-%d') AS DATE) END"
+
+
+ORACLE["clean_transactions"] = with_(RAW_TX) + f"""
+SELECT id, user_id, amount, category, type, description, strftime(dt, '%Y-%m-%d') AS date,
+       strftime(dt, '%Y-%m') AS month
+FROM (SELECT id, user_id, CAST(COALESCE({_amt('amount')}, 0) AS DOUBLE) AS amount, category, type, description,
+             {_date('date')} AS dt FROM raw)
+WHERE dt IS NOT NULL"""
+
+_TX_EXPENSE_TRAIN = """SELECT DISTINCT description, category FROM tx
+                WHERE type = 'Expense' AND description IS NOT NULL AND category IS NOT NULL"""
+
+ORACLE["validated_transactions"] = with_(USERS, TX_FULL, RAW_TX) + ", " + _nb_model_sql(_TX_EXPENSE_TRAIN) + ",\n" + \
+    _nb_predict_sql("SELECT id AS doc_id, trim(description) AS text FROM raw "
+                    "WHERE trim(category) = '' AND trim(type) = 'Expense'") + f"""
+, t AS (SELECT id, user_id, trim(amount) AS amount_txt, trim(category) AS category, trim(type) AS type,
+               trim(description) AS description, trim(date) AS date_txt FROM raw)
+, p AS (SELECT t.*, {_amt('amount_txt')} AS amt, {_date('date_txt')} AS dt,
+               EXISTS (SELECT 1 FROM users_v u WHERE u.id = t.user_id) AS known FROM t)
+, c AS (SELECT p.*, concat_ws(',',
+          CASE WHEN amt IS NULL THEN 'amount_invalid' END,
+          CASE WHEN amt < 0 THEN 'amount_negative' END,
+          CASE WHEN COALESCE(description, '') = '' THEN 'description_missing' END,
+          CASE WHEN COALESCE(date_txt, '') = '' THEN 'date_missing' END,
+          CASE WHEN COALESCE(date_txt, '') <> '' AND dt IS NULL THEN 'date_invalid' END,
+          CASE WHEN COALESCE(type, '') NOT IN ('Income', 'Expense') THEN 'type_invalid' END,
+          CASE WHEN NOT known THEN 'user_unknown' END) AS error_codes FROM p)
+SELECT c.id, c.user_id, c.error_codes = '' AS is_valid, c.error_codes, CAST(c.amt AS DOUBLE) AS amount,
+       CASE WHEN COALESCE(c.category, '') = '' THEN
+            CASE WHEN c.type = 'Expense' THEN pred.category ELSE 'Income' END
+            ELSE c.category END AS category,
+       c.type, c.description, strftime(c.dt, '%Y-%m-%d') AS date
+FROM c LEFT JOIN pred ON pred.doc_id = c.id"""
+
+RAW_BUDGET_FORM = """form AS (
+  SELECT c_custkey AS user_id, category, CAST(CAST(c_acctbal * (idx + 1) AS DECIMAL(18,2)) AS VARCHAR) AS monthly_budget,
+         CAST(idx AS BIGINT) AS seq
+  FROM customer, defaults)"""
+
+_VB = f"""vb AS (
+  SELECT user_id, category, concat_ws(',', CASE WHEN amt IS NULL THEN 'budget_invalid' END,
+                                         CASE WHEN amt < 0 THEN 'budget_negative' END) AS error_codes,
+         CAST(amt AS DOUBLE) AS monthly_budget, seq
+  FROM (SELECT user_id, trim(category) AS category, {_amt('monthly_budget')} AS amt, seq FROM form))"""
+
+ORACLE["validated_budgets"] = with_(DEFAULTS, RAW_BUDGET_FORM, _VB) + """
+SELECT user_id, category, error_codes = '' AS is_valid, error_codes, monthly_budget FROM vb"""
+
+ORACLE["budgets_upsert"] = with_(DEFAULTS, BUDGETS, RAW_BUDGET_FORM, _VB) + """
+, allr AS (SELECT user_id, category, monthly_budget AS b, -1 AS seq FROM budgets
+           UNION ALL
+           SELECT user_id, category, CAST(monthly_budget AS DECIMAL(18,2)), seq FROM vb WHERE error_codes = '')
+SELECT user_id, category, CAST(arg_max(b, seq) AS DOUBLE) AS monthly_budget FROM allr GROUP BY user_id, category"""
+
+ORACLE["validated_users"] = f"""WITH raw AS (
+  SELECT c_custkey AS id, c_name AS name, lower(c_name) || '@example.com' AS email FROM customer
+  UNION ALL
+  SELECT c_custkey + 1000000000, c_name, '  ' || upper(lower(c_name) || '@example.com') || ' ' FROM customer
+  WHERE c_acctbal < 0),
+t AS (SELECT id, trim(name) AS name, lower(trim(email)) AS email FROM raw),
+f AS (SELECT email, min(id) AS first_id FROM t WHERE email <> '' GROUP BY email),
+c AS (SELECT t.*, concat_ws(',',
+        CASE WHEN COALESCE(name, '') = '' THEN 'name_missing' END,
+        CASE WHEN COALESCE(t.email, '') = '' THEN 'email_missing' END,
+        CASE WHEN COALESCE(t.email, '') <> '' AND NOT regexp_matches(t.email, '{EMAIL_PATTERN}') THEN 'email_invalid' END,
+        CASE WHEN f.first_id IS NOT NULL AND f.first_id <> t.id THEN 'email_duplicate' END) AS error_codes
+      FROM t LEFT JOIN f ON f.email = t.email)
+SELECT id, name, email, error_codes = '' AS is_valid, error_codes FROM c"""

@@ -208,3 +208,50 @@ def q_nb_train(spark, sf_dir):
 def q_nb_predict(spark, sf_dir):
     m = _nb_model(spark, sf_dir)
     return cat.auto_categorize(spark, m, td.predict_docs(spark, sf_dir))
+
+
+# ---- cleaning and validation (CLN, VAL, PRJ1, SNK4) ---------------------------------
+from centwise.operators import clean as cln  # noqa: E402
+
+
+@register("clean_transactions")
+def q_clean_transactions(spark, sf_dir):
+    c = cln.clean_transactions(td.raw_transactions(spark, sf_dir))
+    return c.select("id", "user_id", _F.col("amount").cast("double").alias("amount"), "category", "type",
+                    "description", _F.date_format("date", "yyyy-MM-dd").alias("date"),
+                    _F.date_format("month", "yyyy-MM").alias("month"))
+
+
+def _expense_model(spark, sf_dir):
+    """The global model: every expense row's (description, category) (SRC7)."""
+    tx = td.transactions_full(spark, sf_dir).filter(_F.col("type") == "Expense")
+    return cat.train(spark, cat.training_frame(None, tx))
+
+
+@register("validated_transactions")
+def q_validated_transactions(spark, sf_dir):
+    raw = td.raw_transactions(spark, sf_dir)
+    need = raw.filter((_F.trim("category") == "") & (_F.trim("type") == "Expense")).select(
+        "id", _F.trim("description").alias("description"))
+    predicted = cat.auto_categorize(spark, _expense_model(spark, sf_dir), need, key="id")
+    return cln.validate_transactions(raw, td.users(spark, sf_dir), predicted)
+
+
+@register("validated_budgets")
+def q_validated_budgets(spark, sf_dir):
+    return cln.validate_budgets(td.raw_budget_form(spark, sf_dir))
+
+
+@register("validated_users")
+def q_validated_users(spark, sf_dir):
+    return cln.validate_users(td.raw_users(spark, sf_dir))
+
+
+@register("budgets_upsert")
+def q_budgets_upsert(spark, sf_dir):
+    """SNK4: valid form rows upsert the budget table; last write wins per key."""
+    form = td.raw_budget_form(spark, sf_dir)
+    valid = cln.validate_budgets(form).filter("is_valid").join(form.select("user_id", "category", "seq"),
+                                                               ["user_id", "category"])
+    out = bud.apply_budget_updates(td.budgets(spark, sf_dir), valid)
+    return out.select("user_id", "category", _F.col("monthly_budget").cast("double").alias("monthly_budget"))

@@ -168,15 +168,15 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a labelled training row (text -> description, lang -> category)."""
     d = table(spark, sf_dir, "documents")
-    return d.filter(F.col("doc_id") % 2 == 0).select(
-        F.col("text").alias("description"), F.col("lang").alias("category"))
+    return d.select(F.col("text").alias("description"), F.col("lang").alias("category"))
 
 
 def predict_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document to categorise (whole table, whole texts)."""
     d = table(spark, sf_dir, "documents")
-    return d.filter(F.col("doc_id") % 2 == 1).select(
-        F.col("doc_id"), F.col("text").alias("description"))
+    return d.select(F.col("doc_id"), F.col("text").alias("description"))
 
 
 # Question templates (slot {m} = month name, {p} = YYYY-MM period).
@@ -239,3 +239,27 @@ def llm_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.to_json(F.array(t)))
     )
     return conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("reply_id"), body.alias("body"))
+
+
+def raw_budget_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget form per customer: category idx gets account balance x (idx + 1)
+    as text; negative balances give negative (invalid) budgets."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    e = c.select("c_custkey", "c_acctbal", F.explode(_default_entries()).alias("e"))
+    return e.select(
+        F.col("c_custkey").alias("user_id"), F.col("e.category").alias("category"),
+        (F.col("c_acctbal") * (F.col("e.idx") + 1)).cast(MONEY).cast("string").alias("monthly_budget"),
+        F.col("e.idx").cast("long").alias("seq"),
+    )
+
+
+def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups: every customer, plus a second sign-up (id + 10^9, same e-mail in
+    upper case with blanks) for customers with a negative balance."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    email = F.concat(F.lower(F.col("c_name")), F.lit("@example.com"))
+    first = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), email.alias("email"))
+    again = c.filter(F.col("c_acctbal") < 0).select(
+        (F.col("c_custkey") + F.lit(1_000_000_000)).alias("id"), F.col("c_name").alias("name"),
+        F.concat(F.lit("  "), F.upper(email), F.lit(" ")).alias("email"))
+    return first.unionByName(again)
