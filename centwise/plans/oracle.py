@@ -524,3 +524,21 @@ c AS (SELECT t.*, concat_ws(',',
         CASE WHEN f.first_id IS NOT NULL AND f.first_id <> t.id THEN 'email_duplicate' END) AS error_codes
       FROM t LEFT JOIN f ON f.email = t.email)
 SELECT id, name, email, error_codes = '' AS is_valid, error_codes FROM c"""
+
+
+# ---- event-driven crossings --------------------------------------------------------
+_REPLAY = f"""WITH ev AS (
+  SELECT event_id AS id, user_id, event_type AS category, strftime(CAST(ts AS DATE), '%Y-%m') AS month,
+         CAST(value AS DECIMAL(18,2)) AS amount FROM events),
+run AS (SELECT *, SUM(amount) OVER (PARTITION BY user_id, category, month ORDER BY id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM ev),
+u AS (SELECT *, {r('CAST(running AS DOUBLE) / CAST(CAST(600 AS DECIMAL(18,2)) AS DOUBLE) * 100.0', 1)} AS usage_percent
+      FROM run),
+t AS (SELECT u.*, v.th FROM u, (VALUES (85), (100)) v(th) WHERE usage_percent >= v.th)
+SELECT user_id, category, month, CAST(th AS INTEGER) AS threshold_percent, id,
+       CAST(running AS DOUBLE) AS running_spent, usage_percent
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, category, month, th ORDER BY id) AS rn FROM t)
+WHERE rn = 1"""
+
+ORACLE["budget_crossings_replay"] = _REPLAY
+ORACLE["stream_crossings"] = _REPLAY

@@ -255,3 +255,22 @@ def q_budgets_upsert(spark, sf_dir):
                                                                ["user_id", "category"])
     out = bud.apply_budget_updates(td.budgets(spark, sf_dir), valid)
     return out.select("user_id", "category", _F.col("monthly_budget").cast("double").alias("monthly_budget"))
+
+
+# ---- event-driven crossings (STR1, STR2, STR4) ------------------------------------
+from centwise.streaming import crossings as crs  # noqa: E402
+from centwise.streaming import runner as srun  # noqa: E402
+
+
+@register("budget_crossings_replay")
+def q_budget_crossings_replay(spark, sf_dir):
+    return crs.replay_crossings(td.event_transactions(spark, sf_dir), flat_budget=td.EVENT_BUDGET)
+
+
+@register("stream_crossings")
+def q_stream_crossings(spark, sf_dir):
+    src = srun.file_stream(spark, sf_dir, "events", srun.EVENTS_SCHEMA)
+    ev = src.select(_F.col("event_id").alias("id"), "user_id", _F.col("event_type").alias("category"),
+                    _F.col("value").cast("decimal(18,2)").alias("amount"), _F.col("ts").cast("timestamp").alias("ts"))
+    out = crs.crossing_stream(ev, flat_budget=td.EVENT_BUDGET)
+    return srun.run_to_table(spark, out, "stream_crossings", crs.OUT_SCHEMA)
