@@ -220,3 +220,45 @@ def personalized_suggestions(fact: DataFrame, users: DataFrame, usage: DataFrame
 
 __all__ = ["global_suggestions", "period_suggestions", "context_alerts", "personalized_suggestions",
            "latest_two_summaries", "month_label"]
+
+
+# ---- DSH1 ------------------------------------------------------------------------
+
+def dashboard(tx: DataFrame, fact: DataFrame, users: DataFrame, beff: DataFrame, usage: DataFrame,
+              as_of) -> DataFrame:
+    """DSH1: one flat row per user joining the dashboard parts on user_id.
+
+    Every part is user-sized and built from the shared monthly fact, so the
+    fact's exchange is reused across branches instead of re-scanning."""
+    from centwise.operators import budgets as bud
+    from centwise.operators import forecast as fc
+    from centwise.operators import summary as sm
+
+    s = sm.user_summary(fact, users)
+    alerts = sm.category_overspend_alerts(fact, as_of)
+    w = Window.partitionBy("user_id").orderBy("category")
+    first_alert = (alerts.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+                   .select("user_id", F.col("message").alias("overspend_alert")))
+    g1 = global_suggestions(fact, users).filter("seq = 1").select("user_id", F.col("message").alias("suggestion"))
+    p1 = (personalized_suggestions(fact, users, usage).filter("rank = 1")
+          .select("user_id", F.col("title").alias("top_saving_action")))
+    f = fc.expense_forecast(fact, users).select("user_id", "predicted_expense", F.col("status").alias("forecast_status"))
+    ba = bud.budget_alerts(beff, fact, as_of).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("budget_alert_count"),
+        F.min_by("category", "rank").alias("top_budget_alert"))
+    recent = sm.latest_transactions(tx, 5).groupBy("user_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))),
+                                 lambda x: x["id"].cast("string")), ",").alias("recent_ids"))
+    d = (s.join(first_alert, "user_id", "left").join(g1, "user_id", "left").join(p1, "user_id", "left")
+         .join(f, "user_id", "left").join(ba, "user_id", "left").join(recent, "user_id", "left"))
+    return d.select(
+        "user_id", "total_income", "total_expenses", "balance", "savings_rate",
+        F.when(F.col("total_income") > 0, rnd(div("total_expenses", "total_income") * 100.0))
+        .otherwise(F.lit(0.0)).alias("expense_ratio"),
+        F.col("overspend_alert").isNotNull().alias("is_overspending"),
+        F.coalesce(F.col("overspend_alert"),
+                   F.lit("Your category-wise spending is currently within expected levels.")).alias("overspending_message"),
+        "suggestion", "top_saving_action", "predicted_expense", "forecast_status",
+        F.coalesce(F.col("budget_alert_count"), F.lit(0)).alias("budget_alert_count"),
+        "top_budget_alert", F.coalesce(F.col("recent_ids"), F.lit("")).alias("recent_ids"),
+    )

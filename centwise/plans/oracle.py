@@ -542,3 +542,61 @@ WHERE rn = 1"""
 
 ORACLE["budget_crossings_replay"] = _REPLAY
 ORACLE["stream_crossings"] = _REPLAY
+
+
+# ---- table changes -------------------------------------------------------------------
+_CHANGES = """changes AS (
+  SELECT l_orderkey * 10 + l_linenumber AS seq, 'U' AS op, o_orderkey AS id, o_custkey AS user_id,
+         CAST(CAST(greatest(o_totalprice - l_extendedprice, 0.0) AS DECIMAL(18,2)) AS VARCHAR) AS amount,
+         o_orderpriority AS category, CASE WHEN o_orderstatus = 'O' THEN 'Income' ELSE 'Expense' END AS type,
+         'order ' || CAST(o_orderkey AS VARCHAR) || ' returned line ' || CAST(l_linenumber AS VARCHAR) AS description,
+         strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS date
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
+  UNION ALL
+  SELECT o_orderkey * 10, 'D', o_orderkey, o_custkey, NULL, NULL, NULL, NULL, NULL
+  FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"""
+
+ORACLE["apply_changes"] = with_(TX_ORDERS, _CHANGES) + f"""
+, lu AS (SELECT id, user_id, arg_max(amount, k) AS amount, arg_max(category, k) AS category,
+                arg_max(type, k) AS type, arg_max(description, k) AS description, arg_max(date, k) AS date
+         FROM (SELECT *, (seq, {_amt('amount')}) AS k FROM changes) WHERE op = 'U' GROUP BY id, user_id)
+SELECT t.id, t.user_id,
+       CASE WHEN lu.id IS NOT NULL THEN CAST(COALESCE({_amt('lu.amount')}, 0) AS DOUBLE) ELSE CAST(t.amount AS DOUBLE) END AS amount,
+       CASE WHEN lu.id IS NOT NULL THEN lu.category ELSE t.category END AS category,
+       CASE WHEN lu.id IS NOT NULL THEN lu.type ELSE t.type END AS type,
+       CASE WHEN lu.id IS NOT NULL THEN lu.description ELSE t.description END AS description,
+       strftime(CASE WHEN lu.id IS NOT NULL THEN {_date('lu.date')} ELSE t.date END, '%Y-%m-%d') AS date
+FROM txo t LEFT JOIN lu ON lu.id = t.id AND lu.user_id = t.user_id
+WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE c.op = 'D' AND c.id = t.id AND c.user_id = t.user_id)"""
+
+ORACLE["seed_income"] = with_(USERS, TX_ORDERS) + """
+SELECT id AS user_id, 0.0 AS amount, 'Salary' AS category, 'Income' AS type, 'Initial balance setup' AS description,
+       '2001-01-31' AS date
+FROM users_v WHERE id NOT IN (SELECT user_id FROM txo WHERE type = 'Income')"""
+
+
+# ---- dashboard (composed from the per-part oracles) ---------------------------------
+def _sub(name: str) -> str:
+    return "(" + ORACLE[name] + ")"
+
+
+ORACLE["dashboard"] = f"""
+WITH users_v AS (SELECT c_custkey AS id FROM customer)
+SELECT u.id AS user_id, s.total_income, s.total_expenses, s.balance, s.savings_rate,
+       CASE WHEN s.total_income > 0 THEN {r('s.total_expenses / s.total_income * 100.0')} ELSE 0.0 END AS expense_ratio,
+       a.message IS NOT NULL AS is_overspending,
+       COALESCE(a.message, 'Your category-wise spending is currently within expected levels.') AS overspending_message,
+       g.message AS suggestion, p.title AS top_saving_action, f.predicted_expense, f.status AS forecast_status,
+       COALESCE(b.n, 0) AS budget_alert_count, b.top AS top_budget_alert, COALESCE(rc.ids, '') AS recent_ids
+FROM users_v u
+LEFT JOIN {_sub('user_summary')} s ON s.user_id = u.id
+LEFT JOIN (SELECT user_id, arg_min(message, category) AS message FROM {_sub('category_overspend_alerts')} GROUP BY 1) a
+  ON a.user_id = u.id
+LEFT JOIN (SELECT user_id, message FROM {_sub('global_suggestions')} WHERE seq = 1) g ON g.user_id = u.id
+LEFT JOIN (SELECT user_id, title FROM {_sub('personalized_suggestions')} WHERE rank = 1) p ON p.user_id = u.id
+LEFT JOIN {_sub('expense_forecast')} f ON f.user_id = u.id
+LEFT JOIN (SELECT user_id, count(*) AS n, arg_min(category, rank) AS top FROM {_sub('budget_alerts')} GROUP BY 1) b
+  ON b.user_id = u.id
+LEFT JOIN (SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rk) AS ids
+           FROM (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS rk
+                 FROM ({with_(TX_FULL)} SELECT * FROM tx)) WHERE rk <= 5 GROUP BY 1) rc ON rc.user_id = u.id"""

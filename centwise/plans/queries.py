@@ -274,3 +274,32 @@ def q_stream_crossings(spark, sf_dir):
                     _F.col("value").cast("decimal(18,2)").alias("amount"), _F.col("ts").cast("timestamp").alias("ts"))
     out = crs.crossing_stream(ev, flat_budget=td.EVENT_BUDGET)
     return srun.run_to_table(spark, out, "stream_crossings", crs.OUT_SCHEMA)
+
+
+# ---- table changes (SNK2, SNK3, SNK7) ---------------------------------------------
+from centwise.operators import changes as chg  # noqa: E402
+
+
+@register("apply_changes")
+def q_apply_changes(spark, sf_dir):
+    out = chg.apply_changes(td.transactions_orders(spark, sf_dir), td.order_changes(spark, sf_dir))
+    return out.select("id", "user_id", _F.col("amount").cast("double").alias("amount"), "category", "type",
+                      "description", _F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@register("seed_income")
+def q_seed_income(spark, sf_dir):
+    out = chg.seed_income(td.users(spark, sf_dir), td.transactions_orders(spark, sf_dir), AS_OF)
+    return out.select("user_id", _F.col("amount").cast("double").alias("amount"), "category", "type",
+                      "description", _F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+# ---- dashboard (DSH1, flagship) -----------------------------------------------------
+@register("dashboard")
+def q_dashboard(spark, sf_dir):
+    tx = td.transactions_full(spark, sf_dir)
+    fact = facts.monthly_fact(tx)
+    users = td.users(spark, sf_dir)
+    beff = _beff(spark, sf_dir)
+    usage = bud.budget_usage_latest(beff, fact)
+    return ins.dashboard(tx, fact, users, beff, usage, AS_OF)

@@ -263,3 +263,32 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c_custkey") + F.lit(1_000_000_000)).alias("id"), F.col("c_name").alias("name"),
         F.concat(F.lit("  "), F.upper(email), F.lit(" ")).alias("email"))
     return first.unionByName(again)
+
+
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits and deletes against ``transactions_orders``.
+
+    Each returned line item (flag 'R') edits its order: the amount drops by
+    that item's price and the description notes the line; the highest line
+    number is the latest edit.  Pending low-priority orders are deleted.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus",
+                                               "o_orderpriority", "o_orderdate")
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice")
+    upd = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit("U").alias("op"),
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
+        F.greatest(F.col("o_totalprice") - F.col("l_extendedprice"), F.lit(0.0)).cast(MONEY).cast("string")
+        .alias("amount"),
+        F.col("o_orderpriority").alias("category"),
+        F.when(F.col("o_orderstatus") == "O", F.lit("Income")).otherwise(F.lit("Expense")).alias("type"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" returned line "),
+                 F.col("l_linenumber").cast("string")).alias("description"),
+        F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd").alias("date"),
+    )
+    dele = o.filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")).select(
+        (F.col("o_orderkey") * 10).alias("seq"), F.lit("D").alias("op"), F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("user_id"), *[F.lit(None).cast("string").alias(c)
+                                               for c in ["amount", "category", "type", "description", "date"]])
+    return upd.unionByName(dele)
