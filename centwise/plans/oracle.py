@@ -600,3 +600,9 @@ LEFT JOIN (SELECT user_id, count(*) AS n, arg_min(category, rank) AS top FROM {_
 LEFT JOIN (SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rk) AS ids
            FROM (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS rk
                  FROM ({with_(TX_FULL)} SELECT * FROM tx)) WHERE rk <= 5 GROUP BY 1) rc ON rc.user_id = u.id"""
+
+
+# ---- questions and replies -------------------------------------------------------------
+from centwise.plans import oracle_questions as _oq  # noqa: E402
+
+_oq.build(ORACLE)

@@ -303,3 +303,29 @@ def q_dashboard(spark, sf_dir):
     beff = _beff(spark, sf_dir)
     usage = bud.budget_usage_latest(beff, fact)
     return ins.dashboard(tx, fact, users, beff, usage, AS_OF)
+
+
+# ---- questions and replies (QNA1-QNA4, SCL10) -------------------------------------
+from centwise.operators import questions as qna  # noqa: E402
+
+
+@register("question_month")
+def q_question_month(spark, sf_dir):
+    fact = _fact(spark, sf_dir)
+    months = fact.select("user_id", _F.date_format("month", "yyyy-MM").alias("month")).distinct()
+    return qna.question_month(td.questions(spark, sf_dir), months, AS_OF).drop("q")
+
+
+@register("question_answers")
+def q_question_answers(spark, sf_dir):
+    fact = _fact(spark, sf_dir)
+    users = td.users(spark, sf_dir)
+    usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
+    alerts = ins.context_alerts(fact, users, usage)
+    ps = ins.personalized_suggestions(fact, users, usage)
+    return qna.answer_questions(td.questions(spark, sf_dir), fact, alerts, ps, AS_OF)
+
+
+@register("llm_reply_text")
+def q_llm_reply_text(spark, sf_dir):
+    return qna.reply_text(td.llm_replies(spark, sf_dir))
