@@ -606,3 +606,33 @@ LEFT JOIN (SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rk) AS i
 from centwise.plans import oracle_questions as _oq  # noqa: E402
 
 _oq.build(ORACLE)
+
+
+# ---- notifications and cool-down ---------------------------------------------------
+ORACLE["alert_outbox"] = f"""
+WITH users_v AS (SELECT c_custkey AS id, c_name AS name, lower(c_name) || '@example.com' AS email FROM customer)
+SELECT e.user_id, u.email, e.category, e.month, e.threshold_percent,
+       'Budget Alert: ' || CAST(e.threshold_percent AS VARCHAR) || '% crossed for ' || e.category AS subject,
+       'Hi ' || COALESCE(u.name, 'User') || ',' || chr(10) || chr(10) || e.message || chr(10)
+         || 'Month: ' || e.month || chr(10) || 'Category: ' || e.category || chr(10)
+         || 'Spent: Rs. ' || {f('e.spent', 2)} || chr(10) || 'Budget: Rs. ' || {f('e.budget', 2)} || chr(10)
+         || 'Usage: ' || {f('e.usage_percent', 1)} || '%' || chr(10) || chr(10)
+         || 'Please review your budget settings and recent transactions.' || chr(10) AS body,
+       CASE WHEN e.threshold_percent >= 100 THEN 'danger' ELSE 'warning' END AS severity,
+       e.rank = 1 AS is_top
+FROM {_sub('budget_crossings_new')} e JOIN users_v u ON u.id = e.user_id
+WHERE u.email IS NOT NULL AND trim(u.email) <> ''"""
+
+ORACLE["throttle_requests"] = """
+WITH RECURSIVE req AS (
+  SELECT event_id AS request_id, user_id, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+r AS (
+  SELECT request_id, user_id, rn, t, t AS last, true AS accepted, CAST(0 AS BIGINT) AS remaining FROM req WHERE rn = 1
+  UNION ALL
+  SELECT q.request_id, q.user_id, q.rn, q.t,
+         CASE WHEN q.t - r.last >= 10000000 THEN q.t ELSE r.last END,
+         q.t - r.last >= 10000000,
+         CASE WHEN q.t - r.last >= 10000000 THEN 0 ELSE greatest(1, (10000000 - (q.t - r.last)) // 1000000) END
+  FROM r JOIN req q ON q.user_id = r.user_id AND q.rn = r.rn + 1)
+SELECT request_id, user_id, accepted, remaining AS remaining_seconds FROM r"""

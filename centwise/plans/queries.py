@@ -329,3 +329,17 @@ def q_question_answers(spark, sf_dir):
 @register("llm_reply_text")
 def q_llm_reply_text(spark, sf_dir):
     return qna.reply_text(td.llm_replies(spark, sf_dir))
+
+
+# ---- notifications and cool-down (OUT1, OUT3) ---------------------------------------
+from centwise.operators import notify as ntf  # noqa: E402
+
+
+@register("alert_outbox")
+def q_alert_outbox(spark, sf_dir):
+    return ntf.alert_outbox(q_budget_crossings_new(spark, sf_dir), td.users(spark, sf_dir))
+
+
+@register("throttle_requests")
+def q_throttle_requests(spark, sf_dir):
+    return ntf.throttle_requests(td.report_email_requests(spark, sf_dir))

@@ -292,3 +292,11 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"), *[F.lit(None).cast("string").alias(c)
                                                for c in ["amount", "category", "type", "description", "date"]])
     return upd.unionByName(dele)
+
+
+def report_email_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report e-mail requests: every event is one request at its timestamp
+    (``t`` in microseconds since the epoch, read from the zone-less ts)."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("request_id"), "user_id",
+                     F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("t"))
