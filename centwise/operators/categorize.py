@@ -130,6 +130,15 @@ def load(spark: SparkSession, path: str) -> NBModel:
                    term=spark.read.parquet(f"{path}/nb_term"))
 
 
+def materialize(spark: SparkSession, model: NBModel, name: str = "nb_model") -> NBModel:
+    """Write the model tables to the shared checkpoint folder and read them
+    back: later jobs read three small tables instead of re-running training."""
+    from centwise.session import shared_path
+    path = shared_path(spark, name)
+    save(model, path)
+    return load(spark, path)
+
+
 def predict(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "doc_id",
             text: str = "description", stop_words=None) -> DataFrame:
     """ML7: arg-max class per document; ties -> first class by name; a text

@@ -636,3 +636,7 @@ r AS (
          CASE WHEN q.t - r.last >= 10000000 THEN 0 ELSE greatest(1, (10000000 - (q.t - r.last)) // 1000000) END
   FROM r JOIN req q ON q.user_id = r.user_id AND q.rn = r.rn + 1)
 SELECT request_id, user_id, accepted, remaining AS remaining_seconds FROM r"""
+
+
+# ---- streaming categoriser: same answer as the batch prediction -----------------
+ORACLE["stream_categorize"] = ORACLE["nb_predict"]

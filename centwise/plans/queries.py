@@ -206,7 +206,7 @@ def q_nb_train(spark, sf_dir):
 
 @register("nb_predict")
 def q_nb_predict(spark, sf_dir):
-    m = _nb_model(spark, sf_dir)
+    m = cat.materialize(spark, _nb_model(spark, sf_dir))
     return cat.auto_categorize(spark, m, td.predict_docs(spark, sf_dir))
 
 
@@ -343,3 +343,39 @@ def q_alert_outbox(spark, sf_dir):
 @register("throttle_requests")
 def q_throttle_requests(spark, sf_dir):
     return ntf.throttle_requests(td.report_email_requests(spark, sf_dir))
+
+
+# ---- nested outputs (CTX1, CHT1) and the streaming categoriser (STR3) --------------
+from centwise.operators import context as ctxm  # noqa: E402
+
+
+@register("financial_context")
+def q_financial_context(spark, sf_dir):
+    fact = _fact(spark, sf_dir)
+    users = td.users(spark, sf_dir)
+    usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
+    return ctxm.financial_context(fact, users, usage, ins.context_alerts(fact, users, usage))
+
+
+@register("chart_payload")
+def q_chart_payload(spark, sf_dir):
+    return ctxm.chart_payload(_fact(spark, sf_dir), td.users(spark, sf_dir), 3)
+
+
+DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@register("stream_categorize")
+def q_stream_categorize(spark, sf_dir):
+    """Documents arriving as files are categorised per micro-batch against the
+    model tables trained once and materialised in the shared folder."""
+    from pyspark.sql.types import StructType
+    model = cat.materialize(spark, _nb_model(spark, sf_dir))
+    src = srun.file_stream(spark, sf_dir, "documents", StructType.fromDDL(DOCS_SCHEMA))
+
+    def per_batch(batch):
+        docs = batch.select("doc_id", _F.col("text").alias("description"))
+        return cat.auto_categorize(spark, model, docs)
+
+    return srun.run_foreach_batch(spark, src, "stream_categorize",
+                                  StructType.fromDDL("doc_id long, category string"), per_batch)

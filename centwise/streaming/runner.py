@@ -47,19 +47,19 @@ def run_foreach_batch(spark: SparkSession, stream: DataFrame, name: str, out_sch
                       transform) -> DataFrame:
     """foreachBatch: ``transform(batch_df)`` is appended to a parquet table.
 
-    Each batch writes to its own ``batch=<id>`` folder with overwrite, so a
+    Each batch writes to its own ``b<id>`` folder with overwrite, so a
     retried batch replaces its own output instead of duplicating it.
     """
     base = shared_path(spark, name)
 
     def sink(batch_df, batch_id):
-        transform(batch_df).write.mode("overwrite").parquet(f"{base}/data/batch={batch_id}")
+        transform(batch_df).write.mode("overwrite").parquet(f"{base}/data/b{batch_id:010d}")
 
     q = (stream.writeStream.foreachBatch(sink)
          .option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     try:
-        return spark.read.schema(out_schema).parquet(f"{base}/data")
+        return spark.read.schema(out_schema).parquet(f"{base}/data/b*")
     except Exception:  # noqa: BLE001 - no batch produced output
         return spark.createDataFrame([], out_schema)
