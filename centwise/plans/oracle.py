@@ -640,3 +640,9 @@ SELECT request_id, user_id, accepted, remaining AS remaining_seconds FROM r"""
 
 # ---- streaming categoriser: same answer as the batch prediction -----------------
 ORACLE["stream_categorize"] = ORACLE["nb_predict"]
+
+
+# ---- reports -------------------------------------------------------------------------
+from centwise.plans import oracle_reports as _orp  # noqa: E402
+
+_orp.build(ORACLE)

@@ -379,3 +379,22 @@ def q_stream_categorize(spark, sf_dir):
 
     return srun.run_foreach_batch(spark, src, "stream_categorize",
                                   StructType.fromDDL("doc_id long, category string"), per_batch)
+
+
+# ---- reports (PRJ3, RPT1, SNK8, SNK9, OUT2) -----------------------------------------
+from centwise.operators import reports as rep  # noqa: E402
+
+
+def _report_lines(spark, sf_dir):
+    return rep.report_lines(td.transactions_full(spark, sf_dir), td.report_requests(spark, sf_dir),
+                            td.users(spark, sf_dir), AS_OF)
+
+
+@register("report_lines")
+def q_report_lines(spark, sf_dir):
+    return _report_lines(spark, sf_dir).withColumn("k_date", _F.date_format("k_date", "yyyy-MM-dd"))
+
+
+@register("report_notices")
+def q_report_notices(spark, sf_dir):
+    return rep.report_notices(_report_lines(spark, sf_dir), td.users(spark, sf_dir))
