@@ -33,7 +33,10 @@ def month_totals(fact: DataFrame) -> DataFrame:
 
 
 def month_ranks(fact: DataFrame) -> DataFrame:
-    """Present months per user, newest first: mrank 1 = latest, 2 = previous (WIN1)."""
+    """Present months per user, newest first: mrank 1 = latest, 2 = previous (WIN1).
+
+    ``distinct`` is a partial hash aggregate (skew-safe); the window runs over
+    one row per (user, month)."""
     w = Window.partitionBy("user_id").orderBy(F.col("month").desc())
     return fact.select("user_id", "month").distinct().withColumn("mrank", F.row_number().over(w))
 

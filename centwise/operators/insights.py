@@ -108,7 +108,8 @@ def period_suggestions(fact: DataFrame, users: DataFrame) -> DataFrame:
 
 def latest_two_summaries(fact: DataFrame) -> DataFrame:
     """Per user: latest and previous present month with income / expense."""
-    mt = month_totals(fact).join(month_ranks(fact).filter(F.col("mrank") <= 2), ["user_id", "month"])
+    w = Window.partitionBy("user_id").orderBy(F.col("month").desc())
+    mt = month_totals(fact).withColumn("mrank", F.row_number().over(w)).filter(F.col("mrank") <= 2)
     return mt.groupBy("user_id").agg(
         F.max(F.when(F.col("mrank") == 1, F.col("month"))).alias("cur_month"),
         F.max(F.when(F.col("mrank") == 1, F.col("income"))).alias("inc"),

@@ -28,6 +28,12 @@ def _fact(spark, sf_dir):
     return facts.monthly_fact(td.transactions_full(spark, sf_dir))
 
 
+def _shared_fact(spark, sf_dir):
+    """The monthly fact written once for jobs whose many branches all read it."""
+    from centwise.session import materialize
+    return materialize(spark, _fact(spark, sf_dir), "monthly_fact")
+
+
 @register("user_summary")
 def q_user_summary(spark, sf_dir):
     return summary.user_summary(_fact(spark, sf_dir), td.users(spark, sf_dir))
@@ -171,19 +177,19 @@ def q_global_suggestions(spark, sf_dir):
 
 @register("period_suggestions")
 def q_period_suggestions(spark, sf_dir):
-    return ins.period_suggestions(_fact(spark, sf_dir), td.users(spark, sf_dir))
+    return ins.period_suggestions(_shared_fact(spark, sf_dir), td.users(spark, sf_dir))
 
 
 @register("context_alerts")
 def q_context_alerts(spark, sf_dir):
-    fact = _fact(spark, sf_dir)
+    fact = _shared_fact(spark, sf_dir)
     usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
     return ins.context_alerts(fact, td.users(spark, sf_dir), usage)
 
 
 @register("personalized_suggestions")
 def q_personalized_suggestions(spark, sf_dir):
-    fact = _fact(spark, sf_dir)
+    fact = _shared_fact(spark, sf_dir)
     usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
     return ins.personalized_suggestions(fact, td.users(spark, sf_dir), usage)
 
@@ -297,8 +303,9 @@ def q_seed_income(spark, sf_dir):
 # ---- dashboard (DSH1, flagship) -----------------------------------------------------
 @register("dashboard")
 def q_dashboard(spark, sf_dir):
+    from centwise.session import materialize
     tx = td.transactions_full(spark, sf_dir)
-    fact = facts.monthly_fact(tx)
+    fact = materialize(spark, facts.monthly_fact(tx), "monthly_fact")
     users = td.users(spark, sf_dir)
     beff = _beff(spark, sf_dir)
     usage = bud.budget_usage_latest(beff, fact)
@@ -318,7 +325,7 @@ def q_question_month(spark, sf_dir):
 
 @register("question_answers")
 def q_question_answers(spark, sf_dir):
-    fact = _fact(spark, sf_dir)
+    fact = _shared_fact(spark, sf_dir)
     users = td.users(spark, sf_dir)
     usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
     alerts = ins.context_alerts(fact, users, usage)
@@ -351,7 +358,7 @@ from centwise.operators import context as ctxm  # noqa: E402
 
 @register("financial_context")
 def q_financial_context(spark, sf_dir):
-    fact = _fact(spark, sf_dir)
+    fact = _shared_fact(spark, sf_dir)
     users = td.users(spark, sf_dir)
     usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
     return ctxm.financial_context(fact, users, usage, ins.context_alerts(fact, users, usage))
@@ -359,7 +366,7 @@ def q_financial_context(spark, sf_dir):
 
 @register("chart_payload")
 def q_chart_payload(spark, sf_dir):
-    return ctxm.chart_payload(_fact(spark, sf_dir), td.users(spark, sf_dir), 3)
+    return ctxm.chart_payload(_shared_fact(spark, sf_dir), td.users(spark, sf_dir), 3)
 
 
 DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -387,7 +394,7 @@ from centwise.operators import reports as rep  # noqa: E402
 
 def _report_lines(spark, sf_dir):
     return rep.report_lines(td.transactions_full(spark, sf_dir), td.report_requests(spark, sf_dir),
-                            td.users(spark, sf_dir), AS_OF)
+                            td.users(spark, sf_dir), AS_OF, spark=spark)
 
 
 @register("report_lines")

@@ -56,3 +56,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for a written table."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(spark: SparkSession, df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it
+    back.  Used for an intermediate that several branches of one job read (the
+    monthly fact): branches scan the written table instead of re-running its
+    lineage, and a lost executor re-reads files instead of recomputing joins."""
+    path = shared_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
