@@ -61,9 +61,16 @@ def _stop_df(spark: SparkSession, stop_words) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(w,) for w in words] or [("",)], "term string"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Tokenising is CPU-bound; when the input has fewer splits than the
+    cluster has cores (e.g. a few large row groups), spread the texts first."""
+    target = df.sparkSession.sparkContext.defaultParallelism * 2
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def _term_counts(df: DataFrame, key: list[str], text: str, stop: DataFrame) -> DataFrame:
     """ML2 + ML3: (key, term, tf) without stop words."""
-    t = df.select(*key, F.explode(tokens(F.col(text))).alias("term"))
+    t = _spread(df.select(*key, text)).select(*key, F.explode(tokens(F.col(text))).alias("term"))
     t = t.join(stop, "term", "left_anti")
     return t.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -82,30 +89,48 @@ class NBModel:
 
 
 def training_frame(seed: DataFrame | None, expenses: DataFrame | None) -> DataFrame:
-    """SRC6/SRC7 + SET1 + SET2: seed rows union expense rows, nulls and duplicates dropped."""
+    """SRC6/SRC7 + SET1: seed rows union expense rows, rows with a null dropped.
+
+    Exact duplicates (SET2) are removed inside ``train`` by hash key, so the
+    texts themselves are never shuffled."""
     parts = [p.select(F.col("description").cast("string"), F.col("category").cast("string"))
              for p in (seed, expenses) if p is not None]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.dropna().dropDuplicates(["description", "category"])
+    return out.dropna()
+
+
+def _doc_key() -> F.Column:
+    return F.sha2(F.concat_ws("\u0001", "category", "description"), 256)
 
 
 def train(spark: SparkSession, training: DataFrame, stop_words=None) -> NBModel:
-    """ML4 + ML6: fit the model tables.  ``training`` has (description, category)
-    and is expected deduplicated (see ``training_frame``)."""
-    docs = training.select("description", "category").withColumn(
-        "doc", F.sha2(F.concat_ws("\u0001", "category", "description"), 256))
+    """ML4 + ML6 (+ SET2): fit the model tables from (description, category).
+
+    Duplicate rows share a hash key; their term counts are summed and divided
+    by the key's multiplicity, which equals the count of one copy -- the same
+    as dropping duplicates first, without shuffling any text.  The term-count
+    table is written once to the shared folder; the model tables are small
+    aggregates of it.
+    """
+    from centwise.session import materialize
+    keyed = training.select("description", "category").dropna().withColumn("doc", _doc_key())
+    mult = keyed.groupBy("doc", "category").agg(F.count(F.lit(1)).alias("mult"))
+    mult = materialize(spark, mult, "nb_docs")
     stop = _stop_df(spark, stop_words)
-    tf = _term_counts(docs, ["doc", "category"], "description", stop)
-    n_docs = docs.count()
+    raw = _term_counts(keyed, ["doc", "category"], "description", stop)
+    tf = raw.join(mult, ["doc", "category"]).select(
+        "doc", "category", "term", (F.col("tf") / F.col("mult")).cast("long").alias("tf"))
+    tf = materialize(spark, tf, "nb_tf")
+    n_docs = mult.count()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = dfreq.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(vocab, "term").select("doc", "category", "term", (F.col("tf") * F.col("idf")).alias("w"))
     x = _normalise(w, ["doc", "category"])
     fc = x.groupBy("category", "term").agg(F.sum("x").alias("fc"))
-    v = vocab.count()
-    counts = docs.groupBy("category").agg(F.count(F.lit(1)).alias("doc_count"))
+    v = dfreq.count()
+    counts = mult.groupBy("category").agg(F.count(F.lit(1)).alias("doc_count"))
     tot = fc.groupBy("category").agg(F.sum("fc").alias("fc_total"))
     prior = counts.join(tot, "category", "left").select(
         "category", "doc_count",
