@@ -646,3 +646,12 @@ ORACLE["stream_categorize"] = ORACLE["nb_predict"]
 from centwise.plans import oracle_reports as _orp  # noqa: E402
 
 _orp.build(ORACLE)
+
+
+# ---- lookups and counts ------------------------------------------------------------
+ORACLE["transaction_lookup"] = with_(TX_ORDERS, _CHANGES) + """
+SELECT id, user_id, CAST(amount AS DOUBLE) AS amount, category, type, description, strftime(date, '%Y-%m-%d') AS date
+FROM txo WHERE EXISTS (SELECT 1 FROM changes c WHERE c.id = txo.id AND c.user_id = txo.user_id)"""
+
+ORACLE["report_transaction_counts"] = "SELECT request_id, count(*) AS monthly_transaction_count FROM (" + \
+    ORACLE["report_lines"] + ") WHERE section_no = 5 AND k_date IS NOT NULL GROUP BY request_id"

@@ -405,3 +405,26 @@ def q_report_lines(spark, sf_dir):
 @register("report_notices")
 def q_report_notices(spark, sf_dir):
     return rep.report_notices(_report_lines(spark, sf_dir), td.users(spark, sf_dir))
+
+
+# ---- lookups, feeds, counts (SRC2, SNK10, AGG15) ------------------------------------
+from centwise.sources import files as fls  # noqa: E402
+
+
+@register("transaction_lookup")
+def q_transaction_lookup(spark, sf_dir):
+    """SRC2 in bulk: the current rows behind every (id, user_id) an edit targets."""
+    keys = td.order_changes(spark, sf_dir).select("id", "user_id").distinct()
+    out = chg.lookup(td.transactions_orders(spark, sf_dir), keys)
+    return out.select("id", "user_id", _F.col("amount").cast("double").alias("amount"), "category", "type",
+                      "description", _F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@register("transactions_feed")
+def q_transactions_feed(spark, sf_dir):
+    return fls.transactions_feed(td.transactions_orders(spark, sf_dir))
+
+
+@register("report_transaction_counts")
+def q_report_transaction_counts(spark, sf_dir):
+    return rep.transaction_counts(_report_lines(spark, sf_dir))
