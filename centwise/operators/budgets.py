@@ -80,7 +80,7 @@ def budget_alerts(beff: DataFrame, fact: DataFrame, as_of: dt.date,
         (F.col("ratio") >= 1.0).alias("is_exceeded"),
         F.concat(F.lit("Alert: You have used "), fmt(F.col("ratio") * 100.0, 1),
                  F.lit("% of your monthly "), F.lower("category"), F.lit(" budget.")).alias("message"),
-        F.row_number().over(w).alias("rank"),
+        F.row_number().over(w).cast("long").alias("rank"),
     )
 
 
@@ -96,7 +96,7 @@ def budget_usage_latest(beff: DataFrame, fact: DataFrame) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.col("usage_percent").desc(), "idx", "category")
     return j.select(
         "user_id", month_label("month").alias("month"), "category", "idx", dbl("spent").alias("spent"),
-        dbl("monthly_budget").alias("budget"), "usage", "usage_percent", F.row_number().over(w).alias("rank"))
+        dbl("monthly_budget").alias("budget"), "usage", "usage_percent", F.row_number().over(w).cast("long").alias("rank"))
 
 
 def crossing_candidates(alerts: DataFrame, as_of: dt.date,
@@ -118,7 +118,7 @@ def new_crossings(candidates: DataFrame, existing_events: DataFrame) -> DataFram
     fresh = candidates.dropDuplicates(EVENT_KEY).join(existing_events.select(*EVENT_KEY), EVENT_KEY, "left_anti")
     w = Window.partitionBy("user_id").orderBy(F.col("threshold_percent").desc(), F.col("usage_percent").desc(),
                                               "idx", "category")
-    return fresh.withColumn("rank", F.row_number().over(w)).drop("idx")
+    return fresh.withColumn("rank", F.row_number().over(w).cast("long")).drop("idx")
 
 
 def append_new_events(spark: SparkSession, candidates: DataFrame, events_path: str,

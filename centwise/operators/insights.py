@@ -24,7 +24,7 @@ def _with_users(users: DataFrame, t: DataFrame) -> DataFrame:
 def _explode_messages(df: DataFrame, messages: list[F.Column]) -> DataFrame:
     arr = F.filter(F.array(*messages), lambda m: m.isNotNull())
     return df.select("user_id", F.posexplode(arr).alias("pos", "message")).select(
-        "user_id", (F.col("pos") + 1).alias("seq"), "message")
+        "user_id", (F.col("pos") + 1).cast("long").alias("seq"), "message")
 
 
 # ---- RUL5 ------------------------------------------------------------------------
@@ -101,7 +101,7 @@ def period_suggestions(fact: DataFrame, users: DataFrame) -> DataFrame:
         F.lit("Add income and expense transactions to unlock personalized financial suggestions.").alias("message"))
     allr = rules.unionByName(fallback).unionByName(empty)
     ws = Window.partitionBy("user_id").orderBy("rule", "sub")
-    return allr.select("user_id", F.row_number().over(ws).alias("seq"), "message")
+    return allr.select("user_id", F.row_number().over(ws).cast("long").alias("seq"), "message")
 
 
 # ---- shared pieces of the financial context --------------------------------------
@@ -143,7 +143,7 @@ def context_alerts(fact: DataFrame, users: DataFrame, usage: DataFrame) -> DataF
         F.lit("Add more transactions to unlock personalized insights.").alias("message"))
     allr = a1.unionByName(a2).unionByName(empty)
     w = Window.partitionBy("user_id").orderBy("grp", "idx", "category")
-    return allr.select("user_id", F.row_number().over(w).alias("seq"), "message")
+    return allr.select("user_id", F.row_number().over(w).cast("long").alias("seq"), "message")
 
 
 # ---- RUL9 ------------------------------------------------------------------------
@@ -215,7 +215,7 @@ def personalized_suggestions(fact: DataFrame, users: DataFrame, usage: DataFrame
                    F.lit("Add income and expense transactions to unlock personalized saving suggestions."))
     allr = found.unionByName(s0).unionByName(s_need)
     w = Window.partitionBy("user_id").orderBy(F.col("priority").desc(), "ord")
-    return (allr.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (allr.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
             .select("user_id", "rank", "priority", "type", "title", "message"))
 
 

@@ -66,7 +66,7 @@ def category_distribution(fact: DataFrame) -> DataFrame:
     """AGG5 / AGG7: expense per category, ranked by amount desc then category."""
     w = Window.partitionBy("user_id").orderBy(F.col("amount").desc(), F.col("category"))
     return _category_totals(fact).select(
-        "user_id", "category", dbl("amount").alias("amount"), F.row_number().over(w).alias("rank"))
+        "user_id", "category", dbl("amount").alias("amount"), F.row_number().over(w).cast("long").alias("rank"))
 
 
 def top_categories(fact: DataFrame, k: int = 3) -> DataFrame:
@@ -138,7 +138,7 @@ def overspend_ratio(fact: DataFrame, users: DataFrame) -> DataFrame:
 def latest_transactions(tx: DataFrame, k: int = 5) -> DataFrame:
     """TOP1: newest k transactions per user by (date desc, id desc)."""
     w = Window.partitionBy("user_id").orderBy(F.col("date").desc(), F.col("id").desc())
-    r = tx.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    r = tx.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     return r.select("id", "user_id", dbl("amount").alias("amount"), "category", "type", "description",
                     F.date_format("date", "yyyy-MM-dd").alias("date"), "rank")
 
@@ -151,7 +151,7 @@ def _month_category_expense(fact: DataFrame) -> DataFrame:
 def top_categories_by_month(fact: DataFrame, k: int = 5) -> DataFrame:
     """TOP4: top-k expense categories of every present month."""
     w = Window.partitionBy("user_id", "month").orderBy(F.col("amount").desc(), F.col("category"))
-    r = _month_category_expense(fact).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    r = _month_category_expense(fact).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     return r.select("user_id", month_label("month").alias("month"), "category", dbl("amount").alias("amount"), "rank")
 
 
@@ -163,7 +163,7 @@ def top_categories_latest(fact: DataFrame, k: int = 5) -> DataFrame:
     w_tot = Window.partitionBy("user_id")
     w = Window.partitionBy("user_id").orderBy(F.col("amount").desc(), F.col("category"))
     r = (mc.withColumn("month_expense", F.sum("amount").over(w_tot))
-         .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+         .withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k))
     return r.select(
         "user_id", month_label("month").alias("month"), "category", dbl("amount").alias("amount"),
         rnd(pct(F.col("amount"), F.col("month_expense"))).alias("share_of_current_expense"), "rank")
@@ -201,7 +201,7 @@ def category_increases(fact: DataFrame, k: int = 5) -> DataFrame:
     g = g.withColumn("chg", div(F.col("cur") - F.col("prev"), "prev") * 100.0).filter(F.col("chg") > 0)
     g = g.withColumn("change_percent", rnd("chg"))
     w = Window.partitionBy("user_id").orderBy(F.col("change_percent").desc(), F.col("category"))
-    r = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    r = g.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     return r.select("user_id", "category", dbl("prev").alias("previous"), dbl("cur").alias("current"),
                     "change_percent", "rank")
 

@@ -570,7 +570,7 @@ FROM txo t LEFT JOIN lu ON lu.id = t.id AND lu.user_id = t.user_id
 WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE c.op = 'D' AND c.id = t.id AND c.user_id = t.user_id)"""
 
 ORACLE["seed_income"] = with_(USERS, TX_ORDERS) + """
-SELECT id AS user_id, 0.0 AS amount, 'Salary' AS category, 'Income' AS type, 'Initial balance setup' AS description,
+SELECT id AS user_id, CAST(0 AS DOUBLE) AS amount, 'Salary' AS category, 'Income' AS type, 'Initial balance setup' AS description,
        '2001-01-31' AS date
 FROM users_v WHERE id NOT IN (SELECT user_id FROM txo WHERE type = 'Income')"""
 

@@ -47,7 +47,7 @@ def transactions_feed(tx: DataFrame) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.col("date").desc(), F.col("id").desc())
     body = F.to_json(F.struct("id", "user_id", F.col("amount").cast("double").alias("amount"), "category", "type",
                               "description", F.date_format("date", "yyyy-MM-dd").alias("date")))
-    return tx.select("user_id", F.row_number().over(w).alias("rank"), body.alias("json"))
+    return tx.select("user_id", F.row_number().over(w).cast("long").alias("rank"), body.alias("json"))
 
 
 __all__ = ["read_training_csv", "load_or_train", "append_transactions", "transactions_feed", "os"]
