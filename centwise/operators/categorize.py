@@ -168,7 +168,8 @@ def predict(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "do
             text: str = "description", stop_words=None) -> DataFrame:
     """ML7: arg-max class per document; ties -> first class by name; a text
     with no known token gets the highest prior.  Returns (key, predicted, score)."""
-    classes = model.prior.select("category", "log_prior", "log_den").collect()
+    # bounded read: at most MAX_CLASSES + 1 rows ever reach the driver
+    classes = model.prior.select("category", "log_prior", "log_den").limit(MAX_CLASSES + 1).collect()
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"{len(classes)} classes exceeds the bounded class table ({MAX_CLASSES})")
     stop = _stop_df(spark, stop_words)
