@@ -62,13 +62,9 @@ def _stop_df(spark: SparkSession, stop_words) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Tokenising is CPU-bound; when the input has fewer splits than the
-    cluster has cores (e.g. a few large row groups), spread the texts first."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism * 2
-        return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave as is
-        return df
+    """Tokenising is CPU-bound: spread texts read from few splits first."""
+    from centwise.session import spread_if_narrow
+    return spread_if_narrow(df)
 
 
 def _term_counts(df: DataFrame, key: list[str], text: str, stop: DataFrame) -> DataFrame:

@@ -5,12 +5,28 @@ Each query reads whole tables from ``sf_dir`` through ``centwise.sources.testdat
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as _F
+
+from centwise.functions.columns import rnd as _rnd
+from centwise.operators import budgets as bud
+from centwise.operators import categorize as cat
+from centwise.operators import changes as chg
+from centwise.operators import clean as cln
+from centwise.operators import context as ctxm
 from centwise.operators import facts, summary
+from centwise.operators import forecast as fc
+from centwise.operators import insights as ins
+from centwise.operators import notify as ntf
+from centwise.operators import questions as qna
+from centwise.operators import reports as rep
+from centwise.sources import files as fls
 from centwise.sources import testdata as td
+from centwise.streaming import crossings as crs
+from centwise.streaming import runner as srun
 
 AS_OF = td.SCALE_AS_OF
 
@@ -121,10 +137,6 @@ def q_category_overspend_alerts(spark, sf_dir):
 
 
 # ---- budgets (JOIN4, RUL2, RUL3, RUL7, SNK5, SNK6) ---------------------------------
-from centwise.operators import budgets as bud  # noqa: E402
-from centwise.operators import forecast as fc  # noqa: E402
-import datetime as _dt  # noqa: E402
-from pyspark.sql import functions as _F  # noqa: E402
 
 MID_MONTH = _dt.date(2001, 1, 15)
 
@@ -167,7 +179,6 @@ def q_expense_forecast(spark, sf_dir):
 
 
 # ---- rule-based insights (RUL4, RUL5, RUL6, RUL9) ----------------------------------
-from centwise.operators import insights as ins  # noqa: E402
 
 
 @register("global_suggestions")
@@ -195,8 +206,6 @@ def q_personalized_suggestions(spark, sf_dir):
 
 
 # ---- categoriser (ML1-ML9) ----------------------------------------------------------
-from centwise.operators import categorize as cat  # noqa: E402
-from centwise.functions.columns import rnd as _rnd  # noqa: E402
 
 
 def _nb_model(spark, sf_dir):
@@ -217,7 +226,6 @@ def q_nb_predict(spark, sf_dir):
 
 
 # ---- cleaning and validation (CLN, VAL, PRJ1, SNK4) ---------------------------------
-from centwise.operators import clean as cln  # noqa: E402
 
 
 @register("clean_transactions")
@@ -264,8 +272,6 @@ def q_budgets_upsert(spark, sf_dir):
 
 
 # ---- event-driven crossings (STR1, STR2, STR4) ------------------------------------
-from centwise.streaming import crossings as crs  # noqa: E402
-from centwise.streaming import runner as srun  # noqa: E402
 
 
 @register("budget_crossings_replay")
@@ -283,7 +289,6 @@ def q_stream_crossings(spark, sf_dir):
 
 
 # ---- table changes (SNK2, SNK3, SNK7) ---------------------------------------------
-from centwise.operators import changes as chg  # noqa: E402
 
 
 @register("apply_changes")
@@ -313,7 +318,6 @@ def q_dashboard(spark, sf_dir):
 
 
 # ---- questions and replies (QNA1-QNA4, SCL10) -------------------------------------
-from centwise.operators import questions as qna  # noqa: E402
 
 
 @register("question_month")
@@ -339,7 +343,6 @@ def q_llm_reply_text(spark, sf_dir):
 
 
 # ---- notifications and cool-down (OUT1, OUT3) ---------------------------------------
-from centwise.operators import notify as ntf  # noqa: E402
 
 
 @register("alert_outbox")
@@ -353,7 +356,6 @@ def q_throttle_requests(spark, sf_dir):
 
 
 # ---- nested outputs (CTX1, CHT1) and the streaming categoriser (STR3) --------------
-from centwise.operators import context as ctxm  # noqa: E402
 
 
 @register("financial_context")
@@ -389,7 +391,6 @@ def q_stream_categorize(spark, sf_dir):
 
 
 # ---- reports (PRJ3, RPT1, SNK8, SNK9, OUT2) -----------------------------------------
-from centwise.operators import reports as rep  # noqa: E402
 
 
 def _report_lines(spark, sf_dir):
@@ -408,7 +409,6 @@ def q_report_notices(spark, sf_dir):
 
 
 # ---- lookups, feeds, counts (SRC2, SNK10, AGG15) ------------------------------------
-from centwise.sources import files as fls  # noqa: E402
 
 
 @register("transaction_lookup")

@@ -64,8 +64,9 @@ def transactions_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("monthly salary credit").alias("description"),
         F.col("o_orderdate").cast("date").alias("date"),
     )
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    from centwise.session import spread_if_narrow
+    li = spread_if_narrow(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     expense = (
         li.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
