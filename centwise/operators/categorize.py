@@ -124,11 +124,12 @@ def train(spark: SparkSession, training: DataFrame, stop_words=None) -> NBModel:
     tf = materialize(spark, tf, "nb_tf")
     n_docs = mult.count()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocab = dfreq.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    vocab = materialize(spark, dfreq.select(
+        "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")), "nb_vocab")
+    v = vocab.count()
     w = tf.join(vocab, "term").select("doc", "category", "term", (F.col("tf") * F.col("idf")).alias("w"))
     x = _normalise(w, ["doc", "category"])
-    fc = x.groupBy("category", "term").agg(F.sum("x").alias("fc"))
-    v = dfreq.count()
+    fc = materialize(spark, x.groupBy("category", "term").agg(F.sum("x").alias("fc")), "nb_fc")
     counts = mult.groupBy("category").agg(F.count(F.lit(1)).alias("doc_count"))
     tot = fc.groupBy("category").agg(F.sum("fc").alias("fc_total"))
     prior = counts.join(tot, "category", "left").select(
@@ -163,16 +164,39 @@ def materialize(spark: SparkSession, model: NBModel, name: str = "nb_model") ->
     return load(spark, path)
 
 
-def predict(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "doc_id",
-            text: str = "description", stop_words=None) -> DataFrame:
-    """ML7: arg-max class per document; ties -> first class by name; a text
-    with no known token gets the highest prior.  Returns (key, predicted, score)."""
+STRIP = r"^\s+|\s+$"
+
+
+def _doc_terms(spark: SparkSession, docs: DataFrame, key: str, text: str, stop_words, flags: bool) -> DataFrame:
+    """One pass over the texts: (key[, blank, health], term, tf).
+
+    Stop words and texts without any token leave one row with a NULL term, so
+    every document keeps its row (and flags) without a second read of the text.
+    The result is written once to the shared folder and read by each step."""
+    from centwise.session import materialize
+    d = _spread(docs.select(key, text)).select(key, F.regexp_replace(F.col(text), STRIP, "").alias("_t"))
+    flag_cols = []
+    if flags:
+        # Per-document flags are computed *before* the explode; in the same
+        # select Catalyst would evaluate them above the Generate, once per token.
+        d = d.select(key, "_t", (F.col("_t") == "").alias("blank"),
+                     F.lower("_t").rlike(HEALTH_PATTERN).alias("health"))
+        flag_cols = ["blank", "health"]
+    e = d.select(key, *flag_cols, F.explode_outer(tokens(F.col("_t"))).alias("term"))
+    stop = _stop_df(spark, stop_words).withColumn("is_stop", F.lit(True))
+    e = e.join(stop, "term", "left").withColumn("term", F.when(F.col("is_stop").isNull(), F.col("term")))
+    group = [key] + (["blank", "health"] if flags else [])
+    g = e.groupBy(*group, "term").agg(F.count("term").alias("tf"))
+    return materialize(spark, g, "nb_doc_terms")
+
+
+def _score(spark: SparkSession, model: NBModel, dt: DataFrame, key: str) -> DataFrame:
+    """ML7 on a (key, term, tf) table; rows with a NULL term only carry the key."""
     # bounded read: at most MAX_CLASSES + 1 rows ever reach the driver
     classes = model.prior.select("category", "log_prior", "log_den").limit(MAX_CLASSES + 1).collect()
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"{len(classes)} classes exceeds the bounded class table ({MAX_CLASSES})")
-    stop = _stop_df(spark, stop_words)
-    tf = _term_counts(docs, [key], text, stop)
+    tf = dt.filter(F.col("term").isNotNull())
     w = tf.join(model.vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     x = _normalise(w, [key])
     sx = x.groupBy(key).agg(F.sum("x").alias("sx"))
@@ -180,8 +204,9 @@ def predict(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "do
             .agg(F.sum(F.col("x") * F.col("log_num")).alias("dot")))
     cls = F.array(*[F.struct(F.lit(r["category"]).alias("category"), F.lit(float(r["log_prior"])).alias("lp"),
                              F.lit(float(r["log_den"])).alias("ld")) for r in classes])
-    grid = docs.select(key).join(sx, key, "left").select(key, F.coalesce("sx", F.lit(0.0)).alias("sx"),
-                                                          F.explode(cls).alias("c"))
+    keys = dt.select(key).distinct()
+    grid = keys.join(sx, key, "left").select(key, F.coalesce("sx", F.lit(0.0)).alias("sx"),
+                                             F.explode(cls).alias("c"))
     grid = grid.select(key, "sx", F.col("c.category").alias("category"), "c.lp", "c.ld")
     s = grid.join(part, [key, "category"], "left").select(
         key, "category",
@@ -191,13 +216,20 @@ def predict(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "do
     return best.select(key, F.col("category").alias("predicted"), "score")
 
 
+def predict(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "doc_id",
+            text: str = "description", stop_words=None) -> DataFrame:
+    """ML7: arg-max class per document; ties -> first class by name; a text
+    with no known token gets the highest prior.  Returns (key, predicted, score)."""
+    return _score(spark, model, _doc_terms(spark, docs, key, text, stop_words, flags=False), key)
+
+
 def auto_categorize(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "doc_id",
-                    text: str = "description") -> DataFrame:
-    """ML9: blank -> Other; a health keyword -> Health; else the model's class."""
-    clean = docs.select(key, F.regexp_replace(F.col(text), r"^\s+|\s+$", "").alias("text"))
-    blank = F.col("text") == ""
-    health = F.lower(F.col("text")).rlike(HEALTH_PATTERN)
-    ml = predict(spark, model, clean.filter(~blank & ~health), key=key, text="text")
-    return (clean.join(ml, key, "left")
-            .select(key, F.when(blank, F.lit("Other")).when(health, F.lit("Health"))
+                    text: str = "description", stop_words=None) -> DataFrame:
+    """ML9: blank -> Other; a health keyword -> Health; else the model's class.
+    The texts are read once: flags and terms come from the same pass."""
+    dt = _doc_terms(spark, docs, key, text, stop_words, flags=True)
+    flags = dt.select(key, "blank", "health").distinct()
+    ml = _score(spark, model, dt.filter(~F.col("blank") & ~F.col("health")), key)
+    return (flags.join(ml, key, "left")
+            .select(key, F.when(F.col("blank"), F.lit("Other")).when(F.col("health"), F.lit("Health"))
                     .otherwise(F.col("predicted")).alias("category")))
