@@ -27,18 +27,21 @@ def _sorted_list(df: DataFrame, key: str, order: list[F.Column], fields: list[st
         F.transform(F.array_sort(F.collect_list(s)), lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias(name))
 
 
-def financial_context(fact: DataFrame, users: DataFrame, usage: DataFrame, alerts: DataFrame) -> DataFrame:
-    """CTX1: one row per user with the nested context and its JSON text."""
+def financial_context(fact: DataFrame, users: DataFrame, usage: DataFrame, alerts: DataFrame,
+                      recent: DataFrame | None = None) -> DataFrame:
+    """CTX1: one row per user with the nested context and its JSON text.
+    ``recent`` (optional): the latest-two-months slice for the month-local parts."""
+    recent = fact if recent is None else recent
     ut = sm.user_totals(fact)
-    lt = ins.latest_two_summaries(fact)
+    lt = ins.latest_two_summaries(recent)
     mt = month_totals(fact)
-    top = _sorted_list(sm.top_categories_latest(fact, 5), "user_id", [F.col("rank")],
+    top = _sorted_list(sm.top_categories_latest(recent, 5), "user_id", [F.col("rank")],
                        ["category", "amount", "share_of_current_expense"], "top_categories")
     trend = _sorted_list(mt.select("user_id", month_label("month").alias("month"), dbl("expense").alias("amount")),
                          "user_id", [F.col("month")], ["month", "amount"], "monthly_spending_trend")
     by_month = mt.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(
         month_label("month"), _summary_struct("income", "expense")))).alias("monthly_summary_by_month"))
-    incs = _sorted_list(sm.category_increases(fact, 5), "user_id", [F.col("rank")],
+    incs = _sorted_list(sm.category_increases(recent, 5), "user_id", [F.col("rank")],
                         ["category", "previous", "current", "change_percent"], "categories_increased")
     al = _sorted_list(alerts, "user_id", [F.col("seq")], ["message"], "alerts").select(
         "user_id", F.transform("alerts", lambda x: x["message"]).alias("overspending_alerts"))

@@ -87,3 +87,14 @@ __all__ = [
     "monthly_fact", "month_totals", "month_ranks", "latest_month", "filter_month",
     "filter_year", "filter_recent_months", "expense_months", "month_label",
 ]
+
+
+def latest_months_slice(fact: DataFrame, n: int = 2) -> DataFrame:
+    """The fact rows of each user's ``n`` latest present months.
+
+    Everything that looks only at the latest / previous month (context,
+    suggestions, budget usage, increases) gives the same answer on this slice
+    as on the whole fact, because month ranks among the kept months are
+    unchanged; the slice is users x n x categories rows."""
+    keep = month_ranks(fact).filter(F.col("mrank") <= n).select("user_id", "month")
+    return fact.join(keep, ["user_id", "month"])

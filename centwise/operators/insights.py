@@ -226,7 +226,7 @@ __all__ = ["global_suggestions", "period_suggestions", "context_alerts", "person
 # ---- DSH1 ------------------------------------------------------------------------
 
 def dashboard(tx: DataFrame, fact: DataFrame, users: DataFrame, beff: DataFrame, usage: DataFrame,
-              as_of) -> DataFrame:
+              as_of, recent: DataFrame | None = None) -> DataFrame:
     """DSH1: one flat row per user joining the dashboard parts on user_id.
 
     Every part is user-sized and built from the shared monthly fact, so the
@@ -241,7 +241,7 @@ def dashboard(tx: DataFrame, fact: DataFrame, users: DataFrame, beff: DataFrame,
     first_alert = (alerts.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
                    .select("user_id", F.col("message").alias("overspend_alert")))
     g1 = global_suggestions(fact, users).filter("seq = 1").select("user_id", F.col("message").alias("suggestion"))
-    p1 = (personalized_suggestions(fact, users, usage).filter("rank = 1")
+    p1 = (personalized_suggestions(fact if recent is None else recent, users, usage).filter("rank = 1")
           .select("user_id", F.col("title").alias("top_saving_action")))
     f = fc.expense_forecast(fact, users).select("user_id", "predicted_expense", F.col("status").alias("forecast_status"))
     ba = bud.budget_alerts(beff, fact, as_of).groupBy("user_id").agg(

@@ -83,15 +83,19 @@ def _top_text(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def answer_questions(questions: DataFrame, fact: DataFrame, context_alerts: DataFrame,
-                     personalized: DataFrame, as_of: dt.date) -> DataFrame:
-    """QNA2-QNA4: intent and answer text per question (source 'local')."""
+                     personalized: DataFrame, as_of: dt.date, recent: DataFrame | None = None) -> DataFrame:
+    """QNA2-QNA4: intent and answer text per question (source 'local').
+
+    ``recent`` (optional) is ``facts.latest_months_slice(fact)``: the parts that
+    only look at the latest two months read it instead of the whole fact."""
+    recent = fact if recent is None else recent
     from centwise.operators import insights as ins
     from centwise.operators import summary as sm
     from centwise.operators.facts import month_totals
 
     mt = month_totals(fact).select("user_id", month_label("month").alias("month"), "income", "expense")
     qm = question_month(questions, mt.select("user_id", "month"), as_of)
-    lt = ins.latest_two_summaries(fact)
+    lt = ins.latest_two_summaries(recent)
     hm = sm.highest_month(fact).select("user_id", F.col("month").alias("hi_month"), "total_expense")
     alerts = context_alerts.filter(F.col("seq") <= 3).groupBy("user_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda s: s["message"]),
@@ -100,8 +104,8 @@ def answer_questions(questions: DataFrame, fact: DataFrame, context_alerts: Data
                                                        F.col("message").alias("ps_message"))
     tm = _top_text(sm.top_categories_by_month(fact, 3), ["user_id", "month"]).withColumnRenamed("month", "target_month") \
         .withColumnRenamed("top_text", "tm_text")
-    tl = _top_text(sm.top_categories_latest(fact, 3), ["user_id"]).withColumnRenamed("top_text", "tl_text")
-    ci = sm.category_increases(fact, 1).select("user_id", F.col("category").alias("ci_cat"),
+    tl = _top_text(sm.top_categories_latest(recent, 3), ["user_id"]).withColumnRenamed("top_text", "tl_text")
+    ci = sm.category_increases(recent, 1).select("user_id", F.col("category").alias("ci_cat"),
                                                 F.col("change_percent").alias("ci_chg"),
                                                 F.col("previous").alias("ci_prev"), F.col("current").alias("ci_cur"))
     tgt = mt.select("user_id", F.col("month").alias("target_month"), F.col("income").alias("t_inc"),

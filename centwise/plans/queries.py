@@ -50,6 +50,12 @@ def _shared_fact(spark, sf_dir):
     return materialize(spark, _fact(spark, sf_dir), "monthly_fact")
 
 
+def _recent(spark, fact):
+    """Each user's two latest present months of the fact, written once."""
+    from centwise.session import materialize
+    return materialize(spark, facts.latest_months_slice(fact, 2), "recent_fact")
+
+
 @register("user_summary")
 def q_user_summary(spark, sf_dir):
     return summary.user_summary(_fact(spark, sf_dir), td.users(spark, sf_dir))
@@ -193,16 +199,16 @@ def q_period_suggestions(spark, sf_dir):
 
 @register("context_alerts")
 def q_context_alerts(spark, sf_dir):
-    fact = _shared_fact(spark, sf_dir)
-    usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
-    return ins.context_alerts(fact, td.users(spark, sf_dir), usage)
+    recent = _recent(spark, _fact(spark, sf_dir))
+    usage = bud.budget_usage_latest(_beff(spark, sf_dir), recent)
+    return ins.context_alerts(recent, td.users(spark, sf_dir), usage)
 
 
 @register("personalized_suggestions")
 def q_personalized_suggestions(spark, sf_dir):
-    fact = _shared_fact(spark, sf_dir)
-    usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
-    return ins.personalized_suggestions(fact, td.users(spark, sf_dir), usage)
+    recent = _recent(spark, _fact(spark, sf_dir))
+    usage = bud.budget_usage_latest(_beff(spark, sf_dir), recent)
+    return ins.personalized_suggestions(recent, td.users(spark, sf_dir), usage)
 
 
 # ---- categoriser (ML1-ML9) ----------------------------------------------------------
@@ -311,10 +317,11 @@ def q_dashboard(spark, sf_dir):
     from centwise.session import materialize
     tx = td.transactions_full(spark, sf_dir)
     fact = materialize(spark, facts.monthly_fact(tx), "monthly_fact")
+    recent = _recent(spark, fact)
     users = td.users(spark, sf_dir)
     beff = _beff(spark, sf_dir)
-    usage = bud.budget_usage_latest(beff, fact)
-    return ins.dashboard(tx, fact, users, beff, usage, AS_OF)
+    usage = bud.budget_usage_latest(beff, recent)
+    return ins.dashboard(tx, fact, users, beff, usage, AS_OF, recent=recent)
 
 
 # ---- questions and replies (QNA1-QNA4, SCL10) -------------------------------------
@@ -330,11 +337,12 @@ def q_question_month(spark, sf_dir):
 @register("question_answers")
 def q_question_answers(spark, sf_dir):
     fact = _shared_fact(spark, sf_dir)
+    recent = _recent(spark, fact)
     users = td.users(spark, sf_dir)
-    usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
-    alerts = ins.context_alerts(fact, users, usage)
-    ps = ins.personalized_suggestions(fact, users, usage)
-    return qna.answer_questions(td.questions(spark, sf_dir), fact, alerts, ps, AS_OF)
+    usage = bud.budget_usage_latest(_beff(spark, sf_dir), recent)
+    alerts = ins.context_alerts(recent, users, usage)
+    ps = ins.personalized_suggestions(recent, users, usage)
+    return qna.answer_questions(td.questions(spark, sf_dir), fact, alerts, ps, AS_OF, recent=recent)
 
 
 @register("llm_reply_text")
@@ -361,9 +369,10 @@ def q_throttle_requests(spark, sf_dir):
 @register("financial_context")
 def q_financial_context(spark, sf_dir):
     fact = _shared_fact(spark, sf_dir)
+    recent = _recent(spark, fact)
     users = td.users(spark, sf_dir)
-    usage = bud.budget_usage_latest(_beff(spark, sf_dir), fact)
-    return ctxm.financial_context(fact, users, usage, ins.context_alerts(fact, users, usage))
+    usage = bud.budget_usage_latest(_beff(spark, sf_dir), recent)
+    return ctxm.financial_context(fact, users, usage, ins.context_alerts(recent, users, usage), recent=recent)
 
 
 @register("chart_payload")
