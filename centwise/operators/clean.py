@@ -8,7 +8,7 @@ callers split valid / quarantine frames.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centwise.functions.columns import MONEY, month_of
@@ -133,4 +133,4 @@ def breakdown_category(c: F.Column) -> F.Column:
 
 
 __all__ = ["clean_transactions", "validate_transactions", "validate_budgets", "validate_users", "orphans",
-           "parse_date", "breakdown_category", "SparkSession"]
+           "parse_amount", "parse_date", "breakdown_category"]

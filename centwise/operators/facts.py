@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from centwise.functions.columns import EXPENSE, INCOME, MONEY, month_label
+from centwise.functions.columns import EXPENSE, INCOME, MONEY
 
 
 def monthly_fact(tx: DataFrame) -> DataFrame:
@@ -83,11 +83,6 @@ def expense_months(fact: DataFrame) -> DataFrame:
     )
 
 
-__all__ = [
-    "monthly_fact", "month_totals", "month_ranks", "latest_month", "filter_month",
-    "filter_year", "filter_recent_months", "expense_months", "month_label",
-]
-
 
 def latest_months_slice(fact: DataFrame, n: int = 2) -> DataFrame:
     """The fact rows of each user's ``n`` latest present months.

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from centwise.functions.columns import div, EXPENSE, MONEY, dbl, fmt, month_label, pct, rnd
-from centwise.operators.facts import expense_months, month_ranks, month_totals
+from centwise.functions.columns import EXPENSE, MONEY, div, fmt, pct, rnd
+from centwise.operators.facts import expense_months, month_totals
 from centwise.operators.summary import category_increases, top_categories_latest, user_totals
 
 
@@ -219,9 +219,6 @@ def personalized_suggestions(fact: DataFrame, users: DataFrame, usage: DataFrame
             .select("user_id", "rank", "priority", "type", "title", "message"))
 
 
-__all__ = ["global_suggestions", "period_suggestions", "context_alerts", "personalized_suggestions",
-           "latest_two_summaries", "month_label"]
-
 
 # ---- DSH1 ------------------------------------------------------------------------
 

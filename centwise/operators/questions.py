@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centwise.functions.columns import dbl, div, fmt, month_label, pct, rnd
+from centwise.functions.columns import div, fmt, month_label, pct, rnd
 
 # Month names in calendar order.
 MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september",
@@ -192,4 +192,4 @@ def reply_text(replies: DataFrame) -> DataFrame:
     return replies.select("reply_id", _strip(text).alias("answer"))
 
 
-__all__ = ["question_month", "answer_questions", "reply_text", "Window", "dbl"]
+__all__ = ["question_month", "answer_questions", "reply_text"]

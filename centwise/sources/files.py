@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,4 +48,4 @@ def transactions_feed(tx: DataFrame) -> DataFrame:
     return tx.select("user_id", F.row_number().over(w).cast("long").alias("rank"), body.alias("json"))
 
 
-__all__ = ["read_training_csv", "load_or_train", "append_transactions", "transactions_feed", "os"]
+__all__ = ["read_training_csv", "load_or_train", "append_transactions", "transactions_feed"]
