@@ -59,3 +59,29 @@ def test_stream_over_many_files_equals_replay(spark, tmp_path):
     want = crs.replay_crossings(td.event_transactions(spark, SF), flat_budget=300.0)
     assert _rows(got) == _rows(want)
     assert len(_rows(got)) > 0
+
+
+def test_stream_state_drops_closed_months(spark, tmp_path):
+    """STR4: once the watermark passes a month's end, its groups leave the state store."""
+    ev = td.table(spark, SF, "events")
+    folder = str(tmp_path / "months")
+    os.makedirs(folder)
+    later = ev.withColumn("ts", F.col("ts") + F.expr("INTERVAL 60 DAYS")).withColumn(
+        "event_id", F.col("event_id") + 10_000_000)
+    for i, part in enumerate([ev, later]):
+        part.coalesce(1).write.parquet(str(tmp_path / f"m{i}"))
+        src = [f for f in os.listdir(tmp_path / f"m{i}") if f.endswith(".parquet")][0]
+        os.link(tmp_path / f"m{i}" / src, os.path.join(folder, f"events-{i}.parquet"))
+    stream = srun.file_stream(spark, folder, "events", srun.EVENTS_SCHEMA)
+    s = stream.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("category"),
+                      F.col("value").cast("decimal(18,2)").alias("amount"), F.col("ts").cast("timestamp").alias("ts"))
+    out = crs.crossing_stream(s, flat_budget=300.0)
+    q = (out.writeStream.format("memory").queryName("str4_out").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    state_rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p.get("stateOperators")]
+    groups_per_month = ev.select("user_id", "event_type").distinct().count()
+    assert state_rows[0] == groups_per_month            # January groups after batch 1
+    assert state_rows[-1] == groups_per_month           # only the later month's groups remain
+    emitted = spark.sql("select * from str4_out").select("month").distinct().collect()
+    assert len(emitted) == 2                            # both months still emitted their crossings
