@@ -655,3 +655,11 @@ FROM txo WHERE EXISTS (SELECT 1 FROM changes c WHERE c.id = txo.id AND c.user_id
 
 ORACLE["report_transaction_counts"] = "SELECT request_id, count(*) AS monthly_transaction_count FROM (" + \
     ORACLE["report_lines"] + ") WHERE section_no = 5 AND k_date IS NOT NULL GROUP BY request_id"
+
+
+# ---- JSON feed (amounts stay below 1e7 here, where both engines print plain decimals) ----
+ORACLE["transactions_feed"] = with_(TX_ORDERS) + """
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS rank,
+       CAST(to_json({'id': id, 'user_id': user_id, 'amount': CAST(amount AS DOUBLE), 'category': category,
+                     'type': type, 'description': description, 'date': strftime(date, '%Y-%m-%d')}) AS VARCHAR) AS json
+FROM txo"""
