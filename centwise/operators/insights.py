@@ -148,76 +148,98 @@ def context_alerts(fact: DataFrame, users: DataFrame, usage: DataFrame) -> DataF
 
 # ---- RUL9 ------------------------------------------------------------------------
 
-def _sugg(df: DataFrame, priority: int, ord_col, typ: str, title, message) -> DataFrame:
-    return df.select("user_id", F.lit(priority).alias("priority"), ord_col.cast("int").alias("ord"),
-                     F.lit(typ).alias("type"), title.alias("title"), message.alias("message"))
+SUGGESTION = "struct<p:int,o:int,type:string,title:string,message:string>"
+
+
+def _s(cond: F.Column, priority: int, order, typ: str, title, message) -> F.Column:
+    """One suggestion as a struct, or NULL when its rule does not fire."""
+    return F.when(cond, F.struct(F.lit(priority).alias("p"), F.lit(order).cast("int").alias("o")
+                                 if isinstance(order, int) else order.cast("int").alias("o"),
+                                 F.lit(typ).alias("type"), (F.lit(title) if isinstance(title, str) else title)
+                                 .alias("title"), (F.lit(message) if isinstance(message, str) else message)
+                                 .alias("message")))
 
 
 def personalized_suggestions(fact: DataFrame, users: DataFrame, usage: DataFrame, k: int = 5) -> DataFrame:
-    """RUL9: prioritised savings suggestions for the latest present month, at most k."""
-    cur = latest_two_summaries(fact)
-    inc, exp = F.col("inc"), F.col("exp")
-    sr = rnd(pct(inc - exp, inc))
-    s100 = _sugg(cur.filter((inc > 0) & (sr < 20)), 100, F.lit(0), "warning", F.lit("Low Savings Rate"),
-                 F.concat(F.lit("Your savings this month are "), fmt(sr, 1),
-                          F.lit("% of income. Set a target of at least 20% and cap non-essential spending.")))
-    er = div(exp, inc)
-    s95 = _sugg(cur.filter((inc > 0) & (er > 0.8)), 95, F.lit(0), "danger", F.lit("Overspending Risk"),
-                F.concat(F.lit("Expenses are "), fmt(er * 100.0, 1),
-                         F.lit("% of your income this month. Delay optional purchases until savings recover.")))
+    """RUL9: prioritised savings suggestions for the latest present month, at most k.
+
+    All inputs are per-user and bounded (latest/previous month summary, the
+    top-5 shares, the top-5 increases as one array, the top budget usage), so
+    they are joined into one row per user; every rule is a ``when`` producing a
+    struct, the rules are sorted by (priority desc, append order) inside the
+    array, and one ``posexplode`` emits the ranked rows."""
+    cur = latest_two_summaries(fact).withColumn("has", F.lit(True))
     top = top_categories_latest(fact, 5)
     shares = top.groupBy("user_id").agg(
         F.max(F.when(F.col("category") == "Food", F.col("share_of_current_expense"))).alias("food"),
         F.max(F.when(F.col("category") == "Shopping", F.col("share_of_current_expense"))).alias("shopping"),
         F.max(F.when(F.col("category") == "Entertainment", F.col("share_of_current_expense"))).alias("entertainment"))
-    sh = cur.select("user_id", "inc").join(shares, "user_id")
-    s90 = _sugg(sh.filter((F.col("inc") > 0) & (F.col("food") > 30.0)), 90, F.lit(0), "warning",
-                F.lit("High Food Spending"),
-                F.concat(F.lit("Food spending is "), fmt("food", 1),
-                         F.lit("% of your current month expenses. Consider reducing restaurant and delivery orders.")))
-    incs = category_increases(fact, 5)
-    s80 = _sugg(incs.filter(F.col("change_percent") > 20.0), 80, F.col("rank"), "warning",
-                F.concat(F.col("category"), F.lit(" Is Rising")),
-                F.concat(F.col("category"), F.lit(" increased by "), fmt("change_percent", 1),
-                         F.lit("% versus last month (Rs. "), fmt("previous", 2), F.lit(" to Rs. "),
-                         fmt("current", 2), F.lit(").")))
-    disc = shares.select("user_id", F.explode(F.array(
-        F.struct(F.lit(0).alias("o"), F.lit("Shopping").alias("c"), F.col("shopping").alias("s")),
-        F.struct(F.lit(1).alias("o"), F.lit("Entertainment").alias("c"), F.col("entertainment").alias("s")),
-    )).alias("d")).filter(F.col("d.s") >= 18.0)
-    s75 = _sugg(disc, 75, F.col("d.o"), "info", F.lit("Discretionary Spend Check"),
-                F.concat(F.col("d.c"), F.lit(" is "), fmt("d.s", 1),
-                         F.lit("% of this month's expenses. Set a tighter weekly cap for discretionary purchases.")))
-    wt = Window.partitionBy("user_id").orderBy("rank")
-    tr = (incs.filter(F.lower("category") == "transport").withColumn("rt", F.row_number().over(wt))
-          .filter((F.col("rt") == 1) & (F.col("change_percent") > 10.0)))
-    s70 = _sugg(tr, 70, F.lit(0), "info", F.lit("Transport Cost Optimization"),
-                F.concat(F.lit("Transport spending rose "), fmt("change_percent", 1),
-                         F.lit("% month-over-month. Try route clustering, ride sharing, or public transport passes.")))
-    hb = usage.filter((F.col("rank") == 1) & (F.col("usage_percent") >= 90.0))
-    s88 = _sugg(hb, 88, F.lit(0), "danger", F.lit("Budget Limit Near"),
-                F.concat(F.col("category"), F.lit(" has used "), fmt("usage_percent", 1),
-                         F.lit("% of this month's budget. Reduce spend in this category to avoid crossing the limit.")))
-    rules = (s100.unionByName(s95).unionByName(s90).unionByName(s80).unionByName(s75)
-             .unionByName(s70).unionByName(s88))
-    quiet = cur.join(rules.select("user_id"), "user_id", "left_anti")
+    incs = category_increases(fact, 5).groupBy("user_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "category", "previous", "current", "change_percent"))).alias("incs"))
+    hb = usage.filter(F.col("rank") == 1).select("user_id", F.col("category").alias("hb_cat"),
+                                                  F.col("usage_percent").alias("hb_usage"))
+    base = users.select(F.col("id").alias("user_id")).unionByName(cur.select("user_id")).distinct()
+    d = (base.join(cur, "user_id", "left").join(shares, "user_id", "left").join(incs, "user_id", "left")
+         .join(hb, "user_id", "left"))
+    has = F.coalesce(F.col("has"), F.lit(False))
+    inc, exp = F.col("inc"), F.col("exp")
+    sr = rnd(pct(inc - exp, inc))
+    er = div(exp, inc)
+    inc_list = F.coalesce(F.col("incs"), F.array().cast(
+        "array<struct<rank:bigint,category:string,previous:double,current:double,change_percent:double>>"))
+    rising = F.transform(F.filter(inc_list, lambda x: x["change_percent"] > 20.0), lambda x: F.struct(
+        F.lit(80).alias("p"), x["rank"].cast("int").alias("o"), F.lit("warning").alias("type"),
+        F.concat(x["category"], F.lit(" Is Rising")).alias("title"),
+        F.concat(x["category"], F.lit(" increased by "), fmt(x["change_percent"], 1),
+                 F.lit("% versus last month (Rs. "), fmt(x["previous"], 2), F.lit(" to Rs. "),
+                 fmt(x["current"], 2), F.lit(")."))
+        .alias("message")))
+    transport = F.try_element_at(F.filter(inc_list, lambda x: F.lower(x["category"]) == "transport"), F.lit(1))
+    discretionary = "% of this month's expenses. Set a tighter weekly cap for discretionary purchases."
+    head = F.array(
+        _s(has & (inc > 0) & (sr < 20), 100, 0, "warning", "Low Savings Rate",
+           F.concat(F.lit("Your savings this month are "), fmt(sr, 1),
+                    F.lit("% of income. Set a target of at least 20% and cap non-essential spending."))),
+        _s(has & (inc > 0) & (er > 0.8), 95, 0, "danger", "Overspending Risk",
+           F.concat(F.lit("Expenses are "), fmt(er * 100.0, 1),
+                    F.lit("% of your income this month. Delay optional purchases until savings recover."))),
+        _s(has & (inc > 0) & (F.col("food") > 30.0), 90, 0, "warning", "High Food Spending",
+           F.concat(F.lit("Food spending is "), fmt("food", 1),
+                    F.lit("% of your current month expenses. Consider reducing restaurant and delivery orders."))),
+    )
+    tail = F.array(
+        _s(has & (F.col("shopping") >= 18.0), 75, 0, "info", "Discretionary Spend Check",
+           F.concat(F.lit("Shopping is "), fmt("shopping", 1), F.lit(discretionary))),
+        _s(has & (F.col("entertainment") >= 18.0), 75, 1, "info", "Discretionary Spend Check",
+           F.concat(F.lit("Entertainment is "), fmt("entertainment", 1), F.lit(discretionary))),
+        _s(has & transport.isNotNull() & (transport["change_percent"] > 10.0), 70, 0, "info",
+           "Transport Cost Optimization",
+           F.concat(F.lit("Transport spending rose "), fmt(transport["change_percent"], 1),
+                    F.lit("% month-over-month. Try route clustering, ride sharing, or public transport passes."))),
+        _s(has & (F.col("hb_usage") >= 90.0), 88, 0, "danger", "Budget Limit Near",
+           F.concat(F.col("hb_cat"), F.lit(" has used "), fmt("hb_usage", 1),
+                    F.lit("% of this month's budget. Reduce spend in this category to avoid crossing the limit."))),
+    )
+    nonnull = lambda a: F.filter(a, lambda x: x.isNotNull())
+    rules = nonnull(F.concat(head, rising, tail))
     delta = div(F.col("exp") - F.col("prev_exp"), "prev_exp") * 100.0
-    s50 = _sugg(quiet.filter(F.col("prev_month").isNotNull() & (F.col("inc") > 0) & (F.col("prev_exp") > 0)
-                             & (delta <= 0)), 50, F.lit(0), "success", F.lit("Good Spending Control"),
-                F.concat(F.lit("Expenses are down by "), fmt(F.abs(delta), 1),
-                         F.lit("% compared to last month. Keep this pattern to grow savings.")))
-    found = rules.unionByName(s50)
-    stable = cur.join(found.select("user_id"), "user_id", "left_anti")
-    s0 = _sugg(stable, 0, F.lit(0), "success", F.lit("Stable Month"),
-               F.lit("Your spending pattern looks balanced this month. Keep tracking transactions regularly."))
-    need = users.select(F.col("id").alias("user_id")).join(cur.select("user_id"), "user_id", "left_anti")
-    s_need = _sugg(need, 0, F.lit(0), "info", F.lit("Need More Data"),
-                   F.lit("Add income and expense transactions to unlock personalized saving suggestions."))
-    allr = found.unionByName(s0).unionByName(s_need)
-    w = Window.partitionBy("user_id").orderBy(F.col("priority").desc(), "ord")
-    return (allr.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-            .select("user_id", "rank", "priority", "type", "title", "message"))
-
+    s50 = _s(has & (F.size(rules) == 0) & F.col("prev_month").isNotNull() & (inc > 0) & (F.col("prev_exp") > 0)
+             & (delta <= 0), 50, 0, "success", "Good Spending Control",
+             F.concat(F.lit("Expenses are down by "), fmt(F.abs(delta), 1),
+                      F.lit("% compared to last month. Keep this pattern to grow savings.")))
+    found = nonnull(F.concat(rules, F.array(s50)))
+    fallback = F.array(
+        _s(has & (F.size(found) == 0), 0, 0, "success", "Stable Month",
+           "Your spending pattern looks balanced this month. Keep tracking transactions regularly."),
+        _s(~has, 0, 0, "info", "Need More Data",
+           "Add income and expense transactions to unlock personalized saving suggestions."))
+    every = nonnull(F.concat(found, fallback))
+    ranked = F.slice(F.array_sort(every, lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1)
+                                  .when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)), 1, k)
+    out = d.select("user_id", F.posexplode(ranked).alias("pos", "s"))
+    return out.select("user_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("s.p").alias("priority"),
+                      F.col("s.type").alias("type"), F.col("s.title").alias("title"),
+                      F.col("s.message").alias("message"))
 
 
 # ---- DSH1 ------------------------------------------------------------------------
