@@ -61,47 +61,49 @@ def _last_two_expense_months(fact: DataFrame) -> DataFrame:
 
 def period_suggestions(fact: DataFrame, users: DataFrame) -> DataFrame:
     """RUL4: savings < 20 %; each category > 30 % of income; month-over-month
-    expense up > 40 %; top-3 categories line; fallback; empty-data line."""
-    ut = user_totals(fact)
-    bal = F.col("income") - F.col("expense")
-    r1 = ut.filter((F.col("income") > 0) & (div(bal, "income") < 0.2)).select(
-        "user_id", F.lit(1).alias("rule"), F.lit("").alias("sub"),
-        F.concat(F.lit("Your savings are "), fmt(rnd(pct(bal, F.col("income"))), 1),
-                 F.lit("% of income. Consider a budget that protects at least 20% for savings.")).alias("message"))
+    expense up > 40 %; top-3 categories line; fallback; empty-data line.
+
+    One row per user carries its totals, its expense categories (one array,
+    bounded by the category count) and its last two expense months; the rules
+    are ``when`` columns in an array, exploded once in rule order."""
+    ut = user_totals(fact).withColumn("has", F.lit(True))
     cats = (fact.filter(F.col("type") == EXPENSE).groupBy("user_id", "category")
-            .agg(F.sum("amount").alias("amount")))
-    share = div("amount", "income")
-    r2 = cats.join(ut.filter(F.col("income") > 0).select("user_id", "income"), "user_id").filter(share > 0.30).select(
-        "user_id", F.lit(2).alias("rule"), F.col("category").alias("sub"),
-        F.concat(F.col("category"), F.lit(" spending is taking "), fmt(share * 100.0, 1),
-                 F.lit("% of your income. Review this category for possible cuts.")).alias("message"))
+            .agg(F.sum("amount").alias("amount"))
+            .groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("category", "amount"))).alias("cats")))
     two = _last_two_expense_months(fact)
+    base = users.select(F.col("id").alias("user_id")).unionByName(ut.select("user_id")).distinct()
+    d = base.join(ut, "user_id", "left").join(cats, "user_id", "left").join(two, "user_id", "left")
+    has = F.coalesce(F.col("has"), F.lit(False))
+    inc = F.col("income")
+    bal = inc - F.col("expense")
+    cat_list = F.coalesce(F.col("cats"), F.array().cast("array<struct<category:string,amount:decimal(38,2)>>"))
+    r1 = F.when(has & (inc > 0) & (div(bal, inc) < 0.2), F.concat(
+        F.lit("Your savings are "), fmt(rnd(pct(bal, inc)), 1),
+        F.lit("% of income. Consider a budget that protects at least 20% for savings.")))
+    heavy = F.transform(
+        F.filter(cat_list, lambda x: (inc > 0) & (div(x["amount"], inc) > 0.30)),
+        lambda x: F.concat(x["category"], F.lit(" spending is taking "), fmt(div(x["amount"], inc) * 100.0, 1),
+                           F.lit("% of your income. Review this category for possible cuts.")))
     up = div(F.col("cur") - F.col("prev"), "prev")
-    r3 = two.filter((F.col("prev") > 0) & (up > 0.40)).select(
-        "user_id", F.lit(3).alias("rule"), F.lit("").alias("sub"),
-        F.concat(F.lit("This month's expenses are up "), fmt(up * 100.0, 1),
-                 F.lit("% compared to last month. Investigate the categories driving the increase.")).alias("message"))
-    w = Window.partitionBy("user_id").orderBy(F.col("amount").desc(), F.col("category"))
-    top = cats.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= 3)
-    names = top.groupBy("user_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "category"))), lambda s: s["category"]),
-                     ", ").alias("names"))
-    r4 = names.select(
-        "user_id", F.lit(4).alias("rule"), F.lit("").alias("sub"),
-        F.concat(F.lit("Your top spending categories are "), F.col("names"),
-                 F.lit(". Reviewing these first will have the biggest impact.")).alias("message"))
-    rules = r1.unionByName(r2).unionByName(r3).unionByName(r4)
-    seen = fact.select("user_id").distinct()
-    fallback = seen.join(rules.select("user_id"), "user_id", "left_anti").select(
-        "user_id", F.lit(5).alias("rule"), F.lit("").alias("sub"),
-        F.lit("Your spending is balanced right now. Continue logging transactions consistently to keep insights "
-              "accurate.").alias("message"))
-    empty = users.select(F.col("id").alias("user_id")).join(seen, "user_id", "left_anti").select(
-        "user_id", F.lit(0).alias("rule"), F.lit("").alias("sub"),
-        F.lit("Add income and expense transactions to unlock personalized financial suggestions.").alias("message"))
-    allr = rules.unionByName(fallback).unionByName(empty)
-    ws = Window.partitionBy("user_id").orderBy("rule", "sub")
-    return allr.select("user_id", F.row_number().over(ws).cast("long").alias("seq"), "message")
+    r3 = F.when(has & (F.col("prev") > 0) & (up > 0.40), F.concat(
+        F.lit("This month's expenses are up "), fmt(up * 100.0, 1),
+        F.lit("% compared to last month. Investigate the categories driving the increase.")))
+    by_amount = F.array_sort(cat_list, lambda a, b: F.when(a["amount"] > b["amount"], -1)
+                             .when(a["amount"] < b["amount"], 1).when(a["category"] < b["category"], -1)
+                             .when(a["category"] > b["category"], 1).otherwise(0))
+    names = F.array_join(F.transform(F.slice(by_amount, 1, 3), lambda x: x["category"]), ", ")
+    r4 = F.when(F.size(cat_list) > 0, F.concat(
+        F.lit("Your top spending categories are "), names,
+        F.lit(". Reviewing these first will have the biggest impact.")))
+    nonnull = lambda a: F.filter(a, lambda x: x.isNotNull())
+    rules = nonnull(F.concat(F.array(r1), heavy, F.array(r3, r4)))
+    every = nonnull(F.concat(rules, F.array(
+        F.when(has & (F.size(rules) == 0),
+               F.lit("Your spending is balanced right now. Continue logging transactions consistently to keep "
+                     "insights accurate.")),
+        F.when(~has, F.lit("Add income and expense transactions to unlock personalized financial suggestions.")))))
+    return d.select("user_id", F.posexplode(every).alias("pos", "message")).select(
+        "user_id", (F.col("pos") + 1).cast("long").alias("seq"), "message")
 
 
 # ---- shared pieces of the financial context --------------------------------------
