@@ -128,24 +128,28 @@ def context_alerts(fact: DataFrame, users: DataFrame, usage: DataFrame) -> DataF
     """RUL6: latest-month expense above 80 % of income; every budget at >= 85 %.
 
     ``usage`` is ``budgets.budget_usage_latest`` (keeps the unrounded ``usage``).
-    """
-    cur = latest_two_summaries(fact)
+    One row per user: the latest summary and its high-usage budgets as one
+    array in budget order (bounded by the user's budget count); the messages
+    are built in order and exploded once."""
+    cur = latest_two_summaries(fact).withColumn("has", F.lit(True))
+    high = usage.filter((F.col("budget") > 0) & (F.col("usage") >= 85.0)).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "category", "usage", "spent", "budget"))).alias("high"))
+    base = users.select(F.col("id").alias("user_id")).unionByName(cur.select("user_id")).distinct()
+    d = base.join(cur, "user_id", "left").join(high, "user_id", "left")
+    has = F.coalesce(F.col("has"), F.lit(False))
     ratio = div("exp", "inc")
-    a1 = cur.filter((F.col("inc") > 0) & (ratio > 0.8)).select(
-        "user_id", F.lit(0).alias("grp"), F.lit(-1).alias("idx"), F.lit("").alias("category"),
-        F.concat(F.lit("Current month expenses are "), fmt(ratio * 100.0, 1),
-                 F.lit("% of income, above the 80% threshold.")).alias("message"))
-    a2 = usage.filter((F.col("budget") > 0) & (F.col("usage") >= 85.0)).select(
-        "user_id", F.lit(1).alias("grp"), "idx", "category",
-        F.concat(F.col("category"), F.lit(" budget is at "), fmt("usage", 1), F.lit("% usage this month (Rs. "),
-                 fmt("spent", 2), F.lit(" / Rs. "), fmt("budget", 2), F.lit(").")).alias("message"))
-    empty = users.select(F.col("id").alias("user_id")).join(fact.select("user_id").distinct(), "user_id",
-                                                            "left_anti").select(
-        "user_id", F.lit(0).alias("grp"), F.lit(-1).alias("idx"), F.lit("").alias("category"),
-        F.lit("Add more transactions to unlock personalized insights.").alias("message"))
-    allr = a1.unionByName(a2).unionByName(empty)
-    w = Window.partitionBy("user_id").orderBy("grp", "idx", "category")
-    return allr.select("user_id", F.row_number().over(w).cast("long").alias("seq"), "message")
+    a1 = F.when(has & (F.col("inc") > 0) & (ratio > 0.8), F.concat(
+        F.lit("Current month expenses are "), fmt(ratio * 100.0, 1), F.lit("% of income, above the 80% threshold.")))
+    a2 = F.transform(
+        F.coalesce(F.col("high"), F.array().cast(
+            "array<struct<idx:int,category:string,usage:double,spent:double,budget:double>>")),
+        lambda x: F.concat(x["category"], F.lit(" budget is at "), fmt(x["usage"], 1),
+                           F.lit("% usage this month (Rs. "), fmt(x["spent"], 2), F.lit(" / Rs. "),
+                           fmt(x["budget"], 2), F.lit(").")))
+    empty = F.when(~has, F.lit("Add more transactions to unlock personalized insights."))
+    msgs = F.filter(F.concat(F.array(a1), a2, F.array(empty)), lambda m: m.isNotNull())
+    return d.select("user_id", F.posexplode(msgs).alias("pos", "message")).select(
+        "user_id", (F.col("pos") + 1).cast("long").alias("seq"), "message")
 
 
 # ---- RUL9 ------------------------------------------------------------------------
