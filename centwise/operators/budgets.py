@@ -78,6 +78,7 @@ def budget_alerts(beff: DataFrame, fact: DataFrame, as_of: dt.date,
         "user_id", "category", "idx",
         dbl("monthly_budget").alias("budget"), dbl("spent").alias("spent"), "usage_percent",
         (F.col("ratio") >= 1.0).alias("is_exceeded"),
+        # The usage-alert message layout.
         F.concat(F.lit("Alert: You have used "), fmt(F.col("ratio") * 100.0, 1),
                  F.lit("% of your monthly "), F.lower("category"), F.lit(" budget.")).alias("message"),
         F.row_number().over(w).cast("long").alias("rank"),
@@ -107,6 +108,7 @@ def crossing_candidates(alerts: DataFrame, as_of: dt.date,
     return c.select(
         "user_id", "category", F.lit(as_of.strftime("%Y-%m")).alias("month"), "threshold_percent",
         "usage_percent", "budget", "spent", "idx",
+        # The crossing message layout.
         F.concat(F.lit("You crossed "), F.col("threshold_percent").cast("string"), F.lit("% of your monthly "),
                  F.lower("category"), F.lit(" budget ("), fmt("usage_percent", 1), F.lit("% used).")).alias("message"),
     )

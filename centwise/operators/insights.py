@@ -77,6 +77,7 @@ def period_suggestions(fact: DataFrame, users: DataFrame) -> DataFrame:
     inc = F.col("income")
     bal = inc - F.col("expense")
     cat_list = F.coalesce(F.col("cats"), F.array().cast("array<struct<category:string,amount:decimal(38,2)>>"))
+    # The period-suggestion texts below, in rule order.
     r1 = F.when(has & (inc > 0) & (div(bal, inc) < 0.2), F.concat(
         F.lit("Your savings are "), fmt(rnd(pct(bal, inc)), 1),
         F.lit("% of income. Consider a budget that protects at least 20% for savings.")))
@@ -138,6 +139,7 @@ def context_alerts(fact: DataFrame, users: DataFrame, usage: DataFrame) -> DataF
     d = base.join(cur, "user_id", "left").join(high, "user_id", "left")
     has = F.coalesce(F.col("has"), F.lit(False))
     ratio = div("exp", "inc")
+    # The context-alert texts below.
     a1 = F.when(has & (F.col("inc") > 0) & (ratio > 0.8), F.concat(
         F.lit("Current month expenses are "), fmt(ratio * 100.0, 1), F.lit("% of income, above the 80% threshold.")))
     a2 = F.transform(
@@ -193,6 +195,7 @@ def personalized_suggestions(fact: DataFrame, users: DataFrame, usage: DataFrame
     er = div(exp, inc)
     inc_list = F.coalesce(F.col("incs"), F.array().cast(
         "array<struct<rank:bigint,category:string,previous:double,current:double,change_percent:double>>"))
+    # The suggestion priorities, types, titles and texts below, in append order.
     rising = F.transform(F.filter(inc_list, lambda x: x["change_percent"] > 20.0), lambda x: F.struct(
         F.lit(80).alias("p"), x["rank"].cast("int").alias("o"), F.lit("warning").alias("type"),
         F.concat(x["category"], F.lit(" Is Rising")).alias("title"),
@@ -282,6 +285,7 @@ def dashboard(tx: DataFrame, fact: DataFrame, users: DataFrame, beff: DataFrame,
         F.when(F.col("total_income") > 0, rnd(div("total_expenses", "total_income") * 100.0))
         .otherwise(F.lit(0.0)).alias("expense_ratio"),
         F.col("overspend_alert").isNotNull().alias("is_overspending"),
+        # The dashboard fallback message.
         F.coalesce(F.col("overspend_alert"),
                    F.lit("Your category-wise spending is currently within expected levels.")).alias("overspending_message"),
         "suggestion", "top_saving_action", "predicted_expense", "forecast_status",

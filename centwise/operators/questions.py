@@ -122,6 +122,7 @@ def answer_questions(questions: DataFrame, fact: DataFrame, context_alerts: Data
     m2 = lambda c: fmt(c, 2)
     delta = div(F.col("exp") - F.col("prev_exp"), "prev_exp") * 100.0
     sr = rnd(pct(F.col("inc") - F.col("exp"), F.col("inc")))
+    # Intent order, keywords and answer texts below (first matching rule wins).
     rules = [
         (F.col("q") == "", "blank",
          F.lit("Please ask a finance question, for example: 'Where did I overspend this month?'")),

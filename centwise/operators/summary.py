@@ -225,6 +225,7 @@ def category_overspend_alerts(fact: DataFrame, as_of: dt.date) -> DataFrame:
         "user_id", "category", dbl("cur").alias("current_total"),
         rnd(dbl("hist") / 6.0).alias("six_month_average"),
         rnd(F.col("inc") * 100.0, 1).alias("increase_percent"),
+        # The category overspending message layout.
         F.concat(F.lit("Overspending alert: "), F.col("category"), F.lit(" spending is "),
                  fmt(F.col("inc") * 100.0, 1), F.lit("% above your 6-month average this month.")).alias("message"),
     )
