@@ -90,4 +90,5 @@ def chart_payload(fact: DataFrame, users: DataFrame, compare_months: int = 3) ->
         F.coalesce("monthly_spending", F.array()).alias("monthly_spending"),
         F.coalesce("savings_vs_expenses", F.array()).alias("savings_vs_expenses"),
     )
-    return d.select("user_id", payload.alias("payload")).withColumn("payload_json", F.to_json("payload"))
+    return d.select("user_id", payload.alias("payload")).withColumn(
+        "payload_json", F.to_json("payload", {"ignoreNullFields": "false"}))

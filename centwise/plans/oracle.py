@@ -663,3 +663,25 @@ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id D
        CAST(to_json({'id': id, 'user_id': user_id, 'amount': CAST(amount AS DOUBLE), 'category': category,
                      'type': type, 'description': description, 'date': strftime(date, '%Y-%m-%d')}) AS VARCHAR) AS json
 FROM txo"""
+
+
+# ---- chart payload as JSON (per-user totals stay below 1e7 here, where both engines print plain decimals) ----
+ORACLE["chart_payload"] = f"""
+WITH users_v AS (SELECT c_custkey AS id FROM customer),
+cd AS (SELECT user_id, list({{'category': category, 'amount': amount}} ORDER BY rank) AS l
+       FROM {_sub('category_distribution')} GROUP BY user_id),
+ms AS (SELECT user_id, list({{'month': month, 'amount': amount}} ORDER BY month) AS l
+       FROM {_sub('monthly_spending')} GROUP BY user_id),
+sv AS (SELECT user_id, list({{'month': month, 'income': income, 'expense': expense, 'savings': savings}} ORDER BY month) AS l
+       FROM {_sub('income_expense_savings')} GROUP BY user_id)
+SELECT s.user_id, CAST(to_json({{
+  'summary': {{'total_income': s.total_income, 'total_expenses': s.total_expenses, 'balance': s.balance,
+               'savings_rate': s.savings_rate}},
+  'prediction': {{'predicted_expense': f.predicted_expense, 'status': f.status, 'next_month': f.next_month,
+                  'months_used': f.months_used}},
+  'category_distribution': COALESCE(cd.l, []),
+  'monthly_spending': COALESCE(ms.l, []),
+  'savings_vs_expenses': COALESCE(sv.l, [])}}) AS VARCHAR) AS payload_json
+FROM {_sub('user_summary')} s
+LEFT JOIN {_sub('expense_forecast')} f ON f.user_id = s.user_id
+LEFT JOIN cd ON cd.user_id = s.user_id LEFT JOIN ms ON ms.user_id = s.user_id LEFT JOIN sv ON sv.user_id = s.user_id"""

@@ -377,7 +377,8 @@ def q_financial_context(spark, sf_dir):
 
 @register("chart_payload")
 def q_chart_payload(spark, sf_dir):
-    return ctxm.chart_payload(_shared_fact(spark, sf_dir), td.users(spark, sf_dir), 3)
+    """CHT1 as its JSON feed (the nested struct stays available from the operator)."""
+    return ctxm.chart_payload(_shared_fact(spark, sf_dir), td.users(spark, sf_dir), 3).select("user_id", "payload_json")
 
 
 DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
