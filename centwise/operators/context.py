@@ -39,8 +39,9 @@ def financial_context(fact: DataFrame, users: DataFrame, usage: DataFrame, alert
                        ["category", "amount", "share_of_current_expense"], "top_categories")
     trend = _sorted_list(mt.select("user_id", month_label("month").alias("month"), dbl("expense").alias("amount")),
                          "user_id", [F.col("month")], ["month", "amount"], "monthly_spending_trend")
-    by_month = mt.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        month_label("month"), _summary_struct("income", "expense")))).alias("monthly_summary_by_month"))
+    # entries sorted by month, so the map (and its JSON) has one fixed key order
+    by_month = mt.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        month_label("month"), _summary_struct("income", "expense"))))).alias("monthly_summary_by_month"))
     incs = _sorted_list(sm.category_increases(recent, 5), "user_id", [F.col("rank")],
                         ["category", "previous", "current", "change_percent"], "categories_increased")
     al = _sorted_list(alerts, "user_id", [F.col("seq")], ["message"], "alerts").select(
@@ -69,7 +70,8 @@ def financial_context(fact: DataFrame, users: DataFrame, usage: DataFrame, alert
     )
     d = d.withColumn("income_z", F.coalesce("income", F.lit(0).cast("decimal(18,2)"))) \
          .withColumn("expense_z", F.coalesce("expense", F.lit(0).cast("decimal(18,2)")))
-    return d.select("user_id", ctx.alias("context")).withColumn("context_json", F.to_json("context"))
+    return d.select("user_id", ctx.alias("context")).withColumn(
+        "context_json", F.to_json("context", {"ignoreNullFields": "false"}))
 
 
 def chart_payload(fact: DataFrame, users: DataFrame, compare_months: int = 3) -> DataFrame:

@@ -685,3 +685,43 @@ SELECT s.user_id, CAST(to_json({{
 FROM {_sub('user_summary')} s
 LEFT JOIN {_sub('expense_forecast')} f ON f.user_id = s.user_id
 LEFT JOIN cd ON cd.user_id = s.user_id LEFT JOIN ms ON ms.user_id = s.user_id LEFT JOIN sv ON sv.user_id = s.user_id"""
+
+
+# ---- financial context as JSON (same plain-decimal condition as the chart payload) ----
+def _summ(a: str) -> str:
+    return (f"{{'total_income': {a}.total_income, 'total_expense': {a}.total_expense, 'balance': {a}.balance, "
+            f"'savings_rate': {a}.savings_rate}}")
+
+
+ORACLE["financial_context"] = f"""
+WITH users_v AS (SELECT c_custkey AS id FROM customer),
+ms AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY month DESC) AS rk FROM {_sub('monthly_summary')}),
+top AS (SELECT user_id, list({{'category': category, 'amount': amount, 'share_of_current_expense': share_of_current_expense}}
+                             ORDER BY rank) AS l FROM {_sub('top_categories_latest')} GROUP BY user_id),
+trend AS (SELECT user_id, list({{'month': month, 'amount': total_expense}} ORDER BY month) AS l FROM ms GROUP BY user_id),
+bym AS (SELECT user_id, map_from_entries(list({{'k': month, 'v': {_summ('ms')}}} ORDER BY month)) AS m
+        FROM ms GROUP BY user_id),
+inc AS (SELECT user_id, list({{'category': category, 'previous': previous, 'current': current,
+                              'change_percent': change_percent}} ORDER BY rank) AS l
+        FROM {_sub('category_increases')} GROUP BY user_id),
+al AS (SELECT user_id, list(message ORDER BY seq) AS l FROM {_sub('context_alerts')} GROUP BY user_id),
+bu AS (SELECT user_id, list({{'category': category, 'spent': spent, 'budget': budget, 'usage_percent': usage_percent}}
+                            ORDER BY rank) AS l FROM {_sub('budget_usage_latest')} GROUP BY user_id)
+SELECT ov.user_id, CAST(to_json({{
+  'currency': 'Rs',
+  'overall': {{'total_income': ov.total_income, 'total_expense': ov.total_expenses, 'balance': ov.balance,
+               'savings_rate': ov.savings_rate}},
+  'current_month': CASE WHEN c.month IS NOT NULL THEN {{'period': c.month, 'summary': {_summ('c')}}} END,
+  'previous_month': CASE WHEN p.month IS NOT NULL THEN {{'period': p.month, 'summary': {_summ('p')}}} END,
+  'top_categories': COALESCE(top.l, []),
+  'monthly_spending_trend': COALESCE(trend.l, []),
+  'monthly_summary_by_month': COALESCE(bym.m, MAP {{}}),
+  'categories_increased': COALESCE(inc.l, []),
+  'overspending_alerts': COALESCE(al.l, []),
+  'budget_usage': COALESCE(bu.l, [])}}) AS VARCHAR) AS context_json
+FROM {_sub('user_summary')} ov
+LEFT JOIN ms c ON c.user_id = ov.user_id AND c.rk = 1
+LEFT JOIN ms p ON p.user_id = ov.user_id AND p.rk = 2
+LEFT JOIN top ON top.user_id = ov.user_id LEFT JOIN trend ON trend.user_id = ov.user_id
+LEFT JOIN bym ON bym.user_id = ov.user_id LEFT JOIN inc ON inc.user_id = ov.user_id
+LEFT JOIN al ON al.user_id = ov.user_id LEFT JOIN bu ON bu.user_id = ov.user_id"""

@@ -372,7 +372,8 @@ def q_financial_context(spark, sf_dir):
     recent = _recent(spark, fact)
     users = td.users(spark, sf_dir)
     usage = bud.budget_usage_latest(_beff(spark, sf_dir), recent)
-    return ctxm.financial_context(fact, users, usage, ins.context_alerts(recent, users, usage), recent=recent)
+    ctx = ctxm.financial_context(fact, users, usage, ins.context_alerts(recent, users, usage), recent=recent)
+    return ctx.select("user_id", "context_json")
 
 
 @register("chart_payload")
