@@ -242,7 +242,7 @@ def q_clean_transactions(spark, sf_dir):
                     _F.date_format("month", "yyyy-MM").alias("month"))
 
 
-def _expense_model(spark, sf_dir):
+def _global_categoriser(spark, sf_dir):
     """The global model: every expense row's (description, category) (SRC7)."""
     tx = td.transactions_full(spark, sf_dir).filter(_F.col("type") == "Expense")
     return cat.train(spark, cat.training_frame(None, tx))
@@ -253,7 +253,7 @@ def q_validated_transactions(spark, sf_dir):
     raw = td.raw_transactions(spark, sf_dir)
     need = raw.filter((_F.trim("category") == "") & (_F.trim("type") == "Expense")).select(
         "id", _F.trim("description").alias("description"))
-    predicted = cat.auto_categorize(spark, _expense_model(spark, sf_dir), need, key="id")
+    predicted = cat.auto_categorize(spark, _global_categoriser(spark, sf_dir), need, key="id")
     return cln.validate_transactions(raw, td.users(spark, sf_dir), predicted)
 
 
