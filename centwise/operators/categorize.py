@@ -19,14 +19,13 @@ skew-join handling splits.
 
 from __future__ import annotations
 
-import os
-import zipfile
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from centwise.functions.stop_words import ENGLISH_STOP_WORDS
+
 # Token pattern -- runs of two or more word characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -38,17 +37,9 @@ HEALTH_PATTERN = "(" + "|".join(HEALTH_KEYWORDS) + ")"
 MAX_CLASSES = 10_000
 
 
-@lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's English stop-word list, read from the Spark distribution."""
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for name in sorted(os.listdir(jars)):
-        if name.startswith("spark-mllib_") and name.endswith(".jar"):
-            with zipfile.ZipFile(os.path.join(jars, name)) as z:
-                words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-                return tuple(dict.fromkeys(words))
-    return ()
+    """Spark ML's English stop-word list (a module constant, no file access)."""
+    return ENGLISH_STOP_WORDS
 
 
 def tokens(col: F.Column) -> F.Column:

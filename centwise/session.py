@@ -9,6 +9,7 @@ folder ourselves.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,21 +41,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only when unset."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
-        sc = None
-    current = spark.conf.get(_CHECKPOINT_KEY, None) or (sc.getCheckpointDir() if sc else None)
-    if current:
-        if sc is not None and not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    scratch = tempfile.mkdtemp(prefix="centwise-ckpt-")
-    spark.conf.set(_CHECKPOINT_KEY, scratch)
-    if sc is not None:
-        sc.setCheckpointDir(scratch)
-    return scratch
+    """Return the shared checkpoint folder.  Where ``spark.checkpoint.dir`` is unset a
+    scratch folder is made, on a local master only: on a cluster a folder of one
+    machine would lose data, so that is an error."""
+    sc = spark.sparkContext
+    current = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getCheckpointDir()
+    if not current:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that driver and executors share")
+        current = tempfile.mkdtemp(prefix="centwise-ckpt-")
+        spark.conf.set(_CHECKPOINT_KEY, current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
