@@ -1,3 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from centwise.llm import lines
+
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": lines.ORACLE_SQL,
+}

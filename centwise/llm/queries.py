@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from centwise.llm.bpe import op10_byte_bpe
+from centwise.llm.lines import op4_line_dedup
+from centwise.llm.sharding import op7_sharding
 
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op7_sharding": op7_sharding,
     "op10_byte_bpe": op10_byte_bpe,
 }
