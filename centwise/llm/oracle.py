@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from centwise.llm import lines
+from centwise.llm import lines, warc
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": lines.ORACLE_SQL,
+    "op5_warc": warc.ORACLE_SQL,
 }

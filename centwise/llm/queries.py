@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from centwise.llm.bpe import op10_byte_bpe
 from centwise.llm.lines import op4_line_dedup
+from centwise.llm.simhash import op1_simhash
 from centwise.llm.sharding import op7_sharding
+from centwise.llm.warc import op5_warc
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op4_line_dedup": op4_line_dedup,
+    "op5_warc": op5_warc,
     "op7_sharding": op7_sharding,
     "op10_byte_bpe": op10_byte_bpe,
 }
