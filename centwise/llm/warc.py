@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from centwise.llm.common import pieces, read, shared_path
+from centwise.llm.common import materialize, pieces, read, shared_path
 
 MIN_REVISIT = 100
 ARC_DATE = "20010131000000"      # the capture time that made-up archives carry
@@ -73,7 +73,7 @@ def write_arc(pages: DataFrame, path: str, version: int) -> None:
                 http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n"
                         f"X-Page-Id: {'' if page_id is None else page_id}\r\n\r\n").encode() + body
                 line = arc_line(version, (url or "about:blank").translate(_BLANK_CODES), "text/html", len(http), "200",
-                                hashlib.md5(http).hexdigest(), offset, name)
+                                hashlib.md5(http).hexdigest() if version == 2 else "-", offset, name)
                 out.append(line + http)
                 offset += len(out[-1]) + 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
@@ -169,9 +169,9 @@ def arc_records(data: bytes) -> Iterator[dict]:
         yield dict(zip(fields, values)) | {"version": version, "block": block}
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
+def read_arc(spark: SparkSession, path: str, pack: bool = True) -> DataFrame:
     """(record_id, page_id, url, date, mime, payload_bytes, payload_digest, packed): ``packed`` is the
-    zlib-compressed HTTP block, the digest that of its payload."""
+    zlib-compressed HTTP block (null without ``pack``), the digest that of its payload."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "page_id", "url", "date", "mime", "payload_bytes", "payload_digest", "packed"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
@@ -190,7 +190,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{at}#{digest}')}",
                              None if page_id is None else int(page_id), r["URL"],
                              f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", r["Content-type"],
-                             len(body), digest, zlib.compress(r["block"], 1)))
+                             len(body), digest, zlib.compress(r["block"], 1) if pack else None))
                 held += len(r["block"])
                 if held > 4_000_000:
                     yield give(rows)
@@ -205,13 +205,14 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- WARC --------------------------------------------------------------------------
 
-def convert(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """``records`` with record_type and refers_to_id (of a revisit: the response's record id)."""
+def convert(records: DataFrame, heads: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """``records`` with record_type and refers_to_id (of a revisit: the response's record id).
+    ``heads`` are the same records without payloads, from which the types are chosen."""
     who = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("record_id"))
-    first = (records.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest")
+    first = (heads.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest")
              .agg(F.min(who).alias("who"), F.count("*").alias("n")).where("n > 1")
              .select("payload_digest", F.col("who.record_id").alias("refers_to_id")))
-    again = (records.select("record_id", "payload_digest").join(first, "payload_digest")
+    again = (heads.select("record_id", "payload_digest").join(first, "payload_digest")
              .where(F.col("record_id") != F.col("refers_to_id")).select("record_id", "refers_to_id"))
     return (records.join(again, "record_id", "left")
             .withColumn("record_type", F.when(F.col("refers_to_id").isNull(), "response").otherwise("revisit")))
@@ -309,8 +310,10 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
     write_arc(pages.where(odd), f"{arc}/v1", 1)
     write_arc(pages.where(~odd), f"{arc}/v2", 2)
-    write_warc(convert(read_arc(spark, f"{arc}/v*")), warc)
-    back = read_warc(spark, warc)
+    heads = materialize(spark, read_arc(spark, f"{arc}/v*", pack=False)
+                        .select("record_id", "page_id", "payload_bytes", "payload_digest"), "arc-heads")
+    write_warc(convert(read_arc(spark, f"{arc}/v*"), heads), warc)
+    back = materialize(spark, read_warc(spark, warc), "warc-heads")
     response = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"),
                                                              F.col("page_id").alias("refers_to"))
     return (back.where("record_type = 'revisit'").join(response, "refers_to_id", "left").select(*back.columns, "refers_to")
