@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from centwise.llm.bpe import op10_byte_bpe
+from centwise.llm.decontaminate import op9_decontamination
 from centwise.llm.lines import op4_line_dedup
 from centwise.llm.simhash import op1_simhash
 from centwise.llm.sharding import op7_sharding
@@ -13,5 +14,6 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_warc": op5_warc,
     "op7_sharding": op7_sharding,
+    "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
