@@ -6,6 +6,7 @@ from centwise.llm.bpe import op10_byte_bpe
 from centwise.llm.decontaminate import op9_decontamination
 from centwise.llm.lines import op4_line_dedup
 from centwise.llm.simhash import op1_simhash
+from centwise.llm.quality import op6_quality
 from centwise.llm.sharding import op7_sharding
 from centwise.llm.warc import op5_warc
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
