@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from centwise.llm.ann import op8_nearest
 from centwise.llm.bpe import op10_byte_bpe
 from centwise.llm.decontaminate import op9_decontamination
 from centwise.llm.lines import op4_line_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op8_nearest": op8_nearest,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
