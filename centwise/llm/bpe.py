@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from centwise.llm.common import pieces, read
 
 BATCH_BYTES = 64
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -175,7 +175,7 @@ def encode_distinct(new: list[bytes], vocab: Vocabulary) -> list[bytes]:
         else:
             by_size.setdefault((len(data) - 1).bit_length(), []).append(i)
     for log, members in by_size.items():
-        step = max(1, 200_000 >> log)
+        step = max(1, 60_000 >> log)
         for k in range(0, len(members), step):
             part = members[k:k + step]
             for i, ids in zip(part, merge_rows([new[i] for i in part], vocab)):
@@ -232,7 +232,7 @@ class Encoder:
         return [b"".join(map(cache.__getitem__, cut)) for cut in cuts]
 
 
-def text_groups(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def text_groups(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of some ``most`` characters, with the row at which each starts."""
     start, chars = 0, 0
     for i, text in enumerate(texts):
@@ -275,6 +275,16 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text
     return docs.mapInArrow(run, schema)
 
 
+def id_arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each row; none for a null."""
+    for i in range(len(column)):
+        yield column.slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+
+
+def bytes_of(ids: np.ndarray, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
 def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``encoded`` with ``bytes_col``: the bytes (binary) that its ids stand for; null ids give none."""
     tokens = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(vocab_path).tokens)
@@ -282,11 +292,8 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", bytes_col:
     rest = T.StructType([f for f in schema if f.name != bytes_col])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = tokens.value.__getitem__
-        for batch in pieces(batches, 128):
-            ids = batch.column(ids_col)
-            data = [b"".join(map(token, ids.slice(i, 1).flatten().to_numpy(zero_copy_only=False).tolist()))
-                    for i in range(batch.num_rows)]
+        for batch in pieces(batches, 64):
+            data = [bytes_of(ids, tokens.value) for ids in id_arrays(batch.column(ids_col))]
             yield pa.RecordBatch.from_arrays([*_kept(batch, rest), pa.array(data, pa.binary())],
                                              names=[*rest.names, bytes_col])
 
@@ -296,25 +303,26 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", bytes_col:
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """Per row: id, number of tokens, SHA-256 of the ids (little-endian u32) and of the decoded bytes."""
+def digests(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Per row: id, number of tokens, SHA-256 of the ids (little-endian u32) and of the bytes they decode to."""
+    tokens = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(vocab_path).tokens)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 128):
-            lists, data = batch.column(ids_col), batch.column(bytes_col)
-            ids = [lists.slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype("<u4") for i in range(len(lists))]
+        for batch in pieces(batches, 64):
+            arrays = list(id_arrays(batch.column(ids_col)))
             yield pa.RecordBatch.from_arrays([
-                batch.column(id_col).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(x.as_py() or b"").hexdigest() for x in data]),
+                batch.column(id_col).cast(pa.int64()), pa.array([len(x) for x in arrays], pa.int64()),
+                pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in arrays], pa.string()),
+                pa.array([hashlib.sha256(bytes_of(x, tokens.value)).hexdigest() for x in arrays], pa.string()),
             ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.select(id_col, ids_col, bytes_col).mapInArrow(run, DIGESTS)
+    return encoded.select(id_col, ids_col).mapInArrow(run, DIGESTS)
 
 
 def round_trip(docs: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
     """The digest columns of ``docs`` (doc_id, text), encoded and decoded again."""
     encoded = encode(docs.select("doc_id", "text"), vocab_path, pattern).select("doc_id", "ids")
-    return digests(decode(encoded, vocab_path))
+    return digests(encoded, vocab_path)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
