@@ -131,10 +131,10 @@ def append_new_events(spark: SparkSession, candidates: DataFrame, events_path: s
     nothing: the anti-join sees the rows the first run appended.
     """
     from centwise.schema import ALERT_EVENTS
-    try:
+    from centwise.session import path_exists
+    if path_exists(spark, events_path):
         existing = spark.read.schema(ALERT_EVENTS).parquet(events_path)
-        existing.limit(1).count()
-    except Exception:  # noqa: BLE001 - first run: no table yet
+    else:
         existing = spark.createDataFrame([], ALERT_EVENTS)
     fresh = new_crossings(candidates, existing)
     stamp = F.lit(created_at) if created_at else F.current_timestamp()

@@ -52,15 +52,9 @@ def _stop_df(spark: SparkSession, stop_words) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(w,) for w in words] or [("",)], "term string"))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Tokenising is CPU-bound: spread texts read from few splits first."""
-    from centwise.session import spread_if_narrow
-    return spread_if_narrow(df)
-
-
 def _term_counts(df: DataFrame, key: list[str], text: str, stop: DataFrame) -> DataFrame:
     """ML2 + ML3: (key, term, tf) without stop words."""
-    t = _spread(df.select(*key, text)).select(*key, F.explode(tokens(F.col(text))).alias("term"))
+    t = (df.select(*key, text)).select(*key, F.explode(tokens(F.col(text))).alias("term"))
     t = t.join(stop, "term", "left_anti")
     return t.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -165,7 +159,7 @@ def _doc_terms(spark: SparkSession, docs: DataFrame, key: str, text: str, stop_w
     every document keeps its row (and flags) without a second read of the text.
     The result is written once to the shared folder and read by each step."""
     from centwise.session import materialize
-    d = _spread(docs.select(key, text)).select(key, F.regexp_replace(F.col(text), STRIP, "").alias("_t"))
+    d = (docs.select(key, text)).select(key, F.regexp_replace(F.col(text), STRIP, "").alias("_t"))
     flag_cols = []
     if flags:
         # Per-document flags are computed *before* the explode; in the same

@@ -95,21 +95,23 @@ def validate_transactions(raw: DataFrame, users: DataFrame, predicted: DataFrame
     )
 
 
-def validate_budgets(raw_budgets: DataFrame) -> DataFrame:
-    """VAL2: budget text must be a non-negative number."""
+def validate_budgets(raw_budgets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """VAL2: budget text must be a non-negative number.  ``keep`` names columns to carry along."""
     amt = parse_amount(F.col("monthly_budget").cast("string"))
     codes = _codes((amt.isNull(), "budget_invalid"), (amt < 0, "budget_negative"))
-    t = raw_budgets.select("user_id", F.trim("category").alias("category"), amt.alias("amt"), codes.alias("codes"))
+    t = raw_budgets.select("user_id", F.trim("category").alias("category"), amt.alias("amt"), codes.alias("codes"), *keep)
     return t.select("user_id", "category", (F.size("codes") == 0).alias("is_valid"),
                     F.array_join("codes", ",").alias("error_codes"),
-                    F.col("amt").cast("double").alias("monthly_budget"))
+                    F.col("amt").cast("double").alias("monthly_budget"), *keep)
 
 
 def validate_users(raw_users: DataFrame) -> DataFrame:
     """VAL4: required name and e-mail, e-mail trimmed and lower-cased, one
-    account per e-mail (the lowest id wins; later ones are duplicates)."""
+    account per e-mail (the lowest id that is valid otherwise wins; other rows of
+    that e-mail are duplicates)."""
     t = raw_users.select("id", F.trim("name").alias("name"), F.lower(F.trim("email")).alias("email"))
-    first = t.filter(F.col("email") != "").groupBy("email").agg(F.min("id").alias("first_id"))
+    stored = (F.col("name") != "") & F.col("email").rlike(EMAIL_PATTERN)
+    first = t.filter(stored).groupBy("email").agg(F.min("id").alias("first_id"))
     t = t.join(first, "email", "left")
     codes = _codes(
         (F.coalesce(F.col("name"), F.lit("")) == "", "name_missing"),

@@ -493,7 +493,11 @@ FROM c LEFT JOIN pred ON pred.doc_id = c.id"""
 RAW_BUDGET_FORM = """form AS (
   SELECT c_custkey AS user_id, category, CAST(CAST(c_acctbal * (idx + 1) AS DECIMAL(18,2)) AS VARCHAR) AS monthly_budget,
          CAST(idx AS BIGINT) AS seq
-  FROM customer, defaults)"""
+  FROM customer, defaults
+  UNION ALL
+  SELECT c_custkey, category, CAST(CAST((idx + 1) * CASE WHEN c_custkey % 2 = 0 THEN 1000 ELSE -1 END AS DECIMAL(18,2)) AS VARCHAR),
+         CAST(idx + 100 AS BIGINT)
+  FROM customer, defaults WHERE idx % 3 = 0)"""
 
 _VB = f"""vb AS (
   SELECT user_id, category, concat_ws(',', CASE WHEN amt IS NULL THEN 'budget_invalid' END,
@@ -516,7 +520,7 @@ ORACLE["validated_users"] = f"""WITH raw AS (
   SELECT c_custkey + 1000000000, c_name, '  ' || upper(lower(c_name) || '@example.com') || ' ' FROM customer
   WHERE c_acctbal < 0),
 t AS (SELECT id, trim(name) AS name, lower(trim(email)) AS email FROM raw),
-f AS (SELECT email, min(id) AS first_id FROM t WHERE email <> '' GROUP BY email),
+f AS (SELECT email, min(id) AS first_id FROM t WHERE name <> '' AND regexp_matches(email, '{EMAIL_PATTERN}') GROUP BY email),
 c AS (SELECT t.*, concat_ws(',',
         CASE WHEN COALESCE(name, '') = '' THEN 'name_missing' END,
         CASE WHEN COALESCE(t.email, '') = '' THEN 'email_missing' END,

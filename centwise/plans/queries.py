@@ -271,8 +271,7 @@ def q_validated_users(spark, sf_dir):
 def q_budgets_upsert(spark, sf_dir):
     """SNK4: valid form rows upsert the budget table; last write wins per key."""
     form = td.raw_budget_form(spark, sf_dir)
-    valid = cln.validate_budgets(form).filter("is_valid").join(form.select("user_id", "category", "seq"),
-                                                               ["user_id", "category"])
+    valid = cln.validate_budgets(form, keep=("seq",)).filter("is_valid")
     out = bud.apply_budget_updates(td.budgets(spark, sf_dir), valid)
     return out.select("user_id", "category", _F.col("monthly_budget").cast("double").alias("monthly_budget"))
 

@@ -72,13 +72,7 @@ def materialize(spark: SparkSession, df, name: str):
     return spark.read.parquet(path)
 
 
-def spread_if_narrow(df, factor: int = 2):
-    """Round-robin ``df`` over the cluster when its input has fewer splits than
-    the cluster has cores (a small file with one row group is read by a single
-    task).  On large inputs the split count already exceeds the core count and
-    this is a no-op, so no shuffle is added at scale."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism * factor
-        return df.repartition(target) if df.rdd.getNumPartitions() < target // factor else df
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave as is
-        return df
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in its store; errors of the store are not hidden."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

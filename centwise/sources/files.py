@@ -20,13 +20,12 @@ def load_or_train(spark: SparkSession, model_path: str, training: DataFrame, cor
     The version travels with the model as a one-row ``nb_meta`` table, so the
     check works on any shared file system (no file modification times)."""
     from centwise.operators import categorize as cat
+    from centwise.session import path_exists
     meta_path = f"{model_path.rstrip('/')}/nb_meta"
-    try:
-        meta = spark.read.parquet(meta_path).select("corpus_version").collect()
-        if meta and meta[0][0] == corpus_version:
+    if path_exists(spark, meta_path):
+        meta = spark.read.parquet(meta_path).select("corpus_version").first()
+        if meta and meta[0] == corpus_version:
             return cat.load(spark, model_path)
-    except Exception:  # noqa: BLE001 - no model yet
-        pass
     model = cat.train(spark, training)
     cat.save(model, model_path)
     spark.createDataFrame([(corpus_version,)], "corpus_version string").write.mode("overwrite").parquet(meta_path)

@@ -64,9 +64,8 @@ def transactions_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("monthly salary credit").alias("description"),
         F.col("o_orderdate").cast("date").alias("date"),
     )
-    from centwise.session import spread_if_narrow
-    li = spread_if_narrow(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     expense = (
         li.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -244,14 +243,20 @@ def llm_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_budget_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A budget form per customer: category idx gets account balance x (idx + 1)
-    as text; negative balances give negative (invalid) budgets."""
+    as text; negative balances give negative (invalid) budgets.  Every third category is
+    written again, by customers of even keys with another amount, by the rest with an invalid one."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     e = c.select("c_custkey", "c_acctbal", F.explode(_default_entries()).alias("e"))
-    return e.select(
+    first = e.select(
         F.col("c_custkey").alias("user_id"), F.col("e.category").alias("category"),
         (F.col("c_acctbal") * (F.col("e.idx") + 1)).cast(MONEY).cast("string").alias("monthly_budget"),
         F.col("e.idx").cast("long").alias("seq"),
     )
+    amount = (F.col("e.idx") + 1) * F.when(F.col("c_custkey") % 2 == 0, 1000).otherwise(-1)
+    again = e.filter(F.col("e.idx") % 3 == 0).select(
+        F.col("c_custkey").alias("user_id"), F.col("e.category").alias("category"),
+        amount.cast(MONEY).cast("string").alias("monthly_budget"), (F.col("e.idx") + 100).cast("long").alias("seq"))
+    return first.union(again)
 
 
 def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:

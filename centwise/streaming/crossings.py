@@ -118,17 +118,21 @@ def _make_state_fn(thresholds: tuple[int, ...], budget_cents_default: int | None
             cents, emitted = 0, []
         out = []
         budget_cents = budget_cents_default
-        for pdf in pdfs:
-            pdf = pdf.sort_values("id")
-            if "budget_cents" in pdf.columns and len(pdf):
-                budget_cents = int(pdf["budget_cents"].iloc[0])
-            for rid, amt in zip(pdf["id"].tolist(), pdf["cents"].tolist()):
-                cents += int(amt)
-                usage = _round_usage(cents, budget_cents)
-                for t in ths:
-                    if t not in emitted and usage >= t:
-                        emitted.append(t)
-                        out.append((user_id, category, month, t, rid, cents / 100.0, usage))
+        # the batch's rows come in chunks of any order: sort them as a whole
+        rows = pd.concat([p for p in pdfs], ignore_index=True).sort_values("id")
+        if "budget_cents" in rows.columns and len(rows):
+            budget_cents = int(rows["budget_cents"].iloc[0])
+        upto = cents + rows["cents"].astype("int64").cumsum().to_numpy()
+        ids = rows["id"].to_numpy()
+        for t in [t for t in ths if t not in emitted]:
+            # candidates by the unrounded ratio with room for rounding, then the exact rule
+            near = (upto * 100.0 >= (t - 0.1) * budget_cents).nonzero()[0] if budget_cents and budget_cents > 0 else []
+            hit = next((i for i in near if _round_usage(int(upto[i]), budget_cents) >= t), None)
+            if hit is not None:
+                emitted.append(t)
+                out.append((user_id, category, month, t, int(ids[hit]), int(upto[hit]) / 100.0,
+                            _round_usage(int(upto[hit]), budget_cents)))
+        cents = int(upto[-1]) if len(upto) else cents
         state.update((cents, emitted))
         month_end = dt.datetime.strptime(month + "-01", "%Y-%m-%d")
         nxt = (month_end.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
@@ -143,6 +147,8 @@ def crossing_stream(events: DataFrame, flat_budget: float | None = None, budgets
                     thresholds: tuple[int, ...] = CROSSING_THRESHOLDS, watermark: str = "1 day") -> DataFrame:
     """STR1 + STR4 over a streaming DataFrame with id, user_id, category,
     amount, ts (timestamp).  Output: one row per new crossing (append mode)."""
+    if "type" in events.columns:                           # income is no spending
+        events = events.filter(F.col("type") == "Expense")
     s = events.withWatermark("ts", watermark)
     s = _with_budget(s, budgets, flat_budget)
     s = s.select("ts", "id", "user_id", "category", F.date_format("ts", "yyyy-MM").alias("month"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from centwise.session import shared_path
+from centwise.session import path_exists, shared_path
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -59,7 +59,6 @@ def run_foreach_batch(spark: SparkSession, stream: DataFrame, name: str, out_sch
          .option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.schema(out_schema).parquet(f"{base}/data/b*")
-    except Exception:  # noqa: BLE001 - no batch produced output
+    if not path_exists(spark, f"{base}/data"):             # no batch came
         return spark.createDataFrame([], out_schema)
+    return spark.read.schema(out_schema).parquet(f"{base}/data/b*")
