@@ -34,7 +34,8 @@ HEALTH_KEYWORDS = ["medical", "hospital", "clinic", "doctor", "pharmacy", "medic
                    "dental", "physio", "therapy", "counsel", "vaccin", "lab test", "blood test"]
 HEALTH_PATTERN = "(" + "|".join(HEALTH_KEYWORDS) + ")"
 
-MAX_CLASSES = 10_000
+# Parts of each unit step of the summed term weights in which classes are compared (see ``_unseen``).
+WEIGHT_STEPS = 4
 
 
 def english_stop_words() -> tuple[str, ...]:
@@ -47,16 +48,11 @@ def tokens(col: F.Column) -> F.Column:
     return F.regexp_extract_all(F.lower(col), F.lit(TOKEN_PATTERN), 0)
 
 
-def _stop_df(spark: SparkSession, stop_words) -> DataFrame:
+def _no_stop_word(col: F.Column, stop_words) -> F.Column:
+    """ML2: true where ``col`` is no stop word.  The list is a parameter of the caller
+    (181 words by default), tested as a hash set inside the generated code."""
     words = list(english_stop_words() if stop_words is None else stop_words)
-    return F.broadcast(spark.createDataFrame([(w,) for w in words] or [("",)], "term string"))
-
-
-def _term_counts(df: DataFrame, key: list[str], text: str, stop: DataFrame) -> DataFrame:
-    """ML2 + ML3: (key, term, tf) without stop words."""
-    t = (df.select(*key, text)).select(*key, F.explode(tokens(F.col(text))).alias("term"))
-    t = t.join(stop, "term", "left_anti")
-    return t.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return ~col.isin(words) if words else F.lit(True)
 
 
 def _normalise(w: DataFrame, key: list[str]) -> DataFrame:
@@ -100,12 +96,15 @@ def train(spark: SparkSession, training: DataFrame, stop_words=None) -> NBModel:
     """
     from centwise.session import materialize
     keyed = training.select("description", "category").dropna().withColumn("doc", _doc_key())
-    mult = keyed.groupBy("doc", "category").agg(F.count(F.lit(1)).alias("mult"))
-    mult = materialize(spark, mult, "nb_docs")
-    stop = _stop_df(spark, stop_words)
-    raw = _term_counts(keyed, ["doc", "category"], "description", stop)
+    words = F.concat(F.array(F.lit("")), F.filter(tokens(F.col("description")),
+                                                  lambda t: _no_stop_word(t, stop_words)))
+    counts = (keyed.select("doc", "category", F.explode(words).alias("term"))
+              .groupBy("doc", "category", "term").agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(spark, counts, "nb_counts")
+    mult = counts.filter(F.col("term") == "").select("doc", "category", F.col("n").alias("mult"))
+    raw = counts.filter(F.col("term") != "")
     tf = raw.join(mult, ["doc", "category"]).select(
-        "doc", "category", "term", (F.col("tf") / F.col("mult")).cast("long").alias("tf"))
+        "doc", "category", "term", (F.col("n") / F.col("mult")).cast("long").alias("tf"))
     tf = materialize(spark, tf, "nb_tf")
     n_docs = mult.count()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -168,37 +167,63 @@ def _doc_terms(spark: SparkSession, docs: DataFrame, key: str, text: str, stop_w
                      F.lower("_t").rlike(HEALTH_PATTERN).alias("health"))
         flag_cols = ["blank", "health"]
     e = d.select(key, *flag_cols, F.explode_outer(tokens(F.col("_t"))).alias("term"))
-    stop = _stop_df(spark, stop_words).withColumn("is_stop", F.lit(True))
-    e = e.join(stop, "term", "left").withColumn("term", F.when(F.col("is_stop").isNull(), F.col("term")))
+    e = e.withColumn("term", F.when(_no_stop_word(F.col("term"), stop_words), F.col("term")))
     group = [key] + (["blank", "health"] if flags else [])
     g = e.groupBy(*group, "term").agg(F.count("term").alias("tf"))
     return materialize(spark, g, "nb_doc_terms")
 
 
+def _step(sx: F.Column) -> F.Column:
+    """The step of a document's summed weights; documents without a known term have their own."""
+    return F.when(sx > 0, F.floor(sx * WEIGHT_STEPS)).otherwise(F.lit(-1))
+
+
+def _unseen(model: NBModel, sums: DataFrame) -> DataFrame:
+    """(step, category, log_prior, log_den): per step of ``sx`` the classes that can be best
+    by ``log_prior - log_den * sx`` alone.
+
+    That score is a line in ``sx``, so a class below another one at both ends of a step is
+    below it all through the step.  Few classes are left per step; steps number four per
+    unit of the longest document's summed weights."""
+    top = sums.agg(F.max(_step(F.col("sx")))).first()[0]
+    steps = F.sequence(F.lit(-1).cast("long"), F.lit(-1 if top is None else top).cast("long"))
+    c = model.prior.select("category", "log_prior", "log_den", F.explode(steps).alias("step"))
+    lo = F.greatest(F.col("step"), F.lit(0)) / WEIGHT_STEPS
+    hi = (F.col("step") + 1) / WEIGHT_STEPS
+    c = (c.withColumn("at_lo", F.col("log_prior") - F.col("log_den") * lo)
+         .withColumn("at_hi", F.col("log_prior") - F.col("log_den") * hi))
+    order = Window.partitionBy("step").orderBy(
+        F.col("at_lo").desc(), F.when(F.col("step") >= 0, F.col("at_hi")).desc(), "category")
+    above = F.max("at_hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    nth = F.row_number().over(order)
+    c = c.withColumn("above", above).withColumn("nth", nth)
+    c = c.filter((F.col("nth") == 1) | ((F.col("step") >= 0) & (F.col("at_hi") > F.col("above"))))
+    return c.select("step", "category", "log_prior", "log_den")
+
+
 def _score(spark: SparkSession, model: NBModel, dt: DataFrame, key: str) -> DataFrame:
-    """ML7 on a (key, term, tf) table; rows with a NULL term only carry the key."""
-    # bounded read: at most MAX_CLASSES + 1 rows ever reach the driver
-    classes = model.prior.select("category", "log_prior", "log_den").limit(MAX_CLASSES + 1).collect()
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{len(classes)} classes exceeds the bounded class table ({MAX_CLASSES})")
+    """ML7 on a (key, term, tf) table; rows with a NULL term only carry the key.
+
+    A document meets only the classes that share a term with it, and the few that can be
+    best without one (``_unseen``).  The latter may share a term too: their score without
+    it is lower than the one with it (every log_num is positive), so the maximum holds."""
+    from centwise.session import materialize
     tf = dt.filter(F.col("term").isNotNull())
     w = tf.join(model.vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     x = _normalise(w, [key])
     sx = x.groupBy(key).agg(F.sum("x").alias("sx"))
-    part = (x.join(model.term, "term").groupBy(key, "category")
+    sums = materialize(spark, dt.select(key).distinct().join(sx, key, "left")
+                       .select(key, F.coalesce("sx", F.lit(0.0)).alias("sx")), "nb_sums")
+    dots = (x.join(model.term, "term").groupBy(key, "category")
             .agg(F.sum(F.col("x") * F.col("log_num")).alias("dot")))
-    cls = F.array(*[F.struct(F.lit(r["category"]).alias("category"), F.lit(float(r["log_prior"])).alias("lp"),
-                             F.lit(float(r["log_den"])).alias("ld")) for r in classes])
-    keys = dt.select(key).distinct()
-    grid = keys.join(sx, key, "left").select(key, F.coalesce("sx", F.lit(0.0)).alias("sx"),
-                                             F.explode(cls).alias("c"))
-    grid = grid.select(key, "sx", F.col("c.category").alias("category"), "c.lp", "c.ld")
-    s = grid.join(part, [key, "category"], "left").select(
-        key, "category",
-        (F.col("lp") - F.col("ld") * F.col("sx") + F.coalesce(F.col("dot"), F.lit(0.0))).alias("score"))
-    wdw = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("category"))
-    best = s.withColumn("rn", F.row_number().over(wdw)).filter(F.col("rn") == 1)
-    return best.select(key, F.col("category").alias("predicted"), "score")
+    prior = model.prior.select("category", "log_prior", "log_den")
+    base = F.col("log_prior") - F.col("log_den") * F.col("sx")
+    seen = dots.join(sums, key).join(prior, "category").select(key, "category", (base + F.col("dot")).alias("score"))
+    rest = (sums.withColumn("step", _step(F.col("sx"))).join(_unseen(model, sums), "step")
+            .select(key, "category", base.alias("score")))
+    return (seen.unionByName(rest).groupBy(key)
+            .agg(F.min(F.struct((-F.col("score")).alias("low"), F.col("category"))).alias("best"))
+            .select(key, F.col("best.category").alias("predicted"), (-F.col("best.low")).alias("score")))
 
 
 def predict(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "doc_id",

@@ -155,3 +155,18 @@ def test_auto_categorize_rules(spark):
                                  "doc_id long, description string")
     got = {r.doc_id: r.category for r in cat.auto_categorize(spark, model, docs).collect()}
     assert got == {1: "Other", 2: "Health", 3: "Food", 4: "Health"}
+
+
+def test_nb_many_classes_and_equal_priors(spark):
+    """Hundreds of classes, ties and texts without a known term: the same as scoring every class."""
+    train = [(f"word{i % 37} thing{i % 11} item{i}", f"c{i % 150:03d}") for i in range(450)]
+    train += [("common word1 word2 word3 word4", "big")] * 3 + [("common thing1 " + "word5 " * 9, "big")]
+    train = list(dict.fromkeys(train))
+    docs = ["", "nothing known", "word1", "thing3 thing3", "item7 word2", "word5 " * 30, "common",
+            " ".join(f"item{i}" for i in range(200))]
+    stop = set(cat.english_stop_words())
+    tdf = spark.createDataFrame(train, "description string, category string")
+    model = cat.train(spark, cat.training_frame(tdf, None))
+    ddf = spark.createDataFrame(list(enumerate(docs)), "doc_id long, description string")
+    got = {r.doc_id: r.predicted for r in cat.predict(spark, model, ddf).collect()}
+    assert [got[i] for i in range(len(docs))] == _brute_nb(train, docs, stop)
