@@ -45,16 +45,15 @@ def latest_month(fact: DataFrame) -> DataFrame:
     return fact.groupBy("user_id").agg(F.max("month").alias("latest_month"))
 
 
-def filter_month(tx: DataFrame, month: str) -> DataFrame:
-    """FIL2: one calendar month given as 'YYYY-MM' (range predicate, pushable)."""
-    start = dt.date.fromisoformat(month + "-01")
-    return tx.filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.add_months(F.lit(start), 1)))
+def filter_range(tx: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Days from ``start`` to before ``end``: a range on the date that reaches the parquet scan."""
+    return tx.filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
 
 
-def filter_year(tx: DataFrame, year: str) -> DataFrame:
-    """FIL3: one calendar year given as 'YYYY'."""
-    start = dt.date(int(year), 1, 1)
-    return tx.filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(dt.date(int(year) + 1, 1, 1))))
+def month_start(as_of: dt.date, shift: int = 0) -> dt.date:
+    """The first day of the month ``shift`` months from that of ``as_of``."""
+    n = as_of.year * 12 + as_of.month - 1 + shift
+    return dt.date(n // 12, n % 12 + 1, 1)
 
 
 def filter_recent_months(tx: DataFrame, n: int) -> DataFrame:

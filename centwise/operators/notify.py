@@ -134,30 +134,31 @@ def _fold_segments(batches):
 
 
 def _mark(cooldown_us: int):
-    """Stage 3: the greedy pass inside each segment from its entry block."""
+    """Stage 3: the greedy pass inside each segment from its entry block, jumping from one
+    accepted request to the next by binary search."""
     def fn(batches):
         key, last = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            uu = pdf["user_id"].to_numpy(np.int64)
-            ss = pdf["seg"].to_numpy(np.int64)
-            tt = pdf["t"].to_numpy(np.int64)
-            eb = pdf["entry_block"].to_numpy(np.int64)
+            t_all = pdf["t"].to_numpy(np.int64)
             acc = np.zeros(len(pdf), dtype=bool)
             rem = np.zeros(len(pdf), dtype=np.int64)
-            for i in range(len(pdf)):
-                k = (uu[i], ss[i])
-                if k != key:
-                    key = k
-                    last = None if eb[i] == NO_BLOCK else int(eb[i]) - cooldown_us
-                t = int(tt[i])
-                if last is None or t - last >= cooldown_us:
-                    acc[i] = True
-                    last = t
-                else:
-                    rem[i] = max(1, (cooldown_us - (t - last)) // US)
-            yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(np.int64), "user_id": uu,
+            for a, b in _group_bounds(pdf, ["user_id", "seg"]):
+                k = (int(pdf["user_id"].iat[a]), int(pdf["seg"].iat[a]))
+                if k != key:                       # else the segment goes on from the last batch
+                    key, entry = k, int(pdf["entry_block"].iat[a])
+                    last = None if entry == NO_BLOCK else entry - cooldown_us
+                t, i = t_all[a:b], 0
+                while i < len(t):
+                    j = 0 if last is None else max(i, int(np.searchsorted(t, last + cooldown_us, side="left")))
+                    if j > i:
+                        rem[a + i:a + j] = np.maximum(1, (cooldown_us - (t[i:j] - last)) // US)
+                    if j < len(t):
+                        acc[a + j], last = True, int(t[j])
+                    i = j + 1
+            yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(np.int64),
+                                "user_id": pdf["user_id"].to_numpy(np.int64),
                                 "accepted": acc, "remaining_seconds": rem})
     return fn
 

@@ -657,8 +657,11 @@ ORACLE["transaction_lookup"] = with_(TX_ORDERS, _CHANGES) + """
 SELECT id, user_id, CAST(amount AS DOUBLE) AS amount, category, type, description, strftime(date, '%Y-%m-%d') AS date
 FROM txo WHERE EXISTS (SELECT 1 FROM changes c WHERE c.id = txo.id AND c.user_id = txo.user_id)"""
 
-ORACLE["report_transaction_counts"] = "SELECT request_id, count(*) AS monthly_transaction_count FROM (" + \
-    ORACLE["report_lines"] + ") WHERE section_no = 5 AND k_date IS NOT NULL GROUP BY request_id"
+ORACLE["report_transaction_counts"] = with_(_orp.REQ, _orp.RQ, _orp.TXALL) + """
+SELECT r.request_id, count(t.id) AS monthly_transaction_count
+FROM rq r LEFT JOIN txall t ON t.user_id = r.user_id
+  AND CASE WHEN r.report_type = 'yearly' THEN CAST(year(t.date) AS VARCHAR) = r.year ELSE t.month = r.month_start END
+GROUP BY r.request_id"""
 
 
 # ---- JSON feed (amounts stay below 1e7 here, where both engines print plain decimals) ----

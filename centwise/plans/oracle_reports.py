@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from centwise.operators.reports import MONTH_TEXT
 from centwise.plans.oracle_fixtures import EXP_MONTHS, FACT, TX_BASE, TX_FULL, USER_TOTALS, USERS, d, f, pct, r, with_
 
+# A month as YYYY-MM or YYYY-M.
+MONTH_TEXT = "^[0-9]{4}-(1[0-2]|0[1-9]|[1-9])$"
+
 REQ = """reqraw AS (
   SELECT o_orderkey AS request_id, o_custkey AS user_id,
-         CASE o_orderpriority WHEN '1-URGENT' THEN 'monthly' WHEN '2-HIGH' THEN 'Yearly ' WHEN '3-MEDIUM' THEN 'yearly' END
-           AS report_type,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'monthly' WHEN '2-HIGH' THEN 'Yearly ' WHEN '3-MEDIUM' THEN 'yearly'
+                              WHEN '5-LOW' THEN 'weekly' END AS report_type,
          CASE o_orderpriority WHEN '1-URGENT' THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m')
-                              WHEN '4-NOT SPECIFIED' THEN '' END AS month,
-         CASE o_orderpriority WHEN '2-HIGH' THEN CAST(year(o_orderdate) AS VARCHAR) WHEN '3-MEDIUM' THEN 'abcd' END AS year
-  FROM orders WHERE o_orderpriority <> '5-LOW')"""
+                              WHEN '4-NOT SPECIFIED' THEN ''
+                              WHEN '5-LOW' THEN year(o_orderdate) || '-' || month(o_orderdate) END AS month,
+         CASE o_orderpriority WHEN '2-HIGH' THEN CAST(year(o_orderdate) AS VARCHAR) WHEN '3-MEDIUM' THEN 'abcd' END AS year,
+         CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'last_month' END AS compare_range
+  FROM orders)"""
 
 RQ = f"""rq0 AS (
   SELECT request_id, user_id,
@@ -20,7 +24,9 @@ RQ = f"""rq0 AS (
          CASE WHEN regexp_matches(trim(COALESCE(month, '')), '{MONTH_TEXT}') AND NOT starts_with(trim(COALESCE(month, '')), '0000')
               THEN trim(month) ELSE '2001-01' END AS month_text,
          CASE WHEN regexp_matches(trim(COALESCE(year, '')), '^[0-9]{{4}}$') AND trim(year) <> '0000'
-              THEN trim(year) ELSE '2001' END AS year
+              THEN trim(year) ELSE '2001' END AS year,
+         CASE WHEN lower(trim(COALESCE(compare_range, ''))) = 'last_month' THEN 1 ELSE 3 END AS compare_months,
+         COALESCE(report_type, '') = '' AS whole
   FROM reqraw),
 rq1 AS (SELECT *, make_date(CAST(split_part(month_text, '-', 1) AS INTEGER), CAST(split_part(month_text, '-', 2) AS INTEGER), 1)
                   AS month_start FROM rq0),

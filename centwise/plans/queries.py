@@ -44,6 +44,13 @@ def _fact(spark, sf_dir):
     return facts.monthly_fact(td.transactions_full(spark, sf_dir))
 
 
+def _as_of_fact(spark, sf_dir, months: int = 1):
+    """The fact of the ``months`` months that end with the as-of month."""
+    tx = facts.filter_range(td.transactions_full(spark, sf_dir), facts.month_start(AS_OF, 1 - months),
+                            facts.month_start(AS_OF, 1))
+    return facts.monthly_fact(tx)
+
+
 def _shared_fact(spark, sf_dir):
     """The monthly fact written once for jobs whose many branches all read it."""
     from centwise.session import materialize
@@ -139,7 +146,7 @@ def q_category_increases(spark, sf_dir):
 
 @register("category_overspend_alerts")
 def q_category_overspend_alerts(spark, sf_dir):
-    return summary.category_overspend_alerts(_fact(spark, sf_dir), AS_OF)
+    return summary.category_overspend_alerts(_as_of_fact(spark, sf_dir, 7), AS_OF)
 
 
 # ---- budgets (JOIN4, RUL2, RUL3, RUL7, SNK5, SNK6) ---------------------------------
@@ -160,7 +167,7 @@ def q_budgets_with_defaults(spark, sf_dir):
 
 @register("budget_alerts")
 def q_budget_alerts(spark, sf_dir):
-    return bud.budget_alerts(_beff(spark, sf_dir), _fact(spark, sf_dir), AS_OF).drop("idx")
+    return bud.budget_alerts(_beff(spark, sf_dir), _as_of_fact(spark, sf_dir), AS_OF).drop("idx")
 
 
 @register("budget_usage_latest")
@@ -170,11 +177,16 @@ def q_budget_usage_latest(spark, sf_dir):
 
 @register("budget_crossings_new")
 def q_budget_crossings_new(spark, sf_dir):
-    """Crossings at month end that the mid-month run (data up to the 15th) had not emitted."""
-    tx = td.transactions_full(spark, sf_dir)
+    """Crossings at month end that the mid-month run (data up to the 15th) had not emitted.
+    One aggregate gives both sums; it is written once, both runs read it."""
+    from centwise.session import materialize
+    tx = facts.filter_range(td.transactions_full(spark, sf_dir), facts.month_start(AS_OF), facts.month_start(AS_OF, 1))
+    both = materialize(spark, tx.groupBy("user_id", "month", "type", "category").agg(
+        _F.sum("amount").alias("amount"),
+        _F.sum(_F.when(_F.col("date") <= _F.lit(MID_MONTH), _F.col("amount"))).alias("mid")), "month_fact")
     beff = _beff(spark, sf_dir)
-    now = bud.crossing_candidates(bud.budget_alerts(beff, facts.monthly_fact(tx), AS_OF), AS_OF)
-    mid_fact = facts.monthly_fact(tx.filter(_F.col("date") <= _F.lit(MID_MONTH)))
+    now = bud.crossing_candidates(bud.budget_alerts(beff, both, AS_OF), AS_OF)
+    mid_fact = both.filter(_F.col("mid").isNotNull()).withColumn("amount", _F.col("mid"))
     earlier = bud.crossing_candidates(bud.budget_alerts(beff, mid_fact, AS_OF), AS_OF)
     return bud.new_crossings(now, earlier)
 
@@ -415,7 +427,7 @@ def q_report_lines(spark, sf_dir):
 
 @register("report_notices")
 def q_report_notices(spark, sf_dir):
-    return rep.report_notices(_report_lines(spark, sf_dir), td.users(spark, sf_dir))
+    return rep.report_notices(_fact(spark, sf_dir), td.report_requests(spark, sf_dir), td.users(spark, sf_dir), AS_OF)
 
 
 # ---- lookups, feeds, counts (SRC2, SNK10, AGG15) ------------------------------------
@@ -437,4 +449,4 @@ def q_transactions_feed(spark, sf_dir):
 
 @register("report_transaction_counts")
 def q_report_transaction_counts(spark, sf_dir):
-    return rep.transaction_counts(_report_lines(spark, sf_dir))
+    return rep.transaction_counts(_fact(spark, sf_dir), td.report_requests(spark, sf_dir), AS_OF)

@@ -313,16 +313,18 @@ def report_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     report of the order's month; high -> the yearly report of its year (type
     written ' Yearly ' to exercise normalisation); medium -> a yearly report
     with an invalid year (falls back to the as-of year); not specified -> no
-    type and a blank month (falls back to the as-of month).  Low: no request."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") != "5-LOW")
+    type and a blank month (falls back to the as-of month); low -> an unknown type
+    (read as monthly) and an unpadded month, compared with the last month."""
+    o = table(spark, sf_dir, "orders")
     p = F.col("o_orderpriority")
     d = F.col("o_orderdate").cast("date")
     return o.select(
         F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("user_id"),
         F.when(p == "1-URGENT", F.lit("monthly")).when(p == "2-HIGH", F.lit("Yearly "))
-        .when(p == "3-MEDIUM", F.lit("yearly")).alias("report_type"),
-        F.when(p == "1-URGENT", F.date_format(d, "yyyy-MM")).when(p == "4-NOT SPECIFIED", F.lit("")).alias("month"),
+        .when(p == "3-MEDIUM", F.lit("yearly")).when(p == "5-LOW", F.lit("weekly")).alias("report_type"),
+        F.when(p == "1-URGENT", F.date_format(d, "yyyy-MM")).when(p == "4-NOT SPECIFIED", F.lit(""))
+        .when(p == "5-LOW", F.concat_ws("-", F.year(d).cast("string"), F.month(d).cast("string"))).alias("month"),
         F.when(p == "2-HIGH", F.year(d).cast("string")).when(p == "3-MEDIUM", F.lit("abcd")).alias("year"),
-        F.when(p == "1-URGENT", F.lit("last_month")).alias("compare_range"),
+        F.when(p.isin("1-URGENT", "5-LOW"), F.lit("last_month")).alias("compare_range"),
         F.col("o_orderdate").cast("timestamp").alias("requested_at"),
     )
