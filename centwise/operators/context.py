@@ -74,17 +74,8 @@ def financial_context(fact: DataFrame, users: DataFrame, usage: DataFrame, alert
         "context_json", F.to_json("context", {"ignoreNullFields": "false"}))
 
 
-def chart_payload(fact: DataFrame, users: DataFrame, compare_months: int = 3) -> DataFrame:
-    """CHT1: summary, forecast, category distribution, monthly spending and the
-    income / expense / savings comparison over the last N data months."""
-    s = sm.user_summary(fact, users)
-    f = fc.expense_forecast(fact, users)
-    cd = _sorted_list(sm.category_distribution(fact), "user_id", [F.col("rank")], ["category", "amount"],
-                      "category_distribution")
-    ms = _sorted_list(sm.monthly_spending(fact), "user_id", [F.col("month")], ["month", "amount"], "monthly_spending")
-    sv = _sorted_list(sm.income_expense_savings(fact, compare_months), "user_id", [F.col("month")],
-                      ["month", "income", "expense", "savings"], "savings_vs_expenses")
-    d = s.join(f, "user_id", "left").join(cd, "user_id", "left").join(ms, "user_id", "left").join(sv, "user_id", "left")
+def _payload(d: DataFrame, *keys: str) -> DataFrame:
+    """The payload struct and its JSON text from the joined parts."""
     payload = F.struct(
         F.struct("total_income", "total_expenses", "balance", "savings_rate").alias("summary"),
         F.struct("predicted_expense", "status", "next_month", "months_used").alias("prediction"),
@@ -92,5 +83,52 @@ def chart_payload(fact: DataFrame, users: DataFrame, compare_months: int = 3) ->
         F.coalesce("monthly_spending", F.array()).alias("monthly_spending"),
         F.coalesce("savings_vs_expenses", F.array()).alias("savings_vs_expenses"),
     )
-    return d.select("user_id", payload.alias("payload")).withColumn(
+    return d.select(*keys, payload.alias("payload")).withColumn(
         "payload_json", F.to_json("payload", {"ignoreNullFields": "false"}))
+
+
+def _spending_parts(fact: DataFrame, users: DataFrame) -> DataFrame:
+    """Summary, category distribution and monthly spending of each row of ``users``."""
+    cd = _sorted_list(sm.category_distribution(fact), "user_id", [F.col("rank")], ["category", "amount"],
+                      "category_distribution")
+    ms = _sorted_list(sm.monthly_spending(fact), "user_id", [F.col("month")], ["month", "amount"], "monthly_spending")
+    return sm.user_summary(fact, users).join(cd, "user_id", "left").join(ms, "user_id", "left")
+
+
+def _savings(fact: DataFrame, months: int, name: str = "savings_vs_expenses") -> DataFrame:
+    return _sorted_list(sm.income_expense_savings(fact, months), "user_id", [F.col("month")],
+                        ["month", "income", "expense", "savings"], name)
+
+
+def chart_payload(fact: DataFrame, users: DataFrame, compare_months: int = 3) -> DataFrame:
+    """CHT1: summary, forecast, category distribution, monthly spending and the
+    income / expense / savings comparison over the last N data months."""
+    d = (_spending_parts(fact, users).join(fc.expense_forecast(fact, users), "user_id", "left")
+         .join(_savings(fact, compare_months), "user_id", "left"))
+    return _payload(d, "user_id")
+
+
+def chart_payloads(fact: DataFrame, requests: DataFrame, users: DataFrame, as_of) -> DataFrame:
+    """CHT1 / SNK11 per request: spending of the request's month or year (of all history where
+    the request names no report type), the comparison over its user's last 1 or 3 data months,
+    the forecast over all of the user's history.  Requests meet the monthly fact by (user,
+    month), (user, year) or user, never single transactions."""
+    from centwise.operators.reports import normalize_requests
+    whole = requests.select("request_id", (F.coalesce("report_type", F.lit("")) == "").alias("whole"))
+    reqs = normalize_requests(requests, as_of).join(whole, "request_id")
+    part = lambda cond, *cols: reqs.filter(cond).select("request_id", "user_id", *cols)
+    yearly = F.col("report_type") == "yearly"
+    years = fact.withColumn("year", F.year("month").cast("string"))
+    cols = ["request_id", "month", "type", "category", "amount", "n_tx"]
+    scoped = (fact.join(part(F.col("whole")), "user_id").select(*cols)
+              .unionByName(fact.join(part(~F.col("whole") & ~yearly, F.col("month_start").alias("month")),
+                                     ["user_id", "month"]).select(*cols))
+              .unionByName(years.join(part(~F.col("whole") & yearly, "year"), ["user_id", "year"]).select(*cols))
+              .withColumnRenamed("request_id", "user_id"))
+    parts = _spending_parts(scoped, reqs.select(F.col("request_id").alias("id"))).withColumnRenamed("user_id", "request_id")
+    d = (reqs.select("request_id", "user_id", "compare_range").join(parts, "request_id")
+         .join(fc.expense_forecast(fact, users), "user_id", "left")
+         .join(_savings(fact, 1, "last_1"), "user_id", "left").join(_savings(fact, 3, "last_3"), "user_id", "left"))
+    d = d.withColumn("savings_vs_expenses", F.when(F.col("compare_range") == "last_month", F.col("last_1"))
+                     .otherwise(F.col("last_3")))
+    return _payload(d, "request_id", "user_id")

@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from centwise.functions.columns import dbl, month_label, rnd
+from centwise.functions.columns import EXPENSE, dbl, month_label, rnd
 from centwise.operators.facts import expense_months
 
 # Forecast status codes.
 INSUFFICIENT = "insufficient-data"
 NO_EXPENSES = "no-expenses"
+INVALID_DATES = "invalid-dates"
 LIMITED = "limited-history"
 PREDICTED = "predicted"
 
@@ -30,7 +31,7 @@ PREDICTED = "predicted"
 def monthly_index(fact: DataFrame) -> DataFrame:
     """WIN2: month index over present expense months."""
     w = Window.partitionBy("user_id").orderBy("month")
-    return expense_months(fact).withColumn("x", F.row_number().over(w) - 1)
+    return expense_months(fact).filter(F.col("month").isNotNull()).withColumn("x", F.row_number().over(w) - 1)
 
 
 def expense_forecast(fact: DataFrame, users: DataFrame) -> DataFrame:
@@ -42,15 +43,16 @@ def expense_forecast(fact: DataFrame, users: DataFrame) -> DataFrame:
         F.sum(F.col("x") * y).cast("decimal(38,2)").alias("sxy"),
         F.max("month").alias("last_month"),
     )
-    seen = fact.select("user_id").distinct().withColumn("has_rows", F.lit(True))
+    seen = fact.groupBy("user_id").agg(F.max(F.col("type") == EXPENSE).alias("has_expenses"))
     t = users.select(F.col("id").alias("user_id")).join(seen, "user_id", "left").join(g, "user_id", "left")
     n = F.col("n")
     two_plus = n >= 2
     pred_num = F.col("sxy") * 6 - F.col("sy") * (F.lit(2) * (n - 1))
     slope_num = F.col("sxy") * 12 - F.col("sy") * (F.lit(6) * (n - 1))
     pred = F.greatest(dbl(pred_num) / (n * (n - 1)).cast("double"), F.lit(0.0))
-    status = (F.when(F.col("has_rows").isNull(), F.lit(INSUFFICIENT))
-              .when(n.isNull(), F.lit(NO_EXPENSES))
+    status = (F.when(F.col("has_expenses").isNull(), F.lit(INSUFFICIENT))
+              .when(~F.col("has_expenses"), F.lit(NO_EXPENSES))
+              .when(n.isNull(), F.lit(INVALID_DATES))
               .when(n == 1, F.lit(LIMITED))
               .otherwise(F.lit(PREDICTED)))
     return t.select(

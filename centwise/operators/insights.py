@@ -255,7 +255,9 @@ def personalized_suggestions(fact: DataFrame, users: DataFrame, usage: DataFrame
 
 def dashboard(tx: DataFrame, fact: DataFrame, users: DataFrame, beff: DataFrame, usage: DataFrame,
               as_of, recent: DataFrame | None = None) -> DataFrame:
-    """DSH1: one flat row per user joining the dashboard parts on user_id.
+    """DSH1: one row per user: the summary, the forecast, and as JSON text the whole lists of
+    overspending alerts, suggestions, saving actions (5 by their rule), budget alerts and the
+    latest 5 transactions; the head of each list also as a column of its own.
 
     Every part is user-sized and built from the shared monthly fact, so the
     fact's exchange is reused across branches instead of re-scanning."""
@@ -263,23 +265,30 @@ def dashboard(tx: DataFrame, fact: DataFrame, users: DataFrame, beff: DataFrame,
     from centwise.operators import forecast as fc
     from centwise.operators import summary as sm
 
+    def listed(df: DataFrame, order: str, fields: list[str], name: str, *heads: F.Column) -> DataFrame:
+        s = F.struct(F.col(order).alias("_o"), *fields)
+        rows = F.transform(F.array_sort(F.collect_list(s)), lambda x: F.struct(*[x[c].alias(c) for c in fields]))
+        return df.groupBy("user_id").agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias(name), *heads)
+
     s = sm.user_summary(fact, users)
-    alerts = sm.category_overspend_alerts(fact, as_of)
-    w = Window.partitionBy("user_id").orderBy("category")
-    first_alert = (alerts.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-                   .select("user_id", F.col("message").alias("overspend_alert")))
-    g1 = global_suggestions(fact, users).filter("seq = 1").select("user_id", F.col("message").alias("suggestion"))
-    p1 = (personalized_suggestions(fact if recent is None else recent, users, usage).filter("rank = 1")
-          .select("user_id", F.col("title").alias("top_saving_action")))
-    f = fc.expense_forecast(fact, users).select("user_id", "predicted_expense", F.col("status").alias("forecast_status"))
-    ba = bud.budget_alerts(beff, fact, as_of).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("budget_alert_count"),
-        F.min_by("category", "rank").alias("top_budget_alert"))
-    recent = sm.latest_transactions(tx, 5).groupBy("user_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))),
-                                 lambda x: x["id"].cast("string")), ",").alias("recent_ids"))
-    d = (s.join(first_alert, "user_id", "left").join(g1, "user_id", "left").join(p1, "user_id", "left")
-         .join(f, "user_id", "left").join(ba, "user_id", "left").join(recent, "user_id", "left"))
+    alerts = listed(sm.category_overspend_alerts(fact, as_of), "category",
+                    ["category", "current_total", "six_month_average", "increase_percent", "message"],
+                    "overspend_alerts", F.min_by("message", "category").alias("overspend_alert"))
+    general = listed(global_suggestions(fact, users), "seq", ["message"], "suggestions",
+                     F.min_by("message", "seq").alias("suggestion"))
+    actions = listed(personalized_suggestions(fact if recent is None else recent, users, usage), "rank",
+                     ["priority", "type", "title", "message"], "saving_actions",
+                     F.min_by("title", "rank").alias("top_saving_action"))
+    f = fc.expense_forecast(fact, users).withColumnRenamed("status", "forecast_status")
+    ba = listed(bud.budget_alerts(beff, fact, as_of), "rank",
+                ["category", "budget", "spent", "usage_percent", "is_exceeded", "message"], "budget_alerts",
+                F.count(F.lit(1)).alias("budget_alert_count"), F.min_by("category", "rank").alias("top_budget_alert"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string"))
+    latest = listed(sm.latest_transactions(tx, 5), "rank", ["id", "amount", "category", "type", "description", "date"],
+                    "recent_transactions", F.array_join(ids, ",").alias("recent_ids"))
+    d = (s.join(alerts, "user_id", "left").join(general, "user_id", "left").join(actions, "user_id", "left")
+         .join(f, "user_id", "left").join(ba, "user_id", "left").join(latest, "user_id", "left"))
+    none = lambda c: F.coalesce(F.col(c), F.lit("[]")).alias(c)
     return d.select(
         "user_id", "total_income", "total_expenses", "balance", "savings_rate",
         F.when(F.col("total_income") > 0, rnd(div("total_expenses", "total_income") * 100.0))
@@ -291,4 +300,7 @@ def dashboard(tx: DataFrame, fact: DataFrame, users: DataFrame, beff: DataFrame,
         "suggestion", "top_saving_action", "predicted_expense", "forecast_status",
         F.coalesce(F.col("budget_alert_count"), F.lit(0)).alias("budget_alert_count"),
         "top_budget_alert", F.coalesce(F.col("recent_ids"), F.lit("")).alias("recent_ids"),
+        "next_month", "months_used", "trend_slope", "average_monthly_expense",
+        none("overspend_alerts"), none("suggestions"), none("saving_actions"), none("budget_alerts"),
+        none("recent_transactions"),
     )

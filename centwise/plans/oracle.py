@@ -202,9 +202,10 @@ ORACLE["expense_forecast"] = with_(*TX_BASE, EXP_MONTHS) + f"""
 , g AS (SELECT user_id, COUNT(*) AS n, CAST(SUM(CAST(amount AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS sy,
                CAST(SUM(x * CAST(amount AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS sxy, max(month) AS last_month
         FROM ix GROUP BY user_id)
-, seen AS (SELECT DISTINCT user_id FROM fact)
+, seen AS (SELECT user_id, COUNT(*) FILTER (type = 'Expense') AS n_exp FROM fact GROUP BY user_id)
 SELECT u.id AS user_id,
-       CASE WHEN seen.user_id IS NULL THEN 'insufficient-data' WHEN g.n IS NULL THEN 'no-expenses'
+       CASE WHEN seen.user_id IS NULL THEN 'insufficient-data' WHEN seen.n_exp = 0 THEN 'no-expenses'
+            WHEN g.n IS NULL THEN 'invalid-dates'
             WHEN g.n = 1 THEN 'limited-history' ELSE 'predicted' END AS status,
        CASE WHEN g.n >= 2 THEN {r('greatest(CAST(g.sxy * 6 - g.sy * (2 * (g.n - 1)) AS DOUBLE) / CAST(g.n * (g.n - 1) AS DOUBLE), 0.0)')}
             WHEN g.n = 1 THEN {d('g.sy')} ELSE 0.0 END AS predicted_expense,
@@ -374,7 +375,12 @@ WHERE rank <= 5"""
 
 
 # ---- categoriser -------------------------------------------------------------------
-from centwise.operators.categorize import HEALTH_PATTERN, TOKEN_PATTERN, english_stop_words  # noqa: E402
+from centwise.functions.stop_words import ENGLISH_STOP_WORDS  # noqa: E402  (fixed values)
+
+# A token, and the health keywords (substring match).
+TOKEN_PATTERN = "[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+"
+HEALTH_PATTERN = ("medical|hospital|clinic|doctor|pharmacy|medicine|checkup|dental|physio|therapy|counsel|vaccin|"
+                  "lab test|blood test")
 
 
 _DOC_TRAIN = """SELECT DISTINCT text AS description, lang AS category FROM documents
@@ -382,7 +388,7 @@ _DOC_TRAIN = """SELECT DISTINCT text AS description, lang AS category FROM docum
 
 
 def _nb_model_sql(train_select: str = _DOC_TRAIN) -> str:
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words())
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
     return f"""stop AS (SELECT unnest([{stop}]) AS term),
 tdocs AS (SELECT description, category, sha256(category || chr(1) || description) AS doc
           FROM ({train_select})),
@@ -437,7 +443,10 @@ SELECT doc_id, category FROM pred"""
 
 
 # ---- cleaning and validation ---------------------------------------------------------
-from centwise.operators.clean import AMOUNT_PATTERN, DATE_PATTERN, EMAIL_PATTERN  # noqa: E402
+# Number text, date text, e-mail text.
+AMOUNT_PATTERN = "^\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"
+DATE_PATTERN = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+EMAIL_PATTERN = "^[^@\\s]+@[^@\\s]+$"
 
 RAW_TX = """raw AS (
   SELECT o_orderkey AS id, o_custkey AS user_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount,
@@ -531,12 +540,16 @@ SELECT id, name, email, error_codes = '' AS is_valid, error_codes FROM c"""
 
 
 # ---- event-driven crossings --------------------------------------------------------
-_REPLAY = f"""WITH ev AS (
-  SELECT event_id AS id, user_id, event_type AS category, strftime(CAST(ts AS DATE), '%Y-%m') AS month,
-         CAST(value AS DECIMAL(18,2)) AS amount FROM events),
+_REPLAY = with_(USERS, DEFAULTS, BUDGETS, BUDGETS_EFF) + f""", ev AS (
+  SELECT e.event_id AS id, e.user_id, b.category, strftime(CAST(e.ts AS DATE), '%Y-%m') AS month,
+         CAST(e.value AS DECIMAL(18,2)) AS amount, CAST(b.monthly_budget / 100 AS DECIMAL(18,2)) AS budget
+  FROM events e JOIN beff b ON b.user_id = e.user_id
+    AND b.category = CASE e.event_type WHEN 'purchase' THEN 'Shopping' WHEN 'view' THEN 'Entertainment'
+                                       WHEN 'click' THEN 'Food' ELSE 'Other' END
+  WHERE e.event_type <> 'signup'),
 run AS (SELECT *, SUM(amount) OVER (PARTITION BY user_id, category, month ORDER BY id
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM ev),
-u AS (SELECT *, {r('CAST(running AS DOUBLE) / CAST(CAST(600 AS DECIMAL(18,2)) AS DOUBLE) * 100.0', 1)} AS usage_percent
+u AS (SELECT *, {r('CAST(running AS DOUBLE) / CAST(budget AS DOUBLE) * 100.0', 1)} AS usage_percent
       FROM run),
 t AS (SELECT u.*, v.th FROM u, (VALUES (85), (100)) v(th) WHERE usage_percent >= v.th)
 SELECT user_id, category, month, CAST(th AS INTEGER) AS threshold_percent, id,
@@ -591,18 +604,34 @@ SELECT u.id AS user_id, s.total_income, s.total_expenses, s.balance, s.savings_r
        a.message IS NOT NULL AS is_overspending,
        COALESCE(a.message, 'Your category-wise spending is currently within expected levels.') AS overspending_message,
        g.message AS suggestion, p.title AS top_saving_action, f.predicted_expense, f.status AS forecast_status,
-       COALESCE(b.n, 0) AS budget_alert_count, b.top AS top_budget_alert, COALESCE(rc.ids, '') AS recent_ids
+       COALESCE(b.n, 0) AS budget_alert_count, b.top AS top_budget_alert, COALESCE(rc.ids, '') AS recent_ids,
+       f.next_month, f.months_used, f.trend_slope, f.average_monthly_expense,
+       COALESCE(a.l, '[]') AS overspend_alerts, COALESCE(g.l, '[]') AS suggestions,
+       COALESCE(p.l, '[]') AS saving_actions, COALESCE(b.l, '[]') AS budget_alerts,
+       COALESCE(rc.l, '[]') AS recent_transactions
 FROM users_v u
 LEFT JOIN {_sub('user_summary')} s ON s.user_id = u.id
-LEFT JOIN (SELECT user_id, arg_min(message, category) AS message FROM {_sub('category_overspend_alerts')} GROUP BY 1) a
+LEFT JOIN (SELECT user_id, arg_min(message, category) AS message, CAST(to_json(list({{'category': category,
+             'current_total': current_total, 'six_month_average': six_month_average, 'increase_percent': increase_percent,
+             'message': message}} ORDER BY category)) AS VARCHAR) AS l
+           FROM {_sub('category_overspend_alerts')} GROUP BY 1) a
   ON a.user_id = u.id
-LEFT JOIN (SELECT user_id, message FROM {_sub('global_suggestions')} WHERE seq = 1) g ON g.user_id = u.id
-LEFT JOIN (SELECT user_id, title FROM {_sub('personalized_suggestions')} WHERE rank = 1) p ON p.user_id = u.id
+LEFT JOIN (SELECT user_id, arg_min(message, seq) AS message,
+                  CAST(to_json(list({{'message': message}} ORDER BY seq)) AS VARCHAR) AS l
+           FROM {_sub('global_suggestions')} GROUP BY 1) g ON g.user_id = u.id
+LEFT JOIN (SELECT user_id, arg_min(title, rank) AS title, CAST(to_json(list({{'priority': priority, 'type': type,
+             'title': title, 'message': message}} ORDER BY rank)) AS VARCHAR) AS l
+           FROM {_sub('personalized_suggestions')} GROUP BY 1) p ON p.user_id = u.id
 LEFT JOIN {_sub('expense_forecast')} f ON f.user_id = u.id
-LEFT JOIN (SELECT user_id, count(*) AS n, arg_min(category, rank) AS top FROM {_sub('budget_alerts')} GROUP BY 1) b
+LEFT JOIN (SELECT user_id, count(*) AS n, arg_min(category, rank) AS top, CAST(to_json(list({{'category': category,
+             'budget': budget, 'spent': spent, 'usage_percent': usage_percent, 'is_exceeded': is_exceeded,
+             'message': message}} ORDER BY rank)) AS VARCHAR) AS l
+           FROM {_sub('budget_alerts')} GROUP BY 1) b
   ON b.user_id = u.id
-LEFT JOIN (SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rk) AS ids
-           FROM (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS rk
+LEFT JOIN (SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rk) AS ids, CAST(to_json(list({{'id': id,
+             'amount': CAST(amount AS DOUBLE), 'category': category, 'type': type, 'description': description,
+             'date': strftime(date, '%Y-%m-%d')}} ORDER BY rk)) AS VARCHAR) AS l
+           FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS rk
                  FROM ({with_(TX_FULL)} SELECT * FROM tx)) WHERE rk <= 5 GROUP BY 1) rc ON rc.user_id = u.id"""
 
 
@@ -694,6 +723,45 @@ LEFT JOIN {_sub('expense_forecast')} f ON f.user_id = s.user_id
 LEFT JOIN cd ON cd.user_id = s.user_id LEFT JOIN ms ON ms.user_id = s.user_id LEFT JOIN sv ON sv.user_id = s.user_id"""
 
 
+# ---- chart payload of each report request: its period, its compare range, all history for the forecast ----
+ORACLE["chart_payload_requests"] = with_(_orp.REQ, _orp.RQ, _orp.TXALL) + f""",
+scoped AS (
+  SELECT r.request_id, t.* FROM rq r JOIN txall t ON t.user_id = r.user_id
+  WHERE r.whole OR CASE WHEN r.report_type = 'yearly' THEN CAST(year(t.date) AS VARCHAR) = r.year
+                        ELSE t.month = r.month_start END),
+tot AS (SELECT r.request_id, COALESCE(SUM(CASE WHEN s.type = 'Income' THEN s.amount END), 0) AS income,
+               COALESCE(SUM(CASE WHEN s.type = 'Expense' THEN s.amount END), 0) AS expense
+        FROM rq r LEFT JOIN scoped s ON s.request_id = r.request_id GROUP BY r.request_id),
+cat AS (SELECT request_id, COALESCE(NULLIF(category, ''), 'Other') AS category, SUM(amount) AS amount
+        FROM scoped WHERE type = 'Expense' GROUP BY 1, 2),
+cd AS (SELECT request_id, list({{'category': category, 'amount': CAST(amount AS DOUBLE)}} ORDER BY amount DESC, category) AS l
+       FROM cat GROUP BY request_id),
+mon AS (SELECT request_id, month, SUM(amount) AS amount FROM scoped WHERE type = 'Expense' GROUP BY 1, 2),
+ms AS (SELECT request_id, list({{'month': {ml('month')}, 'amount': CAST(amount AS DOUBLE)}} ORDER BY month) AS l
+       FROM mon GROUP BY request_id),
+lm AS (SELECT user_id, max(month) AS latest FROM txall GROUP BY user_id),
+ies AS (SELECT t.user_id, t.month, lm.latest, COALESCE(SUM(CASE WHEN type = 'Income' THEN amount END), 0) AS income,
+               COALESCE(SUM(CASE WHEN type <> 'Income' THEN amount END), 0) AS expense
+        FROM txall t JOIN lm ON lm.user_id = t.user_id GROUP BY 1, 2, 3),
+sv AS (SELECT r.request_id, list({{'month': {ml('i.month')}, 'income': CAST(i.income AS DOUBLE),
+                                   'expense': CAST(i.expense AS DOUBLE), 'savings': CAST(i.income - i.expense AS DOUBLE)}}
+                                 ORDER BY i.month) AS l
+       FROM rq r JOIN ies i ON i.user_id = r.user_id AND i.month > i.latest - to_months(r.compare_months)
+       GROUP BY r.request_id)
+SELECT r.request_id, r.user_id, CAST(to_json({{
+  'summary': {{'total_income': CAST(tot.income AS DOUBLE), 'total_expenses': CAST(tot.expense AS DOUBLE),
+               'balance': CAST(tot.income - tot.expense AS DOUBLE),
+               'savings_rate': {r(pct('tot.income - tot.expense', 'tot.income'))}}},
+  'prediction': {{'predicted_expense': f.predicted_expense, 'status': f.status, 'next_month': f.next_month,
+                  'months_used': f.months_used}},
+  'category_distribution': COALESCE(cd.l, []),
+  'monthly_spending': COALESCE(ms.l, []),
+  'savings_vs_expenses': COALESCE(sv.l, [])}}) AS VARCHAR) AS payload_json
+FROM rq r JOIN tot USING (request_id) LEFT JOIN {_sub('expense_forecast')} f ON f.user_id = r.user_id
+LEFT JOIN cd ON cd.request_id = r.request_id LEFT JOIN ms ON ms.request_id = r.request_id
+LEFT JOIN sv ON sv.request_id = r.request_id"""
+
+
 # ---- financial context as JSON (same plain-decimal condition as the chart payload) ----
 def _summ(a: str) -> str:
     return (f"{{'total_income': {a}.total_income, 'total_expense': {a}.total_expense, 'balance': {a}.balance, "

@@ -293,15 +293,16 @@ def q_budgets_upsert(spark, sf_dir):
 
 @register("budget_crossings_replay")
 def q_budget_crossings_replay(spark, sf_dir):
-    return crs.replay_crossings(td.event_transactions(spark, sf_dir), flat_budget=td.EVENT_BUDGET)
+    tx = td.as_transactions(td.table(spark, sf_dir, "events"))
+    return crs.replay_crossings(tx, budgets=td.event_budgets(_beff(spark, sf_dir)))
 
 
 @register("stream_crossings")
 def q_stream_crossings(spark, sf_dir):
+    from centwise.session import materialize
     src = srun.file_stream(spark, sf_dir, "events", srun.EVENTS_SCHEMA)
-    ev = src.select(_F.col("event_id").alias("id"), "user_id", _F.col("event_type").alias("category"),
-                    _F.col("value").cast("decimal(18,2)").alias("amount"), _F.col("ts").cast("timestamp").alias("ts"))
-    out = crs.crossing_stream(ev, flat_budget=td.EVENT_BUDGET)
+    budgets = materialize(spark, td.event_budgets(_beff(spark, sf_dir)), "event_budgets")  # read by every batch
+    out = crs.crossing_stream(td.as_transactions(src), budgets=budgets)
     return srun.run_to_table(spark, out, "stream_crossings", crs.OUT_SCHEMA)
 
 
@@ -393,6 +394,13 @@ def q_chart_payload(spark, sf_dir):
     return ctxm.chart_payload(_shared_fact(spark, sf_dir), td.users(spark, sf_dir), 3).select("user_id", "payload_json")
 
 
+@register("chart_payload_requests")
+def q_chart_payload_requests(spark, sf_dir):
+    """The chart payload of every report request, in its period and compare range."""
+    return ctxm.chart_payloads(_shared_fact(spark, sf_dir), td.report_requests(spark, sf_dir), td.users(spark, sf_dir),
+                               AS_OF).select("request_id", "user_id", "payload_json")
+
+
 DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

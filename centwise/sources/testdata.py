@@ -17,8 +17,10 @@ from centwise.schema import DEFAULT_BUDGETS
 
 # The month the scale fixtures treat as "today".
 SCALE_AS_OF = dt.date(2001, 1, 31)
-# Event-stream fixture budget per (user, category).
-EVENT_BUDGET = 600
+# The category that each event type spends in; a sign-up is income.
+EVENT_CATEGORY: list[tuple[str, str]] = [
+    ("purchase", "Shopping"), ("view", "Entertainment"), ("click", "Food"), ("error", "Other"), ("signup", "Bills"),
+]
 
 # Expense category by part type; brand 25 is 'Other'.
 PART_TYPE_CATEGORY: list[tuple[str, str]] = [
@@ -152,21 +154,35 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def as_transactions(events: DataFrame) -> DataFrame:
+    """Events (a table or a stream) as transactions: the event type gives category and type."""
     ts = F.col("ts").cast("timestamp")
-    return ev.select(
+    category = F.lit("Other")
+    for event_type, name in EVENT_CATEGORY:
+        category = F.when(F.col("event_type") == event_type, F.lit(name)).otherwise(category)
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id"),
         F.col("value").cast(MONEY).alias("amount"),
-        F.col("event_type").alias("category"),
-        F.lit("Expense").alias("type"),
+        category.alias("category"),
+        F.when(F.col("event_type") == "signup", F.lit("Income")).otherwise(F.lit("Expense")).alias("type"),
         F.col("event_type").alias("description"),
         ts.alias("ts"),
         ts.cast("date").alias("date"),
     ).withColumn("month", month_of("date"))
 
 
+def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an expense in the category of its type's name."""
+    return as_transactions(table(spark, sf_dir, "events")).withColumn("category", F.col("description")) \
+        .withColumn("type", F.lit("Expense"))
+
+
+def event_budgets(effective: DataFrame) -> DataFrame:
+    """Each user's budgets for the event stream: a hundredth of the effective ones."""
+    return effective.select("user_id", "category", (F.col("monthly_budget") / 100).cast(MONEY).alias("monthly_budget"))
+
+
 def training_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a labelled training row (text -> description, lang -> category)."""
     d = table(spark, sf_dir, "documents")

@@ -14,13 +14,14 @@ alert uses.  Each (user, category, month, threshold) is emitted once.
 * ``crossing_stream`` is the Structured Streaming form (STR1/STR4): a custom
   stateful operator (``applyInPandasWithState``) keeps the running total and
   the thresholds already emitted per group, so its output equals the replay
-  whatever the micro-batch boundaries; an event-time timeout drops a month's
-  state once the watermark has passed the end of that month.
+  whatever the micro-batch boundaries.  A row's event time is the end of its
+  month, and the watermark stays ``GRACE`` behind the newest one: an open month
+  loses no row however late, nor does the month before it; a month's state goes
+  (event-time timeout) and rows of it are dropped once a month two later began.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
@@ -33,6 +34,8 @@ from centwise.functions.columns import MONEY, div, rnd
 from centwise.schema import CROSSING_THRESHOLDS
 
 GROUP = ["user_id", "category", "month"]
+# Longer than any month: the month before the newest one is still open.
+GRACE = "32 days"
 ID_BUCKET = 1 << 20
 
 OUT_SCHEMA = T.StructType([
@@ -120,6 +123,7 @@ def _make_state_fn(thresholds: tuple[int, ...], budget_cents_default: int | None
         budget_cents = budget_cents_default
         # the batch's rows come in chunks of any order: sort them as a whole
         rows = pd.concat([p for p in pdfs], ignore_index=True).sort_values("id")
+        closes = int(rows["closes_ms"].iloc[0])
         if "budget_cents" in rows.columns and len(rows):
             budget_cents = int(rows["budget_cents"].iloc[0])
         upto = cents + rows["cents"].astype("int64").cumsum().to_numpy()
@@ -134,9 +138,7 @@ def _make_state_fn(thresholds: tuple[int, ...], budget_cents_default: int | None
                             _round_usage(int(upto[hit]), budget_cents)))
         cents = int(upto[-1]) if len(upto) else cents
         state.update((cents, emitted))
-        month_end = dt.datetime.strptime(month + "-01", "%Y-%m-%d")
-        nxt = (month_end.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
-        state.setTimeoutTimestamp(int(nxt.replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
+        state.setTimeoutTimestamp(closes)
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
 
@@ -144,14 +146,17 @@ def _make_state_fn(thresholds: tuple[int, ...], budget_cents_default: int | None
 
 
 def crossing_stream(events: DataFrame, flat_budget: float | None = None, budgets: DataFrame | None = None,
-                    thresholds: tuple[int, ...] = CROSSING_THRESHOLDS, watermark: str = "1 day") -> DataFrame:
+                    thresholds: tuple[int, ...] = CROSSING_THRESHOLDS, watermark: str = GRACE) -> DataFrame:
     """STR1 + STR4 over a streaming DataFrame with id, user_id, category,
-    amount, ts (timestamp).  Output: one row per new crossing (append mode)."""
+    amount, ts (timestamp) and maybe type; rows without a ts are left out, and so are, where
+    ``budgets`` are given, rows of a (user, category) without a budget.
+    Output: one row per new crossing (append mode)."""
     if "type" in events.columns:                           # income is no spending
         events = events.filter(F.col("type") == "Expense")
-    s = events.withWatermark("ts", watermark)
-    s = _with_budget(s, budgets, flat_budget)
-    s = s.select("ts", "id", "user_id", "category", F.date_format("ts", "yyyy-MM").alias("month"),
+    events = events.filter(F.col("ts").isNotNull())
+    s = events.withColumn("closes", F.add_months(F.trunc("ts", "MM"), 1).cast("timestamp"))
+    s = _with_budget(s.withWatermark("closes", watermark), budgets, flat_budget)
+    s = s.select("closes", F.unix_millis("closes").alias("closes_ms"), "id", "user_id", "category", F.date_format("ts", "yyyy-MM").alias("month"),
                  (F.col("amount") * 100).cast("long").alias("cents"),
                  (F.col("budget") * 100).cast("long").alias("budget_cents"))
     default_cents = int(round(flat_budget * 100)) if flat_budget is not None else None

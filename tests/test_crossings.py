@@ -85,3 +85,51 @@ def test_stream_state_drops_closed_months(spark, tmp_path):
     assert state_rows[-1] == groups_per_month           # only the later month's groups remain
     emitted = spark.sql("select * from str4_out").select("month").distinct().collect()
     assert len(emitted) == 2                            # both months still emitted their crossings
+
+
+def _streamed(spark, tmp_path, parts, **kw):
+    """Crossings of a stream that takes one of ``parts`` (event tables) per micro-batch, with the
+    files' times in the order of the parts."""
+    folder = str(tmp_path / "in")
+    os.makedirs(folder)
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"x{i}"))
+        src = [f for f in os.listdir(tmp_path / f"x{i}") if f.endswith(".parquet")][0]
+        dst = os.path.join(folder, f"events-{i}.parquet")
+        os.link(tmp_path / f"x{i}" / src, dst)
+        os.utime(dst, (1_700_000_000 + 10 * i, 1_700_000_000 + 10 * i))
+    s = td.as_transactions(srun.file_stream(spark, folder, "events", srun.EVENTS_SCHEMA))
+    return srun.run_to_table(spark, crs.crossing_stream(s, **kw), "t_stream_x", crs.OUT_SCHEMA)
+
+
+def _events(spark, rows):
+    return spark.createDataFrame([(i, t, 1, k, v, None) for i, t, k, v in rows],
+                                 "event_id long, ts string, user_id long, event_type string, value double, props string"
+                                 ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def test_late_rows_of_an_open_month_count(spark, tmp_path):
+    """Rows weeks behind the newest one still count, in their own month and in the month before;
+    income does not."""
+    parts = [_events(spark, [(1, "2024-01-20", "click", 50.0), (2, "2024-01-20", "click", 1.0)]),
+             _events(spark, [(3, "2024-01-05", "click", 40.0), (4, "2024-01-21", "signup", 500.0)]),
+             _events(spark, [(5, "2024-02-27", "click", 10.0)]),
+             _events(spark, [(6, "2024-01-06", "click", 20.0)])]
+    got = _streamed(spark, tmp_path, parts, flat_budget=100.0)
+    assert [(r.month, r.threshold_percent, r.id) for r in got.orderBy("id", "threshold_percent").collect()] == [
+        ("2024-01", 85, 3), ("2024-01", 100, 6)]
+
+
+def test_shuffled_batch_in_small_chunks_with_budgets(spark, tmp_path):
+    rows = [(i, "2024-01-10", ["click", "view", "signup"][i % 3], 1.0 + i % 5) for i in range(300)]
+    ev = _events(spark, rows[::-1])
+    budgets = spark.createDataFrame([(1, "Food", 100.0), (1, "Entertainment", 90.0)],
+                                    "user_id long, category string, monthly_budget double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = _streamed(spark, tmp_path, [ev], budgets=budgets)
+        want = crs.replay_crossings(td.as_transactions(ev), budgets=budgets)
+        assert _rows(got) == _rows(want) and len(_rows(got)) == 4
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

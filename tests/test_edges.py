@@ -170,3 +170,17 @@ def test_nb_many_classes_and_equal_priors(spark):
     ddf = spark.createDataFrame(list(enumerate(docs)), "doc_id long, description string")
     got = {r.doc_id: r.predicted for r in cat.predict(spark, model, ddf).collect()}
     assert [got[i] for i in range(len(docs))] == _brute_nb(train, docs, stop)
+
+
+def test_forecast_status_invalid_dates(spark):
+    """FCT2: expenses that have no valid date at all; income alone is no expense."""
+    from centwise.operators.forecast import expense_forecast
+    fact = spark.createDataFrame(
+        [(1, None, "Expense", "Food", 5.0), (2, None, "Income", "Salary", 5.0), (3, "2026-01-01", "Expense", "Food", 7.0),
+         (3, None, "Expense", "Food", 9.0)],
+        "user_id long, month string, type string, category string, amount double").selectExpr(
+        "user_id", "CAST(month AS DATE) AS month", "type", "category", "CAST(amount AS DECIMAL(28,2)) AS amount")
+    users = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
+    got = {r.user_id: (r.status, r.predicted_expense) for r in expense_forecast(fact, users).collect()}
+    assert got == {1: ("invalid-dates", 0.0), 2: ("no-expenses", 0.0), 3: ("limited-history", 7.0),
+                   4: ("insufficient-data", 0.0)}
