@@ -50,28 +50,10 @@ def div(num, den) -> Column:
     return F.try_divide(dbl(num), dbl(den))
 
 
-def ratio(num, den) -> Column:
-    """num / den as double; 0 when den <= 0 (the reference's guard)."""
-    return F.when(col(den) > 0, div(num, den)).otherwise(F.lit(0.0))
-
-
 def pct(num, den) -> Column:
     return F.when(col(den) > 0, div(num, den) * 100.0).otherwise(F.lit(0.0))
 
 
-def money_sum(c) -> Column:
-    """Exact decimal sum; empty group -> 0.00."""
-    return F.coalesce(F.sum(col(c)), F.lit(0).cast(MONEY))
-
-
-def sum_if(cond: Column, c="amount") -> Column:
-    return F.coalesce(F.sum(F.when(cond, col(c))), F.lit(0).cast(MONEY))
-
-
-def zero_money() -> Column:
-    return F.lit(0).cast(MONEY)
-
-
 def month_label(c) -> Column:
     """DATE (first of month) -> 'yyyy-MM'."""
     return F.date_format(col(c), "yyyy-MM")

@@ -56,23 +56,6 @@ def month_start(as_of: dt.date, shift: int = 0) -> dt.date:
     return dt.date(n // 12, n % 12 + 1, 1)
 
 
-def filter_recent_months(tx: DataFrame, n: int) -> DataFrame:
-    """FIL4: the N calendar months ending at each user's latest data month.
-
-    The latest month comes from a partial aggregate joined back on user_id
-    (not a window over all of one user's rows), so a hot user never lands in
-    a single task; AQE splits the skewed join side.
-    """
-    if n <= 0:
-        return tx.limit(0)
-    latest = tx.groupBy("user_id").agg(F.max("month").alias("latest_month"))
-    return (
-        tx.join(latest, "user_id")
-        .filter(F.col("month") > F.add_months(F.col("latest_month"), -n))
-        .drop("latest_month")
-    )
-
-
 def expense_months(fact: DataFrame) -> DataFrame:
     """AGG4 source: monthly expense totals for months with expenses."""
     return (

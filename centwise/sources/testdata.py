@@ -132,13 +132,6 @@ def _default_entries() -> F.Column:
     ])
 
 
-def default_budgets(spark: SparkSession, scale: int = 5) -> DataFrame:
-    """The 7 default budgets as a DataFrame (reference defaults x scale)."""
-    return spark.createDataFrame(
-        [(c, float(a * scale)) for c, a in DEFAULT_BUDGETS], "category string, amount double"
-    ).select("category", F.col("amount").cast(MONEY).alias("default_budget"))
-
-
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User budgets: customer x 7 categories with some rows absent."""
     c = table(spark, sf_dir, "customer").select("c_custkey")

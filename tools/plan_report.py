@@ -11,7 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from centwise.plans.queries import QUERIES  # noqa: E402
 from centwise.session import build_session  # noqa: E402
 
 COUNTS = [
@@ -30,9 +30,10 @@ COUNTS = [
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session()
-    qs = E.queries()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     print(f"# Physical plans at {os.path.basename(sf)}\n")
-    print("Generated by `tools/plan_report.py`. Each query runs, then its final adaptive plan is searched.")
+    print("Generated by `tools/plan_report.py`. Each query runs, then its final adaptive plan is searched (not")
+    print("the plans of intermediates that it wrote before).")
     print("Counts are node occurrences in the printed plan tree: a subtree that two branches share is printed")
     print("(and counted) once per branch even when AQE reuses its exchange (`reused`). `partial_agg` counts")
     print("map-side aggregates before a shuffle, `window_limit` counts `WindowGroupLimit` (top-k trimmed before")
@@ -40,15 +41,19 @@ def main() -> None:
     print("filters pushed into parquet scans, apart from null checks.\n")
     print("| query | " + " | ".join(n for n, _ in COUNTS) + " | pushed filters |")
     print("|---|" + "---|" * (len(COUNTS) + 1))
-    for name in qs:
-        df = qs[name](spark, sf)
+    for name in QUERIES:
+        df = QUERIES[name](spark, sf)
         df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        full = df._jdf.queryExecution().toString()
+        final = df._jdf.queryExecution().executedPlan()
+        if final.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            final = final.executedPlan()           # the plan that ran, without the initial one
+        plan = final.toString()
         counts = [str(len(re.findall(p, plan))) for _, p in COUNTS]
-        pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", full)))
-        pushed = [p for p in pushed if not all(x.strip().startswith("IsNotNull") for x in p.split(","))]
-        print(f"| {name} | " + " | ".join(counts) + " | " + ("; ".join(pushed)[:160] or "-") + " |")
+        pushed = set(re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", plan))
+        pushed = [", ".join(x for x in re.split(r", (?=[A-Z])", p) if x and not x.startswith("IsNotNull"))
+                  for p in sorted(pushed)]
+        pushed = [p for p in pushed if p]
+        print(f"| {name} | " + " | ".join(counts) + " | " + ("; ".join(pushed) or "-") + " |")
     spark.stop()
 
 
