@@ -10,8 +10,9 @@ benchmark item of n words (words are ``\\w+`` of the lower-cased text; edits are
    so that edits become Hamming differences: the walk stays or steps on by a random bit of
    (repetition, step, word), which re-aligns the two walks after an edit.
 3. LSH.  Each of ``repetitions`` walks is sampled at ``SAMPLES`` steps; windows meet the items whose
-   samples agree in some repetition.  The number of repetitions follows from the target recall and
-   ``AGREE``, the share of steps on which a leak at the full edit budget still agrees.
+   samples agree in some repetition.  The share of agreeing steps falls with the length, so the number
+   of repetitions follows, for each item length, from the target recall and from how often ``LEAKS``
+   simulated leaks at the full edit budget meet their items.
 4. Verification.  The exact edit distance of the item to the best run of words around the window
    (bit-parallel, with the item's words as the bits).
 
@@ -26,10 +27,10 @@ rows; a benchmark or document table that is empty gives no matches; extra column
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -42,19 +43,40 @@ from centwise.llm.common import pieces, read
 SIMILARITY = 0.8
 RECALL = 0.99
 SAMPLES = 2
-AGREE = 0.5
+LEAKS = 128
 BLOCK_WORDS = 1_000_000
 WORD = r"\w+"
 
 
-def repetitions(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE ** SAMPLES))
-
-
 def budget(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
+@cache
+def repetitions(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """Repetitions for items of n words, from simulated leaks: distinct words, of which the whole
+    budget is replaced at even distances, ``LEAKS`` leaks from each possible first word on.  The
+    worst first word counts.  Half of the misses that ``recall`` allows is left to the error of the
+    estimate."""
+    if not recall < 1:
+        raise ValueError("recall must be below 1")
+    if not (k := budget(n, similarity)):
+        return 1                                           # equal words make equal walks
+    items = np.arange(1, LEAKS * n + 1).reshape(LEAKS, n)
+    firsts = n // k
+    leaks = np.tile(items, (firsts, 1, 1))
+    for first in range(firsts):
+        leaks[first][:, np.arange(k) * n // k + first] += LEAKS * n
+    reps = 16
+    while True:
+        own = cgk_samples(items, reps)[:, None, :]
+        met = (cgk_samples(leaks.reshape(-1, n), reps).reshape(reps, firsts, LEAKS) == own).mean(2)
+        enough = np.cumprod(1 - met, axis=0).max(1) <= (1 - recall) / 2
+        if enough[-1]:
+            return int(enough.argmax()) + 1
+        reps *= 2
+
+
 def gram_size(n: int, similarity: float) -> tuple[int, int]:
     """(q, how many of an item's q-grams a leak keeps at least) for items of n words."""
     k = budget(n, similarity)
@@ -116,7 +138,7 @@ class Index:
     """The block's items: word numbers, gram lists, LSH keys."""
 
     def __init__(self, items: list[tuple[int | None, list[str]]], similarity: float, recall: float) -> None:
-        self.similarity, self.reps = similarity, repetitions(recall)
+        self.similarity = similarity
         self.word: dict[str, int] = {}
         for _, words in items:
             for w in words:
@@ -126,6 +148,7 @@ class Index:
         self.grams: dict[int, tuple[np.ndarray, ...]] = {}
         self.gate: list[tuple[int, int]] = [gram_size(len(x), similarity) for x in self.items]
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.reps: dict[int, int] = {}
         base = len(self.word) + 1
         by_q, by_n = defaultdict(list), defaultdict(list)
         for i, x in enumerate(self.items):
@@ -137,8 +160,9 @@ class Index:
             codes, first, count = np.unique(table[:, 0], return_index=True, return_counts=True)
             self.grams[q] = (codes, first, count, table[:, 1], table[:, 2])
         for n, members in by_n.items():
-            keys = cgk_samples(np.array([self.items[i] for i in members]), self.reps)
-            flat, who = keys.ravel(), np.tile(np.array(members), self.reps)
+            reps = self.reps[n] = repetitions(n, similarity, recall)
+            keys = cgk_samples(np.array([self.items[i] for i in members]), reps)
+            flat, who = keys.ravel(), np.tile(np.array(members), reps)
             order = np.argsort(flat, kind="stable")
             self.keys[n] = (flat[order], who[order])
 
@@ -209,7 +233,7 @@ class Index:
                 for row, (t, s) in enumerate(part):
                     run = docs[t][s:s + n]
                     grid[row, :len(run)] = run
-                found = cgk_samples(grid, self.reps)
+                found = cgk_samples(grid, self.reps[n])
                 lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
                 for r, row in zip(*np.nonzero(hi > lo)):
                     for item in set(who[lo[r, row]:hi[r, row]].tolist()):

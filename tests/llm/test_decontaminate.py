@@ -81,3 +81,23 @@ def test_long_documents_and_blocks(spark, monkeypatch):
     b = spark.createDataFrame(list(enumerate(items[5:])), "item_id long, text string")
     r = dc.matches(d, b).collect()
     assert [(x.doc_id, x.item_id, x.distance, x.first_word, x.n_words) for x in r] == [(1, 6, 0, 60_000, 60)]
+
+
+def planted(n, count, rng):
+    """Items of n words and texts in which each leaks with every fifth word replaced."""
+    items = [[f"v{i}x{j}" for j in range(n)] for i in range(count)]
+    leaks = [list(x) for x in items]
+    k = dc.budget(n, .8)
+    for x in leaks:
+        for j in range(k):
+            x[j * n // k] = f"new{rng.randrange(10 ** 9)}"
+    return items, [" ".join(["before"] * 30 + x + ["after"] * 30) for x in leaks]
+
+
+def test_recall_on_long_items():
+    rng, lengths, found = random.Random(3), (94, 125, 161, 199, 245), 0
+    for n in lengths:
+        items, texts = planted(n, 120, rng)
+        matches = {(t, i) for t, i, *_ in dc.Index(list(enumerate(items)), .8, .99).search(texts)}
+        found += len(matches & {(i, i) for i in range(120)})
+    assert found >= .99 * 120 * len(lengths)
