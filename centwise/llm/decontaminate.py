@@ -9,8 +9,9 @@ benchmark item of n words (words are ``\\w+`` of the lower-cased text; edits are
 2. CGK embedding.  A random walk reads each window and each item of the same size into 3 n symbols,
    so that edits become Hamming differences: the walk stays or steps on by a random bit of
    (repetition, step, word), which re-aligns the two walks after an edit.
-3. LSH.  Each of ``repetitions`` walks is sampled at ``SAMPLES`` steps; windows meet the items whose
-   samples agree in some repetition.  The share of agreeing steps falls with the length, so the number
+3. LSH.  Each of ``repetitions`` walks is sampled at ``SAMPLES`` of the steps before the text's end
+   (padding agrees with padding and would select nothing; a walk that is early at the last word
+   stays there); windows meet the items whose samples agree in some repetition.  The share of agreeing steps falls with the length, so the number
    of repetitions follows, for each item length, from the target recall and from how often ``LEAKS``
    simulated leaks at the full edit budget meet their items.
 4. Verification.  The exact edit distance of the item to the best run of words around the window
@@ -27,6 +28,7 @@ rows; a benchmark or document table that is empty gives no matches; extra column
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -43,7 +45,7 @@ from centwise.llm.common import pieces, read
 SIMILARITY = 0.8
 RECALL = 0.99
 SAMPLES = 2
-LEAKS = 128
+LEAKS = 256
 BLOCK_WORDS = 1_000_000
 WORD = r"\w+"
 
@@ -54,29 +56,43 @@ def budget(n: int, similarity: float) -> int:
 
 @cache
 def repetitions(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """Repetitions for items of n words, from simulated leaks: distinct words, of which the whole
-    budget is replaced at even distances, ``LEAKS`` leaks from each possible first word on.  The
-    worst first word counts.  Half of the misses that ``recall`` allows is left to the error of the
-    estimate."""
+    """Repetitions for items of n words, so that the worst kind of simulated leak meets its item.
+    Half of the misses that ``recall`` allows is left to the error of the estimate."""
     if not recall < 1:
         raise ValueError("recall must be below 1")
     if not (k := budget(n, similarity)):
         return 1                                           # equal words make equal walks
     items = np.arange(1, LEAKS * n + 1).reshape(LEAKS, n)
-    firsts = n // k
-    leaks = np.tile(items, (firsts, 1, 1))
-    for first in range(firsts):
-        leaks[first][:, np.arange(k) * n // k + first] += LEAKS * n
+    kinds = simulated_leaks(items, k)
     reps = 16
     while True:
-        own = cgk_samples(items, reps)[:, None, :]
-        met = (cgk_samples(leaks.reshape(-1, n), reps).reshape(reps, firsts, LEAKS) == own).mean(2)
-        enough = np.cumprod(1 - met, axis=0).max(1) <= (1 - recall) / 2
+        own = cgk_samples(items, reps)[:, :, None]
+        met = [(cgk_samples(x.reshape(-1, n), reps).reshape(reps, *x.shape[:2]) == own[:, :len(x)]).any(2).mean(1)
+               for x in kinds]
+        enough = np.cumprod(1 - np.array(met), axis=1).max(0) <= (1 - recall) / 2
         if enough[-1]:
             return int(enough.argmax()) + 1
         reps *= 2
 
 
+def simulated_leaks(items: np.ndarray, k: int) -> list[np.ndarray]:
+    """Windows [leaks, windows, n] of items of distinct words for kinds of leaks with k edits at even
+    distances: words replaced, from each possible first word on, and words deleted, which lays a
+    window for each deletion (at most 8 of them are simulated)."""
+    count, n = items.shape
+    at = np.arange(k) * n // k
+    kinds = []
+    for first in range(n // k):
+        leaks = items.copy()
+        leaks[:, at + first] += items.max()
+        kinds.append(leaks[:, None])
+    some = items[:count // 4]
+    around = some + 2 * items.max()                        # words before and after the leak
+    long = np.concatenate([around[:, :k], np.delete(some, at, axis=1), around], axis=1)
+    starts = k - np.unique(np.linspace(1, k, min(k, 8)).astype(int))
+    return [*kinds, np.stack([long[:, s:s + n] for s in starts], axis=1)]
+
+
 def gram_size(n: int, similarity: float) -> tuple[int, int]:
     """(q, how many of an item's q-grams a leak keeps at least) for items of n words."""
     k = budget(n, similarity)
@@ -89,26 +105,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def sampled_steps(n: int) -> int:
+    """The first steps, in which a walk still reads words: it takes about 2 n steps to the text's end."""
+    return max(n, 2 * n - math.ceil(4 * math.sqrt(n)))
+
+
 def cgk_samples(words: np.ndarray, reps: int) -> np.ndarray:
     """LSH keys [reps, windows] of windows [windows, n] of word numbers (-1: past the text's end)."""
     count, n = words.shape
-    steps = 3 * n
+    steps = sampled_steps(n)
     rng = np.random.default_rng(n)
     sampled = np.zeros((reps, steps), bool)
     for r in range(reps):
-        sampled[r, rng.choice(steps, SAMPLES, replace=False)] = True
-    padded = np.concatenate([words, np.full((count, 1), -1)], axis=1).astype(np.int64)
+        sampled[r, rng.choice(steps, min(SAMPLES, steps), replace=False)] = True
+    words = words.astype(np.int64)
     at = np.zeros((reps, count), np.int64)
     keys = np.broadcast_to(np.arange(reps, dtype=np.uint64)[:, None], (reps, count)).copy()
     row = np.arange(count)
     salt = np.arange(reps, dtype=np.uint64)[:, None] << np.uint64(32)
     for step in range(steps):
-        now = padded[row, at]
+        now = words[row, at]
         picked = sampled[:, step]
         if picked.any():
             keys[picked] = _mix(keys[picked] * np.uint64(0x9E3779B97F4A7C15) + now[picked].astype(np.uint64))
         coin = _mix((now.astype(np.uint64) + np.uint64(step << 40)) ^ salt) >> np.uint64(63)
-        at = np.minimum(at + coin.astype(np.int64), n)
+        at = np.minimum(at + coin.astype(np.int64), n - 1)
     return _mix(keys + np.uint64(n << 32))
 
 

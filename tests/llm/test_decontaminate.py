@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from centwise.llm import decontaminate as dc
@@ -101,3 +102,34 @@ def test_recall_on_long_items():
         matches = {(t, i) for t, i, *_ in dc.Index(list(enumerate(items)), .8, .99).search(texts)}
         found += len(matches & {(i, i) for i in range(120)})
     assert found >= .99 * 120 * len(lengths)
+
+
+def test_recall_with_deleted_words():
+    for n in (55, 94, 161):
+        items, _ = planted(n, 100, random.Random(n))
+        drop = {j * n // dc.budget(n, .8) for j in range(dc.budget(n, .8))}
+        texts = [" ".join(["before"] * 30 + [w for j, w in enumerate(x) if j not in drop] + ["after"] * 30) for x in items]
+        found = {(t, i) for t, i, *_ in dc.Index(list(enumerate(items)), .8, .99).search(texts)}
+        assert len(found & {(i, i) for i in range(100)}) >= 99, n
+
+
+def test_recall_of_each_length():
+    rng = np.random.default_rng(5)
+    for n in [*range(5, 101), 125, 161, 199, 245]:
+        k, reps = dc.budget(n, .8), dc.repetitions(n)
+        items = rng.integers(1, 1 << 30, (200, n))
+        own = dc.cgk_samples(items, reps)
+        for first in range(n // k):
+            leaks = items.copy()
+            leaks[:, np.arange(k) * n // k + first] += 1 << 30
+            met = (own == dc.cgk_samples(leaks, reps)).mean(1)
+            assert 1 - np.prod(1 - met) >= dc.RECALL, (n, first)
+
+
+def test_unrelated_windows_rarely_meet():
+    rng = np.random.default_rng(6)
+    for n in (2, 10, 20, 30, 50, 60, 65, 80, 100, 161, 245):
+        items, others = rng.integers(1, 1 << 30, (2, 200, n))
+        reps = dc.repetitions(n)
+        met = (dc.cgk_samples(items, reps) == dc.cgk_samples(others, reps)).any(0)
+        assert met.mean() <= .01, n
