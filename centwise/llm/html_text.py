@@ -46,8 +46,11 @@ CELLS = frozenset(("td", "th"))
 GROUPS = frozenset(("tbody", "thead", "tfoot"))
 SCOPES = frozenset("table td th caption html template button object".split())
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote delimits a value directly after "=" only (if it is closed); anywhere else it is a character.
+_NAME, _IS = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*", r"[ \t\n\r\f]*=[ \t\n\r\f]*"
+_TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^ \t\n\r\f/>]*)((?:[ \t\n\r\f/]+|"
+                    rf"{_NAME}(?:{_IS}(?:\"[^\"]*\"|'[^']*'|[^ \t\n\r\f>]+)?)?)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"({_NAME})(?:{_IS}(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\r\f>]+))?)?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 

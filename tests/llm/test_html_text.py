@@ -41,6 +41,21 @@ def test_odd_markup():
     assert extract_text("<p>cut <a href='x") == "cut"
 
 
+def test_stray_quotes_and_short_comments():
+    assert extract_text("a<!-->b<!--->c<!-- no -->d<!---->e<!-- no --!>f") == "abcdef"
+    assert extract_text('<p title="unclosed>shown</p>') == "shown"
+    for page, want in (("""<a href="x"">first link</a> middle text <a href="y">second</a>""", "first link middle text second"),
+                       ("<p title=it's>visible one</p><p>we don't</p>", "visible one\n\nwe don't"),
+                       ("""<p title=x"hidden>shown</p>""", "shown"), ("<p title=a\xa0hidden>shown</p>", "shown"),
+                       ("""<a b=c="d>e</a> <i>"f"</i>""", 'e "f"'), ("""<a title = 'a > b'>g</a><b "'>h</b>""", "gh"),
+                       ("""<a ="x>y</a>"z'""", "y\"z'")):
+        plain = Words()
+        plain.feed(page)
+        plain.close()
+        assert extract_text(page) == want
+        assert re.sub(r"\s", "", want) == re.sub(r"\s", "", "".join(plain.out))
+
+
 class Words(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
