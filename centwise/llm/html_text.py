@@ -7,8 +7,10 @@ numbers and a hanging indent, preformatted text as it is, and tables as columns
 Cell lines longer than ``CELL`` characters are wrapped at blanks, so padding stays small; no text
 is cut.
 
-Invisible: comments, head, script, style, template, noscript, iframes and media fallback, hidden
-inputs, elements with the ``hidden`` attribute or an inline ``display:none`` / ``visibility:hidden``,
+Formulas (math) and the text elements of inline drawings (svg) are inline text.
+
+Invisible: comments, head, script, style, template, noscript, iframes and media fallback, annotations
+of formulas, titles, descriptions and definitions of drawings, hidden inputs, elements with the ``hidden`` attribute or an inline ``display:none`` / ``visibility:hidden``,
 and the content of a closed ``details`` below its summary.
 
 Defined cases: null and empty html give the empty text; markup that ends anywhere is closed there;
@@ -37,7 +39,7 @@ BLOCKS = frozenset("""address article aside blockquote body center dd details di
     figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre
     search section summary table ul caption listing plaintext xmp textarea""".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset menu dir hr listing".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math title noembed noframes datalist rp".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas title noembed noframes datalist rp".split())
 CLOSES_P = BLOCKS - frozenset("body html dd dt li option optgroup caption legend textarea".split()) | {"li", "dd", "dt"}
 HEAD_ONLY = frozenset("base link meta script style template title noscript".split())
 LISTS = frozenset("ul ol menu dir".split())
@@ -46,6 +48,15 @@ CELLS = frozenset(("td", "th"))
 GROUPS = frozenset(("tbody", "thead", "tfoot"))
 SCOPES = frozenset("table td th caption html template button object".split())
 
+FOREIGN = frozenset(("svg", "math"))
+FOREIGN_UNSEEN = {"math": frozenset("annotation annotation-xml mphantom".split()),
+                  "svg": frozenset("defs symbol clippath mask pattern marker metadata desc title".split())}
+SVG_TEXT = frozenset("text foreignobject".split())
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+# HTML elements that end svg and math around them.
+ENDS_FOREIGN = HEADINGS | frozenset("""b big blockquote body br center code dd div dl dt em embed head hr i img li listing menu meta nobr ol p
+    pre ruby s small span strong strike sub sup table tt u ul var""".split())
+
 # A quote delimits a value directly after "=" only (if it is closed); anywhere else it is a character.
 _NAME, _IS = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*", r"[ \t\n\r\f]*=[ \t\n\r\f]*"
 _TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^ \t\n\r\f/>]*)((?:[ \t\n\r\f/]+|"
@@ -99,6 +110,9 @@ class Builder:
             self.open[-1].kids.append(text)
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool = False) -> None:
+        if tag in ENDS_FOREIGN:
+            while (at := self._up_to(FOREIGN, HTML_INSIDE)) is not None:
+                self._cut(at)
         if tag in ("html", "body"):
             self._close(("head",), frozenset())
             if (at := self._up_to(frozenset((tag,)), frozenset())) is not None:
@@ -148,6 +162,8 @@ class Builder:
             self._cut(-1)
         elif tag in HEADINGS:
             self._close(HEADINGS)
+        elif tag in FOREIGN:
+            self._close((tag,), frozenset())
         elif tag in BLOCKS or tag in CELLS or tag in GROUPS or tag in ("tr", "head", "template", "button", "select", "object"):
             inner = tag in CELLS or tag in GROUPS or tag == "tr"
             self._close((tag,), frozenset(("table",)) if inner else frozenset() if tag == "table" else SCOPES - {tag})
@@ -176,7 +192,8 @@ def parse(markup: str) -> Node:
         if m[1]:
             tree.end(tag)
             continue
-        tree.start(tag, attributes(m[3]), tag not in RAW and m[3].endswith("/") and tag in VOID)
+        foreign = tag in FOREIGN or tree.held["svg"] or tree.held["math"]    # "/>" closes there
+        tree.start(tag, attributes(m[3]), bool(m[3].endswith("/") and foreign))
         if tag in RAW and tree.open[-1].tag == tag:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(markup, at)
             raw = markup[at:stop.start() if stop else len(markup)]
@@ -193,6 +210,21 @@ def visible(node: Node) -> bool:
     return not style or not re.search(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", style, re.I)
 
 
+def shown(node: Node) -> list[Node | str]:
+    """What a math or svg element shows: the formula without annotations; the drawing's text
+    elements, with blanks between."""
+    unseen, out, work = FOREIGN_UNSEEN[node.tag], [], [(node, False)]
+    while work:
+        at, inside = work.pop()
+        at.kids = [k for k in at.kids if isinstance(k, str) or k.tag not in unseen]
+        if at.tag in SVG_TEXT and not inside:
+            out += [" ", at, " "]
+            inside = True
+        if visible(at):
+            work.extend((k, inside) for k in reversed(at.kids) if isinstance(k, Node))
+    return out if node.tag == "svg" else node.kids
+
+
 class Box:
     """Lines of a block; margins are blank lines between, not around, its content."""
 
@@ -350,7 +382,7 @@ def render(root: Node) -> str:
             continue
         if tag == "input" and node.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel"):
             box.write(node.attrs.get("value", ""))
-        kids = node.kids
+        kids = shown(node) if tag in FOREIGN else node.kids
         if tag == "details" and "open" not in node.attrs:
             kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
         if tag in ("pre", "textarea", "listing", "plaintext", "xmp"):

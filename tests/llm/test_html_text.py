@@ -56,6 +56,14 @@ def test_stray_quotes_and_short_comments():
         assert re.sub(r"\s", "", want) == re.sub(r"\s", "", "".join(plain.out))
 
 
+def test_formulas_and_drawings():
+    assert extract_text("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding=tex>\\\\x</annotation></semantics></math> holds") == "so x=1 holds"
+    svg = ("<svg><title>T</title><defs/><defs><text>no</text></defs><style>s{}</style><g><path d='M0'/><text x=1>left <tspan>axis</tspan></text>"
+           "<text>top</text> stray </g><text visibility=x style='display:none'>gone</text><foreignObject><p>rich</p></foreignObject></svg>")
+    assert extract_text(f"a{svg}b") == "a left axis top\n\nrich\n\nb"
+    assert extract_text("<svg/>one<svg><path d=x><div>two</div><svg><section>no</svg> three") == "one\ntwo\nthree"
+
+
 class Words(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
