@@ -1,8 +1,10 @@
 """Quality classifier with hierarchical empirical Bayes (operator 6).
 
 1. Document evidence: a logistic regression over the shape of the whole text (``FEATURES``),
-   fitted on at most ``SAMPLE`` labelled documents (the ones of the smallest id hash, so a rerun
-   draws the same), gives each document a probability p of good quality.
+   fitted on the documents of at most ``SAMPLE`` labels (the ones of the smallest id hash, so a
+   rerun draws the same), gives each document a probability p of good quality.  Where ids repeat so
+   that those join to more than 2 ``SAMPLE`` rows, the rows of the smallest hash of id and text are
+   drawn, whatever the partitions.
 2. Site evidence: grouped sums of p over *all* documents give each host, and each path within a
    host, a beta posterior.  A host shrinks towards the global mean and a path towards its host,
    with prior strengths from the spread between groups (method of moments), so that a sparse site
@@ -91,19 +93,23 @@ def expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Fit on the documents of at most ``sample`` labels; only their features reach the driver."""
+    """Fit on the documents of at most ``sample`` labels, 2 ``sample`` rows at most; only their features reach the driver."""
     drawn = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
              .select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("__y"))
              .orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample))
     # at most ``sample`` rows, hence a broadcast of bounded size
-    some = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("text", "__y")
+    some = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select(
+        "text", "__y", F.xxhash64("__id", "text").alias("__row"), F.xxhash64(F.lit(1), "text").alias("__text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["__y", "__row", "__text"]
         for batch in pieces(batches):
             x = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("__y")], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *(batch.column(c) for c in names)], names=["x", *names])
 
-    rows = some.mapInArrow(run, "x array<double>, y double").limit(2 * sample).collect()
+    # repeated ids can join to more rows than labels: those of the smallest row hash are drawn
+    rows = (some.mapInArrow(run, "x array<double>, __y double, __row long, __text long")
+            .orderBy("__row", "__text", "__y").limit(2 * sample).select("x", F.col("__y").alias("y")).collect())
     rows.sort()
     x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r.y for r in rows]))

@@ -53,3 +53,12 @@ def test_odd_tables(spark):
     one = spark.createDataFrame([(1, 1), (None, 0), (2, None), (77, 0)], "doc_id long, quality int")
     assert sorted(q.keep_good(docs, one).collect(), key=str) == sorted(docs.collect(), key=str)
     assert q.judge(docs.limit(0), one).count() == 0 and q.keep_good(docs.limit(0), none).count() == 0
+
+
+def test_repeated_ids_draw_the_same_rows(spark):
+    rows = [(i % 2, "Word, " * (i % 37 + 1) + "x" * i, "s", "en") for i in range(400)]
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    fits = [q.train(spark.createDataFrame(x, "doc_id long, text string, source string, lang string").coalesce(1), labels, 10)
+            for x in (rows, rows[::-1], rows[200:] + rows[:200])]
+    for mean, scale, w in fits[1:]:
+        assert (mean == fits[0][0]).all() and (scale == fits[0][1]).all() and (w == fits[0][2]).all()
