@@ -8,6 +8,8 @@ from the last committed micro-batch.
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -25,13 +27,31 @@ EVENTS_SCHEMA = T.StructType([
 
 def file_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType,
                 files_per_trigger: int = 1) -> DataFrame:
-    """A file-source stream over ``folder/<table>.parquet`` (and later files of that name)."""
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{table}*.parquet")
+    """A file-source stream over ``folder/<table>.parquet`` (and later files of that name).  Where that
+    path is a folder of part files, which have no order of arrival, they all come as one batch."""
+    reader = spark.readStream.schema(schema)
+    part_folder = f"{folder.rstrip('/')}/{table}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(part_folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where) and fs.getFileStatus(where).isDirectory():
+        found, names = fs.listFiles(where, True), []
+        while found.hasNext():
+            names.append(found.next().getPath().toString().rpartition(f"/{table}.parquet/")[2])
+        if not any(map(_is_data, names)):
+            raise FileNotFoundError(f"no file in {part_folder}")
+        return reader.parquet(part_folder)
+    if not any(fnmatch(f.getPath().getName(), f"{table}*.parquet") for f in fs.listStatus(where.getParent())):
+        raise FileNotFoundError(f"no file {table}*.parquet in {folder}")
+    return (reader.option("pathGlobFilter", f"{table}*.parquet")
             .option("maxFilesPerTrigger", files_per_trigger)
             .parquet(folder))
 
 
+def _is_data(name: str) -> bool:
+    """Whether Spark reads a file of this path within a table's folder."""
+    return not any(part[:1] == "." or part[:1] == "_" and "=" not in part for part in name.split("/"))
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, out_schema: T.StructType,
                  mode: str = "append") -> DataFrame:
     base = shared_path(spark, name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -133,3 +134,25 @@ def test_shuffled_batch_in_small_chunks_with_budgets(spark, tmp_path):
         assert _rows(got) == _rows(want) and len(_rows(got)) == 4
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
+    ev = td.table(spark, SF, "events")
+    later = ev.withColumn("ts", F.col("ts") + F.expr("INTERVAL 100 DAYS")).withColumn("event_id", F.col("event_id") + 10_000_000)
+    both = ev.unionByName(later)
+    # the newest month in the first part file: no row may be late within the table
+    both.repartitionByRange(4, F.col("event_id").desc()).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    s = td.as_transactions(srun.file_stream(spark, str(tmp_path / "sf"), "events", srun.EVENTS_SCHEMA))
+    got = srun.run_to_table(spark, crs.crossing_stream(s, flat_budget=300.0), "t_stream_parts", crs.OUT_SCHEMA)
+    want = crs.replay_crossings(td.as_transactions(both), flat_budget=300.0)
+    assert _rows(got) == _rows(want) and len(_rows(got)) > 0
+    batch = srun.run_foreach_batch(spark, srun.file_stream(spark, str(tmp_path / "sf"), "events", srun.EVENTS_SCHEMA),
+                                   "t_stream_parts_each", srun.EVENTS_SCHEMA, lambda b: b)
+    assert batch.count() == both.count()
+
+
+def test_stream_without_files_fails(spark, tmp_path):
+    os.makedirs(tmp_path / "sf" / "documents.parquet")
+    for table in ("events", "documents"):
+        with pytest.raises(FileNotFoundError):
+            srun.file_stream(spark, str(tmp_path / "sf"), table, srun.EVENTS_SCHEMA)
