@@ -9,9 +9,12 @@ from centwise.llm.chat import op3_chat
 from centwise.llm.decontaminate import op9_decontamination
 from centwise.llm.html_text import op2_html_text
 from centwise.llm.lines import op4_line_dedup
+from centwise.llm.mixing import op13_mixing
+from centwise.llm.negatives import op12_negatives
 from centwise.llm.quality import op6_quality
 from centwise.llm.sharding import op7_sharding
 from centwise.llm.simhash import op1_simhash
+from centwise.llm.structure import op11_structure
 from centwise.llm.warc import op5_warc
 
 QUERIES = {
@@ -25,5 +28,8 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_structure": op11_structure,
+    "op12_negatives": op12_negatives,
+    "op13_mixing": op13_mixing,
     "pipeline": corpus_pipeline.run,
 }
