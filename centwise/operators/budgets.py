@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from centwise.functions.columns import div, EXPENSE, MONEY, dbl, fmt, month_label, pct, rnd
 from centwise.operators.facts import month_ranks
-from centwise.schema import CROSSING_THRESHOLDS, DEFAULT_BUDGETS, USAGE_ALERT_RATIO
+from centwise.schema import ALERT_EVENTS, CROSSING_THRESHOLDS, DEFAULT_BUDGETS, USAGE_ALERT_RATIO
+from centwise.sources import batches
 
 KEY = ["user_id", "category"]
 EVENT_KEY = ["user_id", "category", "month", "threshold_percent"]
+# Candidates of so few months push their months into the scan of the events.
+MONTHS_PUSHED = 24
 
 
 def _defaults_array(scale: float) -> F.Column:
@@ -123,28 +126,23 @@ def new_crossings(candidates: DataFrame, existing_events: DataFrame) -> DataFram
     return fresh.withColumn("rank", F.row_number().over(w).cast("long")).drop("idx")
 
 
-def append_new_events(spark: SparkSession, candidates: DataFrame, events_path: str,
+def append_new_events(spark: SparkSession, candidates: DataFrame, events_path: str, batch: int,
                       created_at: dt.datetime | None = None) -> DataFrame:
-    """Insert-if-absent into the events table at ``events_path`` (parquet).
-
-    Returns the newly created events.  Re-running with the same input emits
-    nothing: the anti-join sees the rows the first run appended.
-    """
-    from centwise.schema import ALERT_EVENTS
-    from centwise.session import path_exists
-    if path_exists(spark, events_path):
-        existing = spark.read.schema(ALERT_EVENTS).parquet(events_path)
-    else:
-        existing = spark.createDataFrame([], ALERT_EVENTS)
-    fresh = new_crossings(candidates, existing)
+    """SNK6: insert-if-absent into the batch table of events at ``events_path``, exactly once.
+
+    ``batch`` numbers the run (a day, a micro-batch).  Returns the events that this batch created.  A
+    run that died before its commit has left nothing visible and is repeated under its number; the
+    repetition of a committed run returns what that run created and writes nothing.  Only earlier
+    batches count as existing, and of them only the candidates' months are read."""
+    existing = batches.read_batches(spark, events_path, ALERT_EVENTS, before=batch)
+    months = [r.month for r in candidates.select("month").distinct().limit(MONTHS_PUSHED + 1).collect()]
+    if len(months) <= MONTHS_PUSHED:
+        existing = existing.where(F.col("month").isin(months))
     stamp = F.lit(created_at) if created_at else F.current_timestamp()
-    out = fresh.select("user_id", "category", "month", F.col("threshold_percent").cast("int"),
-                       "usage_percent", stamp.cast("timestamp").alias("created_at"))
-    staged = f"{events_path.rstrip('/')}_staging/{dt.datetime.now().strftime('%Y%m%d%H%M%S%f')}"
-    out.write.mode("overwrite").parquet(staged)
-    written = spark.read.schema(ALERT_EVENTS).parquet(staged)
-    written.write.mode("append").parquet(events_path)
-    return written
+    fresh = new_crossings(candidates, existing).select(
+        "user_id", "category", "month", F.col("threshold_percent").cast("int"), "usage_percent",
+        stamp.cast("timestamp").alias("created_at"))
+    return batches.write_batch(fresh, events_path, batch)
 
 
 def apply_budget_updates(budgets: DataFrame, updates: DataFrame) -> DataFrame:

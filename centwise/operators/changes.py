@@ -10,14 +10,19 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from centwise.functions.columns import MONEY, month_of
 from centwise.operators.clean import parse_amount, parse_date
+from centwise.schema import TRANSACTIONS
+from centwise.session import materialize
+from centwise.sources.batches import remove
 
 KEY = ["id", "user_id"]
 FIELDS = ["amount", "category", "type", "description", "date"]
+BUCKETED = T.StructType([*TRANSACTIONS.fields, T.StructField("month", T.DateType()), T.StructField("bucket", T.IntegerType())])
 
 
 def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
@@ -44,6 +49,52 @@ def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
     ).withColumn("month", month_of("date"))
 
 
+def row_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, user_id, old, new) for every row of ``base`` that ``changes`` reach; both are the row's
+    columns as a struct, ``new`` is null for a deleted row.  ``base`` has the columns of ``apply_changes``."""
+    cols = [*KEY, *FIELDS, "month"]
+    hit = base.select(*cols).join(changes.where(F.col("op").isin("U", "D")).select(*KEY).distinct(), KEY, "left_semi")
+    new = apply_changes(hit, changes).select(*KEY, F.struct(*cols).alias("new"))
+    return hit.select(*KEY, F.struct(*cols).alias("old")).join(new, KEY, "left")
+
+
+def _bucket(buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
+def write_buckets(tx: DataFrame, path: str, buckets: int) -> None:
+    """A transactions table in folders ``bucket=<hash of id>``.  A bucket is what a merge rewrites:
+    choose ``buckets`` so that one is a few hundred MB."""
+    (tx.withColumn("bucket", _bucket(buckets)).repartition("bucket").sortWithinPartitions("bucket", "id")
+     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BUCKETED).parquet(path)
+
+
+def merge_changes(spark: SparkSession, path: str, changes: DataFrame, buckets: int) -> list[int]:
+    """SNK2 + SNK3 on a bucketed table: rewrite only the buckets that ``changes`` touch, deletes and
+    updates in one pass.  Returns those buckets (at most ``buckets`` numbers reach the driver).
+
+    The new rows are written aside first, then put in place by a dynamic partition overwrite, which
+    Spark stages and moves folder by folder; a bucket that lost all its rows is removed.  Deletes and
+    last-write-wins updates give the same rows when applied again, so a run that died is repeated."""
+    ch = materialize(spark, changes.withColumn("bucket", _bucket(buckets)), "table-changes")
+    touched = sorted(r.bucket for r in ch.select("bucket").distinct().collect() if r.bucket is not None)
+    if not touched:
+        return []
+    now = read_buckets(spark, path).where(F.col("bucket").isin(touched))
+    new = materialize(spark, apply_changes(now.drop("bucket"), ch.drop("bucket")).withColumn("bucket", _bucket(buckets)), "table-merged")
+    left = {r.bucket for r in new.select("bucket").distinct().collect()}
+    (new.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    for bucket in touched:
+        if bucket not in left:
+            remove(spark, f"{path}/bucket={bucket}")
+    return touched
+
+
 def append_transactions(table_path: str, new_rows: DataFrame) -> None:
     """SNK1: append validated rows."""
     new_rows.write.mode("append").parquet(table_path)

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from centwise.functions.columns import EXPENSE, INCOME, MONEY
+from centwise.sources import batches
 
 
 def monthly_fact(tx: DataFrame) -> DataFrame:
@@ -24,6 +26,30 @@ def monthly_fact(tx: DataFrame) -> DataFrame:
     )
 
 
+FACT_KEYS = ["user_id", "month", "type", "category"]
+FACT_SUMS = ["amount", "n_tx"]
+FACT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("month", T.DateType()),
+                     T.StructField("type", T.StringType()), T.StructField("category", T.StringType()),
+                     T.StructField("amount", T.DecimalType(28, 2)), T.StructField("n_tx", T.LongType())])
+
+
+def fact_deltas(row_changes: DataFrame) -> DataFrame:
+    """What changed rows (``changes.row_changes``) add to the monthly fact: a changed row is taken
+    out of its old key and put into its new one.  Only keys of changed rows appear, so a batch of
+    this table costs as much as the changes, whatever the size of the fact."""
+    row = lambda side, sign: F.when(F.col(side).isNotNull(), F.struct(F.lit(sign).alias("sign"), F.col(side).alias("r")))
+    both = row_changes.select(F.explode(F.filter(F.array(row("old", -1), row("new", 1)), lambda x: x.isNotNull())).alias("x"))
+    signed = both.select(*[F.col(f"x.r.{k}").alias(k) for k in FACT_KEYS], (F.col("x.r.amount") * F.col("x.sign")).alias("amount"),
+                         F.col("x.sign").cast("long").alias("n_tx"))
+    return (signed.groupBy(*FACT_KEYS).agg(F.sum("amount").cast("decimal(28,2)").alias("amount"), F.sum("n_tx").alias("n_tx"))
+            .where("amount != 0 OR n_tx != 0"))
+
+
+def stored_fact(spark: SparkSession, path: str) -> DataFrame:
+    """The monthly fact kept as additive batches at ``path`` (``sources.batches``)."""
+    return batches.read_total(spark, path, FACT, FACT_KEYS, FACT_SUMS)
+
+
 def month_totals(fact: DataFrame) -> DataFrame:
     """Per (user, present month): income, expense (exact decimals)."""
     return fact.groupBy("user_id", "month").agg(

@@ -800,3 +800,7 @@ LEFT JOIN ms p ON p.user_id = ov.user_id AND p.rk = 2
 LEFT JOIN top ON top.user_id = ov.user_id LEFT JOIN trend ON trend.user_id = ov.user_id
 LEFT JOIN bym ON bym.user_id = ov.user_id LEFT JOIN inc ON inc.user_id = ov.user_id
 LEFT JOIN al ON al.user_id = ov.user_id LEFT JOIN bu ON bu.user_id = ov.user_id"""
+
+from centwise.plans import oracle_tables as _ot  # noqa: E402
+
+_ot.fill(ORACLE, _B, _cands_sql)

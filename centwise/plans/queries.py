@@ -5,7 +5,6 @@ Each query reads whole tables from ``sf_dir`` through ``centwise.sources.testdat
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,7 @@ from centwise.operators import insights as ins
 from centwise.operators import notify as ntf
 from centwise.operators import questions as qna
 from centwise.operators import reports as rep
+from centwise.plans import table_queries as tbl
 from centwise.sources import files as fls
 from centwise.sources import testdata as td
 from centwise.streaming import crossings as crs
@@ -30,7 +30,7 @@ from centwise.streaming import runner as srun
 
 AS_OF = td.SCALE_AS_OF
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tbl.QUERIES)
 
 
 def register(name: str):
@@ -151,11 +151,7 @@ def q_category_overspend_alerts(spark, sf_dir):
 
 # ---- budgets (JOIN4, RUL2, RUL3, RUL7, SNK5, SNK6) ---------------------------------
 
-MID_MONTH = _dt.date(2001, 1, 15)
-
-
-def _beff(spark, sf_dir):
-    return bud.effective_budgets(td.users(spark, sf_dir), td.budgets(spark, sf_dir), default_scale=5)
+_beff = tbl.default_budgets
 
 
 @register("budgets_with_defaults")
@@ -177,17 +173,8 @@ def q_budget_usage_latest(spark, sf_dir):
 
 @register("budget_crossings_new")
 def q_budget_crossings_new(spark, sf_dir):
-    """Crossings at month end that the mid-month run (data up to the 15th) had not emitted.
-    One aggregate gives both sums; it is written once, both runs read it."""
-    from centwise.session import materialize
-    tx = facts.filter_range(td.transactions_full(spark, sf_dir), facts.month_start(AS_OF), facts.month_start(AS_OF, 1))
-    both = materialize(spark, tx.groupBy("user_id", "month", "type", "category").agg(
-        _F.sum("amount").alias("amount"),
-        _F.sum(_F.when(_F.col("date") <= _F.lit(MID_MONTH), _F.col("amount"))).alias("mid")), "month_fact")
-    beff = _beff(spark, sf_dir)
-    now = bud.crossing_candidates(bud.budget_alerts(beff, both, AS_OF), AS_OF)
-    mid_fact = both.filter(_F.col("mid").isNotNull()).withColumn("amount", _F.col("mid"))
-    earlier = bud.crossing_candidates(bud.budget_alerts(beff, mid_fact, AS_OF), AS_OF)
+    """Crossings at month end that the mid-month run (data up to the 15th) had not emitted."""
+    earlier, now = tbl.month_candidates(spark, sf_dir, _beff(spark, sf_dir))
     return bud.new_crossings(now, earlier)
 
 

@@ -86,10 +86,10 @@ def test_crossings_emit_once(spark, demo_tx, demo_users, no_budgets, tmp_path):
     beff = bud.effective_budgets(demo_users, no_budgets)
     cands = bud.crossing_candidates(bud.budget_alerts(beff, fact, DEMO_AS_OF), DEMO_AS_OF)
     path = str(tmp_path / "events")
-    first = bud.append_new_events(spark, cands, path).collect()
+    first = bud.append_new_events(spark, cands, path, 1).collect()
     assert sorted((r.threshold_percent, r.category) for r in first) == [
         (85, "Entertainment"), (85, "Shopping"), (100, "Entertainment"), (100, "Shopping")]
-    second = bud.append_new_events(spark, cands, path).collect()
+    second = bud.append_new_events(spark, cands, path, 2).collect()
     assert second == []
 
 

@@ -19,9 +19,9 @@ def test_manual_alert_recipe(spark, demo_users, tmp_path):
     beff = bud.effective_budgets(demo_users, budgets)
     cands = bud.crossing_candidates(bud.budget_alerts(beff, monthly_fact(tx), as_of), as_of)
     path = str(tmp_path / "events")
-    first = bud.append_new_events(spark, cands, path).collect()
+    first = bud.append_new_events(spark, cands, path, 1).collect()
     assert [(r.category, r.threshold_percent, r.usage_percent) for r in first] == [("Food", 85, 90.0)]
-    assert bud.append_new_events(spark, cands, path).collect() == []
+    assert bud.append_new_events(spark, cands, path, 2).collect() == []
 
 
 def test_cleaning_edges(spark):
