@@ -85,15 +85,13 @@ def _doc_key() -> F.Column:
     return F.sha2(F.concat_ws("\u0001", "category", "description"), 256)
 
 
-def train(spark: SparkSession, training: DataFrame, stop_words=None) -> NBModel:
-    """ML4 + ML6 (+ SET2): fit the model tables from (description, category).
+def term_counts(spark: SparkSession, training: DataFrame, stop_words=None) -> DataFrame:
+    """SET2 + ML1 + ML2: (doc, category, term, tf) of the distinct rows of (description, category), and
+    a row with the empty term for each of them.
 
     Duplicate rows share a hash key; their term counts are summed and divided
     by the key's multiplicity, which equals the count of one copy -- the same
-    as dropping duplicates first, without shuffling any text.  The term-count
-    table is written once to the shared folder; the model tables are small
-    aggregates of it.
-    """
+    as dropping duplicates first, without shuffling any text."""
     from centwise.session import materialize
     keyed = training.select("description", "category").dropna().withColumn("doc", _doc_key())
     words = F.concat(F.array(F.lit("")), F.filter(tokens(F.col("description")),
@@ -102,11 +100,16 @@ def train(spark: SparkSession, training: DataFrame, stop_words=None) -> NBModel:
               .groupBy("doc", "category", "term").agg(F.count(F.lit(1)).alias("n")))
     counts = materialize(spark, counts, "nb_counts")
     mult = counts.filter(F.col("term") == "").select("doc", "category", F.col("n").alias("mult"))
-    raw = counts.filter(F.col("term") != "")
-    tf = raw.join(mult, ["doc", "category"]).select(
+    return counts.join(mult, ["doc", "category"]).select(
         "doc", "category", "term", (F.col("n") / F.col("mult")).cast("long").alias("tf"))
-    tf = materialize(spark, tf, "nb_tf")
-    n_docs = mult.count()
+
+
+def fit(spark: SparkSession, counts: DataFrame) -> NBModel:
+    """ML4 + ML5 + ML6: the model tables from stored ``term_counts``."""
+    from centwise.session import materialize
+    docs = counts.filter(F.col("term") == "").select("doc", "category")
+    tf = counts.filter(F.col("term") != "")
+    n_docs = docs.count()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = materialize(spark, dfreq.select(
         "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")), "nb_vocab")
@@ -114,9 +117,9 @@ def train(spark: SparkSession, training: DataFrame, stop_words=None) -> NBModel:
     w = tf.join(vocab, "term").select("doc", "category", "term", (F.col("tf") * F.col("idf")).alias("w"))
     x = _normalise(w, ["doc", "category"])
     fc = materialize(spark, x.groupBy("category", "term").agg(F.sum("x").alias("fc")), "nb_fc")
-    counts = mult.groupBy("category").agg(F.count(F.lit(1)).alias("doc_count"))
+    classes = docs.groupBy("category").agg(F.count(F.lit(1)).alias("doc_count"))
     tot = fc.groupBy("category").agg(F.sum("fc").alias("fc_total"))
-    prior = counts.join(tot, "category", "left").select(
+    prior = classes.join(tot, "category", "left").select(
         "category", "doc_count",
         F.log(F.col("doc_count") / F.lit(float(n_docs))).alias("log_prior"),
         F.log(F.coalesce(F.col("fc_total"), F.lit(0.0)) + F.lit(float(v))).alias("log_den"),
@@ -125,6 +128,13 @@ def train(spark: SparkSession, training: DataFrame, stop_words=None) -> NBModel:
     return NBModel(vocab=vocab, prior=prior, term=term)
 
 
+def train(spark: SparkSession, training: DataFrame, stop_words=None) -> NBModel:
+    """ML4 + ML6 (+ SET2): fit the model tables from (description, category).  The term counts are
+    written once to the shared folder; the model tables are small aggregates of them."""
+    from centwise.session import materialize
+    return fit(spark, materialize(spark, term_counts(spark, training, stop_words), "nb_tf"))
+
+
 def save(model: NBModel, path: str) -> None:
     """SNK12: the model is three parquet tables."""
     model.vocab.write.mode("overwrite").parquet(f"{path}/nb_vocab")
@@ -229,14 +239,16 @@ def _score(spark: SparkSession, model: NBModel, dt: DataFrame, key: str) -> Data
 def predict(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "doc_id",
             text: str = "description", stop_words=None) -> DataFrame:
     """ML7: arg-max class per document; ties -> first class by name; a text
-    with no known token gets the highest prior.  Returns (key, predicted, score)."""
+    with no known token gets the highest prior.  Returns (key, predicted, score), a row per
+    key: rows of equal key count as one text."""
     return _score(spark, model, _doc_terms(spark, docs, key, text, stop_words, flags=False), key)
 
 
 def auto_categorize(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "doc_id",
                     text: str = "description", stop_words=None) -> DataFrame:
     """ML9: blank -> Other; a health keyword -> Health; else the model's class.
-    The texts are read once: flags and terms come from the same pass."""
+    The texts are read once: flags and terms come from the same pass.  ``key`` must be unique:
+    rows of equal key count as one text, and come once for each pair of flags they have."""
     dt = _doc_terms(spark, docs, key, text, stop_words, flags=True)
     flags = dt.select(key, "blank", "health").distinct()
     ml = _score(spark, model, dt.filter(~F.col("blank") & ~F.col("health")), key)

@@ -27,7 +27,7 @@ def monthly_fact(tx: DataFrame) -> DataFrame:
 
 
 FACT_KEYS = ["user_id", "month", "type", "category"]
-FACT_SUMS = ["amount", "n_tx"]
+FACT_TOTALS = {"amount": "sum", "n_tx": "sum"}
 FACT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("month", T.DateType()),
                      T.StructField("type", T.StringType()), T.StructField("category", T.StringType()),
                      T.StructField("amount", T.DecimalType(28, 2)), T.StructField("n_tx", T.LongType())])
@@ -47,7 +47,7 @@ def fact_deltas(row_changes: DataFrame) -> DataFrame:
 
 def stored_fact(spark: SparkSession, path: str) -> DataFrame:
     """The monthly fact kept as additive batches at ``path`` (``sources.batches``)."""
-    return batches.read_total(spark, path, FACT, FACT_KEYS, FACT_SUMS)
+    return batches.read_total(spark, path, FACT, FACT_KEYS, FACT_TOTALS)
 
 
 def month_totals(fact: DataFrame) -> DataFrame:

@@ -803,4 +803,4 @@ LEFT JOIN al ON al.user_id = ov.user_id LEFT JOIN bu ON bu.user_id = ov.user_id"
 
 from centwise.plans import oracle_tables as _ot  # noqa: E402
 
-_ot.fill(ORACLE, _B, _cands_sql)
+_ot.fill(ORACLE, _B, _cands_sql, _nb_model_sql, _nb_predict_sql, _CHANGES)

@@ -286,11 +286,10 @@ def q_budget_crossings_replay(spark, sf_dir):
 
 @register("stream_crossings")
 def q_stream_crossings(spark, sf_dir):
-    from centwise.session import materialize
+    from centwise.session import materialize, shared_path
     src = srun.file_stream(spark, sf_dir, "events", srun.EVENTS_SCHEMA)
     budgets = materialize(spark, td.event_budgets(_beff(spark, sf_dir)), "event_budgets")  # read by every batch
-    out = crs.crossing_stream(td.as_transactions(src), budgets=budgets)
-    return srun.run_to_table(spark, out, "stream_crossings", crs.OUT_SCHEMA)
+    return crs.run_crossings(spark, td.as_transactions(src), crs.CrossingJob(shared_path(spark, "stream_crossings"), budgets))
 
 
 # ---- table changes (SNK2, SNK3, SNK7) ---------------------------------------------

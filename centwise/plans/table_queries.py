@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from centwise.functions.columns import MONEY
 from centwise.operators import budgets as bud
+from centwise.operators import categorize as cat
 from centwise.operators import changes as chg
 from centwise.operators import facts
+from centwise.operators import model_store as store
+from centwise.operators import reports as rep
 from centwise.schema import ALERT_EVENTS
 from centwise.session import materialize, shared_path
 from centwise.sources import batches
+from centwise.sources import files as fls
 from centwise.sources import testdata as td
 
 AS_OF = td.SCALE_AS_OF
@@ -97,7 +101,7 @@ def q_monthly_fact_kept(spark, sf_dir):
         batches.write_batch(facts.fact_deltas(chg.row_changes(chg.read_buckets(spark, table), changes)), path, day)
         chg.merge_changes(spark, table, changes, BUCKETS)
         if day == 2:
-            batches.fold(spark, path, facts.FACT, facts.FACT_KEYS, facts.FACT_SUMS)
+            batches.fold(spark, path, facts.FACT, facts.FACT_KEYS, facts.FACT_TOTALS)
     return facts.stored_fact(spark, path).select(
         "user_id", F.date_format("month", "yyyy-MM").alias("month"), "type", "category",
         F.col("amount").cast("double").alias("amount"), "n_tx")
@@ -113,3 +117,29 @@ def q_budgets_seeded(spark, sf_dir):
         batches.write_batch(bud.seed_missing_budgets(users, now, 5).select(stored.columns), path, batch)
     return batches.read_batches(spark, path, stored.schema).select(
         "user_id", "category", F.col("monthly_budget").cast(MONEY).cast("double").alias("monthly_budget"), "batch")
+
+
+@register("model_life_cycle")
+def q_model_life_cycle(spark, sf_dir):
+    """SRC6, SET1, SRC9, SNK12, ML8: a model is trained on a seed CSV and saved; the users' own rows make
+    it stale, it is retrained from both and saved; loaded, it categorises the edits' descriptions."""
+    path, seed = shared_path(spark, "model"), shared_path(spark, "seed")
+    td.seed_rows(spark, sf_dir).write.option("header", True).csv(seed)
+    store.add_rows(spark, path, cat.training_frame(fls.read_training_csv(spark, seed), None), 1)
+    store.load_or_retrain(spark, path)
+    own = td.transactions_orders(spark, sf_dir).where(F.col("type") == "Expense")
+    store.add_rows(spark, path, cat.training_frame(None, own), 2)
+    store.load_or_retrain(spark, path)
+    edits = td.order_changes(spark, sf_dir).where(F.col("op") == "U").select(F.col("seq").alias("doc_id"), "description")
+    names = td.seed_rows(spark, sf_dir, "p_partkey").select((-F.col("p_partkey")).alias("doc_id"), "description")
+    return cat.auto_categorize(spark, store.load(spark, path), edits.distinct().unionByName(names))
+
+
+@register("report_files")
+def q_report_files(spark, sf_dir):
+    """SNK8 + SNK9: every requested report written as a file of its name, read back as bytes."""
+    path = shared_path(spark, "reports")
+    rep.write_reports(rep.report_lines(td.transactions_full(spark, sf_dir), td.report_requests(spark, sf_dir),
+                                       td.users(spark, sf_dir), AS_OF, spark=spark), path)
+    return rep.read_report_files(spark, path).select(
+        "request_id", "file_name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

@@ -1,4 +1,4 @@
-"""File sources and sinks with declared schemas (SRC6, SRC9, SNK1, SNK10).  Never inferSchema."""
+"""File sources and sinks with declared schemas (SRC6, SNK1, SNK10).  Never inferSchema."""
 
 from __future__ import annotations
 
@@ -13,25 +13,6 @@ def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("header", True).option("mode", "PERMISSIVE").schema(TRAINING).csv(path))
 
 
-def load_or_train(spark: SparkSession, model_path: str, training: DataFrame, corpus_version: str):
-    """SRC9: read the saved model when it was trained on ``corpus_version``;
-    otherwise (missing or stale) retrain, save and return the new model.
-
-    The version travels with the model as a one-row ``nb_meta`` table, so the
-    check works on any shared file system (no file modification times)."""
-    from centwise.operators import categorize as cat
-    from centwise.session import path_exists
-    meta_path = f"{model_path.rstrip('/')}/nb_meta"
-    if path_exists(spark, meta_path):
-        meta = spark.read.parquet(meta_path).select("corpus_version").first()
-        if meta and meta[0] == corpus_version:
-            return cat.load(spark, model_path)
-    model = cat.train(spark, training)
-    cat.save(model, model_path)
-    spark.createDataFrame([(corpus_version,)], "corpus_version string").write.mode("overwrite").parquet(meta_path)
-    return cat.load(spark, model_path)
-
-
 def append_transactions(df: DataFrame, path: str) -> None:
     """SNK1: append validated transactions to the table at ``path``."""
     df.write.mode("append").parquet(path)
@@ -62,4 +43,4 @@ def transactions_feed(tx: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     return t.select("user_id", rank.cast("long").alias("rank"), body.alias("json"))
 
 
-__all__ = ["read_training_csv", "load_or_train", "append_transactions", "transactions_feed"]
+__all__ = ["read_training_csv", "append_transactions", "transactions_feed"]

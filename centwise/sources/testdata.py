@@ -182,6 +182,11 @@ def training_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("text").alias("description"), F.col("lang").alias("category"))
 
 
+def seed_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Labelled seed rows: each part's name with the category of its type."""
+    return table(spark, sf_dir, "part").select(*more, F.col("p_name").alias("description"), _category_from_part().alias("category"))
+
+
 def predict_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document to categorise (whole table, whole texts)."""
     d = table(spark, sf_dir, "documents")

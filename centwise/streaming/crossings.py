@@ -1,9 +1,8 @@
 """Budget-threshold crossings over arriving expenses (STR1, STR2, STR4).
 
-A crossing is the first transaction, in arrival (id) order, after which the
-running spend of (user, category, month) reaches a threshold of the budget,
-tested on the usage percent rounded to one digit -- the same test the batch
-alert uses.  Each (user, category, month, threshold) is emitted once.
+A crossing is the first transaction, in id order, after which the running spend of (user, category,
+month) reaches a threshold of the budget, tested on the usage percent rounded to one digit -- the
+same test the batch alert uses.  Each (user, category, month, threshold) is announced once.
 
 * ``replay_crossings`` is the exact batch form (STR2).  A plain running-sum
   window over a (user, category, month) group would put a hot group in one
@@ -11,31 +10,31 @@ alert uses.  Each (user, category, month, threshold) is emitted once.
   partial aggregate), a prefix sum over buckets (one row per bucket), and a
   running-sum window only inside the one bucket that crosses.  A task never
   holds more than one bucket of one group.
-* ``crossing_stream`` is the Structured Streaming form (STR1/STR4): a custom
-  stateful operator (``applyInPandasWithState``) keeps the running total and
-  the thresholds already emitted per group, so its output equals the replay
-  whatever the micro-batch boundaries.  A row's event time is the end of its
-  month, and the watermark stays ``GRACE`` behind the newest one: an open month
-  loses no row however late, nor does the month before it; a month's state goes
-  (event-time timeout) and rows of it are dropped once a month two later began.
+* ``CrossingJob`` is the Structured Streaming form (STR1/STR4): ``foreachBatch`` over tables of
+  committed batches (``sources.batches``), all in the JVM.  A micro-batch is aggregated by group and
+  meets the stored totals of just its groups.  A group that stays below the lowest threshold costs no
+  more.  One that has reached it is replayed: over the micro-batch alone, from the stored total, if its
+  rows follow the earlier ones in id order, else over the group's stored rows of that month.  So the
+  outcome does not depend on how rows were cut into micro-batches or in which order these came, and
+  a repeated micro-batch writes nothing twice.  The earlier rows lie in folders by month; only the
+  months a micro-batch touches are read, and ``close_after`` drops a month's state for good.
 """
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
+import datetime as dt
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from centwise.functions.columns import MONEY, div, rnd
 from centwise.schema import CROSSING_THRESHOLDS
+from centwise.sources import batches
 
 GROUP = ["user_id", "category", "month"]
-# Longer than any month: the month before the newest one is still open.
-GRACE = "32 days"
+KEY = [*GROUP, "threshold_percent"]
 ID_BUCKET = 1 << 20
 
 OUT_SCHEMA = T.StructType([
@@ -66,13 +65,20 @@ def replay_crossings(tx: DataFrame, budgets: DataFrame | None = None, flat_budge
 
     ``tx``: id, user_id, category, amount (non-negative), month (date).
     """
-    t = _with_budget(tx.filter(F.col("type") == "Expense") if "type" in tx.columns else tx, budgets, flat_budget)
-    t = t.select("id", "user_id", "category", F.date_format("month", "yyyy-MM").alias("month"), "amount",
-                 "budget", F.floor(F.col("id") / bucket).alias("bkt"))
+    t = tx.filter(F.col("type") == "Expense") if "type" in tx.columns else tx
+    t = t.withColumn("month", F.date_format("month", "yyyy-MM"))
+    return _replay(_with_budget(t, budgets, flat_budget), thresholds, bucket)
+
+
+def _replay(t: DataFrame, thresholds: tuple[int, ...], bucket: int = ID_BUCKET, spent: DataFrame | None = None) -> DataFrame:
+    """Crossings among rows (id, GROUP, amount, budget) of groups that start at ``spent`` (GROUP, start)."""
+    t = t.select("id", *GROUP, "amount", "budget", F.floor(F.col("id") / bucket).alias("bkt"))
     keys = GROUP + ["bkt"]
     sums = t.groupBy(*keys).agg(F.sum("amount").alias("bsum"), F.first("budget").alias("budget"))
     w = Window.partitionBy(*GROUP).orderBy("bkt")
     sums = sums.withColumn("after", F.sum("bsum").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if spent is not None:
+        sums = sums.join(spent, GROUP, "left").withColumn("after", F.col("after") + F.coalesce("start", F.lit(0).cast(MONEY)))
     sums = sums.withColumn("before", F.col("after") - F.col("bsum"))
     ths = F.explode(F.array(*[F.lit(int(x)) for x in sorted(thresholds)])).alias("threshold_percent")
     hit = sums.select("*", ths).filter(
@@ -84,82 +90,118 @@ def replay_crossings(tx: DataFrame, budgets: DataFrame | None = None, flat_budge
     rows = rows.withColumn("usage_percent", _usage(F.col("running"), F.col("budget")))
     first = (rows.filter(F.col("usage_percent") >= F.col("threshold_percent"))
              .withColumn("rn", F.row_number().over(wr)).filter(F.col("rn") == 1))
-    return first.select("user_id", "category", "month", F.col("threshold_percent").cast("int"), "id",
+    return first.select(*GROUP, F.col("threshold_percent").cast("int"), "id",
                         F.col("running").cast("double").alias("running_spent"), "usage_percent")
 
 
 # ---- Structured Streaming --------------------------------------------------------
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("cents", T.LongType()),
-    T.StructField("emitted", T.ArrayType(T.IntegerType())),
-])
-
-
-def _round_usage(spent_cents: int, budget_cents: int) -> float:
-    """Same steps as ``rnd(spent / budget * 100, 1)`` in Spark: double ratio,
-    shortest decimal form, half-up to 6 then to 1 digit."""
-    if budget_cents <= 0:
-        return 0.0
-    x = (spent_cents / 100.0) / (budget_cents / 100.0) * 100.0
-    d = Decimal(repr(x)).quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP)
-    return float(d.quantize(Decimal("0.1"), rounding=ROUND_HALF_UP))
-
-
-def _make_state_fn(thresholds: tuple[int, ...], budget_cents_default: int | None):
-    ths = sorted(int(x) for x in thresholds)
-
-    def fn(key, pdfs, state):
-        user_id, category, month = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            cents, emitted = state.get
-            emitted = list(emitted)
-        else:
-            cents, emitted = 0, []
-        out = []
-        budget_cents = budget_cents_default
-        # the batch's rows come in chunks of any order: sort them as a whole
-        rows = pd.concat([p for p in pdfs], ignore_index=True).sort_values("id")
-        closes = int(rows["closes_ms"].iloc[0])
-        if "budget_cents" in rows.columns and len(rows):
-            budget_cents = int(rows["budget_cents"].iloc[0])
-        upto = cents + rows["cents"].astype("int64").cumsum().to_numpy()
-        ids = rows["id"].to_numpy()
-        for t in [t for t in ths if t not in emitted]:
-            # candidates by the unrounded ratio with room for rounding, then the exact rule
-            near = (upto * 100.0 >= (t - 0.1) * budget_cents).nonzero()[0] if budget_cents and budget_cents > 0 else []
-            hit = next((i for i in near if _round_usage(int(upto[i]), budget_cents) >= t), None)
-            if hit is not None:
-                emitted.append(t)
-                out.append((user_id, category, month, t, int(ids[hit]), int(upto[hit]) / 100.0,
-                            _round_usage(int(upto[hit]), budget_cents)))
-        cents = int(upto[-1]) if len(upto) else cents
-        state.update((cents, emitted))
-        state.setTimeoutTimestamp(closes)
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
-
-    return fn
-
-
-def crossing_stream(events: DataFrame, flat_budget: float | None = None, budgets: DataFrame | None = None,
-                    thresholds: tuple[int, ...] = CROSSING_THRESHOLDS, watermark: str = GRACE) -> DataFrame:
-    """STR1 + STR4 over a streaming DataFrame with id, user_id, category,
-    amount, ts (timestamp) and maybe type; rows without a ts are left out, and so are, where
-    ``budgets`` are given, rows of a (user, category) without a budget.
-    Output: one row per new crossing (append mode)."""
-    if "type" in events.columns:                           # income is no spending
-        events = events.filter(F.col("type") == "Expense")
-    events = events.filter(F.col("ts").isNotNull())
-    s = events.withColumn("closes", F.add_months(F.trunc("ts", "MM"), 1).cast("timestamp"))
-    s = _with_budget(s.withWatermark("closes", watermark), budgets, flat_budget)
-    s = s.select("closes", F.unix_millis("closes").alias("closes_ms"), "id", "user_id", "category", F.date_format("ts", "yyyy-MM").alias("month"),
-                 (F.col("amount") * 100).cast("long").alias("cents"),
-                 (F.col("budget") * 100).cast("long").alias("budget_cents"))
-    default_cents = int(round(flat_budget * 100)) if flat_budget is not None else None
-    return s.groupBy("user_id", "category", "month").applyInPandasWithState(
-        _make_state_fn(thresholds, default_cents), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+_GROUP_FIELDS = [T.StructField("user_id", T.LongType()), T.StructField("category", T.StringType()), T.StructField("month", T.StringType())]
+ROWS = T.StructType([T.StructField("id", T.LongType()), *_GROUP_FIELDS[:2], T.StructField("amount", T.DecimalType(18, 2)),
+                     _GROUP_FIELDS[2]])
+TOTALS = {"amount": "sum", "n": "sum", "first": "min", "last": "max"}
+STATE = T.StructType([*_GROUP_FIELDS, T.StructField("amount", T.DecimalType(28, 2)), T.StructField("n", T.LongType()),
+                      T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+EVENTS = T.StructType([*OUT_SCHEMA.fields, T.StructField("is_new", T.BooleanType())])
+
+
+@dataclass
+class CrossingJob:
+    """One stream's tables under ``base``: ``rows`` (the expenses, by month), ``state`` (totals by
+    group) and ``events`` (crossings as they were found).
+
+    ``fold_every`` micro-batches the totals are folded into one base.  With ``close_after`` = k, months
+    more than k before the newest one seen are closed: their late rows are left out, their state goes."""
+
+    base: str
+    budgets: DataFrame | None = None
+    flat_budget: float | None = None
+    thresholds: tuple[int, ...] = CROSSING_THRESHOLDS
+    fold_every: int = 16
+    close_after: int | None = None
+
+    def _expenses(self, events: DataFrame) -> DataFrame:
+        if "type" in events.columns:                       # income is no spending
+            events = events.filter(F.col("type") == "Expense")
+        return events.filter(F.col("ts").isNotNull()).select(
+            "id", "user_id", "category", F.col("amount").cast(MONEY).alias("amount"), F.date_format("ts", "yyyy-MM").alias("month"))
+
+    def _open_from(self, spark: SparkSession, rows: DataFrame, batch: int) -> str | None:
+        """The first open month, from the months of this micro-batch and of earlier ones."""
+        if self.close_after is None:
+            return None
+        state = batches.read_total(spark, f"{self.base}/state", STATE, GROUP, TOTALS, batch - 1)
+        newest = rows.select("month").unionByName(state.select("month")).agg(F.max("month")).first()[0]
+        if newest is None:
+            return None
+        months = int(newest[:4]) * 12 + int(newest[5:]) - 1 - self.close_after
+        return dt.date(months // 12, months % 12 + 1, 1).strftime("%Y-%m")
+
+    def __call__(self, events: DataFrame, batch: int) -> None:
+        """Take one micro-batch; taking it again changes nothing."""
+        spark, base = events.sparkSession, self.base
+        rows = self._expenses(events)
+        since = self._open_from(spark, rows, batch)
+        if since is not None:
+            rows = rows.where(F.col("month") >= since)
+        rows = batches.write_batch(rows, f"{base}/rows", batch, ("month",))
+        own = batches.write_batch(rows.groupBy(*GROUP).agg(
+            F.sum("amount").cast("decimal(28,2)").alias("amount"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"),
+            F.max("id").alias("last")), f"{base}/state", batch)
+        months = [r.month for r in own.select("month").distinct().collect()]
+        hot = self._hot(spark, own, months, batch)
+        stray = hot.where(~F.col("in_order"))
+        found = _replay(rows.join(hot.where("in_order"), GROUP), self.thresholds, spent=hot.select(*GROUP, "start"))
+        if not stray.isEmpty():
+            earlier = batches.read_batches(spark, f"{base}/rows", ROWS, before=batch + 1).where(F.col("month").isin(months))
+            found = found.unionByName(_replay(earlier.join(stray, GROUP), self.thresholds))
+        known = (batches.read_batches(spark, f"{base}/events", EVENTS, before=batch).where(F.col("month").isin(months))
+                 .groupBy(*KEY).agg(F.max_by("id", "batch").alias("known_id"), F.max_by("running_spent", "batch").alias("known_spent")))
+        news = found.join(known, KEY, "left").withColumn("is_new", F.col("known_id").isNull())
+        news = news.where(F.col("is_new") | (F.col("id") != F.col("known_id")) | (F.col("running_spent") != F.col("known_spent")))
+        batches.write_batch(news.select(*EVENTS.names), f"{base}/events", batch)
+        batches.remove(spark, f"{base}/hot-{batch}")
+        if batch % self.fold_every == self.fold_every - 1:
+            batches.fold(spark, f"{base}/state", STATE, GROUP, TOTALS, None if since is None else F.col("month") >= since)
+            batches.drop_folded(spark, f"{base}/state")
+        if since is not None:
+            self._close(spark, since)
+
+    def _hot(self, spark: SparkSession, own: DataFrame, months: list[str], batch: int) -> DataFrame:
+        """(GROUP, start, budget, in_order) of the micro-batch's groups that have reached a threshold."""
+        prior = (batches.read_total(spark, f"{self.base}/state", STATE, GROUP, TOTALS, batch - 1).where(F.col("month").isin(months))
+                 .select(*GROUP, F.col("amount").alias("start"), F.col("last").alias("prior_last")))
+        g = _with_budget(own.join(prior, GROUP, "left"), self.budgets, self.flat_budget)
+        start = F.coalesce("start", F.lit(0).cast("decimal(28,2)"))
+        hot = g.where(_usage(start + F.col("amount"), F.col("budget")) >= min(self.thresholds)).select(
+            *GROUP, start.alias("start"), "budget", F.coalesce(F.col("prior_last") < F.col("first"), F.lit(True)).alias("in_order"))
+        path = f"{self.base}/hot-{batch}"
+        hot.write.mode("overwrite").parquet(path)
+        return spark.read.schema(hot.schema).parquet(path)
+
+    def _close(self, spark: SparkSession, since: str) -> None:
+        """Remove the stored rows of closed months; their totals go with the next fold."""
+        for n in batches.complete(spark, f"{self.base}/rows"):
+            own = batches.folder(f"{self.base}/rows", n)
+            for name in batches.children(spark, own):
+                if name.startswith("month=") and name[len("month="):] < since:
+                    batches.remove(spark, f"{own}/{name}")
+
+    def crossings(self, spark: SparkSession) -> DataFrame:
+        """The crossings as of the last micro-batch: the latest finding for each key."""
+        last = batches.read_batches(spark, f"{self.base}/events", EVENTS).groupBy(*KEY).agg(
+            F.max_by(F.struct("id", "running_spent", "usage_percent"), "batch").alias("e"))
+        return last.select(*KEY, "e.id", "e.running_spent", "e.usage_percent").select(*OUT_SCHEMA.names)
+
+    def announced(self, spark: SparkSession) -> DataFrame:
+        """Every key once, as it was first found, with its micro-batch: what went out as a message."""
+        return batches.read_batches(spark, f"{self.base}/events", EVENTS).where("is_new").drop("is_new")
+
+
+def run_crossings(spark: SparkSession, stream: DataFrame, job: CrossingJob) -> DataFrame:
+    """Run ``job`` over a stream (id, user_id, category, amount, ts, maybe type) to the end of what is
+    there, and read the crossings back.  Run again, it goes on after the last committed micro-batch."""
+    q = (stream.writeStream.foreachBatch(job).option("checkpointLocation", f"{job.base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return job.crossings(spark)

@@ -1,9 +1,9 @@
 """Run a streaming query over files in a folder to completion (availableNow)
 into a parquet table under the shared checkpoint folder, and read it back.
 
-The sink is the file sink (exactly-once through its commit log) and the
-checkpoint sits beside it, so a restarted driver or a lost executor resumes
-from the last committed micro-batch.
+The checkpoint sits beside the table, so a restarted driver or a lost executor
+resumes from the last committed micro-batch, and a repeated micro-batch
+replaces its own output.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ EVENTS_SCHEMA = T.StructType([
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType,
-                files_per_trigger: int = 1) -> DataFrame:
+                files_per_trigger: int = 1, part_files_per_trigger: int = 64) -> DataFrame:
     """A file-source stream over ``folder/<table>.parquet`` (and later files of that name).  Where that
-    path is a folder of part files, which have no order of arrival, they all come as one batch."""
+    path is a folder of part files, they come so many at a time, in no particular order."""
     reader = spark.readStream.schema(schema)
     part_folder = f"{folder.rstrip('/')}/{table}.parquet"
     where = spark._jvm.org.apache.hadoop.fs.Path(part_folder)
@@ -39,7 +39,7 @@ def file_stream(spark: SparkSession, folder: str, table: str, schema: T.StructTy
             names.append(found.next().getPath().toString().rpartition(f"/{table}.parquet/")[2])
         if not any(map(_is_data, names)):
             raise FileNotFoundError(f"no file in {part_folder}")
-        return reader.parquet(part_folder)
+        return reader.option("maxFilesPerTrigger", part_files_per_trigger).parquet(part_folder)
     if not any(fnmatch(f.getPath().getName(), f"{table}*.parquet") for f in fs.listStatus(where.getParent())):
         raise FileNotFoundError(f"no file {table}*.parquet in {folder}")
     return (reader.option("pathGlobFilter", f"{table}*.parquet")
@@ -52,17 +52,6 @@ def _is_data(name: str) -> bool:
     return not any(part[:1] == "." or part[:1] == "_" and "=" not in part for part in name.split("/"))
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, out_schema: T.StructType,
-                 mode: str = "append") -> DataFrame:
-    base = shared_path(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode(mode)
-         .option("checkpointLocation", f"{base}/_checkpoint")
-         .option("path", f"{base}/data")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(out_schema).parquet(f"{base}/data")
-
-
 def run_foreach_batch(spark: SparkSession, stream: DataFrame, name: str, out_schema: T.StructType,
                       transform) -> DataFrame:
     """foreachBatch: ``transform(batch_df)`` is appended to a parquet table.

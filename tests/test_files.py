@@ -1,31 +1,55 @@
-"""File sources/sinks: training CSV (header, declared schema), load-or-train, append."""
+"""File sources/sinks: training CSV (header, declared schema), the model's life, append."""
 
 from __future__ import annotations
 
+import pytest
+
 from centwise.operators import categorize as cat
+from centwise.operators import model_store as store
 from centwise.sources import files
 
 
-def test_training_csv_and_model_reuse(spark, tmp_path):
+SEED = [("grocery shopping and snacks", "Food"), ("uber ride", "Transport"), ("electricity bill", "Bills"),
+        ("electricity bill", "Bills"), ("bus ticket, return", "Transport"), ('the "big" dinner', "Food")]
+OWN = [("grocery delivery", "Food"), ("uber ride", "Transport"), ("water bill", "Bills"), ("cinema night", "Fun"), (None, "Fun")]
+
+
+def tables(model):
+    return [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect())
+            for t in (model.vocab, model.prior, model.term)]
+
+
+def test_training_csv(spark, tmp_path):
     csv_path = tmp_path / "seed.csv"
-    csv_path.write_text("description,category\n"
-                        "grocery shopping and snacks,Food\n"
-                        "uber ride,Transport\n"
-                        "electricity bill,Bills\n"
-                        "electricity bill,Bills\n")
+    csv_path.write_text('description,category\n"bus ticket, return",Transport\nuber ride,Transport\n')
     seed = files.read_training_csv(spark, str(csv_path))
-    assert seed.columns == ["description", "category"] and seed.count() == 4
-    training = cat.training_frame(seed, None)
+    assert [tuple(r) for r in seed.collect()] == [("bus ticket, return", "Transport"), ("uber ride", "Transport")]
+
+
+def test_model_retrained_by_batches_equals_one_training(spark, tmp_path):
     path = str(tmp_path / "model")
-    m1 = files.load_or_train(spark, path, training, "v1")
-    prior = {r.category: r.doc_count for r in m1.prior.collect()}
-    assert prior == {"Food": 1, "Transport": 1, "Bills": 1}   # the duplicate row counts once
-    # same version: loaded, not retrained (the files are read back as they are)
-    m2 = files.load_or_train(spark, path, training.limit(1), "v1")
-    assert m2.prior.count() == 3
-    # newer corpus version: retrained
-    m3 = files.load_or_train(spark, path, training.filter("category = 'Food'"), "v2")
-    assert [r.category for r in m3.prior.collect()] == ["Food"]
+    frame = lambda rows: spark.createDataFrame(rows, "description string, category string")
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, path)
+    store.add_rows(spark, path, cat.training_frame(frame(SEED), None), 1)
+    assert store.is_stale(spark, path)
+    first = store.load_or_retrain(spark, path)
+    assert {r.category: r.doc_count for r in first.prior.collect()} == {"Food": 2, "Transport": 2, "Bills": 1}
+    assert not store.is_stale(spark, path) and store.current(spark, path) == 1
+    before = tables(first)
+    for _ in range(2):                                     # the delivery is repeated
+        store.add_rows(spark, path, cat.training_frame(None, frame(OWN)), 2)
+    # a retraining that dies between two tables: readers go on with the version there is
+    cat.save(cat.fit(spark, store.batches.read_batches(spark, f"{path}/terms", store.TERMS)), f"{path}/v=2")
+    assert store.is_stale(spark, path) and tables(store.load(spark, path)) == before
+    second = store.load_or_retrain(spark, path)
+    assert store.current(spark, path) == 2
+    whole = cat.train(spark, cat.training_frame(frame(SEED), frame(OWN)))
+    assert tables(second) == tables(whole) and tables(first) == before
+    store.add_rows(spark, path, frame([("gym", "Health")]), 3)
+    store.retrain(spark, path)
+    store.forget(spark, path)
+    assert store.batches.complete(spark, path, "v") == [2, 3]
 
 
 def test_append_transactions(spark, demo_tx, tmp_path):

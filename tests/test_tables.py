@@ -126,7 +126,7 @@ def test_kept_fact_equals_the_fact_from_scratch(spark, tmp_path, seed):
         assert len(touched) <= 8                           # only keys of changed rows
         chg.merge_changes(spark, where, changes, 10)
         if k in (2, 4):
-            batches.fold(spark, path, facts.FACT, facts.FACT_KEYS, facts.FACT_SUMS)
+            batches.fold(spark, path, facts.FACT, facts.FACT_KEYS, facts.FACT_TOTALS)
         if k == 4:
             batches.drop_folded(spark, path)
             assert batches.complete(spark, path) == [] and batches.complete(spark, path, "base") == [4]
