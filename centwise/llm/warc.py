@@ -1,15 +1,19 @@
 """Legacy archive converter: ARC files of either version to WARC/1.1 (operator 5).
 
 ``write_arc`` lays pages down as ARC files (version 1 or 2), ``read_arc`` parses ARC files by
-their version block, header lines and declared lengths, ``convert`` synthesises what a WARC record
-needs and ARC lacks - record id, ISO timestamp, type, block and payload digests - and ``write_warc``
-and ``read_warc`` do the round trip.  Files are written by Spark's text writer and read by its
-binary reader, so any store that Spark reaches will do; they are gzip-compressed as a whole.
+their version block, header lines and declared lengths, ``convert`` turns each into a WARC file,
+synthesising what a WARC record needs and ARC lacks - record id, ISO timestamp, type, block and payload
+digests - and ``read_warc`` reads those back.  Files are written by Spark's text writer and read by its
+binary reader, so any store that Spark reaches will do; they are gzip-compressed as a whole, at the
+writer's fastest level (``LEVEL``).
 
 Types: of records with equal payloads of at least ``MIN_REVISIT`` bytes the one with the smallest
 page id (then record id) is the response; the others become revisits, without payload, that refer
-to it.  The choice is an aggregation by digest, so a payload that a third of all pages share is
-one row per task; payloads travel once, compressed, keyed by their own record id.
+to it.  The choice is an aggregation by digest over the heads, so a payload that a third of all pages
+share is one row per task.  Its outcome is one row per archive, the positions of its revisits, which
+meets the archives' bytes where these are read: broadcast up to ``BROADCAST_REVISITS`` revisits in all
+(some 100 bytes each), beyond that by a join that shuffles the archives as they are, compressed.
+No payload is unpacked, repacked or shuffled by itself.
 
 An archive is as large as one input split of the scan that feeds it
 (``spark.sql.files.maxPartitionBytes``); a reader holds one archive, compressed, per task.
@@ -34,6 +38,8 @@ from pyspark.sql import functions as F
 from centwise.llm.common import materialize, pieces, read, shared_path
 
 MIN_REVISIT = 100
+LEVEL = "BEST_SPEED"             # of gzip, as the Hadoop codec names it
+BROADCAST_REVISITS = 300_000     # some 30 MB
 ARC_DATE = "20010131000000"      # the capture time that made-up archives carry
 # The URL-record definitions of the two ARC versions.
 ARC_FIELDS = {
@@ -79,7 +85,7 @@ def write_arc(pages: DataFrame, path: str, version: int) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     (pages.select("page_id", "url", "html").mapInArrow(run, "record binary").select(F.col("record").cast("string"))
-     .write.option("compression", "gzip").option("lineSep", "\n").text(path))
+     .write.option("compression", "gzip").option("zlib.compress.level", LEVEL).option("lineSep", "\n").text(path))
 
 
 class Unzipped:
@@ -169,53 +175,53 @@ def arc_records(data: bytes) -> Iterator[dict]:
         yield dict(zip(fields, values)) | {"version": version, "block": block}
 
 
-def read_arc(spark: SparkSession, path: str, pack: bool = True) -> DataFrame:
-    """(record_id, page_id, url, date, mime, payload_bytes, payload_digest, packed): ``packed`` is the
-    zlib-compressed HTTP block (null without ``pack``), the digest that of its payload."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "page_id", "url", "date", "mime", "payload_bytes", "payload_digest", "packed"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
+def _converted(archive: str, data: bytes) -> Iterator[tuple]:
+    """(place, record id, date, record, HTTP head, payload, its digest) of an archive's records."""
+    name = archive.rpartition("/")[2]
+    for at, r in enumerate(arc_records(data)):
+        head, body = split_http(r["block"])
+        digest = hashlib.sha256(body).hexdigest()
+        d = r["Archive-date"]
+        yield (at, f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{at}#{digest}')}",
+               f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", r, head, body, digest)
 
-        def give(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, at, record_id, page_id, url, date, mime, payload_bytes, payload_digest) of every record."""
+    schema = ("archive string, at int, record_id string, page_id long, url string, date string, mime string, "
+              "payload_bytes long, payload_digest string")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["archive", "at", "record_id", "page_id", "url", "date", "mime", "payload_bytes", "payload_digest"]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for batch in pieces(batches, 1):
-            archive = batch.column("path")[0].as_py().rpartition("/")[2]
-            rows, held = [], 0
-            for at, r in enumerate(arc_records(batch.column("content")[0].as_py())):
-                head, body = split_http(r["block"])
+            archive, rows = batch.column("path")[0].as_py(), []
+            for at, record_id, date, r, head, body, digest in _converted(archive, batch.column("content")[0].as_py()):
                 page_id = http_field(head, "X-Page-Id")
-                digest = hashlib.sha256(body).hexdigest()
-                d = r["Archive-date"]
-                rows.append((f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{at}#{digest}')}",
-                             None if page_id is None else int(page_id), r["URL"],
-                             f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", r["Content-type"],
-                             len(body), digest, zlib.compress(r["block"], 1) if pack else None))
-                held += len(r["block"])
-                if held > 4_000_000:
-                    yield give(rows)
-                    rows, held = [], 0
+                rows.append((archive, at, record_id, None if page_id is None else int(page_id), r["URL"], date, r["Content-type"],
+                             len(body), digest))
             if rows:
-                yield give(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-            .mapInArrow(run, "record_id string, page_id long, url string, date string, mime string, "
-                             "payload_bytes long, payload_digest string, packed binary"))
+    return _archives(spark, path).mapInArrow(run, schema)
 
 
 # ---- WARC --------------------------------------------------------------------------
 
-def convert(records: DataFrame, heads: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """``records`` with record_type and refers_to_id (of a revisit: the response's record id).
-    ``heads`` are the same records without payloads, from which the types are chosen."""
+def revisits(heads: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(archive, revisits array<struct<at, refers_to_id>>): the records of ``read_arc`` that repeat the
+    payload of another one, which they refer to, by archive (an archive's records bound the array)."""
     who = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("record_id"))
     first = (heads.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest")
              .agg(F.min(who).alias("who"), F.count("*").alias("n")).where("n > 1")
              .select("payload_digest", F.col("who.record_id").alias("refers_to_id")))
-    again = (heads.select("record_id", "payload_digest").join(first, "payload_digest")
-             .where(F.col("record_id") != F.col("refers_to_id")).select("record_id", "refers_to_id"))
-    return (records.join(again, "record_id", "left")
-            .withColumn("record_type", F.when(F.col("refers_to_id").isNull(), "response").otherwise("revisit")))
+    return (heads.select("archive", "at", "record_id", "payload_digest").join(first, "payload_digest")
+            .where(F.col("record_id") != F.col("refers_to_id"))
+            .groupBy("archive").agg(F.collect_list(F.struct("at", "refers_to_id")).alias("revisits")))
 
 
 def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -224,34 +230,42 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n"
 
 
-def write_warc(converted: DataFrame, path: str) -> None:
-    """One WARC file per task, a warcinfo record first."""
+def convert(spark: SparkSession, path: str, repeats: DataFrame, out: str) -> None:
+    """The ARC files at ``path`` as WARC files at ``out``, a warcinfo record first in each; ``repeats``
+    are their ``revisits``."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"centwise-{uuid.uuid4().hex}.warc"
-        info = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
-                            ("WARC-Date", "2001-01-31T00:00:00Z"), ("WARC-Filename", name),
-                            ("Content-Type", "application/warc-fields")], b"software: centwise\r\nformat: WARC File Format 1.1\r\n")
-        yield pa.RecordBatch.from_arrays([pa.array([info], pa.binary())], names=["record"])
-        for batch in pieces(batches, 64):
-            out = []
-            for r in batch.to_pylist():
-                block = zlib.decompress(r["packed"])
-                revisit = r["record_type"] == "revisit"
-                if revisit:
-                    block = split_http(block)[0] + b"\r\n\r\n"
-                fields = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", f"<{r['record_id']}>"),
-                          ("WARC-Date", r["date"]), ("WARC-Target-URI", r["url"]),
-                          ("WARC-Payload-Digest", f"sha256:{r['payload_digest']}"),
+        for batch in pieces(batches, 1):
+            archive, data, again = (batch.column(c)[0].as_py() for c in ("path", "content", "revisits"))
+            refers = {r["at"]: r["refers_to_id"] for r in again or ()}
+            name = archive.rpartition("/")[2]
+            records = [warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, archive)}>"),
+                                    ("WARC-Date", "2001-01-31T00:00:00Z"), ("WARC-Filename", f"{name}.warc"),
+                                    ("Content-Type", "application/warc-fields")],
+                                   b"software: centwise\r\nformat: WARC File Format 1.1\r\n")]
+            held = 0
+            for at, record_id, date, r, head, _, digest in _converted(archive, data):
+                block = r["block"] if at not in refers else head + b"\r\n\r\n"
+                fields = [("WARC-Type", "revisit" if at in refers else "response"), ("WARC-Record-ID", f"<{record_id}>"),
+                          ("WARC-Date", date), ("WARC-Target-URI", r["URL"]),
+                          ("WARC-Payload-Digest", f"sha256:{digest}"),
                           ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
-                          ("WARC-Identified-Payload-Type", r["mime"]),
+                          ("WARC-Identified-Payload-Type", r["Content-type"]),
                           ("Content-Type", "application/http; msgtype=response")]
-                if revisit:
-                    fields[2:2] = [("WARC-Refers-To", f"<{r['refers_to_id']}>"), ("WARC-Profile", REVISIT_PROFILE)]
-                out.append(warc_record(fields, block))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                if at in refers:
+                    fields[2:2] = [("WARC-Refers-To", f"<{refers[at]}>"), ("WARC-Profile", REVISIT_PROFILE)]
+                records.append(warc_record(fields, block))
+                held += len(block)
+                if held > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
+                    records, held = [], 0
+            if records:
+                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
-    (converted.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
-     .write.option("compression", "gzip").option("lineSep", "\r\n").text(path))
+    r = repeats.withColumnRenamed("archive", "path")
+    few = (repeats.agg(F.sum(F.size("revisits"))).first()[0] or 0) <= BROADCAST_REVISITS
+    (_archives(spark, path).join(F.broadcast(r) if few else r, "path", "left").select("path", "content", "revisits")
+     .mapInArrow(run, "record binary").select(F.col("record").cast("string"))
+     .write.option("compression", "gzip").option("zlib.compress.level", LEVEL).option("lineSep", "\r\n").text(out))
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -298,7 +312,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return (_archives(spark, path)
             .mapInArrow(run, "record_id string, record_type string, page_id long, url string, date string, "
                              "payload_bytes long, payload_digest string, refers_to_id string"))
 
@@ -310,9 +324,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
     write_arc(pages.where(odd), f"{arc}/v1", 1)
     write_arc(pages.where(~odd), f"{arc}/v2", 2)
-    heads = materialize(spark, read_arc(spark, f"{arc}/v*", pack=False)
-                        .select("record_id", "page_id", "payload_bytes", "payload_digest"), "arc-heads")
-    write_warc(convert(read_arc(spark, f"{arc}/v*"), heads), warc)
+    heads = materialize(spark, read_arc(spark, f"{arc}/v*")
+                        .select("archive", "at", "record_id", "page_id", "payload_bytes", "payload_digest"), "arc-heads")
+    convert(spark, f"{arc}/v*", materialize(spark, revisits(heads), "arc-revisits"), warc)
     back = materialize(spark, read_warc(spark, warc), "warc-heads")
     response = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"),
                                                              F.col("page_id").alias("refers_to"))
