@@ -10,15 +10,15 @@ Costs (parameters): MERGE, RELABEL, INSERT; a merge of another role pays for the
 role that is null or unknown costs UNKNOWN whichever legal role it takes.  Ties go to the first of
 keep, merge, insert, relabel.
 
-Long conversations: turns are range-partitioned by (conversation, turn, role, text), so that a
-conversation of any size is cut into segments of ``SEGMENT`` turns.  A segment becomes a 4 x 4
-matrix of least costs; matrices multiply (min, +) up a tree of ``SEGMENT`` children a node, and the
-chosen states come down the same tree, after which each segment renders its own turns.  No task
-ever holds a conversation.  A conversation that has one segment is one row; the rendered parts of
-others follow each other by ``part``.
-
-Defined cases: turns are ordered by (turn, role, text), nulls first; null and empty texts are empty
-turns; repeated rows are turns of their own and get merged; a null conv_id is a conversation of its
+Long conversations: turns are range-partitioned by (conversation, turn, role, text) and numbered
+within their conversation (``ordering``); every ``SEGMENT`` turns by that number are a segment, however
+the rows are partitioned.  A segment becomes a 4 x 4 matrix of least costs; matrices multiply (min, +)
+up a tree of ``SEGMENT`` children a node, and the chosen states come down the same tree, after which
+each segment renders its own turns.  No task ever holds a conversation.  A conversation of up to
+``SEGMENT`` turns is one row; the rendered parts of longer ones follow each other by ``part``.
+
+Defined cases: turns are ordered by turn, role, the first 32 characters and then a hash of the text,
+nulls first; null and empty texts are empty turns; repeated rows are turns of their own and get merged; a null conv_id is a conversation of its
 own; ``<|`` in a text is written ``<\\u200b|`` so that no text can close or open a turn; an empty
 table gives an empty result; extra columns are not read.
 """
@@ -28,11 +28,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from centwise.llm.common import materialize, read
+from centwise.llm.ordering import laid_out, numbered, spans
 
 SEGMENT = 512
 MERGE, RELABEL, INSERT, UNKNOWN = 1, 3, 2, 1
@@ -180,85 +181,69 @@ def format_chats(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(conv_id, part, n_turns, cost, n_kept, n_merged, n_inserted, n_relabelled, rendered); ``part``
     numbers the segments of a conversation and ``cost`` is that of the part."""
     spark = turns.sparkSession
-    laid = _type("conv_id long, part_no int, cut long, at long, role int, text string")
-    sorted_ = (turns.select("conv_id", "turn", "role", "text")
-               .repartitionByRange("conv_id", "turn", "role", "text")
-               .sortWithinPartitions("conv_id", "turn", "role", "text")
-               .withColumn("part_no", F.spark_partition_id()))
-
-    def cut(batches):
-        def rows():
-            conv, n = object(), 0
-            for batch in batches:
-                for r in batch.to_pylist():
-                    conv, n = (r["conv_id"], 0) if r["conv_id"] != conv else (conv, n + 1)
-                    yield r["conv_id"], r["part_no"], n // segment, n, role_of(r["role"]), r["text"]
-        yield from give(rows(), laid)
-
-    rows = materialize(spark, sorted_.mapInArrow(cut, laid), "chat-turns")
-    seg = _type("conv_id long, part_no int, cut long, costs array<long>")
+    rows = (turns.select("conv_id", "turn", "role", "text").withColumn("head", F.substring("text", 1, 32))
+            .withColumn("hash", F.xxhash64("text")).withColumn("own", F.monotonically_increasing_id()))
+    laid = laid_out(rows, "conv_id", ["turn", "role", "head", "hash", "own"], "chat-turns")
+    known = materialize(spark, spans(laid, "conv_id"), "chat-spans")
+    cut = F.floor(F.col("n") / segment)
+    node = _type("cid long, n long, costs array<long>")
 
     def measure(batches):
-        yield from give(((run[0]["conv_id"], run[0]["part_no"], run[0]["cut"], matrix([r["role"] for r in run]))
-                         for run in runs(batches, ["conv_id", "part_no", "cut"])), seg)
-
-    keys = ["conv_id", "part_no", "cut"]
-    mats = _grouped(rows.select(*keys, "at", "role"), keys, "at").mapInArrow(measure, seg)
-    order = Window.partitionBy("conv_id").orderBy("part_no", "cut")
-    # a row for every ``segment`` turns: the numbering of a conversation's segments sees only those
-    base = materialize(spark, mats.withColumn("n", F.row_number().over(order).cast("long") - 1), "chat-segments")
+        yield from give(((run[0]["cid"], run[0]["cut"], matrix([role_of(r["role"]) for r in run]))
+                         for run in runs(batches, ["cid", "cut"])), node)
 
-    node = _type("conv_id long, n long, costs array<long>")
+    narrow = numbered(laid.select("conv_id", "seq", "role"), known, "conv_id").select("cid", cut.alias("cut"), "n", "role")
+    base = materialize(spark, _grouped(narrow, ["cid", "cut"], "n").mapInArrow(measure, node), "chat-segments")
 
     def fold(batches):
-        yield from give(((run[0]["conv_id"], run[0]["up"], product([r["costs"] for r in run]))
-                         for run in runs(batches, ["conv_id", "up"])), node)
+        yield from give(((run[0]["cid"], run[0]["up"], product([r["costs"] for r in run]))
+                         for run in runs(batches, ["cid", "up"])), node)
 
-    levels = [base.select("conv_id", "n", "costs")]
+    levels = [base]
     while (levels[-1].agg(F.max("n")).first()[0] or 0) > 0:
         up = levels[-1].withColumn("up", F.floor(F.col("n") / segment))
-        levels.append(materialize(spark, _grouped(up, ["conv_id", "up"], "n").mapInArrow(fold, node), "chat-tree"))
-    ends = _type("conv_id long, n long, entry int, leave int")
+        levels.append(materialize(spark, _grouped(up, ["cid", "up"], "n").mapInArrow(fold, node), "chat-tree"))
+    ends = _type("cid long, n long, entry int, leave int")
 
     def finish(batches):
-        yield from give(((r["conv_id"], r["n"], START, min(range(4), key=r["costs"][:4].__getitem__))
+        yield from give(((r["cid"], r["n"], START, min(range(4), key=r["costs"][:4].__getitem__))
                          for batch in batches for r in batch.to_pylist()), ends)
 
     def descend(batches):
         def rows():
-            for run in runs(batches, ["conv_id", "up"]):
+            for run in runs(batches, ["cid", "up"]):
                 way = through([r["costs"] for r in run], run[0]["entry"], run[0]["leave"])
                 for r, a, b in zip(run, way, way[1:]):
-                    yield r["conv_id"], r["n"], a, b
+                    yield r["cid"], r["n"], a, b
         yield from give(rows(), ends)
 
     states = levels.pop().mapInArrow(finish, ends)
     while levels:
-        above = states.select(F.col("conv_id").alias("__c"), F.col("n").alias("__up"), "entry", "leave")
-        below = levels.pop().withColumn("up", F.floor(F.col("n") / segment))
-        both = below.join(above, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("up") == F.col("__up")))
-        states = _grouped(both.select("conv_id", "up", "n", "costs", "entry", "leave"), ["conv_id", "up"], "n").mapInArrow(descend, ends)
-    s = states.select(F.col("conv_id").alias("__c"), F.col("n").alias("__n"), "entry", "leave")
-    count = Window.partitionBy("conv_id")
-    known = (base.select(*keys, "n").withColumn("parts", F.count("*").over(count))
-             .join(s, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("n") == F.col("__n")))
-             .select(F.col("conv_id").alias("__k0"), F.col("part_no").alias("__k1"), F.col("cut").alias("__k2"), "n", "parts", "entry", "leave"))
+        above = states.select("cid", F.col("n").alias("up"), "entry", "leave")
+        both = levels.pop().withColumn("up", F.floor(F.col("n") / segment)).join(above, ["cid", "up"])
+        states = _grouped(both, ["cid", "up"], "n").mapInArrow(descend, ends)
+    heads = known.where(F.col("first") == F.col("cid")).select("conv_id", "cid", F.ceil(F.col("total") / segment).alias("parts"))
+    null = F.lit(None)
+    # a segment's states come before its turns (``at`` -1): the texts meet them by one shuffle
+    marks = (states.join(heads, "cid").select("conv_id", "cid", F.col("n").alias("cut"), F.lit(-1).cast("long").alias("at"), "parts", "entry", "leave")
+             .withColumns({"role": null.cast("string"), "text": null.cast("string")}))
+    said = (numbered(laid.select("conv_id", "seq", "role", "text"), known, "conv_id")
+            .select("conv_id", "cid", cut.alias("cut"), F.col("n").alias("at"), "role", "text")
+            .withColumns({"parts": null.cast("long"), "entry": null.cast("int"), "leave": null.cast("int")}))
     out = _type("conv_id long, part long, n_turns long, cost long, n_kept long, n_merged long, n_inserted long, "
                 "n_relabelled long, rendered string")
 
     def write(batches):
         def parts():
-            for run in runs(batches, keys):
-                first = run[0]
-                chosen = repair([r["role"] for r in run], first["entry"], first["leave"])
+            for mark, *run in runs(batches, ["cid", "cut"]):
+                chosen = repair([role_of(r["role"]) for r in run], mark["entry"], mark["leave"])
                 acts = [m[3] for m in chosen]
-                yield (first["conv_id"], first["n"], len(run), sum(m[2] for m in chosen), acts.count("keep"), acts.count("merge"),
+                yield (mark["conv_id"], mark["cut"], len(run), sum(m[2] for m in chosen), acts.count("keep"), acts.count("merge"),
                        acts.count("insert"), acts.count("relabel"),
-                       rendered(chosen, [r["text"] for r in run], first["entry"], first["n"] + 1 == first["parts"]))
+                       rendered(chosen, [r["text"] for r in run], mark["entry"], mark["cut"] + 1 == mark["parts"]))
         yield from give(parts(), out, 200)
 
-    full = rows.join(known, F.col("conv_id").eqNullSafe(F.col("__k0")) & (F.col("part_no") == F.col("__k1")) & (F.col("cut") == F.col("__k2")))
-    return _grouped(full.select(*keys, "at", "role", "text", "n", "parts", "entry", "leave"), keys, "at").mapInArrow(write, out)
+    return _grouped(said.unionByName(marks), ["cid", "cut"], "at").mapInArrow(write, out)
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,23 @@ def test_a_clean_conversation_stays(spark):
     assert got[2].n_merged == 1 and got[2].rendered == "<|im_start|>user\na\n\nb<|im_end|>\n"
     assert got[3].n_inserted == 1 and got[3].rendered == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nz<|im_end|>\n"
     assert chat.format_chats(df.limit(0)).collect() == []
+
+
+def test_rows_do_not_depend_on_partitions(spark):
+    """One row a conversation of up to SEGMENT turns, parts of longer ones cut by the turn's number alone."""
+    rng = random.Random(9)
+    turns = conversations(rng) + [(2000, t, rng.choice(NAMES), f"long {t}") for t in range(chat.SEGMENT)]
+    turns += [(2001, t, rng.choice(NAMES), f"longer {t}") for t in range(chat.SEGMENT + 1)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 12, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(map(tuple, chat.format_chats(df.repartition(n)).collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] == seen[2]
+    parts = {}
+    for r in seen[0]:
+        parts[r[0]] = parts.get(r[0], 0) + 1
+    assert {c: n for c, n in parts.items() if n > 1} == {2001: 2} and parts[2000] == 1
