@@ -34,7 +34,7 @@ from centwise.llm.common import BLANK, materialize, read
 CAP = 3
 WEIGHTS = (1, 2, 3)
 COPIES = 1_000
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 8_192
 WORD = f"[^{BLANK}]+"
 RECORD = ["doc_id", "source", "size", "body"]
 
