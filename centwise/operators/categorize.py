@@ -56,9 +56,16 @@ def _no_stop_word(col: F.Column, stop_words) -> F.Column:
 
 
 def _normalise(w: DataFrame, key: list[str]) -> DataFrame:
-    """ML5: L2 normalisation per document (aggregate + join on the doc key)."""
-    norms = w.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("x"))
+    """ML5: a row per document: its weights (``ws``), their norm and their sum after normalising
+    (``sx``).  One shuffle brings a document's terms together, and a text bounds them."""
+    return w.groupBy(*key).agg(
+        F.collect_list(F.struct("term", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+        F.sum("w").alias("sum")).withColumn("sx", F.col("sum") / F.col("norm")).drop("sum")
+
+
+def _weights(docs: DataFrame, key: list[str]) -> DataFrame:
+    """(key, term, x) from ``_normalise``."""
+    return docs.select(*key, "norm", F.explode("ws").alias("t")).select(*key, "t.term", (F.col("t.w") / F.col("norm")).alias("x"))
 
 
 @dataclass
@@ -82,40 +89,42 @@ def training_frame(seed: DataFrame | None, expenses: DataFrame | None) -> DataFr
 
 
 def _doc_key() -> F.Column:
-    return F.sha2(F.concat_ws("\u0001", "category", "description"), 256)
+    """128 bits of category and text."""
+    return F.unhex(F.md5(F.concat_ws("\u0001", "category", "description")))
 
 
-def term_counts(spark: SparkSession, training: DataFrame, stop_words=None) -> DataFrame:
-    """SET2 + ML1 + ML2: (doc, category, term, tf) of the distinct rows of (description, category), and
-    a row with the empty term for each of them.
+def term_counts(training: DataFrame, stop_words=None) -> DataFrame:
+    """SET2 + ML1 + ML2: (doc, category, terms array<struct<term, tf>>), a row for each distinct row of
+    (description, category).
 
     Duplicate rows share a hash key; their term counts are summed and divided
-    by the key's multiplicity, which equals the count of one copy -- the same
-    as dropping duplicates first, without shuffling any text."""
-    from centwise.session import materialize
+    by the key's multiplicity (the count of the empty term, which each row has
+    once), which equals the count of one copy -- the same as dropping duplicates
+    first, without shuffling any text."""
     keyed = training.select("description", "category").dropna().withColumn("doc", _doc_key())
     words = F.concat(F.array(F.lit("")), F.filter(tokens(F.col("description")),
                                                   lambda t: _no_stop_word(t, stop_words)))
     counts = (keyed.select("doc", "category", F.explode(words).alias("term"))
               .groupBy("doc", "category", "term").agg(F.count(F.lit(1)).alias("n")))
-    counts = materialize(spark, counts, "nb_counts")
-    mult = counts.filter(F.col("term") == "").select("doc", "category", F.col("n").alias("mult"))
-    return counts.join(mult, ["doc", "category"]).select(
-        "doc", "category", "term", (F.col("n") / F.col("mult")).cast("long").alias("tf"))
+    copies = F.max(F.when(F.col("term") == "", F.col("n")))
+    docs = counts.groupBy("doc", "category").agg(F.collect_list(F.struct("term", "n")).alias("all"), copies.alias("copies"))
+    terms = F.transform(F.filter("all", lambda t: t["term"] != ""), lambda t: F.struct(
+        t["term"].alias("term"), (t["n"] / F.col("copies")).cast("long").alias("tf")))
+    return docs.select("doc", "category", terms.alias("terms"))
 
 
-def fit(spark: SparkSession, counts: DataFrame) -> NBModel:
+def fit(spark: SparkSession, docs: DataFrame) -> NBModel:
     """ML4 + ML5 + ML6: the model tables from stored ``term_counts``."""
     from centwise.session import materialize
-    docs = counts.filter(F.col("term") == "").select("doc", "category")
-    tf = counts.filter(F.col("term") != "")
+    tf = docs.select("doc", "category", F.explode("terms").alias("t")).select("doc", "category", "t.term", "t.tf")
     n_docs = docs.count()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = materialize(spark, dfreq.select(
         "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")), "nb_vocab")
     v = vocab.count()
     w = tf.join(vocab, "term").select("doc", "category", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    x = _normalise(w, ["doc", "category"])
+    key = ["doc", "category"]
+    x = _weights(_normalise(w, key), key)
     fc = materialize(spark, x.groupBy("category", "term").agg(F.sum("x").alias("fc")), "nb_fc")
     classes = docs.groupBy("category").agg(F.count(F.lit(1)).alias("doc_count"))
     tot = fc.groupBy("category").agg(F.sum("fc").alias("fc_total"))
@@ -132,7 +141,7 @@ def train(spark: SparkSession, training: DataFrame, stop_words=None) -> NBModel:
     """ML4 + ML6 (+ SET2): fit the model tables from (description, category).  The term counts are
     written once to the shared folder; the model tables are small aggregates of them."""
     from centwise.session import materialize
-    return fit(spark, materialize(spark, term_counts(spark, training, stop_words), "nb_tf"))
+    return fit(spark, materialize(spark, term_counts(training, stop_words), "nb_tf"))
 
 
 def save(model: NBModel, path: str) -> None:
@@ -220,15 +229,14 @@ def _score(spark: SparkSession, model: NBModel, dt: DataFrame, key: str) -> Data
     from centwise.session import materialize
     tf = dt.filter(F.col("term").isNotNull())
     w = tf.join(model.vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    x = _normalise(w, [key])
-    sx = x.groupBy(key).agg(F.sum("x").alias("sx"))
-    sums = materialize(spark, dt.select(key).distinct().join(sx, key, "left")
-                       .select(key, F.coalesce("sx", F.lit(0.0)).alias("sx")), "nb_sums")
-    dots = (x.join(model.term, "term").groupBy(key, "category")
+    known = materialize(spark, _normalise(w, [key]), "nb_weights")
+    sums = (dt.select(key).distinct().join(known.select(key, "sx"), key, "left")
+            .select(key, F.coalesce("sx", F.lit(0.0)).alias("sx")))
+    dots = (_weights(known, [key]).join(model.term, "term").groupBy(key, "category")
             .agg(F.sum(F.col("x") * F.col("log_num")).alias("dot")))
     prior = model.prior.select("category", "log_prior", "log_den")
     base = F.col("log_prior") - F.col("log_den") * F.col("sx")
-    seen = dots.join(sums, key).join(prior, "category").select(key, "category", (base + F.col("dot")).alias("score"))
+    seen = dots.join(known.select(key, "sx"), key).join(prior, "category").select(key, "category", (base + F.col("dot")).alias("score"))
     rest = (sums.withColumn("step", _step(F.col("sx"))).join(_unseen(model, sums), "step")
             .select(key, "category", base.alias("score")))
     return (seen.unionByName(rest).groupBy(key)

@@ -22,6 +22,9 @@ from centwise.sources.batches import remove
 
 KEY = ["id", "user_id"]
 FIELDS = ["amount", "category", "type", "description", "date"]
+# A bloom filter on id in each row group of a bucketed table, for lookups.
+BLOOM = {"parquet.bloom.filter.enabled#id": "true"}
+PUSHED_IDS = 1_000
 BUCKETED = T.StructType([*TRANSACTIONS.fields, T.StructField("month", T.DateType()), T.StructField("bucket", T.IntegerType())])
 
 
@@ -66,7 +69,7 @@ def write_buckets(tx: DataFrame, path: str, buckets: int) -> None:
     """A transactions table in folders ``bucket=<hash of id>``.  A bucket is what a merge rewrites:
     choose ``buckets`` so that one is a few hundred MB."""
     (tx.withColumn("bucket", _bucket(buckets)).repartition("bucket").sortWithinPartitions("bucket", "id")
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+     .write.mode("overwrite").options(**BLOOM).partitionBy("bucket").parquet(path))
 
 
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
@@ -88,13 +91,28 @@ def merge_changes(spark: SparkSession, path: str, changes: DataFrame, buckets: i
     new = materialize(spark, apply_changes(now.drop("bucket"), ch.drop("bucket")).withColumn("bucket", _bucket(buckets)), "table-merged")
     left = {r.bucket for r in new.select("bucket").distinct().collect()}
     (new.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+     .options(**BLOOM).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
     for bucket in touched:
         if bucket not in left:
             remove(spark, f"{path}/bucket={bucket}")
     return touched
 
 
+def lookup_buckets(spark: SparkSession, path: str, keys: DataFrame, buckets: int) -> DataFrame:
+    """SRC2 on a bucketed table: the rows of (id, user_id) pairs.
+
+    Only the buckets of the keys are read (partition pruning).  Up to ``PUSHED_IDS`` distinct ids also go
+    into the scan as a filter: rows lie sorted by id in a bucket's file, whose row groups and pages
+    carry the least and greatest id, and a bloom filter.  More keys are a semi-join over the buckets."""
+    k = materialize(spark, keys.select(*KEY).distinct().withColumn("bucket", _bucket(buckets)), "lookup-keys")
+    touched = [r.bucket for r in k.select("bucket").distinct().collect() if r.bucket is not None]
+    ids = [r.id for r in k.select("id").distinct().limit(PUSHED_IDS + 1).collect()]
+    rows = read_buckets(spark, path).where(F.col("bucket").isin(touched))
+    if len(ids) <= PUSHED_IDS:
+        rows = rows.where(F.col("id").isin(ids))
+    return lookup(rows.drop("bucket"), k)
+
+
 def append_transactions(table_path: str, new_rows: DataFrame) -> None:
     """SNK1: append validated rows."""
     new_rows.write.mode("append").parquet(table_path)

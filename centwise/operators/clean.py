@@ -129,10 +129,24 @@ def orphans(df: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
     return df.join(users.select(F.col("id").alias(key)), key, "left_anti")
 
 
+def violations(tables: dict[str, DataFrame], parents: DataFrame, key: str = "user_id") -> DataFrame:
+    """VAL5 over several tables: (table_name, key, n_rows) of the keys that have no row in ``parents``
+    (id); a null key is one of them.
+
+    The tables are counted by key before anything is joined, so one pass with a map-side combine
+    reduces each to its distinct keys, and a key with very many rows is one row of the check."""
+    counted = None
+    for name, df in tables.items():
+        one = df.groupBy(F.col(key).cast("long").alias(key)).agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), key, "n_rows")
+        counted = one if counted is None else counted.unionByName(one)
+    return counted.join(parents.select(F.col("id").alias(key)).distinct(), key, "left_anti").select("table_name", key, "n_rows")
+
+
 def breakdown_category(c: F.Column) -> F.Column:
     """PRJ2: blank category -> 'Other' (breakdown only)."""
     return F.coalesce(F.when(c != "", c), F.lit("Other"))
 
 
-__all__ = ["clean_transactions", "validate_transactions", "validate_budgets", "validate_users", "orphans",
+__all__ = ["clean_transactions", "validate_transactions", "validate_budgets", "validate_users", "orphans", "violations",
            "parse_amount", "parse_date", "breakdown_category"]

@@ -21,16 +21,17 @@ from pyspark.sql import types as T
 from centwise.operators import categorize as cat
 from centwise.sources import batches
 
-TERMS = T.StructType([T.StructField("doc", T.StringType()), T.StructField("category", T.StringType()),
-                      T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+TERMS = T.StructType([T.StructField("doc", T.BinaryType()), T.StructField("category", T.StringType()),
+                      T.StructField("terms", T.ArrayType(T.StructType([T.StructField("term", T.StringType()),
+                                                                       T.StructField("tf", T.LongType())])))])
 
 
 def add_rows(spark: SparkSession, path: str, training: DataFrame, batch: int, stop_words=None) -> None:
     """Commit the training rows (description, category) of one delivery; repeating it adds nothing."""
     if batch in batches.complete(spark, f"{path}/terms"):
         return
-    known = batches.read_batches(spark, f"{path}/terms", TERMS, before=batch).filter(F.col("term") == "").select("doc")
-    fresh = cat.term_counts(spark, training, stop_words).join(known, "doc", "left_anti")
+    known = batches.read_batches(spark, f"{path}/terms", TERMS, before=batch).select("doc")
+    fresh = cat.term_counts(training, stop_words).join(known, "doc", "left_anti")
     batches.write_batch(fresh.select(TERMS.names), f"{path}/terms", batch)
 
 

@@ -4,17 +4,19 @@ Delivery (SMTP) is not built: the output is an outbox table a sender reads.
 
 The cool-down is a greedy fold (accept a request when at least C seconds have
 passed since that user's last *accepted* one), which no window expresses.
-It runs in three skew-safe steps so one very busy user never lands whole in
-one task:
-
-1. per (user, time segment): a DP over the segment gives, for every possible
-   entry state, where the accepted chain leaves the segment -- only the first
-   C seconds of a segment can depend on the previous one, so a segment has
-   few distinct entries;
-2. per user: fold those small summaries over segments in time order to learn
-   the state entering each segment;
-3. per (user, segment) again: mark accepted / rejected and the remaining
-   seconds.
+It runs in skew-safe steps so one very busy user never lands whole in one task.
+A stretch of time is a map from the block time with which it is entered to the
+one with which it is left: constant from one possible first accepted request to
+the next.  Only the first C seconds of a stretch can depend on what came
+before, so the map has a piece for each request time in them, and one more, however
+long the stretch is.
+
+1. per (user, hour): the hour's map, by pointer jumping;
+2. per (user, 256 hours), then per (user, 65,536 hours): the maps of
+   the parts composed, with their pieces cut back to the first C seconds;
+3. per user: fold the few maps that are left (seven years each), then down the
+   same tree: the block time entering each part;
+4. per (user, hour) again: mark accepted / rejected and the remaining seconds.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 
 from centwise.functions.columns import fmt
 from centwise.schema import REPORT_COOLDOWN_SECONDS
+from centwise.session import materialize
 
 US = 1_000_000
 SEGMENT_SECONDS = 3600
+FAN_BITS = 8                                   # FAN = 256 parts make one of the next level
 NO_BLOCK = -(1 << 62)
 
 
@@ -93,7 +97,7 @@ def _segment_summaries(cooldown_us: int):
         for pdf in _complete_groups(batches, ["user_id", "seg"]):
             users, segs, cts, exits = [], [], [], []
             for a, b in _group_bounds(pdf, ["user_id", "seg"]):
-                t = pdf["t"].to_numpy(np.int64)[a:b]
+                t = np.unique(pdf["t"].to_numpy(np.int64)[a:b])   # of equal times only one can be accepted
                 n = len(t)
                 nxt = np.searchsorted(t, t + cooldown_us, side="left")
                 last = np.where(nxt >= n, np.arange(n), nxt)
@@ -114,23 +118,77 @@ def _segment_summaries(cooldown_us: int):
     return fn
 
 
-def _fold_segments(batches):
-    """Stage 2: per user, in segment order, the block time entering each segment."""
-    cur_user, block = None, NO_BLOCK
-    for pdf in _complete_groups(batches, ["user_id", "seg"]):
-        out_u, out_s, out_b = [], [], []
-        for a, b in _group_bounds(pdf, ["user_id", "seg"]):
-            u = int(pdf["user_id"].iat[a])
-            if u != cur_user:
-                cur_user, block = u, NO_BLOCK
-            out_u.append(u)
-            out_s.append(int(pdf["seg"].iat[a]))
-            out_b.append(block)
-            ct = pdf["cand_t"].to_numpy(np.int64)[a:b]
-            j = int(np.searchsorted(ct, block, side="left"))
-            if j < len(ct):
-                block = int(pdf["exit_block"].iat[a + j])
-        yield pd.DataFrame({"user_id": out_u, "seg": out_s, "entry_block": out_b})
+def _compose(first, then, start: int, cooldown_us: int):
+    """The map of two consecutive stretches as (request times, block times they lead to), cut back to
+    the entries that a stretch beginning at ``start`` can have."""
+    (ct, ex), (ct2, ex2) = first, then
+    j = np.searchsorted(ct2, ex, side="left")
+    through = np.where(j < len(ct2), ex2[np.minimum(j, len(ct2) - 1)], ex)
+    beyond = int(np.searchsorted(ct2, ct[-1], side="right"))
+    ct, ex = np.append(ct, ct2[beyond:]), np.append(through, ex2[beyond:])
+    keep = int(np.searchsorted(ct, start + cooldown_us, side="left")) + 1
+    return ct[:keep], ex[:keep]
+
+
+def _maps(pdf: pd.DataFrame, part: str):
+    """(user, parent, [(part, map), ...]) for the groups of a chunk sorted by user, parent, part, time."""
+    t, ex, parts = pdf["cand_t"].to_numpy(np.int64), pdf["exit_block"].to_numpy(np.int64), pdf[part].to_numpy(np.int64)
+    for a, b in _group_bounds(pdf, ["user_id", "up"]):
+        own = [(a + x, a + y) for x, y in _group_bounds(pdf.iloc[a:b], [part])]
+        yield int(pdf["user_id"].iat[a]), int(pdf["up"].iat[a]), [(int(parts[x]), (t[x:y], ex[x:y])) for x, y in own]
+
+
+def _fold_up(cooldown_us: int, span_us: int):
+    """Step 2: the map of each parent from its parts' maps; a part is ``span_us`` long."""
+    def fn(batches):
+        for pdf in _complete_groups(batches, ["user_id", "up"]):
+            out = []
+            for user, up, parts in _maps(pdf, "seg"):
+                start, whole = parts[0][0] * span_us, parts[0][1]
+                for _, then in parts[1:]:
+                    whole = _compose(whole, then, start, cooldown_us)
+                out.append(pd.DataFrame({"user_id": user, "seg": up, "cand_t": whole[0], "exit_block": whole[1]}))
+            yield pd.concat(out)
+    return fn
+
+
+def _enter(top: bool):
+    """Step 3: the block time entering each part, from the parent's (no block where ``top``)."""
+    def fn(batches):
+        for pdf in _complete_groups(batches, ["user_id", "up"]):
+            entered = {} if top else dict(zip(zip(pdf["user_id"], pdf["up"]), pdf["entry_block"]))
+            users, segs, blocks = [], [], []
+            for user, up, parts in _maps(pdf, "seg"):
+                block = NO_BLOCK if top else int(entered[user, up])
+                for part, (ct, ex) in parts:
+                    users.append(user)
+                    segs.append(part)
+                    blocks.append(block)
+                    j = int(np.searchsorted(ct, block, side="left"))
+                    block = int(ex[j]) if j < len(ct) else block
+            yield pd.DataFrame({"user_id": users, "seg": segs, "entry_block": blocks})
+    return fn
+
+
+def _entries(maps: DataFrame, cooldown_us: int) -> DataFrame:
+    """(user_id, seg, entry_block) of every hour that has requests."""
+    def by_parent(df, shift):
+        up = F.shiftright("seg", shift) if shift else F.lit(0).cast("long")
+        return (df.withColumn("up", up).repartition("user_id", "up").sortWithinPartitions("user_id", "up", "seg", "cand_t"))
+
+    row, found = "user_id long, seg long, cand_t long, exit_block long", "user_id long, seg long, entry_block long"
+    levels = [materialize(maps.sparkSession, maps, "throttle_maps")]
+    for level in range(2):
+        span = SEGMENT_SECONDS * US << (FAN_BITS * level)
+        levels.append(materialize(maps.sparkSession, by_parent(levels[-1], FAN_BITS).mapInPandas(_fold_up(cooldown_us, span), row),
+                                  "throttle_maps"))
+    entry = by_parent(levels.pop(), 0).mapInPandas(_enter(True), found)
+    for below in reversed(levels):
+        e = entry.withColumnRenamed("seg", "up")
+        joined = below.withColumn("up", F.shiftright("seg", FAN_BITS)).join(e, ["user_id", "up"])
+        entry = (joined.repartition("user_id", "up").sortWithinPartitions("user_id", "up", "seg", "cand_t")
+                 .mapInPandas(_enter(False), found))
+    return entry
 
 
 def _mark(cooldown_us: int):
@@ -168,15 +226,15 @@ def throttle_requests(requests: DataFrame, cooldown_seconds: int = REPORT_COOLDO
 
     Returns request_id, user_id, accepted, remaining_seconds (0 when accepted,
     else whole seconds left, at least 1).  Each stage hash-partitions on its
-    key and sorts within partitions; Python sees many groups per call.
+    key and sorts within partitions; Python sees many groups per call.  What a
+    task holds at once is one user's request times of one hour.
     """
     c = int(cooldown_seconds) * US
     r = requests.select("request_id", "user_id", F.col("t").cast("long").alias("t"),
                         F.floor(F.col("t") / (SEGMENT_SECONDS * US)).cast("long").alias("seg"))
     by_seg = r.repartition("user_id", "seg").sortWithinPartitions("user_id", "seg", "t", "request_id")
     summ = by_seg.mapInPandas(_segment_summaries(c), "user_id long, seg long, cand_t long, exit_block long")
-    entry = (summ.repartition("user_id").sortWithinPartitions("user_id", "seg", "cand_t")
-             .mapInPandas(_fold_segments, "user_id long, seg long, entry_block long"))
+    entry = _entries(summ, c)
     j = r.join(entry, ["user_id", "seg"])
     j = j.repartition("user_id", "seg").sortWithinPartitions("user_id", "seg", "t", "request_id")
     return j.mapInPandas(_mark(c), "request_id long, user_id long, accepted boolean, remaining_seconds long")

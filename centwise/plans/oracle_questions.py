@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from centwise.operators.questions import EXPLICIT_PERIOD, MONTH_NAMES, YEAR_IN_TEXT
 from centwise.plans.oracle_fixtures import MONTH_RANKS, MONTH_TOTALS, TX_BASE, f, pct, r, with_
-from centwise.sources.testdata import MONTH_NAMES as TEMPLATE_MONTHS
+
+# Month names in calendar order, the explicit period and year patterns; below, the question
+# templates and the answer texts.
+TEMPLATE_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
+                   "November", "December"]
+MONTH_NAMES = [m.lower() for m in TEMPLATE_MONTHS]
+EXPLICIT_PERIOD = r"(20\d\d)\s*[-/]\s*(\d{1,2})"
+YEAR_IN_TEXT = r"(20\d\d)"
 
 STRIP = r"^\s+|\s+$"
 

@@ -23,6 +23,21 @@ SELECT {pick}, '2001-01-31', 2 FROM {cands('fact')} c
 WHERE NOT EXISTS (SELECT 1 FROM mid p WHERE p.user_id = c.user_id AND p.category = c.category
                     AND p.month = c.month AND p.threshold_percent = c.threshold_percent)"""
 
+    oracle["stored_transaction_lookup"] = with_(TX_ORDERS, changes) + f"""
+SELECT id, user_id, {d('amount')} AS amount, category, type, description, strftime(date, '%Y-%m-%d') AS date
+FROM txo WHERE (id, user_id) IN (SELECT id, user_id FROM changes WHERE op = 'D')"""
+
+    oracle["reference_violations"] = """
+WITH k AS (SELECT 'transactions' AS table_name, o_custkey AS user_id FROM orders
+           UNION ALL SELECT 'budgets', c_custkey FROM customer, range(7) t(idx) WHERE (c_custkey + idx) % 4 <> 0
+           UNION ALL SELECT 'events', user_id FROM events
+           UNION ALL SELECT 'report_requests', o_custkey FROM orders
+           UNION ALL SELECT 'questions', conv_id FROM conversations WHERE role = 'user'
+           UNION ALL SELECT 'sign_ups', c_custkey FROM customer
+           UNION ALL SELECT 'sign_ups', c_custkey + 1000000000 FROM customer WHERE c_acctbal < 0)
+SELECT table_name, user_id, count(*) AS n_rows FROM k
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = k.user_id) GROUP BY 1, 2"""
+
     oracle["merged_transactions"] = oracle["apply_changes"]
 
     oracle["monthly_fact_kept"] = f"""

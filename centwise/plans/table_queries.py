@@ -16,6 +16,7 @@ from centwise.functions.columns import MONEY
 from centwise.operators import budgets as bud
 from centwise.operators import categorize as cat
 from centwise.operators import changes as chg
+from centwise.operators import clean as cln
 from centwise.operators import facts
 from centwise.operators import model_store as store
 from centwise.operators import reports as rep
@@ -27,7 +28,7 @@ from centwise.sources import testdata as td
 
 AS_OF = td.SCALE_AS_OF
 MID_MONTH = dt.date(2001, 1, 15)
-BUCKETS = 64
+BUCKETS = 16
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -88,6 +89,27 @@ def q_merged_transactions(spark, sf_dir):
         F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
+@register("stored_transaction_lookup")
+def q_stored_transaction_lookup(spark, sf_dir):
+    """SRC2: the rows behind the deletions, from the stored table."""
+    path = shared_path(spark, "transactions")
+    chg.write_buckets(td.transactions_orders(spark, sf_dir), path, BUCKETS)
+    keys = td.order_changes(spark, sf_dir).where(F.col("op") == "D")
+    return chg.lookup_buckets(spark, path, keys, BUCKETS).select(
+        "id", "user_id", F.col("amount").cast("double").alias("amount"), "category", "type", "description",
+        F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@register("reference_violations")
+def q_reference_violations(spark, sf_dir):
+    """VAL5: keys of transactions, budgets, events, requests and questions that no user has."""
+    customers = td.users(spark, sf_dir)
+    tables = {"transactions": td.transactions_orders(spark, sf_dir), "budgets": td.budgets(spark, sf_dir),
+              "events": td.event_transactions(spark, sf_dir), "report_requests": td.report_requests(spark, sf_dir),
+              "questions": td.questions(spark, sf_dir), "sign_ups": td.raw_users(spark, sf_dir).withColumnRenamed("id", "user_id")}
+    return cln.violations(tables, customers)
+
+
 @register("monthly_fact_kept")
 def q_monthly_fact_kept(spark, sf_dir):
     """The stored monthly fact after three days of changes, each added as its deltas and the first

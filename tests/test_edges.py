@@ -184,3 +184,26 @@ def test_forecast_status_invalid_dates(spark):
     got = {r.user_id: (r.status, r.predicted_expense) for r in expense_forecast(fact, users).collect()}
     assert got == {1: ("invalid-dates", 0.0), 2: ("no-expenses", 0.0), 3: ("limited-history", 7.0),
                    4: ("insufficient-data", 0.0)}
+
+
+def test_throttle_one_user_with_most_requests_within_seconds(spark):
+    """A user with most of all requests, many of them within ten seconds, over years: every level of the tree."""
+    import random
+
+    rnd = random.Random(6)
+    hour, year = 3600 * 1_000_000, 365 * 24 * 3600 * 1_000_000
+    times = [rnd.randrange(10_000_000) for _ in range(3000)] + [rnd.randrange(2 * hour) for _ in range(500)]
+    times += [k * hour + rnd.choice([-3, 0, 2, 5]) * 1_000_000 for k in range(1, 1200)]        # across the hours' ends
+    times += [30 * year + rnd.randrange(20_000_000) for _ in range(800)] + [-(1 << 40), -(1 << 40) + 9_999_999]
+    times += [256 * hour * k - 1 for k in range(1, 5)] + [256 * hour * k + 9_999_998 for k in range(1, 5)]
+    rows = [(i, 1, t) for i, t in enumerate(times)] + [(10**6 + i, 2 + i % 50, rnd.randrange(hour)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "request_id long, user_id long, t long").repartition(5)
+    got = {r.request_id: (r.accepted, r.remaining_seconds) for r in notify.throttle_requests(df, 10).collect()}
+    assert len(got) == len(rows)
+    by_user = {}
+    for i, u, t in rows:
+        by_user.setdefault(u, []).append((t, i))
+    for items in by_user.values():
+        items.sort()
+        want = _brute_throttle([t for t, _ in items], 10_000_000)
+        assert [got[i] for _, i in items] == want

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from centwise.operators import budgets as bud
 from centwise.operators import changes as chg
+from centwise.operators import clean
 from centwise.operators import facts
 from centwise.schema import ALERT_EVENTS
 from centwise.sources import batches
@@ -132,3 +133,26 @@ def test_kept_fact_equals_the_fact_from_scratch(spark, tmp_path, seed):
             assert batches.complete(spark, path) == [] and batches.complete(spark, path, "base") == [4]
         key = lambda df: sorted((r.user_id, r.month, r.type, r.category, r.amount, r.n_tx) for r in df.collect())
         assert key(facts.stored_fact(spark, path)) == key(facts.monthly_fact(chg.read_buckets(spark, where)))
+
+
+def test_lookup_reads_only_the_keys_buckets(spark, tmp_path):
+    path = str(tmp_path / "tx")
+    base = table(spark)
+    chg.write_buckets(base, path, 20)
+    user = base.first().user_id
+    keys = spark.createDataFrame([(5, user), (5, user), (77, user), (78, user + 1), (100_000, user), (None, user)], "id long, user_id long")
+    got = chg.lookup_buckets(spark, path, keys, 20)
+    assert rows(got) == rows(base.where("id IN (5, 77)"))
+    plan = got._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(id" in plan.replace("IsNotNull(id), ", "") and "PartitionFilters: [" in plan
+    many = spark.range(1, 5000).select("id", F.lit(user).alias("user_id"))     # beyond the pushed list
+    assert rows(chg.lookup_buckets(spark, path, many, 20)) == rows(base)
+    assert chg.lookup_buckets(spark, path, keys.limit(0), 20).count() == 0
+
+
+def test_violations_over_tables(spark):
+    users = spark.createDataFrame([(1,), (2,)], "id long")
+    t = {"a": spark.createDataFrame([(1,), (3,), (3,), (None,)], "user_id long"),
+         "b": spark.createDataFrame([(2,), (9,)], "user_id int"), "c": spark.createDataFrame([], "user_id long")}
+    got = sorted(map(tuple, clean.violations(t, users).collect()), key=str)
+    assert got == [("a", 3, 2), ("a", None, 1), ("b", 9, 1)]
