@@ -36,6 +36,9 @@ HEALTH_PATTERN = "(" + "|".join(HEALTH_KEYWORDS) + ")"
 
 # Parts of each unit step of the summed term weights in which classes are compared (see ``_unseen``).
 WEIGHT_STEPS = 4
+# A table of the model is broadcast up to so many bytes of terms, with so many for the rest of a row.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 48
 
 
 def english_stop_words() -> tuple[str, ...]:
@@ -97,32 +100,41 @@ def term_counts(training: DataFrame, stop_words=None) -> DataFrame:
     """SET2 + ML1 + ML2: (doc, category, terms array<struct<term, tf>>), a row for each distinct row of
     (description, category).
 
-    Duplicate rows share a hash key; their term counts are summed and divided
-    by the key's multiplicity (the count of the empty term, which each row has
-    once), which equals the count of one copy -- the same as dropping duplicates
-    first, without shuffling any text."""
+    Each distinct text is shuffled once, by its hash key (copies collapse before that); counting its
+    terms and gathering them needs no further shuffle."""
     keyed = training.select("description", "category").dropna().withColumn("doc", _doc_key())
-    words = F.concat(F.array(F.lit("")), F.filter(tokens(F.col("description")),
-                                                  lambda t: _no_stop_word(t, stop_words)))
-    counts = (keyed.select("doc", "category", F.explode(words).alias("term"))
-              .groupBy("doc", "category", "term").agg(F.count(F.lit(1)).alias("n")))
-    copies = F.max(F.when(F.col("term") == "", F.col("n")))
-    docs = counts.groupBy("doc", "category").agg(F.collect_list(F.struct("term", "n")).alias("all"), copies.alias("copies"))
-    terms = F.transform(F.filter("all", lambda t: t["term"] != ""), lambda t: F.struct(
-        t["term"].alias("term"), (t["n"] / F.col("copies")).cast("long").alias("tf")))
-    return docs.select("doc", "category", terms.alias("terms"))
+    texts = keyed.groupBy("doc", "category").agg(F.first("description").alias("description"))
+    words = F.filter(tokens(F.col("description")), lambda t: _no_stop_word(t, stop_words))
+    counts = (texts.select("doc", "category", F.explode_outer(words).alias("term"))
+              .groupBy("doc", "category", "term").agg(F.count(F.lit(1)).alias("tf")))
+    term = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return counts.groupBy("doc", "category").agg(F.collect_list(term).alias("terms"))
+
+
+def _bounded(terms: DataFrame) -> tuple[DataFrame, bool]:
+    """A table of the model, marked for broadcast if its terms take ``BROADCAST_BYTES`` at most, and
+    whether they do.  Beyond that it is joined by term like any other table."""
+    size = terms.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
+    return (F.broadcast(terms), True) if size <= BROADCAST_BYTES else (terms, False)
+
+
+def _terms(docs: DataFrame) -> DataFrame:
+    return docs.select("doc", "category", F.explode("terms").alias("t")).select("doc", "category", "t.term", "t.tf")
 
 
 def fit(spark: SparkSession, docs: DataFrame) -> NBModel:
     """ML4 + ML5 + ML6: the model tables from stored ``term_counts``."""
     from centwise.session import materialize
-    tf = docs.select("doc", "category", F.explode("terms").alias("t")).select("doc", "category", "t.term", "t.tf")
+    tf = _terms(docs)
     n_docs = docs.count()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = materialize(spark, dfreq.select(
         "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")), "nb_vocab")
     v = vocab.count()
-    w = tf.join(vocab, "term").select("doc", "category", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    known, small = _bounded(vocab)
+    if small:                                              # then a document's terms stay together
+        tf = _terms(docs.repartition("doc"))
+    w = tf.join(known, "term").select("doc", "category", "term", (F.col("tf") * F.col("idf")).alias("w"))
     key = ["doc", "category"]
     x = _weights(_normalise(w, key), key)
     fc = materialize(spark, x.groupBy("category", "term").agg(F.sum("x").alias("fc")), "nb_fc")
@@ -170,26 +182,30 @@ def materialize(spark: SparkSession, model: NBModel, name: str = "nb_model") ->
 STRIP = r"^\s+|\s+$"
 
 
-def _doc_terms(spark: SparkSession, docs: DataFrame, key: str, text: str, stop_words, flags: bool) -> DataFrame:
-    """One pass over the texts: (key[, blank, health], term, tf).
+def _doc_weights(spark: SparkSession, model: NBModel, docs: DataFrame, key: str, text: str, stop_words,
+                 flags: bool) -> DataFrame:
+    """One pass over the texts: (key[, blank, health], ws, norm, sx), written once to the shared folder.
 
-    Stop words and texts without any token leave one row with a NULL term, so
-    every document keeps its row (and flags) without a second read of the text.
-    The result is written once to the shared folder and read by each step."""
+    Every document keeps its row, those without a known term too (no weights, sx 0).  A text is shuffled
+    once, by its key; with a vocabulary that can be broadcast all the rest happens where it lies."""
     from centwise.session import materialize
-    d = (docs.select(key, text)).select(key, F.regexp_replace(F.col(text), STRIP, "").alias("_t"))
-    flag_cols = []
+    d = docs.select(key, F.regexp_replace(F.col(text), STRIP, "").alias("_t")).repartition(key)
+    group = [key]
     if flags:
         # Per-document flags are computed *before* the explode; in the same
         # select Catalyst would evaluate them above the Generate, once per token.
         d = d.select(key, "_t", (F.col("_t") == "").alias("blank"),
                      F.lower("_t").rlike(HEALTH_PATTERN).alias("health"))
-        flag_cols = ["blank", "health"]
-    e = d.select(key, *flag_cols, F.explode_outer(tokens(F.col("_t"))).alias("term"))
+        group += ["blank", "health"]
+    e = d.select(*group, F.explode_outer(tokens(F.col("_t"))).alias("term"))
     e = e.withColumn("term", F.when(_no_stop_word(F.col("term"), stop_words), F.col("term")))
-    group = [key] + (["blank", "health"] if flags else [])
-    g = e.groupBy(*group, "term").agg(F.count("term").alias("tf"))
-    return materialize(spark, g, "nb_doc_terms")
+    tf = e.groupBy(*group, "term").agg(F.count("term").alias("tf"))
+    w = tf.join(_bounded(model.vocab)[0], "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
+    known = w.groupBy(*group).agg(
+        F.collect_list(F.when(F.col("w").isNotNull(), F.struct("term", "w"))).alias("ws"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("w").alias("sum"))
+    known = known.withColumn("sx", F.coalesce(F.col("sum") / F.col("norm"), F.lit(0.0))).drop("sum")
+    return materialize(spark, known, "nb_weights")
 
 
 def _step(sx: F.Column) -> F.Column:
@@ -220,23 +236,18 @@ def _unseen(model: NBModel, sums: DataFrame) -> DataFrame:
     return c.select("step", "category", "log_prior", "log_den")
 
 
-def _score(spark: SparkSession, model: NBModel, dt: DataFrame, key: str) -> DataFrame:
-    """ML7 on a (key, term, tf) table; rows with a NULL term only carry the key.
+def _score(model: NBModel, known: DataFrame, key: str) -> DataFrame:
+    """ML7 on ``_doc_weights``.
 
     A document meets only the classes that share a term with it, and the few that can be
     best without one (``_unseen``).  The latter may share a term too: their score without
     it is lower than the one with it (every log_num is positive), so the maximum holds."""
-    from centwise.session import materialize
-    tf = dt.filter(F.col("term").isNotNull())
-    w = tf.join(model.vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    known = materialize(spark, _normalise(w, [key]), "nb_weights")
-    sums = (dt.select(key).distinct().join(known.select(key, "sx"), key, "left")
-            .select(key, F.coalesce("sx", F.lit(0.0)).alias("sx")))
-    dots = (_weights(known, [key]).join(model.term, "term").groupBy(key, "category")
+    sums = known.select(key, "sx")
+    dots = (_weights(known, [key]).join(_bounded(model.term)[0], "term").groupBy(key, "category")
             .agg(F.sum(F.col("x") * F.col("log_num")).alias("dot")))
     prior = model.prior.select("category", "log_prior", "log_den")
     base = F.col("log_prior") - F.col("log_den") * F.col("sx")
-    seen = dots.join(known.select(key, "sx"), key).join(prior, "category").select(key, "category", (base + F.col("dot")).alias("score"))
+    seen = dots.join(sums, key).join(prior, "category").select(key, "category", (base + F.col("dot")).alias("score"))
     rest = (sums.withColumn("step", _step(F.col("sx"))).join(_unseen(model, sums), "step")
             .select(key, "category", base.alias("score")))
     return (seen.unionByName(rest).groupBy(key)
@@ -249,7 +260,7 @@ def predict(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "do
     """ML7: arg-max class per document; ties -> first class by name; a text
     with no known token gets the highest prior.  Returns (key, predicted, score), a row per
     key: rows of equal key count as one text."""
-    return _score(spark, model, _doc_terms(spark, docs, key, text, stop_words, flags=False), key)
+    return _score(model, _doc_weights(spark, model, docs, key, text, stop_words, flags=False), key)
 
 
 def auto_categorize(spark: SparkSession, model: NBModel, docs: DataFrame, key: str = "doc_id",
@@ -257,9 +268,9 @@ def auto_categorize(spark: SparkSession, model: NBModel, docs: DataFrame, key: s
     """ML9: blank -> Other; a health keyword -> Health; else the model's class.
     The texts are read once: flags and terms come from the same pass.  ``key`` must be unique:
     rows of equal key count as one text, and come once for each pair of flags they have."""
-    dt = _doc_terms(spark, docs, key, text, stop_words, flags=True)
-    flags = dt.select(key, "blank", "health").distinct()
-    ml = _score(spark, model, dt.filter(~F.col("blank") & ~F.col("health")), key)
+    known = _doc_weights(spark, model, docs, key, text, stop_words, flags=True)
+    flags = known.select(key, "blank", "health")
+    ml = _score(model, known.filter(~F.col("blank") & ~F.col("health")), key)
     return (flags.join(ml, key, "left")
             .select(key, F.when(F.col("blank"), F.lit("Other")).when(F.col("health"), F.lit("Health"))
                     .otherwise(F.col("predicted")).alias("category")))
