@@ -8,7 +8,8 @@ Law ``bytes``: shard sizes are near equal - any two differ by less than two of t
    splitters of ``RANGES`` key ranges.  The key is the hash of the text, so equal texts share a range.
 3. The records (ids and sizes, no text) are partitioned by range.  A range with more bytes than
    twice its share, or more than ``ROWS_PER_RANGE`` rows - a hot key, or an unlucky sample - is
-   subdivided by a hash of the record.
+   subdivided by a hash of the record.  Rows alike in every respect are counted first and dealt out in
+   lots of ``COPIES``, each with a hash of its own, so that they too fill as many subranges as it takes.
 4. Exact bytes per subrange, summed up, give each record its offset in the whole; the shard is
    that offset's share of the total, so the sample only decides the balance of the work.
 
@@ -30,6 +31,7 @@ from centwise.llm.common import materialize, read
 RANGES = 256
 SAMPLE = 20_000
 ROWS_PER_RANGE = 250_000
+COPIES = 1_000
 TWO_64 = 18446744073709551616.0
 
 
@@ -45,18 +47,25 @@ def splitters(records: DataFrame, total: int, ranges: int = RANGES, sample: int
     return sorted(set(row.q or []))
 
 
-def assign(docs: DataFrame, shards: int = 16, ranges: int = RANGES, sample: int = SAMPLE,
-           rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``."""
-    spark = docs.sparkSession
+def records(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, key, lot) for every row; of equal rows ``COPIES`` share a lot."""
     text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    records = materialize(spark, docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("key")), "shard-records")
-    total = records.agg(F.sum("size")).first()[0] or 0
-    cuts = splitters(records, total, ranges, sample)
-    placed = records.withColumn("range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key")))
-                                if cuts else F.lit(0))
+    alike = ["doc_id", "size", "text_crc32", "key"]
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+                       F.xxhash64(text).alias("key"))
+    n, upto = F.col("n"), lambda c: F.sequence(F.lit(0).cast("long"), c)
+    lots = rows.groupBy(*alike).agg(F.count("*").alias("n")).withColumn("lot", F.explode(upto(F.floor((n - 1) / COPIES))))
+    copies = F.least(n - F.col("lot") * COPIES, F.lit(COPIES))
+    return lots.withColumn("copy", F.explode(upto(copies - 1))).select(*alike, "lot")
+
+
+def ranged(recs: DataFrame, ranges: int, sample: int, rows_per_range: int) -> tuple[DataFrame, int]:
+    """The records with their range and part, row number and running size within the part; and the
+    size of all.  Written, as what follows reads it three times."""
+    total = recs.agg(F.sum("size")).first()[0] or 0
+    cuts = splitters(recs, total, ranges, sample)
+    placed = recs.withColumn("range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key")))
+                             if cuts else F.lit(0))
     share = max(1, total // ranges)
     fill = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     parts = {r["range"]: max(-(-r["n"] // rows_per_range), r["bytes"] // share if r["bytes"] > 2 * share else 1)
@@ -64,13 +73,18 @@ def assign(docs: DataFrame, shards: int = 16, ranges: int = RANGES, sample: int
     split = [(k, n) for k, n in sorted(parts.items()) if n > 1]
     n_parts = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for pair in split for x in pair]), F.col("range")),
                          F.lit(1)) if split else F.lit(1)
-    spread = F.least(F.floor(_uniform("doc_id", "key", "text_crc32") * n_parts), n_parts - 1).cast("int")
-    sub = Window.partitionBy("range", "part")
-    order = sub.orderBy("key", "doc_id", "size", "text_crc32")
+    spread = F.least(F.floor(_uniform("doc_id", "key", "text_crc32", "lot") * n_parts), n_parts - 1).cast("int")
+    order = Window.partitionBy("range", "part").orderBy("key", "doc_id", "size", "text_crc32")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = materialize(spark, placed.withColumn("part", spread)
-                          .withColumn("n", F.row_number().over(order))
-                          .withColumn("upto", F.sum("size").over(upto)), "shard-ranges")
+    return materialize(recs.sparkSession, placed.withColumn("part", spread)
+                       .withColumn("n", F.row_number().over(order))
+                       .withColumn("upto", F.sum("size").over(upto)), "shard-ranges"), total
+
+
+def assign(docs: DataFrame, shards: int = 16, ranges: int = RANGES, sample: int = SAMPLE,
+           rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``."""
+    ordered, total = ranged(materialize(docs.sparkSession, records(docs), "shard-records"), ranges, sample, rows_per_range)
     chain = Window.orderBy("range", "part")
     starts = (ordered.groupBy("range", "part").agg(F.sum("size").alias("bytes"))
               .withColumn("start", F.sum("bytes").over(chain) - F.col("bytes")).select("range", "part", "start"))

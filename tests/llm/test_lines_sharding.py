@@ -80,3 +80,13 @@ def test_write_shards(spark, tmp_path):
     assert back.count() == 50
     assert {r.doc_id: hashlib.md5(r.text.encode()).hexdigest() for r in back.collect()} == {
         i: hashlib.md5(b"x" * i).hexdigest() for i in range(50)}
+
+
+def test_equal_rows_fill_many_subranges(spark):
+    df = spark.range(400_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    ordered, total = sharding.ranged(sharding.records(df), 256, 20_000, 50_000)
+    rows = [r["count"] for r in ordered.groupBy("range", "part").count().collect()]
+    assert total == 400_000 and len(rows) >= 8 and max(rows) < 100_000
+    got = sharding.assign(df.limit(30_000), 16, rows_per_range=2_000).groupBy("shard").agg(
+        F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    assert len(got) == 16 and all(r.n == 1875 and r.last == 1874 for r in got)
