@@ -14,7 +14,8 @@ of formulas, titles, descriptions and definitions of drawings, hidden inputs, el
 and the content of a closed ``details`` below its summary.
 
 Defined cases: null and empty html give the empty text; markup that ends anywhere is closed there;
-any nesting depth works; repeated rows are rendered alike; empty tables give empty results; extra
+any nesting depth works, in time that grows with the page: items, definitions and quotes nested deeper
+than ``DEEPEST`` are lines without mark or indent; repeated rows are rendered alike; empty tables give empty results; extra
 columns pass through, ``rendered`` wins over a clashing one.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -79,24 +80,29 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+INLINE_BOUNDS = BLOCKS | SCOPES
+# Items, definitions and quotes nested deeper than so many boxes are lines without mark or indent.
+DEEPEST = 40
+ITEMS = frozenset(("li", "dd", "blockquote"))
+
+
 class Builder:
     def __init__(self) -> None:
         self.root = Node("#root", {})
         self.open = [self.root]
-        self.held: Counter[str] = Counter()                # open elements by tag
+        self.places: defaultdict[str, list[int]] = defaultdict(list)    # of the open elements, by tag
+
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def _up_to(self, tags: frozenset[str], bounds: frozenset[str]) -> int | None:
-        if not any(map(self.held.__getitem__, tags)):
-            return None
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in tags:
-                return at
-            if self.open[at].tag in bounds:
-                return None
-        return None
+        """The innermost open element of ``tags`` unless one of ``bounds`` is further in."""
+        at = self._last(tags)
+        return at if at and at >= self._last(bounds) else None
 
     def _cut(self, at: int) -> None:
-        self.held.subtract(n.tag for n in self.open[at:])
+        for node in self.open[at:]:
+            self.places[node.tag].pop()
         del self.open[at:]
 
     def _close(self, tags: Iterable[str], bounds: frozenset[str] = SCOPES) -> None:
@@ -151,8 +157,8 @@ class Builder:
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         self.open[-1].kids.append(node)
+        self.places[tag].append(len(self.open))
         self.open.append(node)
-        self.held[tag] += 1
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -168,12 +174,7 @@ class Builder:
             inner = tag in CELLS or tag in GROUPS or tag == "tr"
             self._close((tag,), frozenset(("table",)) if inner else frozenset() if tag == "table" else SCOPES - {tag})
         else:                                              # inline: never closes a block
-            for at in range(len(self.open) - 1, 0, -1):
-                if self.open[at].tag == tag:
-                    self._cut(at)
-                    break
-                if self.open[at].tag in BLOCKS or self.open[at].tag in SCOPES:
-                    break
+            self._close((tag,), INLINE_BOUNDS)
 
 
 def parse(markup: str) -> Node:
@@ -192,7 +193,7 @@ def parse(markup: str) -> Node:
         if m[1]:
             tree.end(tag)
             continue
-        foreign = tag in FOREIGN or tree.held["svg"] or tree.held["math"]    # "/>" closes there
+        foreign = tag in FOREIGN or tree.places["svg"] or tree.places["math"]    # "/>" closes there
         tree.start(tag, attributes(m[3]), bool(m[3].endswith("/") and foreign))
         if tag in RAW and tree.open[-1].tag == tag:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(markup, at)
@@ -335,6 +336,7 @@ def render(root: Node) -> str:
     boxes = [Box()]
     lists: list[list] = []                                  # [ordered, next number]
     tables: list[list] = []                                 # rows of the open tables
+    boxed: list[bool] = []                                  # of the open items: whether they have a box
     pre = 0
     work: list = [(root, False)]
     while work:
@@ -349,7 +351,7 @@ def render(root: Node) -> str:
                 pre -= 1
             if tag in LISTS:
                 lists.pop()
-            if tag == "li" or tag in ("dd", "blockquote"):
+            if tag in ITEMS and boxed.pop():
                 lines = boxes.pop().done()
                 mark = "  "
                 if tag == "li":
@@ -392,7 +394,9 @@ def render(root: Node) -> str:
         if tag in LISTS:
             start = node.attrs.get("start", "")
             lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
-        if tag in ("li", "dd", "blockquote") or tag in CELLS:
+        if tag in ITEMS:
+            boxed.append(len(boxes) <= DEEPEST)
+        if boxed[-1] if tag in ITEMS else tag in CELLS:
             boxes.append(Box())
         elif tag == "table":
             tables.append([])

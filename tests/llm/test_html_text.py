@@ -1,10 +1,13 @@
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from centwise.llm import html_text
 from centwise.llm.html_text import extract, extract_text
 
 
@@ -104,3 +107,39 @@ def test_no_word_lost_on_the_table(spark):
                                  "<details>", "<select><option>"]), max_size=40))
 def test_never_fails(parts):
     extract_text("".join(parts))
+
+
+class Scanning(html_text.Builder):
+    """The same rules, looking through the open elements one by one."""
+
+    def _up_to(self, tags, bounds):
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag in tags:
+                return at
+            if self.open[at].tag in bounds:
+                return None
+        return None
+
+
+def test_tree_equals_one_built_by_scanning(monkeypatch):
+    rnd = random.Random(8)
+    names = "p b i div ul li table tr td th tbody caption dl dt dd svg text math select option h1 h2 button template span a object".split()
+    flat = lambda n: n if isinstance(n, str) else (n.tag, [flat(k) for k in n.kids])
+    for _ in range(400):
+        page = "".join(f"<{rnd.choice(['', '', '/'])}{rnd.choice(names)}>{rnd.choice(['', 'x', ' y'])}" for _ in range(rnd.randrange(60)))
+        fast = flat(html_text.parse(page))
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "Builder", Scanning)
+            assert flat(html_text.parse(page)) == fast
+
+
+def test_hostile_pages_take_linear_time():
+    pages = {"unmatched": "<b>" * 50_000 + "x" + "</i>" * 50_000, "barred": "<i><div>" + "<b>" * 50_000 + "x" + "</i>" * 50_000,
+             "lists": "<ul><li>a" * 20_000, "quotes": "<blockquote>q" * 20_000}
+    for name, page in pages.items():
+        began = time.process_time()
+        text = extract_text(page)
+        assert time.process_time() - began < 20, name
+        # a line has the indent of the boxes around it, DEEPEST of them at most
+        assert len(text) <= page.count("<") * (2 * html_text.DEEPEST + 4) and text.count("a") == page.count("a")
+    assert extract_text("<ul><li>a" * 60).split("\n")[-1] == " " * 2 * html_text.DEEPEST + "a" and extract_text("<ul><li>a" * 3).split("\n")[-1].endswith("- a")
