@@ -7,8 +7,8 @@
    drawn, whatever the partitions.
 2. Site evidence: grouped sums of p over *all* documents give each host, and each path within a
    host, a beta posterior.  A host shrinks towards the global mean and a path towards its host,
-   with prior strengths from the spread between groups (method of moments), so that a sparse site
-   says little.  The document's own p is left out of its site's sums.
+   with prior strengths from the spread of hosts around that mean and of paths around their own host
+   (method of moments), so that a sparse site says little.  The document's own p is left out of its site's sums.
 3. The document's posterior log-odds: its own evidence (p against the global mean) plus the
    log-odds of its path's posterior.  Documents below ``THRESHOLD`` are rejected.
 
@@ -35,6 +35,7 @@ from centwise.llm.common import materialize, pieces, read
 
 SAMPLE = 20_000
 THRESHOLD = 0.5
+NO_EVIDENCE = 1e3          # pseudo-documents of a prior where no two groups can be compared
 RIDGE = 1.0
 FEATURES = ["log_bytes", "upper", "digits", "beyond_ascii", "spaces", "stops", "shouts", "symbols", "bars",
             "log_word_length", "distinct", "adjacent_repeats", "line_length", "repeated_lines", "bare_words"]
@@ -131,16 +132,40 @@ def scores(docs: DataFrame, model, host_col: str, path_col: str) -> DataFrame:
     return base.mapInArrow(run, base.drop("text").schema.add("p", "double"))
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """Pseudo-documents behind a group's prior: the method of moments over the groups' means."""
-    row = (groups.where("n > 1").select((F.col("s") / F.col("n")).alias("m"), "n")
-           .agg(F.count("*").alias("k"), F.sum(F.col("n") * (F.col("m") - F.lit(mean)) ** 2).alias("ss"),
-                F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).first())
-    spread = mean * (1 - mean)
-    if not row.k or row.k < 2 or spread <= 0:
-        return 1e3
-    between = max(0.0, (row.ss - (row.k - 1) * spread) / max(row.n - row.nn / row.n, 1e-9))
-    return float(min(1e6, max(1.0, spread / between - 1))) if between > 0 else 1e6
+def strengths(paths: DataFrame) -> tuple[float, float]:
+    """Pseudo-documents behind a host's prior (the global mean) and behind a path's prior (its host),
+    from the path sums (host, path, s, n) by the method of moments of a nested analysis of variance.
+
+    A path is compared with its own host only, and the paths' spread is taken out of the hosts', so
+    hosts that differ do not count as paths that differ, nor the reverse."""
+    mean = F.col("s") / F.col("n")
+    spread = F.when(F.col("n") > 1, F.col("n") * mean * (1 - mean) / (F.col("n") - 1))   # of one document in its host
+    hosts = (paths.groupBy("host").agg(F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("sq"),
+                                       F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+             .withColumn("spread", spread).withColumn("q", F.col("nn") / F.col("n")))
+    row = hosts.agg(
+        F.count("*").alias("k"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum("q").alias("q"),
+        F.sum(F.col("n") * F.col("n")).alias("hh"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("hq"),
+        F.sum(F.col("sq") - F.col("s") * F.col("s") / F.col("n") - (F.col("k") - 1) * F.col("spread")).alias("excess"),
+        F.sum((F.col("n") - F.col("q") - F.col("k") + 1) * F.col("spread")).alias("size"),
+        F.sum(F.col("n") * F.col("spread")).alias("within"),
+        F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("within_n")).first()
+    if not row.n or row.n < 2:
+        return NO_EVIDENCE, NO_EVIDENCE
+    of_path = _pseudo(row.excess, row.size)
+    path_variance = row.within / row.within_n / (of_path + 1) if row.size and row.size > 0 else 0.0
+    mean = row.s / row.n
+    spread = row.n * mean * (1 - mean) / (row.n - 1)
+    excess = (row.hq - row.s * row.s / row.n - (row.k - 1) * spread
+              - path_variance * (row.q - row.nn / row.n - row.k + 1))
+    return _pseudo(excess, (row.n - row.hh / row.n - row.k + 1) * spread), of_path
+
+
+def _pseudo(excess: float | None, size: float | None) -> float:
+    """The strength of a beta prior whose share of the variance is excess / size, from 1 to 1e6."""
+    if size is None or size <= 1e-9:
+        return NO_EVIDENCE
+    return float(min(1e6, max(1.0, size / excess - 1))) if excess > 0 else 1e6
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
@@ -150,7 +175,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = min(1 - 1e-6, max(1e-6, (total.s or 0.0) / total.n if total.n else 0.5))
-    of_host, of_path = _strength(hosts, mean), _strength(paths, mean)
+    of_host, of_path = strengths(paths)
     sites = (paths.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("s").alias("ps"), F.col("n").alias("pn"))
              .join(hosts.select(F.col("host").alias("__h2"), F.col("s").alias("hs"), F.col("n").alias("hn")),
                    F.col("__h").eqNullSafe(F.col("__h2"))))

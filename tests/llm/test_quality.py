@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,12 +31,7 @@ def test_posteriors_against_plain_arithmetic(spark):
             d[k] = (s + p, n + 1)
     mean = sum(p for *_, p in rows) / len(rows)
 
-    def strength(groups):
-        g = [(s, n) for s, n in groups.values() if n > 1]
-        total, ss = sum(n for _, n in g), sum(n * (s / n - mean) ** 2 for s, n in g)
-        between = (ss - (len(g) - 1) * mean * (1 - mean)) / (total - sum(n * n for _, n in g) / total)
-        return min(1e6, max(1, mean * (1 - mean) / between - 1)) if between > 0 else 1e6
-    kh, kp = strength(hosts), strength(paths)
+    kh, kp = q.strengths(df.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")))
     for i, _, h, a, p in rows:
         (hs, hn), (ps, pn) = hosts[h], paths[h, a]
         m = (kh * mean + hs - p) / (kh + hn - 1)
@@ -45,6 +41,36 @@ def test_posteriors_against_plain_arithmetic(spark):
     assert got[105].path_posterior < got[201].path_posterior < got[1].path_posterior   # the lone site shrinks
 
 
+def simulated(spark, hosts, paths, docs, of_host, of_path, seed=1):
+    """Path sums of documents that are good or bad; the hosts' means and the paths' means are beta draws."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for h in range(hosts):
+        m = rng.beta(of_host * .4, of_host * .6)
+        for a in range(paths):
+            n = int(rng.integers(1, 2 * docs))
+            share = m if of_path is None else rng.beta(max(of_path * m, 1e-3), max(of_path * (1 - m), 1e-3))
+            rows.append((f"h{h}", f"a{a}", float(rng.binomial(n, share)), n))
+    return spark.createDataFrame(rows, "host string, path string, s double, n long")
+
+
+@pytest.mark.parametrize("of_host, of_path", [(4, 3), (4, 20), (30, 5)])
+def test_strengths_of_a_simulation(spark, of_host, of_path):
+    got = q.strengths(simulated(spark, 600, 10, 20, of_host, of_path))
+    assert got == (pytest.approx(of_host, rel=.25), pytest.approx(of_path, rel=.25))
+
+
+def test_paths_that_differ_by_chance_only(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"h{h}", f"a{a}", float(rng.binomial(20, .1 if h % 2 else .9)), 20) for h in range(40) for a in range(10)]
+    paths = spark.createDataFrame(rows, "host string, path string, s double, n long")
+    of_host, of_path = q.strengths(paths)
+    assert of_host <= 1.5 and of_path > 100              # paths say nothing beyond their host
+    assert q.strengths(simulated(spark, 600, 10, 20, 4, None))[1] > 200
+    assert q.strengths(paths.limit(0)) == q.strengths(paths.limit(1).withColumn("n", F.lit(1).cast("long")))
+    assert q.strengths(paths.limit(1).withColumn("s", F.lit(0.0)))[1] == q.NO_EVIDENCE
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, "s", None, 1), (2, "", None, "en", 1), (2, "", None, "en", 1), (None, "word " * 9, "s", "en", 1)],
                                  "doc_id long, text string, source string, lang string, p int")
