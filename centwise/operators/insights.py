@@ -253,14 +253,15 @@ def personalized_suggestions(fact: DataFrame, users: DataFrame, usage: DataFrame
 
 # ---- DSH1 ------------------------------------------------------------------------
 
-def dashboard(tx: DataFrame, fact: DataFrame, users: DataFrame, beff: DataFrame, usage: DataFrame,
-              as_of, recent: DataFrame | None = None) -> DataFrame:
+def dashboard(tx: DataFrame | None, fact: DataFrame, users: DataFrame, beff: DataFrame, usage: DataFrame,
+              as_of, recent: DataFrame | None = None, newest: DataFrame | None = None) -> DataFrame:
     """DSH1: one row per user: the summary, the forecast, and as JSON text the whole lists of
     overspending alerts, suggestions, saving actions (5 by their rule), budget alerts and the
     latest 5 transactions; the head of each list also as a column of its own.
 
     Every part is user-sized and built from the shared monthly fact, so the
-    fact's exchange is reused across branches instead of re-scanning."""
+    fact's exchange is reused across branches instead of re-scanning.  With ``newest`` (the
+    ranked rows of ``latest.latest_transactions``) no raw row is read; else they come from ``tx``."""
     from centwise.operators import budgets as bud
     from centwise.operators import forecast as fc
     from centwise.operators import summary as sm
@@ -284,7 +285,7 @@ def dashboard(tx: DataFrame, fact: DataFrame, users: DataFrame, beff: DataFrame,
                 ["category", "budget", "spent", "usage_percent", "is_exceeded", "message"], "budget_alerts",
                 F.count(F.lit(1)).alias("budget_alert_count"), F.min_by("category", "rank").alias("top_budget_alert"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string"))
-    latest = listed(sm.latest_transactions(tx, 5), "rank", ["id", "amount", "category", "type", "description", "date"],
+    latest = listed(sm.latest_transactions(tx, 5) if newest is None else newest, "rank", ["id", "amount", "category", "type", "description", "date"],
                     "recent_transactions", F.array_join(ids, ",").alias("recent_ids"))
     d = (s.join(alerts, "user_id", "left").join(general, "user_id", "left").join(actions, "user_id", "left")
          .join(f, "user_id", "left").join(ba, "user_id", "left").join(latest, "user_id", "left"))

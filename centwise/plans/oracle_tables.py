@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from centwise.plans.oracle_fixtures import BUDGETS, BUDGETS_EFF, DEFAULTS, TX_ORDERS, USERS, d, with_
+from centwise.plans.oracle_fixtures import BUDGETS, BUDGETS_EFF, DEFAULTS, TX_FULL, TX_ORDERS, USERS, d, with_
 
 
 def fill(oracle: dict[str, str], b: list[str], cands: Callable[[str], str], model: Callable[[str], str],
@@ -44,6 +44,17 @@ WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = k.user_id) GROUP BY 1
 SELECT user_id, substr(date, 1, 7) AS month, type, category, {d('SUM(CAST(amount AS DECIMAL(18,2)))')} AS amount, COUNT(*) AS n_tx
 FROM ({oracle['apply_changes']}) GROUP BY 1, 2, 3, 4"""
 
+    oracle["latest_transactions_kept"] = f"""
+SELECT id, user_id, amount, category, type, description, date, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC NULLS LAST, id DESC) AS rank
+      FROM ({oracle['apply_changes']})) WHERE rank <= 5"""
+
+    changed = f"""tx AS (
+  SELECT id, user_id, CAST(amount AS DECIMAL(18,2)) AS amount, category, type, description, CAST(date AS DATE) AS date,
+         date_trunc('month', CAST(date AS DATE)) AS month
+  FROM ({oracle['apply_changes']}))"""
+    oracle["dashboard_kept"] = oracle["dashboard"].replace(TX_FULL, changed)
+
     oracle["budgets_seeded"] = with_(USERS, DEFAULTS, BUDGETS, BUDGETS_EFF) + f"""
 SELECT user_id, category, {d('monthly_budget')} AS monthly_budget, CAST(CASE WHEN is_default THEN 1 ELSE 0 END AS BIGINT) AS batch
 FROM beff"""

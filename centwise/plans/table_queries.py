@@ -18,6 +18,8 @@ from centwise.operators import categorize as cat
 from centwise.operators import changes as chg
 from centwise.operators import clean as cln
 from centwise.operators import facts
+from centwise.operators import insights as ins
+from centwise.operators import latest
 from centwise.operators import model_store as store
 from centwise.operators import reports as rep
 from centwise.schema import ALERT_EVENTS
@@ -129,6 +131,39 @@ def q_monthly_fact_kept(spark, sf_dir):
         F.col("amount").cast("double").alias("amount"), "n_tx")
 
 
+def kept_tables(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The paths of the kept monthly fact and of the kept newest rows after three days of changes."""
+    table, fact, newest = (shared_path(spark, x) for x in ("transactions", "fact", "newest"))
+    tx = td.transactions_orders(spark, sf_dir)
+    chg.write_buckets(tx, table, BUCKETS)
+    batches.write_batch(facts.monthly_fact(tx).select(facts.FACT.names), fact, 0)
+    latest.begin(tx, newest)
+    for day, changes in enumerate(changes_by_day(spark, sf_dir), 1):
+        now = chg.read_buckets(spark, table)
+        delta = materialize(spark, chg.row_changes(now, changes), "row_changes")
+        batches.write_batch(facts.fact_deltas(delta), fact, day)
+        latest.update(now, changes, newest, day, delta=delta)
+        chg.merge_changes(spark, table, changes, BUCKETS)
+    return fact, newest
+
+
+@register("latest_transactions_kept")
+def q_latest_transactions_kept(spark, sf_dir):
+    """TOP1: the newest 5 rows a user from the kept states, after three days of changes."""
+    return latest.latest_transactions(latest.stored(spark, kept_tables(spark, sf_dir)[1]), 5)
+
+
+@register("dashboard_kept")
+def q_dashboard_kept(spark, sf_dir):
+    """DSH1 after three days of changes, from the kept fact and the kept newest rows alone."""
+    fact_path, newest = kept_tables(spark, sf_dir)
+    fact = materialize(spark, facts.stored_fact(spark, fact_path), "monthly_fact")
+    recent = materialize(spark, facts.latest_months_slice(fact, 2), "recent_fact")
+    beff = default_budgets(spark, sf_dir)
+    return ins.dashboard(None, fact, td.users(spark, sf_dir), beff, bud.budget_usage_latest(beff, recent), AS_OF, recent=recent,
+                         newest=latest.latest_transactions(latest.stored(spark, newest), 5))
+
+
 @register("budgets_seeded")
 def q_budgets_seeded(spark, sf_dir):
     """SNK5: insert-if-absent of the default budgets into the stored budgets, run twice."""

@@ -13,6 +13,8 @@ from centwise.operators import budgets as bud
 from centwise.operators import changes as chg
 from centwise.operators import clean
 from centwise.operators import facts
+from centwise.operators import latest
+from centwise.operators import summary
 from centwise.schema import ALERT_EVENTS
 from centwise.sources import batches
 from conftest import make_tx
@@ -135,6 +137,61 @@ def test_kept_fact_equals_the_fact_from_scratch(spark, tmp_path, seed):
         assert key(facts.stored_fact(spark, path)) == key(facts.monthly_fact(chg.read_buckets(spark, where)))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_kept_newest_rows_equal_the_window(spark, tmp_path, seed):
+    rnd, path, where = random.Random(seed), str(tmp_path / "newest"), str(tmp_path / "tx")
+    base = (table(spark, 90).unionByName(table(spark, 8).withColumn("user_id", F.lit(77).cast("long"))
+                                         .withColumn("id", F.col("id") + 1000)))
+    user = table(spark, 1).first().user_id
+    chg.write_buckets(base, where, 4)
+    latest.begin(base, path, 6)
+    scans = []
+    for k in range(1, 5):
+        ch = []
+        for s in range(30 if k != 3 else 3):
+            u = rnd.choice([user, user, 77, 999])          # 999 has no rows
+            i = rnd.randrange(1001, 1010) if u == 77 else rnd.randrange(60 if k == 2 else 1, 95)
+            ch.append((s, "D", i, u, *[None] * 5) if rnd.random() < .5 else
+                      (s, "U", i, u, str(rnd.randrange(100)), "Food", "Expense", f"edit {k}",
+                       rnd.choice(["no date", "2026-02-03", "2026-05-01", "2025-01-01"])))
+        if k == 4:                                         # all of a user goes
+            ch += [(100 + i, "D", 1000 + i, 77, *[None] * 5) for i in range(10)]
+        changes = spark.createDataFrame(ch, CHANGES)
+        now = chg.read_buckets(spark, where)
+        latest.update(now, changes, path, k, 5, 6)
+        if k == 2:                                         # a run that died before its commit, then one repeated whole
+            os.remove(f"{path}/batch=2/_SUCCESS")
+            latest.update(now, changes, path, k, 5, 6)
+        chg.merge_changes(spark, where, changes, 4)
+        latest.update(chg.read_buckets(spark, where), changes, path, k, 5, 6)
+        if k == 3:
+            batches.fold_newest(spark, path, latest.STATE, ["user_id"], "version")
+            batches.drop_folded(spark, path)
+        got = latest.latest_transactions(latest.stored(spark, path), 5)
+        want = summary.latest_transactions(chg.read_buckets(spark, where), 5)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(got.columns).collect()), key=str)
+        scans.append(got.where("user_id = 77").count())
+    assert scans[-1] == 0 and scans[0] > 0
+    assert {r.user_id for r in latest.stored(spark, path).collect()} == {user, 77}
+
+
+def test_kept_newest_rows_read_the_table_only_when_short(spark, tmp_path):
+    path = str(tmp_path / "newest")
+    base = table(spark, 40)
+    user = base.first().user_id
+    latest.begin(base, path, 8)
+    top = [r.id for r in summary.latest_transactions(base, 9).orderBy("rank").collect()]
+    drop = lambda ids: spark.createDataFrame([(i, "D", i, user, *[None] * 5) for i in ids], CHANGES)
+    latest.update(base, drop(top[:3]), path, 1, 5, 8)      # 5 are left
+    assert [r.id for r in latest.stored(spark, path).first().rows] == top[3:8]
+    base = base.where(~F.col("id").isin(top[:3]))
+    latest.update(base, drop(top[3:4]), path, 2, 5, 8)     # 4 are left: read again
+    state = latest.stored(spark, path).first()
+    assert len(state.rows) == 8 and not state.complete and state.rows[4].id == top[8]
+    latest.begin(base.limit(0), str(tmp_path / "empty"))
+    assert latest.stored(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_lookup_reads_only_the_keys_buckets(spark, tmp_path):
     path = str(tmp_path / "tx")
     base = table(spark)
