@@ -7,10 +7,11 @@
 3. Lines to drop are folded per document into a run-length encoded keep bitmap; a document's
    text is joined with its bitmap only when the caller asks for the text.
 
-Hot keys: the ``HOT_KEYS`` most frequent keys (a fixed, documented bound) are salted by document
-before the range partitioning, if they hold more than a fraction of a partition; their exact
-document counts and first occurrences come from an aggregate with map-side combine.  Salting
-never changes the result.
+Hot keys: every key with more rows than a quarter of an average partition (and some with an eighth)
+is salted by document before the range partitioning; there are at most some ``HOT_SHARE`` keys a shuffle
+partition, hence their table may be broadcast.  A sample of ``SAMPLED`` occurrences a shuffle partition
+finds them; their exact document counts and first occurrences come from an aggregate over all their
+rows with map-side combine.  Salting never changes the result.
 
 A document is a distinct (doc_id, text); repeated rows count once.  Keys are compared by two
 64-bit hashes.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from centwise.llm.common import ascii_lower, materialize, read
 
-HOT_KEYS = 64
+HOT_SHARE = 8                                              # a hot key holds over 1 / HOT_SHARE of a partition
+SAMPLED = 1024
 SALTS = 64
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -53,12 +55,14 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
                     "doc_id", "doc_hash", "pos"))
 
 
-def _hot_keys(occ: DataFrame) -> list[int]:
-    """At most HOT_KEYS keys, each with over a quarter of an average partition's rows."""
-    partitions = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    top = occ.groupBy("h1").count().orderBy(F.desc("count"), "h1").limit(HOT_KEYS).collect()
-    total = occ.count()
-    return [r.h1 for r in top if r["count"] * 4 * partitions > total]
+def _hot_keys(occ: DataFrame) -> DataFrame:
+    """(h1, h2) of the keys to salt.  A key of a quarter of a partition is expected 256 times in the
+    sample and taken from 128 times on."""
+    partitions, total = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")), occ.count()
+    share = min(1.0, SAMPLED * partitions / max(1, total))
+    some = occ.select("h1", "h2")
+    some = some.sample(share, 7) if share < 1 else some
+    return some.groupBy("h1", "h2").count().where(F.col("count") > share * total / (HOT_SHARE * partitions)).select("h1", "h2")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep: str = "none") -> DataFrame:
@@ -71,9 +75,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep:
         raise ValueError(keep)
     spark = docs.sparkSession
     occ = materialize(spark, occurrences(docs, min_chars), "line-occurrences")
-    hot = _hot_keys(occ)
-    salt = F.when(F.col("h1").isin(hot), F.pmod(F.xxhash64("doc_id", "doc_hash"), F.lit(SALTS))).otherwise(F.lit(0))
-    ranged = (occ.withColumn("salt", salt.cast("int"))
+    where = F.struct("doc_id", "doc_hash", "pos")
+    hot = materialize(spark, occ.join(F.broadcast(_hot_keys(occ)), ["h1", "h2"], "left_semi").groupBy("h1", "h2")
+                      .agg(F.count_distinct(F.struct("doc_id", "doc_hash")).alias("all_docs"), F.min(where).alias("first")),
+                      "hot-lines")
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id", "doc_hash"), F.lit(SALTS))).otherwise(F.lit(0))
+    ranged = (occ.join(F.broadcast(hot.select("h1", "h2", F.lit(True).alias("is_hot"))), ["h1", "h2"], "left")
+              .withColumn("salt", salt.cast("int")).drop("is_hot")
               .repartitionByRange("h1", "h2", "salt")
               .sortWithinPartitions("h1", "h2", "salt", "doc_id", "doc_hash", "pos"))
     slice_ = Window.partitionBy("h1", "h2", "salt")
@@ -81,16 +89,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep:
     new_doc = F.lag(F.struct("doc_id", "doc_hash")).over(stream).eqNullSafe(F.struct("doc_id", "doc_hash"))
     seen = (ranged.withColumn("is_first", F.row_number().over(stream) == 1)
             .withColumn("new_doc", (~new_doc).cast("int"))
-            .withColumn("n_docs", F.sum("new_doc").over(slice_)))
-    where = F.struct("doc_id", "doc_hash", "pos")
-    if hot:
-        # at most HOT_KEYS values of h1: bounded, so it may be broadcast
-        totals = (occ.where(F.col("h1").isin(hot)).groupBy("h1", "h2")
-                  .agg(F.count_distinct(F.struct("doc_id", "doc_hash")).alias("all_docs"), F.min(where).alias("first")))
-        seen = (seen.join(F.broadcast(totals), ["h1", "h2"], "left")
-                .withColumn("n_docs", F.coalesce("all_docs", "n_docs"))
-                .withColumn("is_first", F.when(F.col("all_docs").isNotNull(), where.eqNullSafe(F.col("first")))
-                            .otherwise(F.col("is_first"))))
+            .withColumn("n_docs", F.sum("new_doc").over(slice_))
+            .join(F.broadcast(hot), ["h1", "h2"], "left")
+            .withColumn("n_docs", F.coalesce("all_docs", "n_docs"))
+            .withColumn("is_first", F.when(F.col("all_docs").isNotNull(), where.eqNullSafe(F.col("first")))
+                        .otherwise(F.col("is_first"))))
     drop = F.col("n_docs") >= min_docs
     if keep == "first":
         drop = drop & ~F.col("is_first")

@@ -44,6 +44,24 @@ def test_line_dedup(spark):
     assert seen == Counter((i, *want[i, t or ""]) for i, t in rows)
 
 
+def test_every_hot_key_is_salted(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    # 100 keys, each of a hundredth of all lines: far over 64, each over a quarter of a partition of 40
+    rows = [(i, "\n".join(f"Line {j}" for j in range(100)) + f"\nown {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        occ = lines.occurrences(df, 1)
+        assert lines._hot_keys(occ).count() == 100
+        monkeypatch.setattr(lines, "SAMPLED", 60)          # a sample of some 2400 of 6060 occurrences
+        assert 90 <= lines._hot_keys(occ).count() <= 100
+        for keep in ("none", "first"):
+            got = {r.doc_id: r.text for r in lines.apply_bitmaps(df, lines.keep_bitmaps(df, keep=keep)).collect()}
+            assert got[0] == ("own 0" if keep == "none" else rows[0][1]) and all(got[i] == f"own {i}" for i in range(1, 60))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_line_dedup_keeps_first(spark):
     rows = [(i, "same\nline %d\nsame" % i) for i in range(15)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
