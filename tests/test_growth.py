@@ -1,10 +1,13 @@
 """Figures that must not grow faster than the input, each on rows of its own."""
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from centwise.operators import budgets as bud
 from centwise.operators import categorize as cat
+from centwise.operators import reports
 
 TEXTS = [(f"{'rent' if i % 2 else 'bread'} market common word{i} word{i}", "Bills" if i % 2 else "Food") for i in range(40)]
 
@@ -35,3 +38,16 @@ def test_budgets_of_users_are_never_broadcast_and_spread_before_they_multiply(sp
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert out.count() == 350 and out.where("category = 'Food' AND monthly_budget = 7").count() == 17
+
+
+def test_scoping_by_month_and_by_year_computes_the_transactions_once(spark):
+    tx = spark.range(6).selectExpr(
+        "id", "1L AS user_id", "CAST(id AS DECIMAL(18,2)) AS amount", "'Food' AS category", "'Expense' AS type",
+        "'x' AS description", "add_months(DATE'2001-01-01', CAST(id * 3 AS INT)) AS date",
+        "add_months(DATE'2001-01-01', CAST(id * 3 AS INT)) AS month")
+    asked = spark.createDataFrame([(1, 1, "monthly", "2001-4"), (2, 1, "yearly", None), (3, 2, "monthly", "2001-04")],
+                                  "request_id long, user_id long, report_type string, month string") \
+        .selectExpr("*", "'2001' AS year", "CAST(NULL AS STRING) AS compare_range")
+    scoped = reports.scope_transactions(tx, reports.normalize_requests(asked, dt.date(2001, 1, 31)))
+    assert scoped._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    assert sorted((r.user_id, r.owner_id, r.id) for r in scoped.collect()) == [(1, 1, 1), (2, 1, 0), (2, 1, 1), (2, 1, 2), (2, 1, 3)]
