@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from centwise.functions.columns import MONEY, month_of
 from centwise.operators.clean import parse_amount, parse_date
 from centwise.schema import TRANSACTIONS
 from centwise.session import materialize
-from centwise.sources.batches import remove
+from centwise.sources.batches import children, remove
 
 KEY = ["id", "user_id"]
 FIELDS = ["amount", "category", "type", "description", "date"]
@@ -32,17 +32,27 @@ def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
     """SNK2 + SNK3: ``changes`` has seq, op ('U' | 'D'), id, user_id and the raw
     text columns; returns the new clean table (id, user_id, amount, category,
     type, description, date, month)."""
-    deletes = changes.filter(F.col("op") == "D").select(*KEY).distinct()
+    return _changed(base.join(net_changes(changes), KEY, "left"))
+
+
+def net_changes(changes: DataFrame) -> DataFrame:
+    """(id, user_id, gone, u): what ``changes`` come to for each key, its deletion or its last update, by
+    one aggregate."""
     # Order by (seq, amount): equal seqs are broken by the parsed amount so the
     # winner never depends on row order.
     order = F.struct(F.col("seq"), parse_amount(F.col("amount").cast("string")))
-    latest = (changes.filter(F.col("op") == "U")
-              .groupBy(*KEY)
-              .agg(F.max_by(F.struct(*[F.col(c).cast("string").alias(c) for c in FIELDS]), order).alias("u")))
-    kept = base.join(deletes, KEY, "left_anti").join(latest, KEY, "left")
+    return changes.where(F.col("op").isin("U", "D")).groupBy(*KEY).agg(
+        F.max(F.col("op") == "D").alias("gone"),
+        F.max_by(F.struct(*[F.col(c).cast("string").alias(c) for c in FIELDS]), F.when(F.col("op") == "U", order)).alias("u"))
+
+
+def _changed(rows: DataFrame, *more: str) -> DataFrame:
+    """The clean rows that rows with their key's ``net_changes`` become, without the deleted ones
+    (all of them, where ``more`` columns are asked for)."""
     upd = F.col("u").isNotNull()
-    return kept.select(
-        *KEY,
+    rows = rows if more else rows.where(~F.coalesce("gone", F.lit(False)))
+    return rows.select(
+        *more, *KEY,
         F.when(upd, F.coalesce(parse_amount(F.col("u.amount")), F.lit(0).cast(MONEY))).otherwise(F.col("amount"))
         .alias("amount"),
         F.when(upd, F.col("u.category")).otherwise(F.col("category")).alias("category"),
@@ -55,20 +65,28 @@ def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
 def row_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
     """(id, user_id, old, new) for every row of ``base`` that ``changes`` reach; both are the row's
     columns as a struct, ``new`` is null for a deleted row.  ``base`` has the columns of ``apply_changes``."""
+    return net_row_changes(base, net_changes(changes))
+
+
+def net_row_changes(base: DataFrame, net: DataFrame) -> DataFrame:
+    """``row_changes`` from ``net_changes``: the table is shuffled once.  Rows that share a key are each
+    paired with all new rows of the key."""
     cols = [*KEY, *FIELDS, "month"]
-    hit = base.select(*cols).join(changes.where(F.col("op").isin("U", "D")).select(*KEY).distinct(), KEY, "left_semi")
-    new = apply_changes(hit, changes).select(*KEY, F.struct(*cols).alias("new"))
-    return hit.select(*KEY, F.struct(*cols).alias("old")).join(new, KEY, "left")
+    hit = base.select(*cols, F.struct(*cols).alias("old")).join(net, KEY)
+    rows = _changed(hit, "old", "gone").select(*KEY, "old", F.when(~F.col("gone"), F.struct(*cols)).alias("new"))
+    return rows.withColumn("new", F.collect_list("new").over(Window.partitionBy(*KEY))).select(
+        *KEY, "old", F.explode_outer("new").alias("new"))
 
 
 def _bucket(buckets: int) -> F.Column:
-    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    # of the whole key, by which a merge joins: its tasks then have few buckets each and need no shuffle to write them
+    return F.pmod(F.hash(*[F.col(c).cast("long") for c in KEY]), F.lit(buckets)).cast("int")
 
 
 def write_buckets(tx: DataFrame, path: str, buckets: int) -> None:
-    """A transactions table in folders ``bucket=<hash of id>``.  A bucket is what a merge rewrites:
+    """A transactions table in folders ``bucket=<hash of id and user_id>``.  A bucket is what a merge rewrites:
     choose ``buckets`` so that one is a few hundred MB."""
-    (tx.withColumn("bucket", _bucket(buckets)).repartition("bucket").sortWithinPartitions("bucket", "id")
+    (tx.repartition(buckets, *KEY).withColumn("bucket", _bucket(buckets)).sortWithinPartitions("bucket", "id")
      .write.mode("overwrite").options(**BLOOM).partitionBy("bucket").parquet(path))
 
 
@@ -76,25 +94,27 @@ def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BUCKETED).parquet(path)
 
 
-def merge_changes(spark: SparkSession, path: str, changes: DataFrame, buckets: int) -> list[int]:
+def merge_changes(spark: SparkSession, path: str, changes: DataFrame, buckets: int, net: DataFrame | None = None) -> list[int]:
     """SNK2 + SNK3 on a bucketed table: rewrite only the buckets that ``changes`` touch, deletes and
     updates in one pass.  Returns those buckets (at most ``buckets`` numbers reach the driver).
 
-    The new rows are written aside first, then put in place by a dynamic partition overwrite, which
-    Spark stages and moves folder by folder; a bucket that lost all its rows is removed.  Deletes and
-    last-write-wins updates give the same rows when applied again, so a run that died is repeated."""
-    ch = materialize(spark, changes.withColumn("bucket", _bucket(buckets)), "table-changes")
-    touched = sorted(r.bucket for r in ch.select("bucket").distinct().collect() if r.bucket is not None)
+    The new rows are put in place by a dynamic partition overwrite: Spark stages them and, once all are
+    written, moves them folder by folder.  A bucket that got no new file lost all its rows and is removed.
+    Deletes and last-write-wins updates give the same rows when applied again, so a run that died is
+    repeated.  ``net`` is a stored ``net_changes(changes)``, where the job has one already.  The rows
+    are written by the tasks that joined them: a bucket has at most as many files as the join has tasks."""
+    net = materialize(spark, net_changes(changes), "net-changes") if net is None else net
+    touched = sorted(r.bucket for r in net.select(_bucket(buckets).alias("bucket")).distinct().collect())
     if not touched:
         return []
-    now = read_buckets(spark, path).where(F.col("bucket").isin(touched))
-    new = materialize(spark, apply_changes(now.drop("bucket"), ch.drop("bucket")).withColumn("bucket", _bucket(buckets)), "table-merged")
-    left = {r.bucket for r in new.select("bucket").distinct().collect()}
-    (new.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite")
+    files = {b: children(spark, f"{path}/bucket={b}") for b in touched}
+    now = read_buckets(spark, path).where(F.col("bucket").isin(touched)).drop("bucket")
+    new = _changed(now.repartition(buckets, *KEY).join(net, KEY, "left"))
+    (new.withColumn("bucket", _bucket(buckets)).sortWithinPartitions("bucket", "id").write.mode("overwrite")
      .options(**BLOOM).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
-    for bucket in touched:
-        if bucket not in left:
-            remove(spark, f"{path}/bucket={bucket}")
+    for b in touched:
+        if children(spark, f"{path}/bucket={b}") == files[b]:
+            remove(spark, f"{path}/bucket={b}")
     return touched
 
 

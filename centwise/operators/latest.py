@@ -6,7 +6,8 @@ the last row held, and cuts again.  Deletions eat into the rows beyond the k tha
 only when fewer than k are left of a user who has more are that user's rows read again from the
 table.  So a batch reads and writes the states of the users it changes, and rarely a raw row.
 
-States are committed as numbered batches (``sources.batches``), the newest of a user counts.
+States are committed as numbered batches (``sources.batches``), the newest of a user counts; a batch that
+reaches half of the users holds the states of the others too, as they were, and readers begin with it.
 
 Defined cases: the order is (date, id), newest first, a null date last; a user whose rows are all gone keeps
 an empty state and has no rows; a user unknown so far begins with the new rows; changes of rows that
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from centwise.functions.columns import dbl
-from centwise.operators.changes import KEY, apply_changes, row_changes
+from centwise.operators.changes import apply_changes, row_changes
 from centwise.session import materialize
 from centwise.sources import batches
 
@@ -72,28 +73,51 @@ def update(table: DataFrame, changes: DataFrame, path: str, number: int, k: int
     if number in batches.complete(spark, path):
         return
     delta = materialize(spark, row_changes(table, changes), "latest-delta") if delta is None else delta
-    users = delta.select("user_id").distinct()
-    old = materialize(spark, stored(spark, path, number, users), "latest-states")
-    held = (old.select("user_id", F.explode("rows").alias("r")).withColumn("id", F.col("r.id"))
-            .join(delta.select(*KEY), KEY, "left_anti").select("user_id", "r"))
-    floor = old.where(~F.col("complete")).select("user_id", F.struct(
-        F.element_at("rows", -1)["date"].alias("date"), F.element_at("rows", -1)["id"].alias("id")).alias("floor"))
-    new = (delta.where(F.col("new").isNotNull()).select("user_id", _row("new.").alias("r")).join(floor, "user_id", "left")
-           .where(F.col("floor").isNull() | (F.struct("r.date", "r.id") >= F.col("floor"))).select("user_id", "r"))
-    cut = _newest(held.unionByName(new), keep).withColumnRenamed("complete", "fits")
-    states = materialize(spark, users.join(old.select("user_id", F.col("complete").alias("had_all")), "user_id", "left")
-                         .join(cut, "user_id", "left").select(
-        "user_id", (F.coalesce("had_all", F.lit(True)) & F.coalesce("fits", F.lit(True))).alias("complete"),
-        F.coalesce("rows", F.array().cast(T.ArrayType(ROW))).alias("rows")), "latest-cut")
+    changed = _changed_rows(delta, keep)
+    whole = _most_change(spark, path, number, delta)
+    old = stored(spark, path, number, None if whole else delta.select("user_id").distinct())
+    had_all, rows = F.coalesce("complete", F.lit(True)), F.coalesce("rows", F.array().cast(T.ArrayType(ROW)))
+    floor = F.when(~had_all, F.try_element_at(rows, F.lit(-1)))
+    held = F.filter(rows, lambda r: ~F.coalesce(F.array_contains("gone", r["id"]), F.lit(False)))
+    new = F.filter(F.coalesce("new", F.array().cast(T.ArrayType(ROW))), lambda r: floor.isNull() | (
+        F.struct(r["date"], r["id"]) >= F.struct(floor["date"], floor["id"])))
+    found = old.join(changed, "user_id", "full").select(
+        "user_id", had_all.alias("had_all"), F.sort_array(F.concat(held, new), asc=False).alias("found")).select(
+        "user_id", (F.col("had_all") & (F.size("found") <= keep)).alias("complete"), F.slice("found", 1, keep).alias("rows"))
+    states = batches.stage_batch(_versioned(found, number), path, number)
     is_short = ~F.col("complete") & (F.size("rows") < k)
     short = states.where(is_short).select("user_id")
-    if not short.isEmpty():
+    if short.isEmpty():
+        batches.publish(spark, batches.folder(path, number))
+    else:
         again = apply_changes(table.join(short, "user_id", "left_semi"), changes.join(short, "user_id", "left_semi"))
         refilled = _newest(again.select("user_id", _row().alias("r")), keep)
         none = short.join(refilled, "user_id", "left_anti").select(
             "user_id", F.lit(True).alias("complete"), F.array().cast(T.ArrayType(ROW)).alias("rows"))
-        states = states.where(~is_short).unionByName(refilled).unionByName(none)
-    batches.write_batch(_versioned(states, number), path, number)
+        states = states.where(~is_short).drop("version").unionByName(refilled).unionByName(none)
+        batches.write_batch(materialize(spark, _versioned(states, number), "latest-cut"), path, number)
+    if whole:
+        batches.mark_whole(spark, path, number)
+
+
+def _changed_rows(delta: DataFrame, keep: int) -> DataFrame:
+    """(user_id, gone, new): the ids and the new rows of ``delta`` that can matter to a state.  An old row
+    that a state holds is among its user's newest ``keep`` old ones.  Both are cut before the shuffle."""
+    w = Window.partitionBy("user_id").orderBy(F.col("r.date").desc(), F.col("r.id").desc())
+    old = delta.select("user_id", F.struct("old.date", "old.id").alias("r"))
+    gone = old.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= keep).groupBy("user_id").agg(
+        F.collect_set("r.id").alias("gone"))
+    new = delta.where(F.col("new").isNotNull()).select("user_id", _row("new.").alias("r"))
+    top = new.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep + 1).groupBy("user_id").agg(
+        F.collect_list("r").alias("new"))
+    return gone.join(top, "user_id", "left")
+
+
+def _most_change(spark: SparkSession, path: str, number: int, delta: DataFrame) -> bool:
+    """Whether ``delta`` reaches half of the users: then all states are written, so that the next
+    reader need not visit a batch for each day."""
+    states = batches.count_rows(spark, path, STATE, number)
+    return 2 * delta.agg(F.approx_count_distinct("user_id")).first()[0] >= states > 0
 
 
 def latest_transactions(states: DataFrame, k: int = 5) -> DataFrame:

@@ -213,3 +213,50 @@ def test_violations_over_tables(spark):
          "b": spark.createDataFrame([(2,), (9,)], "user_id int"), "c": spark.createDataFrame([], "user_id long")}
     got = sorted(map(tuple, clean.violations(t, users).collect()), key=str)
     assert got == [("a", 3, 2), ("a", None, 1), ("b", 9, 1)]
+
+
+def test_a_day_that_reaches_most_users_spares_readers_the_earlier_batches(spark, tmp_path):
+    path, where = str(tmp_path / "newest"), str(tmp_path / "tx")
+    base = table(spark, 40).withColumn("user_id", F.col("id") % 4)
+    chg.write_buckets(base, where, 3)
+    latest.begin(base, path, 6)
+    for day, ids in ((1, range(1, 21)), (2, [3, 7])):      # all users, then one of four
+        changes = spark.createDataFrame([(i, "U", i, i % 4, "5", "Food", "Expense", f"day {day}", "2026-06-01") for i in ids], CHANGES)
+        latest.update(chg.read_buckets(spark, where), changes, path, day, 5, 6)
+        chg.merge_changes(spark, where, changes, 3)
+    assert [p.rpartition("/")[2] for p in batches._parts(spark, path)] == ["batch=1", "batch=2"]
+    assert batches.read_batches(spark, path, latest.STATE).where("batch = 2").count() == 1
+    got = latest.latest_transactions(latest.stored(spark, path), 5)
+    want = summary.latest_transactions(chg.read_buckets(spark, where), 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_a_merge_writes_without_a_shuffle_by_bucket(spark, tmp_path):
+    path = str(tmp_path / "tx")
+    base = table(spark, 200)
+    chg.write_buckets(base, path, 5)
+    ch = spark.createDataFrame([(i, "U", i, base.first().user_id, "1", "Food", "Expense", "new", "2026-01-01") for i in range(1, 150)], CHANGES)
+    assert chg.merge_changes(spark, path, ch, 5) == list(range(5))
+    assert len(files(path)) <= 5 * 8                       # the join's tasks write, none of more than 5 buckets
+    assert rows(chg.read_buckets(spark, path)) == rows(chg.apply_changes(base, ch))
+
+
+def test_stored_states_stay_dealt_out_by_user(spark, tmp_path):
+    path = str(tmp_path / "newest")
+    latest.begin(table(spark, 40).withColumn("user_id", F.col("id") % 4), path)
+    users = spark.range(4).select(F.col("id").alias("user_id")).repartition("user_id").hint("merge")
+    plan = latest.stored(spark, path).hint("merge").join(users, "user_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2    # the aggregate's and the users': none for the join
+
+
+def test_latest_months_take_one_shuffle(spark):
+    rows = [(u, m, "Expense", c, 1.0, 1) for u in (1, 2, 3, None) for c in ("Food", "Bills")
+            for m in [dt.date(2026, k, 1) for k in range(1, 5 if u == 1 else 2)] + [None]]
+    fact = spark.createDataFrame(rows, "user_id long, month date, type string, category string, amount double, n_tx long")
+    cut = facts.latest_months_slice(fact, 2)
+    keep = facts.month_ranks(fact).where("mrank <= 2").select("user_id", "month")
+    want = fact.join(keep, ["user_id", "month"])
+    assert cut.columns == want.columns and sorted(map(tuple, cut.collect())) == sorted(map(tuple, want.collect()))
+    assert cut.count() == 2 * (2 + 1 + 1)
+    plan = facts.latest_months_slice(fact, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan
