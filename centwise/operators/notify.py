@@ -11,12 +11,14 @@ the next.  Only the first C seconds of a stretch can depend on what came
 before, so the map has a piece for each request time in them, and one more, however
 long the stretch is.
 
-1. per (user, hour): the hour's map, by pointer jumping;
+1. per (user, hour), all hours of a chunk at once: requests that no earlier hour can reach are
+   decided; the map, by pointer jumping, of each hour that others reach or that reaches the next;
 2. per (user, 256 hours), then per (user, 65,536 hours): the maps of
    the parts composed, with their pieces cut back to the first C seconds;
 3. per user: fold the few maps that are left (seven years each), then down the
    same tree: the block time entering each part;
-4. per (user, hour) again: mark accepted / rejected and the remaining seconds.
+4. per (user, hour) again, for the requests not decided yet: mark accepted / rejected and the
+   remaining seconds.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ US = 1_000_000
 SEGMENT_SECONDS = 3600
 FAN_BITS = 8                                   # FAN = 256 parts make one of the next level
 NO_BLOCK = -(1 << 62)
+ENTRY = -(1 << 62)                             # in place of a part's number: the row that says how its parent is entered
 
 
 def alert_outbox(new_events: DataFrame, users: DataFrame) -> DataFrame:
@@ -79,42 +82,60 @@ def _complete_groups(batches, keys):
         yield carry.reset_index(drop=True)
 
 
-def _group_bounds(pdf: pd.DataFrame, keys) -> list[tuple[int, int]]:
+def _group_edges(pdf: pd.DataFrame, keys) -> tuple[np.ndarray, np.ndarray]:
     change = np.zeros(len(pdf), dtype=bool)
     change[0] = True
     for k in keys:
         col = pdf[k].to_numpy()
         change[1:] |= col[1:] != col[:-1]
     starts = np.flatnonzero(change)
-    ends = np.append(starts[1:], len(pdf))
+    return starts, np.append(starts[1:], len(pdf))
+
+
+def _group_bounds(pdf: pd.DataFrame, keys) -> list[tuple[int, int]]:
+    starts, ends = _group_edges(pdf, keys)
     return list(zip(starts.tolist(), ends.tolist()))
 
 
-def _segment_summaries(cooldown_us: int):
-    """Stage 1: for each (user, segment) the candidate first-accepted requests
-    and the block time each one's chain leaves the segment with."""
+def _settle(cooldown_us: int, span_us: int):
+    """Stage 1: each request whose fate no earlier segment can change is decided; the others, at a
+    segment's beginning, are ``open``.  Where a later segment may depend on this one, ``exit_block`` is
+    set at the candidates for its first accepted request: the block time each one's chain leaves it with."""
     def fn(batches):
         for pdf in _complete_groups(batches, ["user_id", "seg"]):
-            users, segs, cts, exits = [], [], [], []
-            for a, b in _group_bounds(pdf, ["user_id", "seg"]):
-                t = np.unique(pdf["t"].to_numpy(np.int64)[a:b])   # of equal times only one can be accepted
-                n = len(t)
-                nxt = np.searchsorted(t, t + cooldown_us, side="left")
-                last = np.where(nxt >= n, np.arange(n), nxt)
-                while True:  # pointer jumping: the last accepted index of each chain
-                    jumped = last[last]
-                    if np.array_equal(jumped, last):
-                        break
-                    last = jumped
-                seg = int(pdf["seg"].iat[a])
-                k = int(np.searchsorted(t, seg * SEGMENT_SECONDS * US + cooldown_us, side="left"))
-                m = min(k + 1, n)
-                users.append(np.full(m, pdf["user_id"].iat[a], dtype=np.int64))
-                segs.append(np.full(m, seg, dtype=np.int64))
-                cts.append(t[:m])
-                exits.append(t[last[:m]] + cooldown_us)
-            yield pd.DataFrame({"user_id": np.concatenate(users), "seg": np.concatenate(segs),
-                                "cand_t": np.concatenate(cts), "exit_block": np.concatenate(exits)})
+            if pdf["t"].hasnans:
+                raise ValueError("a request has no time")
+            t, seg = pdf["t"].to_numpy(np.int64), pdf["seg"].to_numpy(np.int64)
+            starts, ends = _group_edges(pdf, ["user_id", "seg"])
+            n, rows, group = len(t), np.arange(len(t)), np.repeat(np.arange(len(starts)), ends - starts)
+            start, end, since = starts[group], ends[group], t - seg * span_us
+            spread = group * (span_us + cooldown_us + 1) + since           # times of all segments, one after the other
+            after = np.maximum(np.searchsorted(spread, spread + cooldown_us, side="left"), rows + 1)
+            free = np.append(True, t[1:] - t[:-1] >= cooldown_us)          # accepted whatever came before
+            free[starts] = since[starts] >= cooldown_us
+            accepted, chain = free.copy(), np.flatnonzero(free)
+            while len(chain):                                              # all chains of the chunk one step on
+                then = after[chain]
+                chain = then[then < end[chain]]
+                chain = chain[~accepted[chain]]
+                accepted[chain] = True
+            last = np.maximum.accumulate(np.where(accepted, rows, -1))
+            is_open = last < start
+            left = np.where(accepted | is_open, 0, np.maximum(1, (cooldown_us - (t - t[last])) // US))
+            leave = np.where(after < end, after, rows)
+            while True:  # pointer jumping: the last accepted request of each chain
+                jumped = leave[leave]
+                if np.array_equal(jumped, leave):
+                    break
+                leave = jumped
+            exits = t[leave] + cooldown_us
+            matters = is_open[starts] | (exits[starts] > (seg[starts] + 1) * span_us)
+            new = rows == start
+            early = np.append(True, since[:-1] < cooldown_us) | new
+            cand = matters[group] & early & (new | np.append(True, t[1:] != t[:-1]))
+            yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(np.int64), "user_id": pdf["user_id"].to_numpy(np.int64),
+                                "seg": seg, "t": t, "open": is_open, "accepted": accepted, "remaining_seconds": left,
+                                "exit_block": np.where(cand, exits, NO_BLOCK)})
     return fn
 
 
@@ -153,13 +174,13 @@ def _fold_up(cooldown_us: int, span_us: int):
 
 
 def _enter(top: bool):
-    """Step 3: the block time entering each part, from the parent's (no block where ``top``)."""
+    """Step 3: the block time entering each part, from the parent's, which comes before the parts as
+    the row ENTRY (no block where ``top``)."""
     def fn(batches):
         for pdf in _complete_groups(batches, ["user_id", "up"]):
-            entered = {} if top else dict(zip(zip(pdf["user_id"], pdf["up"]), pdf["entry_block"]))
             users, segs, blocks = [], [], []
             for user, up, parts in _maps(pdf, "seg"):
-                block = NO_BLOCK if top else int(entered[user, up])
+                block = NO_BLOCK if top else int(parts.pop(0)[1][1][0])
                 for part, (ct, ex) in parts:
                     users.append(user)
                     segs.append(part)
@@ -170,8 +191,8 @@ def _enter(top: bool):
     return fn
 
 
-def _entries(maps: DataFrame, cooldown_us: int) -> DataFrame:
-    """(user_id, seg, entry_block) of every hour that has requests."""
+def _entries(maps: DataFrame, cooldown_us: int, span_us: int) -> DataFrame:
+    """(user_id, seg, entry_block) of every segment that has a map."""
     def by_parent(df, shift):
         up = F.shiftright("seg", shift) if shift else F.lit(0).cast("long")
         return (df.withColumn("up", up).repartition("user_id", "up").sortWithinPartitions("user_id", "up", "seg", "cand_t"))
@@ -179,21 +200,26 @@ def _entries(maps: DataFrame, cooldown_us: int) -> DataFrame:
     row, found = "user_id long, seg long, cand_t long, exit_block long", "user_id long, seg long, entry_block long"
     levels = [materialize(maps.sparkSession, maps, "throttle_maps")]
     for level in range(2):
-        span = SEGMENT_SECONDS * US << (FAN_BITS * level)
+        span = span_us << (FAN_BITS * level)
         levels.append(materialize(maps.sparkSession, by_parent(levels[-1], FAN_BITS).mapInPandas(_fold_up(cooldown_us, span), row),
                                   "throttle_maps"))
     entry = by_parent(levels.pop(), 0).mapInPandas(_enter(True), found)
     for below in reversed(levels):
-        e = entry.withColumnRenamed("seg", "up")
-        joined = below.withColumn("up", F.shiftright("seg", FAN_BITS)).join(e, ["user_id", "up"])
-        entry = (joined.repartition("user_id", "up").sortWithinPartitions("user_id", "up", "seg", "cand_t")
+        e = entry.select("user_id", F.lit(ENTRY).alias("seg"), F.lit(0).cast("long").alias("cand_t"), F.col("entry_block").alias("exit_block"),
+                         F.col("seg").alias("up"))
+        both = below.withColumn("up", F.shiftright("seg", FAN_BITS)).unionByName(e)    # see _mark on why no join
+        entry = (both.repartition("user_id", "up").sortWithinPartitions("user_id", "up", "seg", "cand_t")
                  .mapInPandas(_enter(False), found))
     return entry
 
 
 def _mark(cooldown_us: int):
     """Stage 3: the greedy pass inside each segment from its entry block, jumping from one
-    accepted request to the next by binary search."""
+    accepted request to the next by binary search.
+
+    The entry is each segment's first row.  It is not joined to the others: Spark drops a repartition
+    by the keys of the join below it, and may then make that join a broadcast that reads its other
+    side as it was written, so that a segment's rows come to several tasks."""
     def fn(batches):
         key, last = None, None
         for pdf in batches:
@@ -205,8 +231,9 @@ def _mark(cooldown_us: int):
             for a, b in _group_bounds(pdf, ["user_id", "seg"]):
                 k = (int(pdf["user_id"].iat[a]), int(pdf["seg"].iat[a]))
                 if k != key:                       # else the segment goes on from the last batch
-                    key, entry = k, int(pdf["entry_block"].iat[a])
+                    key, entry = k, int(t_all[a])
                     last = None if entry == NO_BLOCK else entry - cooldown_us
+                    a += 1
                 t, i = t_all[a:b], 0
                 while i < len(t):
                     j = 0 if last is None else max(i, int(np.searchsorted(t, last + cooldown_us, side="left")))
@@ -215,9 +242,10 @@ def _mark(cooldown_us: int):
                     if j < len(t):
                         acc[a + j], last = True, int(t[j])
                     i = j + 1
-            yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(np.int64),
+            out = pd.DataFrame({"request_id": pdf["request_id"].to_numpy(np.int64),
                                 "user_id": pdf["user_id"].to_numpy(np.int64),
                                 "accepted": acc, "remaining_seconds": rem})
+            yield out[~pdf["is_entry"].to_numpy(bool)]
     return fn
 
 
@@ -225,16 +253,24 @@ def throttle_requests(requests: DataFrame, cooldown_seconds: int = REPORT_COOLDO
     """OUT3 over (request_id, user_id, t) with ``t`` in microseconds.
 
     Returns request_id, user_id, accepted, remaining_seconds (0 when accepted,
-    else whole seconds left, at least 1).  Each stage hash-partitions on its
-    key and sorts within partitions; Python sees many groups per call.  What a
-    task holds at once is one user's request times of one hour.
+    else whole seconds left, at least 1).  A request that follows its user's last one by the
+    cool-down or more is accepted whatever came before, so most are decided in the one pass over
+    all requests; only those that an earlier segment can reach go through the tree and are marked
+    after it.  What a task holds at once is one user's requests of one segment.
     """
     c = int(cooldown_seconds) * US
-    r = requests.select("request_id", "user_id", F.col("t").cast("long").alias("t"),
-                        F.floor(F.col("t") / (SEGMENT_SECONDS * US)).cast("long").alias("seg"))
+    span = max(SEGMENT_SECONDS * US, c)                # a segment reaches into the next one only
+    r = requests.where(F.col("user_id").isNotNull()).select("request_id", "user_id", F.col("t").cast("long").alias("t")).withColumn(
+        "seg", F.expr(f"(t - pmod(t, {span}L)) div {span}L"))
     by_seg = r.repartition("user_id", "seg").sortWithinPartitions("user_id", "seg", "t", "request_id")
-    summ = by_seg.mapInPandas(_segment_summaries(c), "user_id long, seg long, cand_t long, exit_block long")
-    entry = _entries(summ, c)
-    j = r.join(entry, ["user_id", "seg"])
-    j = j.repartition("user_id", "seg").sortWithinPartitions("user_id", "seg", "t", "request_id")
-    return j.mapInPandas(_mark(c), "request_id long, user_id long, accepted boolean, remaining_seconds long")
+    settled = materialize(r.sparkSession, by_seg.mapInPandas(
+        _settle(c, span), "request_id long, user_id long, seg long, t long, open boolean, accepted boolean, "
+                          "remaining_seconds long, exit_block long"), "throttle_settled")
+    maps = settled.where(F.col("exit_block") != NO_BLOCK).select("user_id", "seg", F.col("t").alias("cand_t"), "exit_block")
+    entries = _entries(maps, c, span).select(F.lit(0).cast("long").alias("request_id"), "user_id", "seg", F.col("entry_block").alias("t"),
+                                             F.lit(True).alias("is_entry"))
+    j = settled.where("open").select("request_id", "user_id", "seg", "t", F.lit(False).alias("is_entry")).unionByName(entries)
+    j = j.repartition("user_id", "seg").sortWithinPartitions("user_id", "seg", F.col("is_entry").desc(), "t", "request_id")
+    out = "request_id long, user_id long, accepted boolean, remaining_seconds long"
+    return settled.where("NOT open").select("request_id", "user_id", "accepted", "remaining_seconds").unionByName(
+        j.mapInPandas(_mark(c), out))

@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from centwise.operators import budgets as bud
 from centwise.operators import categorize as cat
-from centwise.operators import reports
+from centwise.operators import notify, reports
 
 TEXTS = [(f"{'rent' if i % 2 else 'bread'} market common word{i} word{i}", "Bills" if i % 2 else "Food") for i in range(40)]
 
@@ -51,3 +52,52 @@ def test_scoping_by_month_and_by_year_computes_the_transactions_once(spark):
     scoped = reports.scope_transactions(tx, reports.normalize_requests(asked, dt.date(2001, 1, 31)))
     assert scoped._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
     assert sorted((r.user_id, r.owner_id, r.id) for r in scoped.collect()) == [(1, 1, 1), (2, 1, 0), (2, 1, 1), (2, 1, 2), (2, 1, 3)]
+
+
+def _greedy(rows, c):
+    last, out = {}, {}
+    for i, u, t in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        free = u not in last or t - last[u] >= c
+        out[i] = (free, 0 if free else max(1, (c - (t - last[u])) // 1_000_000))
+        last[u] = t if free else last[u]
+    return out
+
+
+def test_only_requests_that_an_earlier_hour_can_reach_go_through_the_tree(spark, monkeypatch):
+    s, hour, maps = 1_000_000, 3600 * 1_000_000, []
+    rows = [(10 * i + k, i % 9, i * hour + 1800 * s + k * 4 * s) for i in range(60) for k in range(4)]
+    rows += [(1000, 50, hour - 3 * s), (1001, 50, hour + 2 * s), (1002, 50, hour + 7 * s), (1003, 50, hour + 900 * s)]
+    real = notify._entries
+    monkeypatch.setattr(notify, "_entries", lambda m, *rest: maps.append(m.count()) or real(m, *rest))
+    df = spark.createDataFrame(rows, "request_id long, user_id long, t long")
+    got = {r.request_id: (r.accepted, r.remaining_seconds) for r in notify.throttle_requests(df, 10).collect()}
+    assert got == _greedy(rows, 10 * s)
+    assert maps == [4]                # one exit at the hour's end; three entries into the next hour, of 61 hours
+
+
+def test_throttle_with_equal_times_and_cooldowns_beyond_an_hour(spark):
+    rnd, s = random.Random(3), 1_000_000
+    rows = [(i, rnd.randrange(4), rnd.choice([0, -(1 << 41)]) + rnd.choice([i * 700 * s, (i // 20) * 900 * s, rnd.randrange(9000 * s)]))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "request_id long, user_id long, t long").repartition(3)
+    for cooldown in (0, 1, 3599, 5000, 100_000):
+        got = {r.request_id: (r.accepted, r.remaining_seconds) for r in notify.throttle_requests(df, cooldown).collect()}
+        assert got == _greedy(rows, cooldown * s), cooldown
+
+
+def test_throttle_where_spark_makes_its_joins_broadcasts_while_it_runs(spark):
+    """Requests of a user on both sides of an hour's end, in many partitions: no segment may be split."""
+    s, hour = 1_000_000, 3600 * 1_000_000
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    rows = [(1000 * u + 10 * h + k, u, h * hour + k * 4 * s - 5 * s) for u in range(40) for h in range(1, 9) for k in range(5)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "request_id long, user_id long, t long").repartition(8)
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "10m")
+        spark.conf.set(names[2], "false")
+        got = {r.request_id: (r.accepted, r.remaining_seconds) for r in notify.throttle_requests(df, 10).collect()}
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert got == _greedy(rows, 10 * s)
