@@ -4,7 +4,7 @@ lists, present months, budget rows), never from raw transactions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from centwise.functions.columns import dbl, month_label, pct, rnd
@@ -12,6 +12,7 @@ from centwise.operators import forecast as fc
 from centwise.operators import insights as ins
 from centwise.operators import summary as sm
 from centwise.operators.facts import month_totals
+from centwise.session import materialize
 
 
 def _summary_struct(inc: str, exp: str) -> F.Column:
@@ -24,7 +25,7 @@ def _sorted_list(df: DataFrame, key: str, order: list[F.Column], fields: list[st
     """collect a bounded per-user list in a fixed order (sort key first, then dropped)."""
     s = F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order)], *[F.col(c) for c in fields])
     return df.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(s)), lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias(name))
+        F.transform(F.sort_array(F.collect_list(s)), lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias(name))
 
 
 def financial_context(fact: DataFrame, users: DataFrame, usage: DataFrame, alerts: DataFrame,
@@ -89,9 +90,10 @@ def _payload(d: DataFrame, *keys: str) -> DataFrame:
 
 def _spending_parts(fact: DataFrame, users: DataFrame) -> DataFrame:
     """Summary, category distribution and monthly spending of each row of ``users``."""
-    cd = _sorted_list(sm.category_distribution(fact), "user_id", [F.col("rank")], ["category", "amount"],
+    own = fact.repartition("user_id")                      # each list costs one shuffle, the joins none
+    cd = _sorted_list(sm.category_distribution(own), "user_id", [F.col("rank")], ["category", "amount"],
                       "category_distribution")
-    ms = _sorted_list(sm.monthly_spending(fact), "user_id", [F.col("month")], ["month", "amount"], "monthly_spending")
+    ms = _sorted_list(sm.monthly_spending(own), "user_id", [F.col("month")], ["month", "amount"], "monthly_spending")
     return sm.user_summary(fact, users).join(cd, "user_id", "left").join(ms, "user_id", "left")
 
 
@@ -111,8 +113,44 @@ def chart_payload(fact: DataFrame, users: DataFrame, compare_months: int = 3) ->
 def chart_payloads(fact: DataFrame, requests: DataFrame, users: DataFrame, as_of) -> DataFrame:
     """CHT1 / SNK11 per request: spending of the request's month or year (of all history where
     the request names no report type), the comparison over its user's last 1 or 3 data months,
-    the forecast over all of the user's history.  Requests meet the monthly fact by (user,
-    month), (user, year) or user, never single transactions."""
+    the forecast over all of the user's history.  A period of a user is added up once, however many
+    requests ask for it; requests meet it by (user, period), the rest by user."""
+    from centwise.operators.reports import normalize_requests
+    spark, whole = requests.sparkSession, F.coalesce("report_type", F.lit("")) == ""
+    reqs = normalize_requests(requests.withColumn("request_id", F.struct("request_id", whole.alias("whole"))), as_of)
+    span = (F.when(F.col("request_id.whole"), F.lit("")).when(F.col("report_type") == "yearly", F.col("year"))
+            .otherwise(F.col("month_start").cast("string")))
+    reqs = materialize(spark, reqs.select("request_id.request_id", "user_id", "compare_range",
+                                          F.struct("user_id", span.alias("span")).alias("scope")), "requests")
+    repeated = materialize(spark, reqs.groupBy("request_id").count().where("count > 1").select("request_id"), "repeated_requests")
+    once = reqs.where(F.col("request_id").isNotNull()).join(repeated, "request_id", "left_anti")
+
+    asked = once.groupBy("user_id").agg(F.collect_set("scope.span").alias("asked"))
+    spans = F.array_intersect("asked", F.array(F.lit(""), F.year("month").cast("string"), F.col("month").cast("string")))
+    # each user's rows lie together, with the periods that ask for them and the user's latest month
+    fact = materialize(spark, fact.where(F.col("user_id").isNotNull()).repartition("user_id").join(asked, "user_id", "left")
+                       .withColumn("spans", spans).drop("asked")
+                       .withColumn("latest_month", F.max("month").over(Window.partitionBy("user_id"))), "scoped_fact")
+    scoped = fact.withColumn("span", F.explode("spans")).withColumn("user_id", F.struct("user_id", "span")).drop("span", "spans", "latest_month")
+    parts = _spending_parts(scoped, once.select(F.col("scope").alias("id")).distinct()).withColumnRenamed("user_id", "scope")
+    recent = fact.where(F.col("month") > F.add_months("latest_month", -3)).drop("spans", "latest_month")
+    fact = fact.drop("spans", "latest_month")
+    out = _payload(_with_history(once, fact, recent, users).join(parts, "scope"), "request_id", "user_id")
+    if not repeated.isEmpty():
+        out = out.unionByName(_repeated_payloads(fact, recent, requests.join(repeated, "request_id", "left_semi"), users, as_of))
+    return out
+
+
+def _with_history(reqs: DataFrame, fact: DataFrame, recent: DataFrame, users: DataFrame) -> DataFrame:
+    """Requests with their user's forecast and the months they compare with (``recent``: the last three)."""
+    d = (reqs.join(fc.expense_forecast(fact, users), "user_id", "left")
+         .join(_savings(recent, 1, "last_1"), "user_id", "left").join(_savings(recent, 3, "last_3"), "user_id", "left"))
+    return d.withColumn("savings_vs_expenses", F.when(F.col("compare_range") == "last_month", F.col("last_1"))
+                        .otherwise(F.col("last_3"))).drop("last_1", "last_3")
+
+
+def _repeated_payloads(fact: DataFrame, recent: DataFrame, requests: DataFrame, users: DataFrame, as_of) -> DataFrame:
+    """The payloads of requests whose id comes more than once: all rows of an id share one scope."""
     from centwise.operators.reports import normalize_requests
     whole = requests.select("request_id", (F.coalesce("report_type", F.lit("")) == "").alias("whole"))
     reqs = normalize_requests(requests, as_of).join(whole, "request_id")
@@ -126,9 +164,5 @@ def chart_payloads(fact: DataFrame, requests: DataFrame, users: DataFrame, as_of
               .unionByName(years.join(part(~F.col("whole") & yearly, "year"), ["user_id", "year"]).select(*cols))
               .withColumnRenamed("request_id", "user_id"))
     parts = _spending_parts(scoped, reqs.select(F.col("request_id").alias("id"))).withColumnRenamed("user_id", "request_id")
-    d = (reqs.select("request_id", "user_id", "compare_range").join(parts, "request_id")
-         .join(fc.expense_forecast(fact, users), "user_id", "left")
-         .join(_savings(fact, 1, "last_1"), "user_id", "left").join(_savings(fact, 3, "last_3"), "user_id", "left"))
-    d = d.withColumn("savings_vs_expenses", F.when(F.col("compare_range") == "last_month", F.col("last_1"))
-                     .otherwise(F.col("last_3")))
+    d = _with_history(reqs.select("request_id", "user_id", "compare_range"), fact, recent, users).join(parts, "request_id")
     return _payload(d, "request_id", "user_id")

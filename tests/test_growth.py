@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from centwise.operators import budgets as bud
 from centwise.operators import categorize as cat
-from centwise.operators import notify, reports
+from centwise.operators import context, notify, reports
+from centwise.operators.facts import monthly_fact
+from conftest import DEMO_ROWS, make_tx
 
 TEXTS = [(f"{'rent' if i % 2 else 'bread'} market common word{i} word{i}", "Bills" if i % 2 else "Food") for i in range(40)]
 
@@ -101,3 +103,27 @@ def test_throttle_where_spark_makes_its_joins_broadcasts_while_it_runs(spark):
         for name in names:
             spark.conf.unset(name)
     assert got == _greedy(rows, 10 * s)
+
+
+def test_a_period_of_a_user_is_added_up_once_for_all_its_requests(spark, monkeypatch):
+    tx = make_tx(spark, DEMO_ROWS).unionByName(make_tx(spark, DEMO_ROWS[3:], user_id=2))
+    users = spark.createDataFrame([(1, "a", "a@x"), (3, "c", "c@x")], "id long, name string, email string")
+    asked = [(1, 1, "monthly", "2026-2", None, None), (2, 1, "monthly", "2026-02", None, "last_month"), (3, 1, " Yearly", None, "2026", None),
+             (4, 1, None, None, None, None), (5, 1, "", "", None, "last_month"), (6, 2, "monthly", "2026-03", None, None),
+             (7, None, None, None, None, None), (8, 3, "yearly", None, "x", None), (9, 1, None, None, None, None), (9, 1, "monthly", "2026-02", None, None)]
+    asked = spark.createDataFrame(asked, "request_id long, user_id long, report_type string, month string, year string, compare_range string")
+    scopes, real = [], context._spending_parts
+    monkeypatch.setattr(context, "_spending_parts", lambda fact, of: scopes.append(of.count()) or real(fact, of))
+    rows = context.chart_payloads(monthly_fact(tx), asked, users, dt.date(2026, 3, 31)).collect()
+    got = {r.request_id: r.payload for r in rows if r.request_id != 9}
+    assert scopes[0] == 6             # of eight requests: two ask for a month, two for all history of the same user
+    spent = {i: [(m.month, m.amount) for m in p.monthly_spending] for i, p in got.items()}
+    whole = [("2026-01", 27200.0), ("2026-02", 32500.0), ("2026-03", 42300.0)]
+    assert spent == {1: whole[1:2], 2: whole[1:2], 3: whole, 4: whole, 5: whole, 6: whole[2:], 7: [], 8: []}
+    assert got[1].summary.total_income == 52000.0 and got[4].summary.total_income == 154000.0 and got[7].summary.total_expenses == 0.0
+    assert {i: [s.month[-1] for s in p.savings_vs_expenses] for i, p in got.items()} == {
+        1: ["1", "2", "3"], 2: ["3"], 3: ["1", "2", "3"], 4: ["1", "2", "3"], 5: ["3"], 6: ["1", "2", "3"], 7: [], 8: []}
+    assert [got[i].prediction.status for i in (1, 6, 7, 8)] == ["predicted", None, None, "insufficient-data"]
+    # an id that comes twice: its rows share one scope, each of both rows' periods for each of the two types
+    twice = [r.payload for r in rows if r.request_id == 9]
+    assert len(twice) == 16 and {p.summary.total_income for p in twice} == {2 * 154000.0 + 2 * 52000.0}
