@@ -36,6 +36,7 @@ from centwise.sources import batches
 GROUP = ["user_id", "category", "month"]
 KEY = [*GROUP, "threshold_percent"]
 ID_BUCKET = 1 << 20
+ROWS_PER_TASK = 1 << 17                        # of a micro-batch's replay, on average
 
 OUT_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()),
@@ -70,10 +71,13 @@ def replay_crossings(tx: DataFrame, budgets: DataFrame | None = None, flat_budge
     return _replay(_with_budget(t, budgets, flat_budget), thresholds, bucket)
 
 
-def _replay(t: DataFrame, thresholds: tuple[int, ...], bucket: int = ID_BUCKET, spent: DataFrame | None = None) -> DataFrame:
-    """Crossings among rows (id, GROUP, amount, budget) of groups that start at ``spent`` (GROUP, start)."""
+def _replay(t: DataFrame, thresholds: tuple[int, ...], bucket: int = ID_BUCKET, spent: DataFrame | None = None,
+            tasks: int | None = None) -> DataFrame:
+    """Crossings among rows (id, GROUP, amount, budget) of groups that start at ``spent`` (GROUP, start).
+    With ``tasks`` the rows are sorted in so many, which Spark does not merge to as few as there are cores."""
     t = t.select("id", *GROUP, "amount", "budget", F.floor(F.col("id") / bucket).alias("bkt"))
     keys = GROUP + ["bkt"]
+    spread = (lambda df: df.repartition(tasks, *keys)) if tasks else (lambda df: df)
     sums = t.groupBy(*keys).agg(F.sum("amount").alias("bsum"), F.first("budget").alias("budget"))
     w = Window.partitionBy(*GROUP).orderBy("bkt")
     sums = sums.withColumn("after", F.sum("bsum").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -84,7 +88,7 @@ def _replay(t: DataFrame, thresholds: tuple[int, ...], bucket: int = ID_BUCKET,
     hit = sums.select("*", ths).filter(
         (_usage(F.col("after"), F.col("budget")) >= F.col("threshold_percent"))
         & (_usage(F.col("before"), F.col("budget")) < F.col("threshold_percent")))
-    rows = t.join(hit.select(*keys, "threshold_percent", "before"), keys)
+    rows = spread(t).join(spread(hit.select(*keys, "threshold_percent", "before")), keys)
     wr = Window.partitionBy(*keys, "threshold_percent").orderBy("id")
     rows = rows.withColumn("running", F.col("before") + F.sum("amount").over(wr.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("usage_percent", _usage(F.col("running"), F.col("budget")))
@@ -151,10 +155,12 @@ class CrossingJob:
         months = [r.month for r in own.select("month").distinct().collect()]
         hot = self._hot(spark, own, months, batch)
         stray = hot.where(~F.col("in_order"))
-        found = _replay(rows.join(hot.where("in_order"), GROUP), self.thresholds, spent=hot.select(*GROUP, "start"))
+        found = _replay(rows.join(hot.where("in_order"), GROUP), self.thresholds, spent=hot.select(*GROUP, "start"),
+                        tasks=self._tasks(own))
         if not stray.isEmpty():
             earlier = batches.read_batches(spark, f"{base}/rows", ROWS, before=batch + 1).where(F.col("month").isin(months))
-            found = found.unionByName(_replay(earlier.join(stray, GROUP), self.thresholds))
+            stored = batches.read_total(spark, f"{base}/state", STATE, GROUP, TOTALS, batch).join(stray, GROUP, "left_semi")
+            found = found.unionByName(_replay(earlier.join(stray, GROUP), self.thresholds, tasks=self._tasks(stored)))
         known = (batches.read_batches(spark, f"{base}/events", EVENTS, before=batch).where(F.col("month").isin(months))
                  .groupBy(*KEY).agg(F.max_by("id", "batch").alias("known_id"), F.max_by("running_spent", "batch").alias("known_spent")))
         news = found.join(known, KEY, "left").withColumn("is_new", F.col("known_id").isNull())
@@ -167,6 +173,12 @@ class CrossingJob:
         if since is not None:
             self._close(spark, since)
 
+    @staticmethod
+    def _tasks(totals: DataFrame) -> int | None:
+        """In how many tasks to replay the rows that ``totals`` counts; left to Spark where they are few."""
+        n = totals.agg(F.sum("n")).first()[0] or 0
+        return -(-n // ROWS_PER_TASK) if n > ROWS_PER_TASK else None
+
     def _hot(self, spark: SparkSession, own: DataFrame, months: list[str], batch: int) -> DataFrame:
         """(GROUP, start, budget, in_order) of the micro-batch's groups that have reached a threshold."""
         prior = (batches.read_total(spark, f"{self.base}/state", STATE, GROUP, TOTALS, batch - 1).where(F.col("month").isin(months))

@@ -10,6 +10,7 @@ from centwise.operators import budgets as bud
 from centwise.operators import categorize as cat
 from centwise.operators import context, notify, reports
 from centwise.operators.facts import monthly_fact
+from centwise.streaming import crossings as crs
 from conftest import DEMO_ROWS, make_tx
 
 TEXTS = [(f"{'rent' if i % 2 else 'bread'} market common word{i} word{i}", "Bills" if i % 2 else "Food") for i in range(40)]
@@ -127,3 +128,25 @@ def test_a_period_of_a_user_is_added_up_once_for_all_its_requests(spark, monkeyp
     # an id that comes twice: its rows share one scope, each of both rows' periods for each of the two types
     twice = [r.payload for r in rows if r.request_id == 9]
     assert len(twice) == 16 and {p.summary.total_income for p in twice} == {2 * 154000.0 + 2 * 52000.0}
+
+
+def test_a_micro_batchs_replay_has_more_tasks_the_more_rows_it_has(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(crs, "ROWS_PER_TASK", 40)
+    tasks, real = [], crs._replay
+
+    def replay(t, thresholds, *rest, **kw):
+        found = real(t, thresholds, *rest, **kw)
+        tasks.append(kw.get("tasks"))
+        return found
+
+    monkeypatch.setattr(crs, "_replay", replay)
+    events = lambda lo, n: spark.range(lo, lo + n).selectExpr(
+        "id", "id % 7 AS user_id", "'Food' AS category", "CAST(10 AS DECIMAL(18,2)) AS amount", "TIMESTAMP'2024-01-05' AS ts")
+    job = crs.CrossingJob(str(tmp_path / "job"), flat_budget=200.0)
+    job(events(1000, 400), 0)
+    job(events(2000, 30), 1)
+    job(events(0, 100), 2)                                # earlier ids: the stored rows are replayed
+    assert tasks == [10, None, 3, 14]                     # 400, 30, 100 and all 530 rows
+    got = sorted((r.user_id, r.threshold_percent, r.id) for r in job.crossings(spark).collect())
+    ids = [*range(100), *range(1000, 1400), *range(2000, 2030)]
+    assert got == sorted((u, th, [i for i in ids if i % 7 == u][n]) for u in range(7) for th, n in ((85, 16), (100, 19)))
