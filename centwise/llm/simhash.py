@@ -135,7 +135,8 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
         return ok
 
     first = F.coalesce(*[F.when(viable(j), F.lit(j)) for j in range(m)], F.lit(-1))
-    return (index.join(probe, (index["key"] == probe["key"]) & (F.col("start") == F.col("probe_start"))
+    # both sides are many times the table that Spark takes their size from: never broadcast
+    return (index.hint("merge").join(probe, (index["key"] == probe["key"]) & (F.col("start") == F.col("probe_start"))
                        & (F.col("flipped") | (F.col("v") < F.col("u"))) & (first == F.col("start"))
                        & F.bit_count(apart).between(1, bits))
             .select("u", "v"))
@@ -147,10 +148,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4) -> DataFrame:
     rows = materialize(spark, fingerprints(docs, size), "fingerprints")
     classes = materialize(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     roots = components(links(classes, bits)).select(F.col("node").alias("fp"), "root")
-    labelled = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = classes.hint("merge").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    # left joins whose every row has its match: only the right side, measured while it runs, may be broadcast
+    by_fp = labelled.join(least, "root", "left").select("fp", "component_id")
+    return rows.join(by_fp, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 4, bits: int = 4) -> DataFrame:
@@ -160,7 +162,7 @@ def keep_one(docs: DataFrame, size: int = 4, bits: int = 4) -> DataFrame:
     one = (found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
            .select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")))
     hashed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(one, (F.col("__text") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    kept = hashed.join(one, (F.col("__text") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     again = Window.partitionBy("__text", "doc_id").orderBy(F.lit(0))
     return kept.withColumn("__n", F.row_number().over(again)).where("__n = 1").select(*docs.columns)
 

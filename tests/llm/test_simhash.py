@@ -4,7 +4,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from centwise.llm import simhash
+from centwise.llm import graph, simhash
 from centwise.llm.graph import components
 
 
@@ -95,3 +95,28 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = groups({x for e in edges for x in e}, edges)
     assert got == {n: r for n, r in want.items() if n != r}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_of_every_fingerprint_is_broadcast(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("fp")).write.parquet(str(tmp_path / "classes"))
+    pairs = simhash.links(spark.read.parquet(str(tmp_path / "classes")))     # a small file, exploded to 40 times its rows
+    assert "Broadcast" not in plan(pairs)
+    want = {(a, b) for a in range(50) for b in range(50) if b < a and (a ^ b).bit_count() <= 4}
+    assert {(r.u, r.v) for r in pairs.collect()} == want
+
+
+def test_many_edges_are_not_broadcast(spark, tmp_path, monkeypatch):
+    edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 200)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    df.write.parquet(str(tmp_path / "edges"))
+    stored = spark.read.parquet(str(tmp_path / "edges"))
+    assert "Broadcast" not in plan(graph._large_star(stored, True)) and "Broadcast" not in plan(graph._small_star(stored, True))
+    want = {r.node: r.root for r in components(df).collect()}
+    seen = []
+    monkeypatch.setattr(graph, "FEW", 10)
+    monkeypatch.setattr(graph, "_large_star", lambda e, many, f=graph._large_star: (seen.append(many), f(e, many))[1])
+    assert {r.node: r.root for r in components(df).collect()} == want and all(seen)
