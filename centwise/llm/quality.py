@@ -176,10 +176,11 @@ def posteriors(scored: DataFrame) -> DataFrame:
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = min(1 - 1e-6, max(1e-6, (total.s or 0.0) / total.n if total.n else 0.5))
     of_host, of_path = strengths(paths)
+    # left joins whose every row has its match: only the sums may be broadcast, whatever size Spark takes the rows to have
     sites = (paths.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("s").alias("ps"), F.col("n").alias("pn"))
              .join(hosts.select(F.col("host").alias("__h2"), F.col("s").alias("hs"), F.col("n").alias("hn")),
-                   F.col("__h").eqNullSafe(F.col("__h2"))))
-    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p")))
+                   F.col("__h").eqNullSafe(F.col("__h2")), "left"))
+    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p")), "left")
     host = (F.lit(of_host * mean) + F.col("hs") - F.col("p")) / (F.lit(of_host) + F.col("hn") - 1)
     path = (F.lit(of_path) * F.col("host_posterior") + F.col("ps") - F.col("p")) / (F.lit(of_path) + F.col("pn") - 1)
     bound = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))

@@ -88,3 +88,12 @@ def test_repeated_ids_draw_the_same_rows(spark):
             for x in (rows, rows[::-1], rows[200:] + rows[:200])]
     for mean, scale, w in fits[1:]:
         assert (mean == fits[0][0]).all() and (scale == fits[0][1]).all() and (w == fits[0][2]).all()
+
+
+def test_rows_are_not_broadcast(spark, tmp_path):
+    rows = [(i, i, f"h{i % 3}" if i % 4 else None, f"p{i % 2}", i % 10 / 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text_hash long, host string, path string, p double")
+    df.coalesce(1).write.parquet(str(tmp_path / "scored"))
+    out = q.posteriors(spark.read.parquet(str(tmp_path / "scored")))
+    assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()      # the rows, at the size of their file
+    assert out.where("host_posterior is not null and path_posterior is not null").count() == 100
