@@ -63,6 +63,21 @@ def _no_stop_word(col: F.Column, stop_words) -> F.Column:
     return ~col.isin(words) if words else F.lit(True)
 
 
+def _counted(words: F.Column) -> F.Column:
+    """array<struct<term, tf>> of an array of words: sorted, each run's end found, its length taken.
+    A word becomes no row of its own.  Arrays of one element bind what the functions inside look up."""
+    def ends(s):
+        return F.filter(F.transform(s, lambda t, i: F.when((i == F.size(s) - 1) | (F.get(s, i + 1) != t), i)),
+                        lambda i: i.isNotNull())
+
+    def runs(s, e):
+        return F.transform(e, lambda at, j: F.struct(
+            F.get(s, at).alias("term"), (at - F.coalesce(F.get(e, j - 1), F.lit(-1))).cast("long").alias("tf")))
+
+    bind = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    return bind(F.sort_array(words), lambda s: bind(ends(s), lambda e: runs(s, e)))
+
+
 def _packed(terms: F.Column) -> list[F.Column]:
     """array<struct<term, tf>> as a text and an array of numbers, which take a fraction of its bytes
     in a shuffle.  No term holds a blank."""
@@ -123,15 +138,12 @@ def term_counts(training: DataFrame, stop_words=None) -> DataFrame:
     """SET2 + ML1 + ML2: (doc, category, terms array<struct<term, tf>>), a row for each distinct row of
     (description, category).
 
-    Each distinct text is shuffled once, by its hash key (copies collapse before that); counting its
-    terms and gathering them needs no further shuffle."""
+    Each distinct text is shuffled once, by its hash key (copies collapse before that); its terms are
+    counted in its row."""
     keyed = training.select("description", "category").dropna().withColumn("doc", _doc_key())
     texts = keyed.groupBy("doc", "category").agg(F.first("description").alias("description"))
     words = F.filter(tokens(F.col("description")), lambda t: _no_stop_word(t, stop_words))
-    counts = (texts.select("doc", "category", F.explode_outer(words).alias("term"))
-              .groupBy("doc", "category", "term").agg(F.count(F.lit(1)).alias("tf")))
-    term = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-    return counts.groupBy("doc", "category").agg(F.collect_list(term).alias("terms"))
+    return texts.select("doc", "category", _counted(words).alias("terms"))
 
 
 def _split(vocab: DataFrame, rows: F.Column | int = 1) -> tuple[DataFrame, DataFrame | None]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -150,3 +151,16 @@ def test_a_micro_batchs_replay_has_more_tasks_the_more_rows_it_has(spark, tmp_pa
     got = sorted((r.user_id, r.threshold_percent, r.id) for r in job.crossings(spark).collect())
     ids = [*range(100), *range(1000, 1400), *range(2000, 2030)]
     assert got == sorted((u, th, [i for i in ids if i % 7 == u][n]) for u in range(7) for th, n in ((85, 16), (100, 19)))
+
+
+def test_terms_are_counted_in_their_row(spark):
+    """Training makes no row of every word; the counts are those of a plain count."""
+    from collections import Counter
+    texts = ["", "a", "the the the", "Zeta beta beta alpha ZETA beta", "x1 x1 x1", "über Über straße x_1"] + [f"w{i % 7} w{i % 3} w{i}{i}" for i in range(40)]
+    rows = [(t, c) for t in texts for c in ("A", "B")] + [(None, "A"), ("lost", None), (texts[3], "A")]
+    counts = cat.term_counts(spark.createDataFrame(rows, "description string, category string"))
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    want = [Counter(w for w in re.findall(r"\w{2,}", t.lower()) if w not in cat.english_stop_words()) for t in texts for _ in "AB"]
+    got = [{x.term: x.tf for x in r.terms} for r in counts.collect()]
+    assert sorted(map(repr, (sorted(g.items()) for g in got))) == sorted(map(repr, (sorted(w.items()) for w in want)))
+    assert all(len(r.terms) == len({x.term for x in r.terms}) for r in counts.collect())
